@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -27,6 +27,15 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, whatever the optimizer does to aliases.
+
+    An alias may be replaced by its expression inside a lambda, and then be computed for
+    each element; a lambda's variable never is.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about ``size`` bytes of text each (one row at least)."""
     lengths = pc.binary_length(batch.column(column)).to_pylist()

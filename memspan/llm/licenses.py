@@ -21,11 +21,12 @@ Rows that repeat an id are scanned each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memspan.llm.common import let
+
 WORDS = 5
 BANDS = 16
 CONTAINMENT = 0.8
@@ -49,10 +50,15 @@ def template_words(text: str) -> list[str]:
 
 def _shingled(df: DataFrame, words: str, out: str, keep: list[str]) -> DataFrame:
     """``keep`` and ``out``, the hashes of the runs of five of the words."""
-    hashed = df.select(*keep, F.transform(words, lambda w: F.xxhash64(w)).alias("_w"))
-    at = F.col("_w")
-    runs = F.transform(F.slice(at, 1, F.size(at) - (WORDS - 1)), lambda w, i: F.xxhash64(w, *(F.get(at, i + k) for k in range(1, WORDS))))
-    return hashed.where(F.size(at) >= WORDS).select(*keep, runs.alias(out))
+    run = lambda at: F.transform(F.slice(at, 1, F.greatest(F.size(at) - (WORDS - 1), F.lit(0))), lambda w, i: F.xxhash64(w, *(F.get(at, i + k) for k in range(1, WORDS))))
+    return df.select(*keep, let(F.transform(words, lambda w: F.xxhash64(w)), run).alias(out))
+
+
+def _banded(df: DataFrame, hashes: str, keep: list[str], bands: int) -> DataFrame:
+    """``keep``, ``band`` and ``least``: the smallest of the hashes as the band hashes them anew."""
+    rows = df.select(*keep, F.explode(F.lit(list(range(bands))).cast("array<int>")).alias("band"))
+    smallest = F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64("band", h).alias("v"), h.alias("h"))))
+    return rows.select(*keep, "band", smallest.alias("least"))
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, bands: int = BANDS, least: float = CONTAINMENT) -> DataFrame:
@@ -64,34 +70,26 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     spark = df.sparkSession
     texts = [(name, len(words), words) for name, text in (templates or TEMPLATES).items() if len(words := template_words(text)) >= WORDS or _refuse(name)]
     listed = spark.createDataFrame(texts, "license string, n int, words array<string>")
-    shingled = _shingled(listed, "words", "t", ["license", "n"])
-    minima = F.array(*(F.array_min(F.transform("t", lambda h, k=k: F.struct(F.xxhash64(F.lit(k), h).alias("v"), h.alias("h")))) for k in range(bands)))
-    table = shingled.select("license", "n", F.array_distinct("t").alias("t"), minima.alias("m"))
-    known = table.select("license", "n", "t", F.transform("m", lambda x: x["v"]).alias("v"), F.transform("m", lambda x: x["h"]).alias("h")).collect()  # a row for each template
-    lengths = sorted({row["n"] for row in known})
-    first = {n: sorted({h for row in known if row["n"] == n for h in row["h"]}) for n in lengths}
+    known = _shingled(listed, "words", "t", ["license", "n"]).select("license", "n", F.array_distinct("t").alias("t"))
+    table = _banded(known, "t", ["license", "n", "t"], bands).collect()  # a row for each template and band
+    minima = sorted({row["least"]["h"] for row in table})
+    shapes = [(n, max(1, n // 4), n - (WORDS - 1) + max(1, n // 4) - 1) for n in sorted({n for _, n, _ in texts})]
 
     row = F.xxhash64(F.col(f"`{text_col}`"))
     ids = df.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"))
     words = F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}\p{N}]+")
     docs = df.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.array_remove(words, "").alias("words"))
-    docs = _shingled(docs, "words", "s", ["id", "row"])
-    docs = docs.where(F.arrays_overlap("s", F.lit(sorted({h for hs in first.values() for h in hs}))))
-
-    found = []
-    for n in lengths:
-        stride = max(1, n // 4)
-        size = n - (WORDS - 1) + stride - 1
-        starts = F.when(F.size("s") <= size, F.array(F.lit(0))).otherwise(F.array_union(F.sequence(F.lit(0), F.size("s") - size, F.lit(stride)), F.array(F.size("s") - size)))
-        windows = docs.select("id", "row", "s", F.explode(starts).alias("word")).select("id", "row", "word", F.slice("s", F.col("word") + 1, size).alias("w"))
-        windows = windows.where(F.arrays_overlap("w", F.lit(first[n])))
-        marks = F.array(*(F.struct(F.lit(k).alias("band"), F.array_min(F.transform("w", lambda h, k=k: F.xxhash64(F.lit(k), h))).alias("v")) for k in range(bands)))
-        keyed = windows.select("id", "row", "word", "w", F.explode(marks).alias("m")).select("id", "row", "word", "w", "m.band", "m.v")
-        of = spark.createDataFrame([(r["license"], r["t"], k, v) for r in known if r["n"] == n for k, v in enumerate(r["v"])], "license string, t array<bigint>, band int, v bigint")
-        met = keyed.join(F.broadcast(of), ["band", "v"]).dropDuplicates(["id", "row", "word", "license"])
-        share = F.size(F.array_intersect("w", "t")) / F.size("t")
-        found.append(met.select("id", "row", "license", "word", share.alias("share")).where(F.col("share") >= least))
-    hits = reduce(DataFrame.unionByName, found)
+    docs = _shingled(docs, "words", "s", ["id", "row"]).where(F.arrays_overlap("s", F.lit(minima)))
+    shape = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(stride).alias("stride"), F.lit(size).alias("size")) for n, stride, size in shapes)))
+    shaped = docs.select("id", "row", "s", shape.alias("x")).select("id", "row", "s", "x.n", "x.stride", "x.size")
+    last = F.greatest(F.size("s") - F.col("size"), F.lit(0))
+    starts = F.array_union(F.sequence(F.lit(0), last, F.col("stride")), F.array(last))
+    windows = shaped.select("id", "row", "n", "s", "size", F.explode(starts).alias("word")).select("id", "row", "n", "word", F.slice("s", F.col("word") + 1, F.col("size")).alias("w"))
+    keyed = _banded(windows.where(F.arrays_overlap("w", F.lit(minima))), "w", ["id", "row", "n", "word", "w"], bands)
+    of = spark.createDataFrame([(r["license"], r["n"], r["t"], r["band"], r["least"]["v"]) for r in table], "license string, n int, t array<bigint>, band int, v bigint")
+    met = keyed.select("id", "row", "n", "word", "w", "band", F.col("least.v").alias("v")).join(F.broadcast(of), ["n", "band", "v"])
+    share = F.size(F.array_intersect("w", "t")) / F.size("t")
+    hits = met.select("id", "row", "license", "word", share.alias("share")).where(F.col("share") >= least)
     best = hits.groupBy("id", "row", "license").agg(F.max(F.struct(F.col("share"), (-F.col("word")).alias("word"))).alias("b"))
     listed = best.groupBy("id", "row").agg(F.sort_array(F.collect_list(F.struct("license", "b.share", (-F.col("b.word")).alias("word")))).alias("licenses"))
     listed = listed.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "licenses")

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspan.llm.common import let
+
 WORDS = 5
 #: Hashes have 48 bits; those below an eighth of the range are kept.
 BITS = 48
@@ -35,11 +37,11 @@ def sketches(df: DataFrame, text_col: str, out_col: str, words: int = WORDS) ->
     names = [F.col(f"`{c}`") for c in df.columns]
     limit, top = (1 << BITS) // FRACTION, 1 << BITS
     parts = F.array_remove(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "[ \t\n\x0b\f\r]+"), "")
-    hashed = df.select(*names, F.transform(parts, lambda w: F.xxhash64(w)).alias("_words"))
-    at = F.col("_words")
     small = lambda h: F.shiftrightunsigned(h, 64 - BITS)
-    runs = F.transform(F.slice(at, 1, F.size(at) - (words - 1)), lambda w, i: small(F.xxhash64(w, *(F.get(at, i + k) for k in range(1, words)))))
-    shingled = hashed.select(*names, F.when(F.size(at) >= words, runs).when(F.size(at) > 0, F.array(small(F.xxhash64(at)))).otherwise(F.array().cast("array<bigint>")).alias("_shingles"))
+    run = lambda at: F.transform(F.slice(at, 1, F.size(at) - (words - 1)), lambda w, i: small(F.xxhash64(w, *(F.get(at, i + k) for k in range(1, words)))))
+    none = F.array().cast("array<bigint>")
+    shingles = lambda at: F.when(F.size(at) >= words, run(at)).when(F.size(at) > 0, F.array(small(F.xxhash64(at)))).otherwise(none)
+    shingled = df.select(*names, let(F.transform(parts, lambda w: F.xxhash64(w)), shingles).alias("_shingles"))
     every = F.col("_shingles")
     kept = shingled.select(*names, "_shingles", F.array_distinct(F.filter(every, lambda h: h < limit)).alias("_kept"))
     scaled = F.struct(F.lit(limit).cast("long").alias("limit"), F.sort_array("_kept").alias("hashes"))
