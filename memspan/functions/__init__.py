@@ -1 +1 @@
-"""Part of memspan."""
+"""Column functions: text, time, scores, payloads of hook events."""

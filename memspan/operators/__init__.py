@@ -1 +1 @@
-"""Part of memspan."""
+"""Set-oriented operators: retrieval, graph, lifecycle, maintenance, context, metrics."""

@@ -1 +1 @@
-"""Part of memspan."""
+"""Domain views over the test tables, and the catalogue of named queries."""

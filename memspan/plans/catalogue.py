@@ -1,9 +1,20 @@
 """The catalogue of named queries with the SQL that each must agree with."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+from memspan.plans import base, graphs, life, searches
+from memspan.plans.lens import Lens, with_views
+
+BOOKS = (base.BOOK, searches.BOOK, graphs.BOOK, life.BOOK)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: (lambda spark, sf_dir, f=f: f(Lens(spark, sf_dir))) for book in BOOKS for name, (f, _) in book.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: with_views(sql) for book in BOOKS for name, (_, sql) in book.items() if sql}

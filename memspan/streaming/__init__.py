@@ -1 +1 @@
-"""Part of memspan."""
+"""Structured Streaming: the path of hook events."""
