@@ -121,11 +121,11 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "uncommitted_decay",
-    f"WITH touched AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'file_edit' AND id % 3 = 0), safe AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'task'), m AS (SELECT id, 'k' || CAST(id % 120 AS VARCHAR) AS w FROM memory) SELECT m.id, CAST({NOW} + 60 * 86400 AS BIGINT) AS forget_s FROM m WHERE m.w IN (SELECT w FROM touched) AND m.w NOT IN (SELECT w FROM safe)",
+    f"WITH touched AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'file_edit' AND id % 3 = 0), safe AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'task' AND id % 40 = 1), m AS (SELECT id, 'k' || CAST(id % 120 AS VARCHAR) AS w FROM memory) SELECT m.id, CAST({NOW} + 60 * 86400 AS BIGINT) AS forget_s FROM m WHERE m.w IN (SELECT w FROM touched) AND m.w NOT IN (SELECT w FROM safe)",
 )
 def _(t: Lens) -> DataFrame:
     touched = t.observation.where("obs_type = 'file_edit' and id % 3 = 0").select(F.col("kw2").alias("w")).distinct()
-    safe = t.observation.where("obs_type = 'task'").select(F.col("kw2").alias("w")).distinct()
+    safe = t.observation.where("obs_type = 'task' and id % 40 = 1").select(F.col("kw2").alias("w")).distinct()
     memories = t.memory.select("id", F.concat(F.lit("k"), (F.col("id") % 120).cast("string")).alias("w"))
     hit = memories.join(touched, "w", "left_semi").join(safe, "w", "left_anti")
     return hit.select("id", F.lit(NOW + 60 * scores.DAY).cast("long").alias("forget_s"))
