@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,15 +14,29 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the cluster's shared folder.
+@functools.cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="memspan-")
+
 
-    The folder is the session's ``spark.checkpoint.dir``. Only where that is unset
-    (a single machine, as in tests) a local folder is chosen.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which all executors see.
+
+    Only where that is unset (a single machine, as in tests) a local folder is chosen.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a reliable checkpoint in the shared folder; Spark removes it when it is no longer used."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="memspan-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: for wide rows, which Parquet compresses."""
+    path = f"{shared_folder(df.sparkSession)}/memspan-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
