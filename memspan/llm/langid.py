@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspan.llm.common import columns, slices, small_batches
 
@@ -105,7 +106,7 @@ def suffix_automaton(text: list[int], size: int) -> np.ndarray:
 
 
 def phrases(go: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Phrases of each segment of ``flat``; segments come longest first."""
+    """Phrases of each segment of ``flat``; segments come longest first. A symbol that no match starts with is a phrase."""
     width = go.shape[1]
     table, root = np.ascontiguousarray(go).ravel(), go[0]
     state = np.zeros(len(starts), np.int64)
@@ -116,10 +117,10 @@ def phrases(go: np.ndarray, flat: np.ndarray, starts: np.ndarray, sizes: np.ndar
             active -= 1
         c = flat[starts[:active] + t]
         at = table[state[:active] * width + c]
-        ended = at == 0
-        count[:active] += ended
-        state[:active] = np.where(ended, root[c], at)
-    return count
+        ended, start = at == 0, root[c]
+        count[:active] += (ended & (state[:active] != 0)).astype(np.int64) + (ended & (start == 0))
+        state[:active] = np.where(ended, start, at)
+    return count + (state != 0)
 
 
 def fit(
@@ -160,14 +161,14 @@ def fit(
     return Model(langs, [symbols(texts[name], table).tolist() for name in langs], top)
 
 
-def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(model: Model, text_at: int, made: tuple[str, str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = code_points(model.letters)
         automata = [suffix_automaton(text, model.symbols) for text in model.texts]
         bits = np.array([math.log2(len(text) + 1) for text in model.texts])
         for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                coded = [symbols(text or "", table) for text in part.column(1).to_pylist()]
+            for part in slices(batch, text_at, 4 << 20):
+                coded = [symbols(text or "", table) for text in part.column(text_at).to_pylist()]
                 sizes = np.array([len(x) for x in coded], np.int64)
                 flat = np.concatenate(coded) if coded else np.zeros(0, np.uint8)
                 pieces = -(-sizes // SEGMENT)
@@ -178,7 +179,7 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 order = np.argsort(-lengths, kind="stable")
                 cost = np.zeros((len(sizes), len(automata)))
                 for k, go in enumerate(automata):
-                    found = phrases(go, flat, starts[order], lengths[order]) + 1
+                    found = phrases(go, flat, starts[order], lengths[order])
                     cost[:, k] = np.bincount(owner[order], found, len(sizes)) * bits[k] / np.maximum(sizes, 1)
                 names, scores = [], []
                 for n, row in zip(sizes, cost, strict=True):
@@ -189,13 +190,21 @@ def _predict(model: Model) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                     best = int(np.argmin(row))
                     names.append(model.langs[best])
                     scores.append(1.0 if len(row) == 1 else float(1 - row[best] / np.partition(row, 1)[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["id", "lang_pred", "score"])
+                found = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*part.schema.names, *made])
 
     return run
 
 
 def predict(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``lang_pred`` and ``score``, the relative margin to the second language (0 to 1)."""
-    small_batches(df.sparkSession)
     rows = columns(df, id=id_col, text=text_col)
-    return rows.mapInArrow(_predict(model), f"id {rows.schema['id'].dataType.simpleString()}, lang_pred string, score double")
+    return annotate(rows, model).drop("text")
+
+
+def annotate(df: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``df`` with the prediction and its score, in one pass; columns of these names give way."""
+    small_batches(df.sparkSession)
+    rows = df.select(*(F.col(f"`{c}`") for c in df.columns if c not in (pred_col, score_col)))
+    schema = T.StructType([*rows.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
+    return rows.mapInArrow(_predict(model, rows.columns.index(text_col), (pred_col, score_col)), schema)

@@ -4,7 +4,7 @@ A document of n tokens costs about ``n + n * n / balance``: linear work plus
 quadratic attention. A task packs windows of its documents. Full sequences are cut
 from the long ones; what is left is assigned, dearest first, to the cheapest
 sequence that has room for it, and is cut only where no sequence has. A window has
-just as many sequences as its tokens need, so at most one of them is not full.
+just as many sequences as its tokens need, so all its padding is less than one sequence.
 
 No window leaves its task, so there is no shuffle, and a lost task is packed again
 from the same rows to the same sequences.
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from memspan.llm.common import columns, slices, small_batches
 
 LENGTH = 1024
-#: Tokens of a window: about a thousand sequences, of which one may be padded.
+#: Tokens of a window: about a thousand sequences, with less padding than one of them.
 WINDOW_TOKENS = 1 << 20
 #: Chunks held by a task's table before it starts afresh: this bounds memory, not the result.
 TABLE_CHUNKS = 300_000
