@@ -203,7 +203,7 @@ def near_duplicates(
     rows = columns(df, id=id_col, v=vector_col, label=label_col).select("id", F.col("v").cast("array<double>").alias("v"), "label")
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = [F.when(F.col("sound"), F.xxhash64(F.lit(k), "label", "v")).alias(f"k{k}") for k in (1, 2)]
-    keyed = rows.select("id", F.xxhash64("label").alias("grp"), "v", *keys)
+    keyed = rows.select("id", F.xxhash64("label", F.size("v")).alias("grp"), "v", *keys)  # vectors of a group have one length
     classes = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("grp").alias("grp"), F.first("v").alias("v"))
     named = checkpoint(classes)
     heads = named.select("k1", "k2", "id", "n")
