@@ -27,9 +27,12 @@ def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def term_table(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> DataFrame:
     """``id``, ``dl`` and a ``tf<i>`` for each term, in one pass over the text column and without a shuffle."""
-    split = docs.select(F.col(id_col).alias("id"), F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>")).alias("tokens"))
-    count = lambda t: F.size(F.filter("tokens", lambda x: x == t)).cast("double")
-    return split.select("id", F.size("tokens").cast("double").alias("dl"), *(count(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    tokens = F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>"))
+    # A lambda's variable and a generator keep the optimizer from tokenising once for each use.
+    count = lambda tk, term: F.size(F.filter(tk, lambda x: x == term)).cast("double")
+    counts = lambda tk: F.struct(F.size(tk).cast("double").alias("dl"), *(count(tk, term).alias(f"tf{i}") for i, term in enumerate(terms)))
+    counted = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.transform(F.array(tokens), counts)).alias("m"))
+    return counted.select("id", "m.dl", *(f"m.tf{i}" for i in range(len(terms))))
 
 
 def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, every: bool = False) -> DataFrame:
