@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from memspan.llm import langid, linedup, secrets, simhash
 from memspan.llm.queries import language_model, packed
-from memspan.sources.tables import read_table
+from memspan.sources.tables import read_table, written
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -22,16 +22,10 @@ def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
     return docs.select(*(n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in like.columns))
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is listed; a null id is an id."""
-    listed = ids.select(F.col("id").alias("_kept_id")).distinct()
-    return docs.join(listed, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is none of those learned."""
-    found = langid.predict(docs, language_model(docs))
-    return _keep(docs, found.where(F.col("lang_pred") != langid.UNKNOWN))
+    found = langid.annotate(docs, language_model(docs), pred_col="_lang_pred", score_col="_lang_score")
+    return found.where(F.col("_lang_pred") != langid.UNKNOWN).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +34,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the first document of each group of near-duplicates, once."""
+    """Keeps the first document of each group of near-duplicates, once.
+
+    Documents meet what is kept by a struct of the id, in which nulls are equal, and are
+    told from repeats where they are then, so texts are exchanged once.
+    """
     found = simhash.near_duplicates(docs)
-    return _keep(docs.dropDuplicates(["doc_id"]), found.where(F.col("id").eqNullSafe(F.col("component_id"))))
+    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("id").alias("doc_id")).alias("_key"))
+    keyed = docs.withColumn("_key", F.struct("doc_id")).join(first.distinct(), "_key", "left_semi")
+    return keyed.dropDuplicates(["_key"]).drop("_key")
 
 
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents."""
+    """All stages over the table of documents; each stage's result is a table that the next one reads."""
     docs = read_table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
