@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from memspan.llm.common import BLANKS, ascii_lower
 
 THRESHOLD = 10
+#: Parts into which the rows of a key are dealt.
+SALTS = 32
 
 
 def line_key(line: Column) -> Column:
@@ -44,7 +46,10 @@ def drop_common_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str =
         .select("id", "row", "pos", F.xxhash64(F.lit(1), "key").alias("a"), F.xxhash64(F.lit(2), "key").alias("b"))
     )
     common = lines.select("a", "b", "id").distinct().groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= threshold).select("a", "b")
-    gone = lines.join(common, ["a", "b"], "left_semi").select("id", "row", "pos").distinct().groupBy("id", "row").agg(F.collect_list("pos").alias("gone"))
+    # A line of a third of all documents is a hot key: its rows are salted and meet a copy of the key for each salt.
+    copies = common.select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = lines.withColumn("salt", F.pmod(F.xxhash64("id", "row"), F.lit(SALTS)).cast("int"))
+    gone = salted.join(copies, ["a", "b", "salt"], "left_semi").select("id", "row", "pos").distinct().groupBy("id", "row").agg(F.collect_list("pos").alias("gone"))
     parts = df.select(F.struct(*names).alias("doc"), F.col(f"`{id_col}`").alias("id"), row.alias("row"))
     joined = parts.join(gone.select(F.col("id").alias("gone_id"), F.col("row").alias("gone_row"), "gone"), F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("row") == F.col("gone_row")), "left")
     text = F.col(f"doc.`{text_col}`")
