@@ -4,7 +4,9 @@ Equal vectors of a label are one class. Classes get first neighbours inside cell
 random hyperplanes; then lists are refined through neighbours of neighbours: whoever
 lists, or is listed by, the same class is compared. Lists hold ``LIST`` neighbours. A
 class whose list is full of links is saturated: its list is enlarged to all saturated
-classes of its linked group, which are compared in blocks that are counted, not listed.
+classes of its label, which are compared in blocks that are counted, not listed. Blocks
+are chunks of linked groups; two chunks are left out only if their centres are further
+apart than their radii and the threshold's angle, so no link is between them.
 A bounded sample of queries against all rows audits the recall; while it is below the
 target, cells of further hyperplanes are added and lists are refined again.
 
@@ -118,24 +120,82 @@ def _local_join(keep: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _heads(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the rows and the columns of a matrix of links: the smallest row that links lead to, or the number of rows."""
+    rows, none = np.arange(len(near)), len(near)
+    while True:
+        columns = np.where(near, rows[:, None], none).min(axis=0)
+        least = np.minimum(rows, np.where(near, columns[None, :], none).min(axis=1))
+        if np.array_equal(least, rows):
+            return rows, columns
+        rows = least
+
+
 def _block(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Counts, for each row of two chunks, the vectors of the other chunk that it links with."""
+    """Counts, for each row of two chunks, the vectors of the other chunk that it links with; ``head`` is a row that links lead to, or itself."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        _, i, j = key
-        chunk = rows["chunk"].to_numpy()
-        a, b = rows[chunk == i], rows[chunk == j]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"id": [], "n": []}).astype("int64")
+        i, j = key
+        cid = rows["cid"].to_numpy()
+        a, b = rows[cid == i], rows[cid == j]
         near = _matrix(a["u"]) @ _matrix(b["u"]).T >= threshold
         if i == j:
             np.fill_diagonal(near, False)
-            return pd.DataFrame({"id": a["id"], "n": near @ b["n"].to_numpy()})
-        return pd.DataFrame({"id": np.concatenate([a["id"], b["id"]]), "n": np.concatenate([near @ b["n"].to_numpy(), near.T @ a["n"].to_numpy()])})
+        ids, other = a["id"].to_numpy(), b["id"].to_numpy()
+        heads, ends = _heads(near)
+        out = pd.DataFrame({"id": ids, "n": near @ b["n"].to_numpy(), "head": ids[heads]})
+        if i == j:
+            return out
+        led = np.where(ends < len(ids), ids[np.minimum(ends, len(ids) - 1)], other)
+        return pd.concat([out, pd.DataFrame({"id": other, "n": near.T @ a["n"].to_numpy(), "head": led})])
 
     return run
 
 
+def _ball(rows: pd.DataFrame) -> pd.DataFrame:
+    """The centre of a chunk and the angle that holds all of it."""
+    x = _matrix(rows["u"])
+    centre = x.mean(axis=0)
+    size = np.sqrt(centre @ centre)
+    centre = centre / size if size > 1e-6 else x[0]
+    angle = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    return pd.DataFrame({"cid": rows["cid"].iloc[:1], "grp": rows["grp"].iloc[:1], "u": [centre.tobytes()], "r": [angle]})
+
+
+def _meeting(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """Pairs of chunks, of two tiles of chunks, that are near enough to hold a link."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        _, i, j = key
+        tile = rows["tile"].to_numpy()
+        a, b = rows[tile == i], rows[tile == j]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"i": [], "j": []}).astype("int64")
+        apart = np.arccos(np.clip(_matrix(a["u"]) @ _matrix(b["u"]).T, -1, 1))
+        # Both arc cosines lose up to half the digits near zero.
+        p, q = np.nonzero(apart <= a["r"].to_numpy()[:, None] + b["r"].to_numpy()[None, :] + math.acos(threshold) + 1e-6)
+        x, y = a["cid"].to_numpy()[p], b["cid"].to_numpy()[q]
+        some = x <= y if i == j else slice(None)
+        return pd.DataFrame({"i": np.minimum(x, y)[some], "j": np.maximum(x, y)[some]})
+
+    return run
+
+
+def _compared(classes: DataFrame, parts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """``id, n, head`` of the classes ``id`` in ``parts``, for all pairs of chunks of a label that can hold a link; a chunk is of one ``part``."""
+    held = parts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
+    dealt = checkpoint(parts.join(held, "part").select("part", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")))
+    cids = dealt.groupBy("part", "chunk").agg(F.min("id").alias("cid"))
+    dealt = checkpoint(dealt.join(cids, ["part", "chunk"]).select("id", "cid"))
+    balls = checkpoint(dealt.join(classes.select("id", "grp", "u"), "id").groupBy("cid").applyInPandas(_ball, "cid long, grp long, u binary, r double"))
+    tiles = balls.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("tiles"))
+    tiled = balls.join(tiles, "grp").withColumn("tile", F.pmod(F.xxhash64("cid"), F.col("tiles")).cast("int"))
+    tiled = tiled.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("grp", "cid", "u", "r", "tile", F.least("tile", "o").alias("a"), F.greatest("tile", "o").alias("b"))
+    met = checkpoint(tiled.groupBy("grp", "a", "b").applyInPandas(_meeting(threshold), "i long, j long"))
+    sides = met.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("cid"))
+    return sides.join(dealt, "cid").join(classes.select("id", "n", "u"), "id").groupBy("i", "j").applyInPandas(_block(threshold), "id long, n long, head long")
+
+
 def _audit(queries: list[tuple[int, int, bytes]], threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Links of the queries among all classes, by comparing all of their label."""
     by: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
@@ -254,14 +314,10 @@ def _links(classes: DataFrame, lists: DataFrame, threshold: float, keep: int, bl
     flag = full.select("id", F.lit(True).alias("f"))
     sided = ends.join(flag, "id", "left").join(flag.select(F.col("id").alias("nbr"), F.col("f").alias("g")), "nbr", "left")
     listed = sided.where(F.coalesce("f", F.lit(False)) & F.coalesce("g", F.lit(False)) == F.lit(False)).select("id", "nbr").join(sizes, "nbr").groupBy("id").agg(F.sum("n").alias("n"))
-    groups = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("grp"))
-    dense = checkpoint(full.join(groups, "id"))
-    held = dense.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    dealt = dense.join(held, "grp").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    dealt = dealt.select("grp", "id", "chunk", other.alias("o")).select("grp", "id", "chunk", F.least("chunk", "o").alias("i"), F.greatest("chunk", "o").alias("j"))
-    counted = dealt.join(classes.select("id", "n", "u"), "id").groupBy("grp", "i", "j").applyInPandas(_block(threshold), "id long, n long")
-    return pairs, listed.unionByName(counted).groupBy("id").agg(F.sum("n").alias("n"))
+    groups = connected_components(pairs).select(F.col("node").alias("id"), F.col("component").alias("part"))
+    counted = checkpoint(_compared(classes, full.join(groups, "id"), threshold, block))
+    across = counted.where("id <> head").select(F.least("id", "head").alias("src"), F.greatest("id", "head").alias("dst")).distinct()
+    return pairs.unionByName(across), listed.unionByName(counted.select("id", "n")).groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def kept(component: Column, vec_id: Column) -> Column:

@@ -119,6 +119,22 @@ def test_embeddings(spark):
     assert nndescent.expected_recall(0.93, 5, 6) > 0.98
 
 
+def test_saturated_clusters_that_link_only_across(spark):
+    rng = np.random.default_rng(4)
+    # Cosines: about 0.999 inside a cluster, 0.95 across, so no list of ten holds a link across.
+    tilt = np.array([0.95, np.sqrt(1 - 0.95**2)])
+    vectors = []
+    for centre in (np.eye(24)[0], tilt[0] * np.eye(24)[0] + tilt[1] * np.eye(24)[1], np.eye(24)[9]):
+        vectors += [centre + 0.005 * rng.standard_normal(24) for _ in range(20)]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, heads = brute_vectors(rows)
+    assert len(set(heads.values())) == 2 and set(links.values()) == {39, 19}
+    for block in (8, 1024):
+        got = {r.id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, block=block).collect()}
+        assert got == {i: (links[i], heads[i]) for i in links}
+
+
 def test_pipeline(spark, sf, documents, odd, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "simhash_near_dedup", "secret_scan", "packing"]
