@@ -7,8 +7,11 @@ class whose list is full of links is saturated: its list is enlarged to all satu
 classes of its label, which are compared in blocks that are counted, not listed. Blocks
 are chunks of linked groups; two chunks are left out only if their centres are further
 apart than their radii and the threshold's angle, so no link is between them.
-A bounded sample of queries against all rows audits the recall; while it is below the
-target, cells of further hyperplanes are added and lists are refined again.
+A bounded sample of queries against all rows audits the recall: the mean share of its
+links that a query finds, apart for queries with at most as many links as a list holds
+and for those with more. While either is below the target, cells of further hyperplanes
+are added and lists are refined again; where that does not reach it, all classes of a
+label are compared in blocks, which is exact.
 
 Every link is a pair that was compared in double precision and reached the threshold.
 
@@ -139,10 +142,12 @@ def _block(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
         cid = rows["cid"].to_numpy()
         a, b = rows[cid == i], rows[cid == j]
         near = _matrix(a["u"]) @ _matrix(b["u"]).T >= threshold
-        if i == j:
-            np.fill_diagonal(near, False)
         ids, other = a["id"].to_numpy(), b["id"].to_numpy()
+        if i == j:
+            np.fill_diagonal(near, True)  # rows and columns are the same classes here
         heads, ends = _heads(near)
+        if i == j:
+            np.fill_diagonal(near, False)
         out = pd.DataFrame({"id": ids, "n": near @ b["n"].to_numpy(), "head": ids[heads]})
         if i == j:
             return out
@@ -181,6 +186,15 @@ def _meeting(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
+def _reached(true: dict[int, int], got: dict[int, int], keep: int) -> float:
+    """The mean share of its links that a query finds, of queries with few links or with many, whichever is less."""
+    shares: dict[bool, list[float]] = {}
+    for i, n in true.items():
+        if n:
+            shares.setdefault(n > keep, []).append(min(got.get(i, 0), n) / n)
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
+
+
 def _compared(classes: DataFrame, parts: DataFrame, threshold: float, block: int) -> DataFrame:
     """``id, n, head`` of the classes ``id`` in ``parts``, for all pairs of chunks of a label that can hold a link; a chunk is of one ``part``."""
     held = parts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
@@ -236,7 +250,7 @@ def _refine(classes: DataFrame, lists: DataFrame, keep: int) -> DataFrame:
     members = lists.select(F.col("id").alias("hub"), F.col("nbr").alias("id")).unionByName(lists.select(F.col("nbr").alias("hub"), "id")).distinct()
     crowd = members.groupBy("hub").agg(F.count(F.lit(1)).alias("held"))
     last = lists.groupBy("id").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n")).select("id", F.when(F.col("n") >= keep, F.col("last")).otherwise(-2.0).alias("last"))
-    rows = members.join(crowd, "hub").withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("held") / 64))).select("hub", "id", "salt")
+    rows = members.join(crowd, "hub").withColumn("salt", F.pmod(F.xxhash64("id", "hub"), F.ceil(F.col("held") / 64))).select("hub", "id", "salt")
     buckets = max(1, -(-lists.count() // BUCKET_ROWS))
     rows = rows.join(last, "id").join(classes.select("id", "u"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
     return rows.groupBy("bucket").applyInPandas(_local_join(keep), "id long, nbr long, sim double")
@@ -269,7 +283,7 @@ def near_duplicates(
     heads = named.select("k1", "k2", "id", "n")
     classes = checkpoint(named.select("id", "grp", "n", "v").mapInArrow(_units, "id long, grp long, n long, u binary"))
 
-    asked = classes.where("id % 100 = 0").orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "grp", "u").collect()
+    asked = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "grp", "u").collect()
     true = {}
     if asked:
         found = classes.mapInPandas(_audit([(q["id"], q["grp"], bytes(q["u"])) for q in asked], threshold), "id long, n long")
@@ -291,9 +305,12 @@ def near_duplicates(
         counts = checkpoint(counts)
         ids = [q["id"] for q in asked]
         got = {r["id"]: r["n"] for r in counts.where(F.col("id").isin(ids)).collect()} if ids else {}
-        wanted = sum(true.values())
-        if sum(min(got.get(i, 0), n) for i, n in true.items()) >= recall * wanted:
+        if _reached(true, got, keep) >= recall:
             break
+    else:
+        counts = checkpoint(_compared(classes, classes.select("id", F.col("grp").alias("part")), threshold, block))
+        edges = counts.where("id <> head").select(F.least("id", "head").alias("src"), F.greatest("id", "head").alias("dst")).distinct()
+        counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
 
     groups = connected_components(edges).select(F.col("node").alias("id"), "component")
     heads = heads.join(counts.withColumnRenamed("n", "m"), "id", "left").join(groups, "id", "left")

@@ -135,6 +135,23 @@ def test_saturated_clusters_that_link_only_across(spark):
         assert got == {i: (links[i], heads[i]) for i in links}
 
 
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(24)
+    vectors = [centre + 0.05 * rng.standard_normal(24) for _ in range(120)]
+    for v in rng.standard_normal((60, 24)):
+        vectors += [v, v + 0.03 * rng.standard_normal(24)]
+    # Ids are all odd, and one table of tiny cells without refinement loses most small groups.
+    rows = [(2 * i + 1, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, heads = brute_vectors(rows)
+    got = {r.id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, cell=2, tables=1, rounds=0, block=32).collect()}
+    assert got == {i: (links[i], heads[i]) for i in links}
+    few, many = {i: 1 for i in range(99)}, {1000: 9000}
+    assert nndescent._reached(few | many, many, 10) == 0
+    assert nndescent._reached(few | many, few | {1000: 4500}, 10) == 0.5
+
+
 def test_pipeline(spark, sf, documents, odd, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "simhash_near_dedup", "secret_scan", "packing"]
