@@ -36,13 +36,15 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the first document of each group of near-duplicates, once.
 
-    Documents meet what is kept by a struct of the id, in which nulls are equal, and are
-    told from repeats where they are then, so texts are exchanged once.
+    A document is its id and a hash of its text, so texts with null or equal ids are told
+    apart; documents without id come last. Documents meet what is kept by a struct, in
+    which nulls are equal, and are told from repeats where they are then, so texts are
+    exchanged once.
     """
-    found = simhash.near_duplicates(docs)
-    first = found.where(F.col("id").eqNullSafe(F.col("component_id"))).select(F.struct(F.col("id").alias("doc_id")).alias("_key"))
-    keyed = docs.withColumn("_key", F.struct("doc_id")).join(first.distinct(), "_key", "left_semi")
-    return keyed.dropDuplicates(["_key"]).drop("_key")
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("row")))
+    found = simhash.near_duplicates(keyed, id_col="_key")
+    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_key"))
+    return keyed.join(first.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(*(f"`{c}`" for c in docs.columns))
 
 
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

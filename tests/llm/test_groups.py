@@ -199,6 +199,19 @@ def test_pipeline(spark, sf, documents, odd, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).groupBy("doc_id").count().count() == four.count()
 
 
+def test_near_dedup_stage_tells_null_and_repeated_ids_apart(spark, sf, documents):
+    texts = [f"{word} is what this text is about and nothing else like {word * 3} stands near {word[::-1]}" for word in ("river", "engine", "violin", "glacier", "market", "lantern")]
+    ids = [None, None, None, 7, 7, 8]
+    rows = [(i, t, "en", "s", len(t)) for i, t in zip(ids, texts, strict=True)]
+    # Copies under a null id, under an id that is kept already, and a copy of a text without id under an id.
+    rows += [(None, texts[0], "en", "s", 1), (8, texts[3], "en", "s", 1), (9, texts[1], "en", "s", 1)]
+    docs = spark.createDataFrame(rows, documents.schema)
+    assert not brute_near([brute_print(t) for t in texts])
+    kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf).collect()
+    want = [(None, texts[0]), (9, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])]
+    assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
+
+
 def test_pipeline_of_an_empty_table(spark, sf, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
