@@ -2,9 +2,10 @@
 
 Base kinds are patterns. Beyond them, a candidate is a long mixed string that follows a
 sensitive word closely. Its marginal cost is what zstandard needs for it when primed with
-a dictionary of the surrounding text and of common identifiers; names, paths and
-repeated strings cost little, random strings nearly all their bytes. Candidates that do
-not compress are reported as ``novel``.
+a dictionary of the surrounding text and of common identifiers; names and paths cost
+little, random strings nearly all their bytes. Other occurrences of the candidate do not
+prime, so a secret that stands twice is found twice. Candidates that do not compress are
+reported as ``novel``.
 
 Defined cases: a null or empty text has no spans. Repeated rows give repeated results; an
 empty table gives none. Texts are scanned whole; offsets are code points.
@@ -66,6 +67,16 @@ def marginal_bytes(candidate: str, surrounding: str) -> int:
     return cost(candidate.encode()) - cost(b"")
 
 
+def surroundings(text: str, start: int, end: int) -> str:
+    """Text on both sides of a candidate, in which blanks stand for its other occurrences and those of its values."""
+    candidate = text[start:end]
+    reach = SURROUNDING + len(candidate)  # an occurrence that the reach cuts ends outside of what is given
+    before, after = text[max(0, start - reach) : start], text[end : end + reach]
+    for part in sorted({candidate, *(x for x in candidate.split("=") if len(x) >= 8)}, key=len, reverse=True):
+        before, after = before.replace(part, " " * len(part)), after.replace(part, " " * len(part))
+    return before[-SURROUNDING:] + after[:SURROUNDING]
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Incompressible strings in a sensitive context that no known span touches."""
     if b"1" * 20 not in text.encode().translate(_CANDIDATE_BYTES):
@@ -77,8 +88,7 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = N
             continue
         if not _SENSITIVE.search(text[max(0, start - CONTEXT) : start]):
             continue
-        around = text[max(0, start - SURROUNDING) : start] + text[end : end + SURROUNDING]
-        if marginal_bytes(m[0], around) >= novelty * len(m[0]):
+        if marginal_bytes(m[0], surroundings(text, start, end)) >= novelty * len(m[0]):
             spans.append(("novel", start, end))
     return spans
 

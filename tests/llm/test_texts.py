@@ -272,6 +272,17 @@ def test_license_scan(spark, odd, documents):
         licenses.scan(odd, templates={"short": "All rights reserved."})
 
 
+def test_secrets_that_stand_twice():
+    rng = np.random.default_rng(8)
+    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"))
+    for size in (24, 40, 200):
+        for gap in (1, 300, 500, 512 + size // 2):
+            key = "7a" + "".join(rng.choice(letters, size - 2))
+            text = f"bearer {key} " + "x y " * (gap // 4) + f"auth {key} and bearer value={key}"
+            found = [text[s:e] for _, s, e in secrets.novel_spans(text, [])]
+            assert found == [key, key, f"value={key}"]
+
+
 def test_secrets(spark, odd, documents):
     novel = "private signing data: Zk3vQ9xLw7Tb2Rf8Yh5Nc1Jm6Pd4Gs0"
     texts = [
