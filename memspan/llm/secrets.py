@@ -4,8 +4,13 @@ Base kinds are patterns. Beyond them, a candidate is a long mixed string that fo
 sensitive word closely. Its marginal cost is what zstandard needs for it when primed with
 a dictionary of the surrounding text and of common identifiers; names and paths cost
 little, random strings nearly all their bytes. Other occurrences of the candidate do not
-prime, so a secret that stands twice is found twice. Candidates that do not compress are
-reported as ``novel``.
+prime, so a secret that stands twice is found twice. Candidates that cost nearly what a
+random string of their alphabet and length costs are reported as ``novel``.
+
+The context of a candidate holds for those that follow it with nothing but separators
+between (parts of a token, lines of a key), and for all of a private key's block. A
+candidate has digits and letters, or digits alone, or letters of both cases in random
+order; letters of one case alone are taken for words.
 
 Defined cases: a null or empty text has no spans. Repeated rows give repeated results; an
 empty table gives none. Texts are scanned whole; offsets are code points.
@@ -15,6 +20,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
+from random import Random
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -32,8 +39,15 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _SENSITIVE = re.compile(r"passw|passphrase|secret|token|api.?key|private|credential|auth|bearer|signature|access.?key|session", re.IGNORECASE | re.ASCII)
 #: Code points before a candidate that count as its context, and those on each side that prime the compressor.
 CONTEXT, SURROUNDING = 48, 512
-#: Share of its bytes that a candidate must cost to be reported.
+#: Share of a random string's cost that a candidate must cost to be reported.
 NOVELTY = 0.8
+_DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets of keys, smallest first; others are of base64.
+ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER + "234567", _LOWER.upper() + "234567", _DIGITS + _LOWER, _DIGITS + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper() + "+/")
+#: What may stand between a candidate and one that shares its context, and a private key's block.
+_BETWEEN = re.compile(r"(?:[\s.,:;\"'\\]|\\[nr]){1,8}")
+_KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
+_TAIL = re.compile(r"(?:\s|\\[nr])([A-Za-z0-9+/]{1,19}={0,2})(?:\s|\\[nr])*\Z")
 #: Identifiers that prime the compressor besides the surrounding text.
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 return function class import export const static public private "
@@ -77,20 +91,52 @@ def surroundings(text: str, start: int, end: int) -> str:
     return before[-SURROUNDING:] + after[:SURROUNDING]
 
 
+@lru_cache(4096)
+def random_bytes(alphabet: str, length: int) -> int:
+    """Compressed bytes of a random string of an alphabet."""
+    return marginal_bytes("".join(Random(length).choices(alphabet, k=length)), "")
+
+
+def novelty_of(candidate: str, surrounding: str) -> float:
+    """The candidate's cost as a share of what a random string of its alphabet and length costs."""
+    used = set(max(candidate.split("="), key=len))
+    alphabet = next((x for x in ALPHABETS if used <= set(x)), ALPHABETS[-1])
+    return marginal_bytes(candidate, surrounding) / random_bytes(alphabet, len(candidate))
+
+
+def mixed(candidate: str) -> bool:
+    """Digits, or letters whose case changes as often as that of random ones; not words."""
+    if re.search("[0-9]", candidate):
+        return True
+    letters = re.findall("[A-Za-z]", candidate)
+    upper = sum(x.isupper() for x in letters)
+    changes = sum(x.isupper() != y.isupper() for x, y in zip(letters, letters[1:], strict=False))
+    return 0.3 * len(letters) <= upper <= 0.7 * len(letters) and changes >= 0.3 * len(letters) > 0
+
+
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
     """Incompressible strings in a sensitive context that no known span touches."""
     if b"1" * 20 not in text.encode().translate(_CANDIDATE_BYTES):
         return []
-    spans = []
+    blocks = [m.span(1) for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
+    spans, last = [], None
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
-        if not (re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])) or any(s < end and start < e for _, s, e in known):
+        touched = [kind for kind, s, e in known if s < end and start < e]
+        follows = last is not None and start - last <= 8 and _BETWEEN.fullmatch(text, last, start)
+        if touched:
+            last = end if follows or "assign" in touched or "access" in touched else None
             continue
-        if not _SENSITIVE.search(text[max(0, start - CONTEXT) : start]):
+        if not (follows or any(s <= start < e for s, e in blocks) or _SENSITIVE.search(text[max(0, start - CONTEXT) : start])):
             continue
-        if marginal_bytes(m[0], surroundings(text, start, end)) >= novelty * len(m[0]):
+        last = end
+        if mixed(m[0]) and novelty_of(m[0], surroundings(text, start, end)) >= novelty:
             spans.append(("novel", start, end))
-    return spans
+    for low, high in blocks:
+        tail = _TAIL.search(text, low, high)
+        if tail and any(low <= s < high for _, s, _ in spans) and not any(s < tail.end(1) and tail.start(1) < e for _, s, e in known):
+            spans.append(("novel", *tail.span(1)))
+    return sorted(spans, key=lambda s: s[1])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
