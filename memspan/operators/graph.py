@@ -36,6 +36,25 @@ def shared_tokens(items: DataFrame, tokens: str, least: float, scope: str | None
     return sized.select("src", "dst", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
 
 
+def alike_tokens(items: DataFrame, tokens: str, least: float) -> DataFrame:
+    """``src < dst`` and ``jaccard`` of items whose sets are alike by at least ``least`` (above 0).
+
+    Two such sets share one of the rarest tokens of each, as many as may be missing and one
+    more, so only these are joined and the most frequent tokens pair nothing.
+    """
+    sets = items.select("id", F.array_distinct(tokens).alias("set"), F.size(F.array_distinct(tokens)).alias("size"))
+    exploded = sets.select("id", "set", "size", F.explode("set").alias("token"))
+    held = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = exploded.join(held, "token").groupBy("id").agg(F.first("set").alias("set"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+    spare = F.size("by") - F.ceil(least * F.col("size") - F.lit(1e-9)).cast("int") + 1
+    rare = ranked.select("id", "set", "size", F.explode(F.slice("by", F.lit(1), F.greatest(spare, F.lit(0)))).alias("t")).select("id", "set", "size", "t.token")
+    other = rare.select(F.col("id").alias("dst"), F.col("set").alias("other"), F.col("size").alias("nb"), "token")
+    met = rare.withColumnRenamed("id", "src").join(other, "token").where("src < dst")
+    both = F.size(F.filter(F.array_intersect("set", "other"), lambda x: x.isNotNull()))
+    shared = met.select("src", "dst", (both / (F.col("size") + F.col("nb") - both)).alias("jaccard"))
+    return shared.where(F.col("jaccard") >= least).distinct()
+
+
 def knn_pairs(vectors: DataFrame, k: int, label: str) -> DataFrame:
     """``id, nbr, sim``: each vector's nearest among those of its label, compared within the label only."""
     a = vectors.select(F.col("vec_id").alias("id"), label, F.col("embedding").alias("a"))

@@ -52,6 +52,14 @@ def _(t: Lens) -> DataFrame:
     return graph.shared_tokens(tagged(t).where("id < 400"), "keywords", 0.4).withColumn("jaccard", r6(F.col("jaccard")))
 
 
+@BOOK.add(
+    "keyword_jaccard_edges_all",
+    "WITH k AS (SELECT id, unnest([kw1, kw2, kw3]) AS w FROM memory) SELECT a.id AS src, b.id AS dst, round(count(*) / (6.0::DOUBLE - count(*)), 6) AS jaccard FROM k a JOIN k b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (6.0::DOUBLE - count(*)) >= 0.4",
+)
+def _(t: Lens) -> DataFrame:
+    return graph.alike_tokens(tagged(t), "keywords", 0.4).withColumn("jaccard", r6(F.col("jaccard")))
+
+
 @BOOK.add(
     "entity_edges",
     "WITH k AS (SELECT id, project, unnest([kw1, f1]) AS w FROM memory) SELECT a.id AS src, b.id AS dst, round(count(*) / (4.0::DOUBLE - count(*)), 6) AS jaccard FROM k a JOIN k b ON a.w = b.w AND a.project = b.project AND a.id < b.id GROUP BY a.id, b.id",

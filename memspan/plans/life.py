@@ -98,6 +98,15 @@ def _(t: Lens) -> DataFrame:
     return L.open_at(points, t.run.select("id", "session_id", "started_s", "ended_s"), "session_id", "at_s")
 
 
+@BOOK.add(
+    "open_run_asof_all",
+    "WITH p AS (SELECT id, session_id % 20 AS session_id, 1717100000 + id * 37 AS at_s FROM observation) SELECT id, CASE WHEN ended_s IS NULL OR at_s < ended_s THEN run_id END AS span_id FROM (SELECT p.id, p.at_s, r.id AS run_id, r.ended_s, row_number() OVER (PARTITION BY p.id ORDER BY r.started_s DESC, r.id DESC) AS nth FROM p LEFT JOIN run r ON r.session_id = p.session_id AND r.started_s <= p.at_s) WHERE nth = 1",
+)
+def _(t: Lens) -> DataFrame:
+    points = t.observation.select("id", (F.col("session_id") % 20).alias("session_id"), (F.lit(1_717_100_000) + F.col("id") * 37).alias("at_s"))
+    return L.open_at(points, t.run.select("id", "session_id", "started_s", "ended_s"), "session_id", "at_s")
+
+
 @BOOK.add("active_plan", "SELECT project, id, title FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY weight DESC, id) AS nth FROM plan WHERE status = 'active') WHERE nth = 1")
 def _(t: Lens) -> DataFrame:
     return L.latest(t.plan.where("status = 'active'"), ["project"], [F.desc("weight"), F.col("id")]).select("project", "id", "title")
