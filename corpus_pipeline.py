@@ -41,7 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     which nulls are equal, and are told from repeats where they are then, so texts are
     exchanged once.
     """
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("row")))
+    # The cast makes all fields nullable, as they come back, so that the join casts nothing and one exchange serves both.
+    kind = f"struct<no_id:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},row:bigint>"
+    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("row")).cast(kind))
     found = simhash.near_duplicates(keyed, id_col="_key")
     first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_key"))
     return keyed.join(first.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(*(f"`{c}`" for c in docs.columns))
