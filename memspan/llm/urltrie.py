@@ -1,9 +1,10 @@
 """URL filters: a trie over reversed host labels and path segments.
 
 Rules are ``(verdict, "host/path")``. A rule fits its host and all subdomains, if the
-url's path starts with the rule's path; of the rules that fit, the longest text wins,
-and block wins between equal texts. The trie is broadcast while its rules stay under a
-stated size; a larger rule table is joined on host suffix and path segments instead.
+url's path starts with the rule's path. Of the rules that fit, the longest text wins;
+between texts of one length block wins, and then the text that sorts last. The trie is
+broadcast while its rules stay under a stated size; a larger rule table is joined on host
+suffix and path segments instead, with the same order of rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, which no
 rule fits, so it gets the default verdict. Repeated rows give repeated results; an empty
@@ -15,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,25 @@ from memspan.llm.common import UPPER, columns, small_batches
 BROADCAST_BYTES = 4 << 20
 
 Rules = Sequence[tuple[str, str]]
+_LOWER = str.maketrans(UPPER, UPPER.lower())
+
+
+class Node:
+    """Rules that end below one folder of a path, by the start of the next segment, and further folders."""
+
+    __slots__ = ("folders", "lengths", "rests")
+
+    def __init__(self) -> None:
+        self.folders: dict[str, Node] = {}
+        self.rests: dict[str, tuple[str, str]] = {}
+        self.lengths: list[int] = []
+
+    def find(self, segment: str) -> tuple[str, str] | None:
+        """The rule with the longest start of the segment: a look-up for each length that occurs here."""
+        for n in self.lengths:
+            if n <= len(segment) and (found := self.rests.get(segment[:n])):
+                return found
+        return None
 
 
 class Trie:
@@ -35,38 +56,46 @@ class Trie:
             host, slash, path = text.partition("/")
             if verdict not in ("allow", "block") or not slash or not host:
                 raise ValueError(f"not a rule: {verdict} {text}")
-            node = self.hosts
-            for label in reversed(host.lower().split(".")):
-                node = node.setdefault(label, {})
-            node = node.setdefault("/", {})  # a label has no slash
+            labels = self.hosts
+            for label in reversed(host.translate(_LOWER).split(".")):
+                labels = labels.setdefault(label, {})
+            node = labels.setdefault("/", Node())  # a label has no slash
             *segments, rest = path.split("/")
             for segment in segments:
-                node = node.setdefault((segment,), {})
-            old = node.setdefault("", {}).get(rest)
-            node[""][rest] = min((verdict, text), old or (verdict, text), key=lambda x: x[0] != "block")
+                node = node.folders.setdefault(segment, Node())
+            old = node.rests.get(rest)
+            node.rests[rest] = max((verdict, text), old or (verdict, text), key=precedence)
+            if old is None:
+                node.lengths = sorted({*node.lengths, len(rest)}, reverse=True)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
-        """The longest rule that fits, as (verdict, text)."""
+        """The rule that fits and goes first, as (verdict, text)."""
         best = None
         if not host or not path.startswith("/"):
             return None
         segments = path[1:].split("/")
-        node = self.hosts
+        labels = self.hosts
         for label in reversed(host.split(".")):
-            node = node.get(label)
-            if node is None:
+            labels = labels.get(label)
+            if labels is None:
                 break
-            inner = node.get("/")
+            node = labels.get("/")
             for segment in segments:
-                if inner is None:
+                if node is None:
                     break
-                for rest, found in inner.get("", {}).items():
-                    if segment.startswith(rest) and (best is None or len(found[1]) >= len(best[1])):
-                        best = found
-                inner = inner.get((segment,))
+                found = node.find(segment)
+                if found and (best is None or precedence(found) > precedence(best)):
+                    best = found
+                node = node.folders.get(segment)
         return best
 
 
+def precedence(rule: tuple[str, str]) -> tuple[int, bool, str]:
+    """What of a rule decides between several that fit; the greatest wins."""
+    verdict, text = rule
+    return len(text), verdict == "block", text
+
+
 def host_of(url: Column) -> Column:
     """What is between the first ``://`` and ``/``, ``?``, ``#`` or the end, with A-Z lower-cased."""
     return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), UPPER, UPPER.lower())
@@ -77,9 +106,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _walk(rules: Rules, default: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: The trie of the last rules that this Python process was sent: its tasks share it.
+_built: dict[tuple, Trie] = {}
+
+
+def _walk(shared: Broadcast, default: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(rules)
+        rules = shared.value
+        if rules not in _built:
+            _built.clear()
+            _built[rules] = Trie(rules)
+        trie = _built[rules]
         for batch in batches:
             found = [trie.find(host, path) for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
             out = [*batch.columns, pa.array([x and x[1] for x in found], pa.string()), pa.array([x[0] if x else default for x in found], pa.string())]
@@ -92,12 +129,13 @@ def judge(df: DataFrame, rules: Rules, *, id_col: str = "page_id", url_col: str
     """``id, host, path, rule, verdict`` of each url; ``rule`` is null and the verdict ``default`` where none fits."""
     Trie(rules)  # refuses what is not a rule
     rows = columns(df, id=id_col, url=url_col).select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    if sum(len(text) for _, text in rules) > broadcast_bytes:
+    if sum(len(text.encode()) for _, text in rules) > broadcast_bytes:
         table = df.sparkSession.createDataFrame(list(rules), "verdict string, rule string")
         return judge_by_join(rows, table, default)
     small_batches(df.sparkSession, 4096)
     schema = f"id {rows.schema['id'].dataType.simpleString()}, host string, path string, rule string, verdict string"
-    return rows.mapInArrow(_walk(list(rules), default), schema)
+    shared = df.sparkSession.sparkContext.broadcast(tuple((verdict, text) for verdict, text in rules))
+    return rows.mapInArrow(_walk(shared, default), schema)
 
 
 def judge_by_join(rows: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
@@ -105,7 +143,7 @@ def judge_by_join(rows: DataFrame, rules: DataFrame, default: str = "allow") ->
     table = rules.select(
         "verdict",
         "rule",
-        F.lower(F.substring_index("rule", "/", 1)).alias("suffix"),
+        F.translate(F.substring_index("rule", "/", 1), UPPER, UPPER.lower()).alias("suffix"),
         F.expr("substr(rule, instr(rule, '/'))").alias("start"),
     ).withColumn("folder", F.regexp_extract("start", "(?s)^.*/", 0))
     labels = F.split("host", "\\.")

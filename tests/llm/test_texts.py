@@ -360,6 +360,32 @@ def test_urls(spark, sf, duck):
         urltrie.judge(rows, [("maybe", "org/")])
 
 
+def brute_rule(host, path, rules):
+    """The first of the rules that fit by length, then block, then text."""
+    fit = [(len(t), v == "block", t, v) for v, t in rules if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith("/" + t.split("/", 1)[1])]
+    return max(fit)[2:] if fit and host else (None, "allow")
+
+
+def test_ways_of_judging_agree_on_ties(spark):
+    assert urltrie.Trie([("block", "org/x/yz"), ("allow", "b.org/x/")]).find("b.org", "/x/yz") == ("block", "org/x/yz")
+    rng = np.random.default_rng(7)
+    pick = lambda *x: str(rng.choice(x))
+    for _ in range(4):
+        rules = [(pick("allow", "block"), ".".join(pick("a", "b", "cc") for _ in range(rng.integers(1, 4))) + "/" + "".join(pick("x", "y", "/", "é") for _ in range(rng.integers(0, 5)))) for _ in range(120)]
+        urls = ["http://" + ".".join(pick("a", "b", "cc") for _ in range(rng.integers(1, 5))) + "/" + "".join(pick("x", "y", "/", "é") for _ in range(rng.integers(0, 7))) for _ in range(300)]
+        rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+        walked = {r.id: (r.rule, r.verdict) for r in urltrie.judge(rows, rules).collect()}
+        assert walked == {r.id: (r.rule, r.verdict) for r in urltrie.judge(rows, rules, broadcast_bytes=0).collect()}
+        assert walked == {i: brute_rule(u.split("/")[2], "/" + u.split("/", 3)[3], rules) for i, u in enumerate(urls)}
+
+
+def test_many_rules_of_one_host_take_few_look_ups():
+    rules = [("block", f"a.org/{i:06d}") for i in range(50_000)] + [("allow", "a.org/")]
+    node = urltrie.Trie(rules).hosts["org"]["a"]["/"]
+    assert node.lengths == [6, 0]
+    assert node.find("000123zz") == ("block", "a.org/000123") and node.find("zz") == ("allow", "a.org/")
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_agrees_with_sql(spark, sf, duck, name):
     from compare import same
