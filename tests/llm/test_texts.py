@@ -137,13 +137,78 @@ def naive_phrases(text, known):
     return count
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(0, 3), min_size=1, max_size=40), st.lists(st.integers(0, 4), min_size=1, max_size=60))
-def test_phrases_are_longest_matches(labelled, text):
-    known = {tuple(labelled[i:j]) for i in range(len(labelled)) for j in range(i + 1, len(labelled) + 1)}
-    go = langid.suffix_automaton(labelled, 5)
-    got = langid.phrases(go, np.array(text, np.uint8), np.array([0]), np.array([len(text)]))
-    assert got[0] == naive_phrases(text, known)
+def substrings(labelled):
+    return {tuple(labelled[i:j]) for i in range(len(labelled)) for j in range(i + 1, len(labelled) + 1)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(
+    st.lists(st.lists(st.integers(0, 3), min_size=1, max_size=60), min_size=1, max_size=3),
+    st.lists(st.lists(st.integers(0, 4), max_size=90), min_size=1, max_size=4),
+    st.sampled_from([1, 2, 7, 16, 512]),
+)
+def test_phrases_are_longest_matches(labelled, texts, segment):
+    texts = [*texts, labelled[0], labelled[0] * 2]
+    group = langid.Parsers([langid.Automaton(x, 5) for x in labelled])
+    got = group.phrases([np.array(x, np.uint16) for x in texts], segment)
+    assert got.tolist() == [[naive_phrases(x, substrings(known)) for known in labelled] for x in texts]
+
+
+def test_phrases_of_whole_texts():
+    rng = np.random.default_rng(1)
+    known = rng.integers(0, 4, 300).tolist()
+    group = langid.Parsers([langid.Automaton(known, 5)])
+    # Beyond many segments, with matches as long as the labelled text, so that phrases skip segments whole.
+    text = [*rng.integers(0, 5, 2000).tolist(), *known * 12, *rng.integers(0, 4, 3000).tolist(), *known[50:] * 5]
+    assert group.phrases([np.array(text, np.uint16)], 64).tolist() == group.phrases([np.array(text, np.uint16)], 1 << 14).tolist() == [[naive_phrases(text, substrings(known))]]
+
+
+def test_language_of_scripts_and_ties(spark):
+    told = {"aa": "alpha beta gamma", "zh": "天地玄黃宇宙洪荒日月盈昃", "ja": "いろはにほへとちりぬるを", "ru": "съешь ещё этих мягких"}
+    model = langid.learned(told | {"ab": told["aa"], "none": "123 !"})
+    assert model.langs == ["aa", "ab", "ja", "ru", "zh"]
+    texts = {1: "玄黃 宇宙", 2: "へと ちり!", 3: "мягких этих", 4: "gamma beta", 5: None, 6: "12", 7: "q", 8: " \ud800 "}
+    rows = spark.createDataFrame([(i, t if t != texts[8] else "?") for i, t in texts.items()], "doc_id long, text string")
+    found = {r.id: (r.lang_pred, r.score) for r in langid.predict(rows, model).collect()}
+    assert [found[i][0] for i in (1, 2, 3)] == ["zh", "ja", "ru"] and min(found[i][1] for i in (1, 2, 3)) > 0.3
+    assert found[4] == ("aa", 0.0)  # a tie goes to the first by name
+    assert found[5] == found[6] == found[8] == ("und", 0.0)
+    assert len(langid.words_of(texts[8])) == 0 and bytes(langid.words_of(" Ab--ÇD 1")) == "ab çd".encode()
+
+
+def test_sample_takes_whole_rows(spark):
+    rows = [(i, f"{'x' * (i % 7)} word{i}", "aa") for i in range(40)] + [(100, "y" * 9000, "bb"), (101, "z" * 8000, "bb"), (102, "w " * 3000, "aa"), (103, None, "cc"), (104, "v", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, docs_per_lang=5)
+    assert model.langs == ["aa", "bb"]
+    assert model.automata[1].size == 8000  # the shortest row, whole, where all are too long
+    texts = {len(langid.words_of(t)) for _, t, lang in rows if lang == "aa" and len(t) <= 4000}
+    assert 5 * min(texts) <= model.automata[0].size <= 5 * (max(texts) + 1)
+    with pytest.raises(ValueError, match="languages"):
+        langid.fit(spark.createDataFrame([(f"l{i}", "a") for i in range(langid.MAX_LANGS + 1)], "lang string, text string"))
+
+
+def brute_language(text, told):
+    """The language of least entropy, phrase by phrase."""
+    plain = lambda t: " ".join("".join(c if c.isalpha() else " " for c in t.lower()).split()).encode()
+    words, costs = plain(text or ""), {}
+    for lang, known in sorted(told.items()):
+        known, at, count = plain(known), 0, 0
+        while at < len(words):
+            size = 1
+            while at + size < len(words) and words[at : at + size + 1] in known:
+                size += 1
+            at, count = at + size, count + 1
+        costs[lang] = count * np.log2(len(known) + 1)
+    return min(costs, key=costs.get) if words else "und"
+
+
+def test_language_against_brute_force(documents):
+    rows = [(r.doc_id, r.text, r.lang) for r in documents.collect()]
+    told = {lang: " ".join(t for i, t, x in rows if x == lang and i % 3 == 0 and len(t) < 3000)[:9000] for lang in ("de", "en", "es", "fr")}
+    model = langid.learned(told)
+    got = {r.id: r.lang_pred for r in langid.predict(documents, model).collect()}
+    assert got == {i: brute_language(t, told) for i, t, _ in rows}
 
 
 def test_language(odd, documents):
