@@ -43,21 +43,30 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    near = sketch.with_next(sketch.sketches(docs, "text", "sketch"), tie=F.xxhash64("text"), carry=("text", "sketch"))
     n = F.length("text")
     size = F.floor(n / 4).cast("int")
-    edited = near.select("doc_id", n.cast("long").alias("n_chars"), "sketch", "next_sketch", F.concat(F.substring("text", F.lit(1), n - size), F.substring("next_text", F.lit(1), size)).alias("edited"))
-    both = sketch.sketches(edited, "edited", "edited_sketch")
-    mine = F.col("sketch")
-    return both.select(
+    edit = F.concat(F.substring("text", F.lit(1), n - size), F.substring("next_text", F.lit(1), size))
+
+    def sketched(rows: DataFrame) -> DataFrame:
+        places = [c for c in rows.columns if c.startswith("_")]
+        edited = rows.select("doc_id", *places, "text", n.cast("long").alias("n_chars"), edit.alias("edited"))
+        both = sketch.sketches(sketch.sketches(edited, "text", "sketch"), "edited", "edited_sketch")
+        return both.select("doc_id", *places, "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "sketch", "edited_sketch")
+
+    rows = sketch.with_next(docs, tie=F.xxhash64("text"), carry=("text",), made=sketched, carry_made=("sketch",))
+    mine, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    # Of a text so short that no hash is kept nothing is known; the columns of counts tell, and the likeness is 0.
+    return rows.select(
         "doc_id",
         "n_chars",
-        F.sha2("edited", 256).alias("edited_sha256"),
+        "edited_sha256",
         sketch.fingerprint(mine).alias("fingerprint"),
-        sketch.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
-        sketch.likeness(mine, F.col("edited_sketch")).alias("near_edited"),
-        sketch.likeness(mine, F.col("next_sketch")).alias("near_next"),
-        sketch.containment(mine, F.col("edited_sketch")).alias("contained_in_edited"),
+        sketch.fingerprint(edited).alias("edited_fingerprint"),
+        F.coalesce(sketch.likeness(mine, edited), F.lit(0.0)).alias("near_edited"),
+        F.coalesce(sketch.likeness(mine, following), F.lit(0.0)).alias("near_next"),
+        sketch.compared(mine, edited).alias("compared_edited"),
+        sketch.compared(mine, following).alias("compared_next"),
+        sketch.containment(mine, edited).alias("contained_in_edited"),
     )
 
 

@@ -3,81 +3,77 @@
 A sketch keeps every shingle hash below a fixed fraction of the hash range. Sketches
 of any two documents, however unequal, are samples of their shingles at one rate, so
 likeness and containment are estimated from them, and the sketch of a union is the
-union of sketches. A text that would keep fewer than ``LEAST`` hashes keeps its ``LEAST``
-smallest instead, and says up to which hash it is complete; two sketches are compared up
-to the smaller of their limits, so small texts are compared exactly.
+union of sketches. The rate is the same for texts of every length: of a small text few
+hashes or none are kept. Where no hash of either text (for containment: of the first)
+is kept although there are shingles, nothing is known and the estimate is null.
 
-A fingerprint is the limit and the sorted hashes in hex. Words are what blanks separate,
-lower-cased; shingles have five words; a shorter text is one shingle.
+A fingerprint is the sorted hashes in hex behind a mark of whether the text has words.
+Words are what blanks separate, lower-cased; shingles have five words; a shorter text is
+one shingle.
 
 Defined cases: a null or empty text, or one without words, has an empty sketch; two
-empty sketches have likeness 1, and an empty and another one 0. Rows that repeat an id
-follow each other by text hash; a table of one row has itself as its next row. Null ids
-come first. An empty table gives no rows.
+such have likeness 1, and one of them and another text 0. Ids are integers or strings
+(in the order of their bytes); rows that repeat an id follow each other by text hash; a
+table of one row has itself as its next row. Null ids come first. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from memspan.llm.common import let
 
 WORDS = 5
-#: Hashes have 48 bits; those below an eighth of the range are kept.
+#: Hashes have 48 bits; those below a quarter of the range are kept.
 BITS = 48
-FRACTION = 8
-LEAST = 32
+FRACTION = 4
 #: Rows that one range of neighbours is meant to hold, and ranges at most.
 RANGE_ROWS, MAX_RANGES = 2000, 16_384
 
 
-def sketches(df: DataFrame, text_col: str, out_col: str, words: int = WORDS) -> DataFrame:
-    """``df`` with ``out_col``, a struct of the limit and the kept hashes of the text column."""
+def sketches(df: DataFrame, text_col: str, out_col: str, words: int = WORDS, fraction: int = FRACTION) -> DataFrame:
+    """``df`` with ``out_col``, a struct of ``some`` (whether there is a shingle) and the kept ``hashes`` of the text column."""
     names = [F.col(f"`{c}`") for c in df.columns]
-    limit, top = (1 << BITS) // FRACTION, 1 << BITS
+    limit = (1 << BITS) // fraction
     parts = F.array_remove(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "[ \t\n\x0b\f\r]+"), "")
     small = lambda h: F.shiftrightunsigned(h, 64 - BITS)
     run = lambda at: F.transform(F.slice(at, 1, F.size(at) - (words - 1)), lambda w, i: small(F.xxhash64(w, *(F.get(at, i + k) for k in range(1, words)))))
     none = F.array().cast("array<bigint>")
     shingles = lambda at: F.when(F.size(at) >= words, run(at)).when(F.size(at) > 0, F.array(small(F.xxhash64(at)))).otherwise(none)
-    shingled = df.select(*names, let(F.transform(parts, lambda w: F.xxhash64(w)), shingles).alias("_shingles"))
-    every = F.col("_shingles")
-    kept = shingled.select(*names, "_shingles", F.array_distinct(F.filter(every, lambda h: h < limit)).alias("_kept"))
-    scaled = F.struct(F.lit(limit).cast("long").alias("limit"), F.sort_array("_kept").alias("hashes"))
-    least = kept.select(*names, "_kept", F.when(F.size("_kept") < LEAST, F.sort_array(F.array_distinct(every))).alias("_all"))
-    bottom = F.struct(F.when(F.size("_all") <= LEAST, F.lit(top)).otherwise(F.get(F.col("_all"), F.lit(LEAST - 1)) + 1).cast("long").alias("limit"), F.slice("_all", 1, LEAST).alias("hashes"))
-    return least.select(*names, F.when(F.col("_all").isNull(), scaled).otherwise(bottom).alias(out_col))
+    kept = lambda hashes: F.struct((F.size(hashes) > 0).alias("some"), F.sort_array(F.array_distinct(F.filter(hashes, lambda h: h < limit))).alias("hashes"))
+    return df.select(*names, let(let(F.transform(parts, lambda w: F.xxhash64(w)), shingles), kept).alias(out_col))
 
 
 def fingerprint(sketch: Column) -> Column:
     """The sketch as text: equal sketches have equal texts."""
-    return F.concat(F.lower(F.hex(sketch["limit"])), F.lit(":"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lower(F.hex(h))), "."))
+    return F.concat(F.when(sketch["some"], "1:").otherwise("0:"), F.array_join(F.transform(sketch["hashes"], lambda h: F.lower(F.hex(h))), "."))
 
 
-def _shared(a: Column, b: Column) -> tuple[Column, Column, Column]:
-    limit = F.least(a["limit"], b["limit"])
-    left, right = (F.filter(x["hashes"], lambda h: h < limit) for x in (a, b))
-    return F.size(F.array_intersect(left, right)), F.size(left), F.size(right)
+def compared(a: Column, b: Column) -> Column:
+    """The number of hashes on which a likeness rests."""
+    return F.size(F.array_union(a["hashes"], b["hashes"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard likeness of two sketches."""
-    both, left, right = _shared(a, b)
-    union = left + right - both
-    return F.when(union > 0, both / union).otherwise(F.when((F.size(a["hashes"]) == 0) & (F.size(b["hashes"]) == 0), 1.0).otherwise(0.0)).cast("double")
+    """Estimated Jaccard likeness of two sketches; null where nothing is known."""
+    both, union = F.size(F.array_intersect(a["hashes"], b["hashes"])), compared(a, b)
+    return F.when(a["some"] & b["some"], F.when(union > 0, both / union)).otherwise(F.when(a["some"] | b["some"], 0.0).otherwise(1.0)).cast("double")
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first document's shingles that the second one has."""
-    both, left, _ = _shared(a, b)
-    return F.when(left > 0, both / left).otherwise(F.when(F.size(a["hashes"]) == 0, 1.0).otherwise(0.0)).cast("double")
+    """Estimated share of the first document's shingles that the second one has; null where nothing is known."""
+    both, mine = F.size(F.array_intersect(a["hashes"], b["hashes"])), F.size(a["hashes"])
+    return F.when(a["some"] & b["some"], F.when(mine > 0, both / mine)).otherwise(F.when(a["some"], 0.0).otherwise(1.0)).cast("double")
 
 
 def merge(a: Column, b: Column) -> Column:
     """The sketch of both documents' shingles together."""
-    limit = F.least(a["limit"], b["limit"])
-    return F.struct(limit.alias("limit"), F.sort_array(F.filter(F.array_union(a["hashes"], b["hashes"]), lambda h: h < limit)).alias("hashes"))
+    return F.struct((a["some"] | b["some"]).alias("some"), F.sort_array(F.array_union(a["hashes"], b["hashes"])).alias("hashes"))
 
 
 def _range_of(key: Column, firsts: list[int]) -> Column:
@@ -88,13 +84,30 @@ def _range_of(key: Column, firsts: list[int]) -> Column:
     return F.greatest(found, F.lit(0))
 
 
-def with_next(df: DataFrame, *, id_col: str = "doc_id", tie: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+def _range_key(df: DataFrame, id_col: str) -> Column:
+    """A number that grows with the id: an integer id itself, or a string id's first bytes behind what all ids begin with."""
+    name, kind = F.col(f"`{id_col}`"), df.schema[id_col].dataType
+    least = F.lit(-(1 << 63))
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(name.cast("long"), least)
+    if not isinstance(kind, T.StringType):
+        raise TypeError(f"ids must be integers or strings, not {kind.simpleString()}")
+    ends = df.agg(F.min(F.hex(F.encode(name, "utf-8"))).alias("a"), F.max(F.hex(F.encode(name, "utf-8"))).alias("b")).head()
+    same = 0
+    while ends["a"] and same < len(ends["a"]) and ends["a"][same] == ends["b"][same]:
+        same += 1
+    first = F.rpad(F.substring(F.hex(F.encode(name, "utf-8")), same + 1, 15), 15, "0")
+    return F.coalesce(F.conv(first, 16, 10).cast("long"), least)
+
+
+def with_next(df: DataFrame, *, id_col: str = "doc_id", tie: Column | None = None, carry: tuple[str, ...] = (), made: Callable[[DataFrame], DataFrame] | None = None, carry_made: tuple[str, ...] = ()) -> DataFrame:
     """``df`` with ``next_<name>`` of the following row for each carried column; the first row follows the last.
 
     Rows are dealt to ranges of ids. The first rows of a range also go to the range
-    before it, so no range waits for another and each stays small.
+    before it, so no range waits for another and each stays small. ``made`` may then derive
+    columns where the rows lie, ``carry_made`` of which are carried without another exchange.
     """
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
+    key = _range_key(df, id_col)
     total = df.select(key.alias("k")).agg(F.count(F.lit(1)).alias("n")).head()["n"]
     ranges = min(MAX_RANGES, -(-total // RANGE_ROWS))
     firsts: list[int] = []
@@ -106,7 +119,12 @@ def with_next(df: DataFrame, *, id_col: str = "doc_id", tie: Column | None = Non
     before = F.when((F.col("_range") > 0) & F.array_contains(F.lit(firsts or [0]), F.col("_key")), F.struct((F.col("_range") - 1).alias("r"), F.lit(1).alias("guest")))
     around = F.when(F.col("_key") == (firsts or [0])[0], F.struct(F.lit(max(0, len(firsts) - 1)).alias("r"), F.lit(2).alias("guest")))
     names = [F.col(f"`{c}`") for c in df.columns]
-    placed = df.select(*names, key.alias("_key"), _range_of(key, firsts or [0]).alias("_range")).select(*names, "_key", F.explode(F.array_compact(F.array(own, before, around))).alias("_at"))
-    window = Window.partitionBy("_at.r").orderBy("_at.guest", "_key", *([tie] if tie is not None else []))
-    found = placed.select(*names, "_at", *(F.lead(F.col(f"`{c}`")).over(window).alias(f"next_{c}") for c in carry))
-    return found.where("_at.guest = 0").drop("_at")
+    keyed = df.select(*names, F.col(f"`{id_col}`").alias("_id"), key.alias("_key"), _range_of(key, firsts or [0]).alias("_range"), (F.lit(0) if tie is None else tie).alias("_tie"))
+    places = ["_r", "_guest", "_key", "_id", "_tie"]
+    placed = keyed.select("*", F.explode(F.array_compact(F.array(own, before, around))).alias("_at")).select(*names, F.col("_at.r").alias("_r"), F.col("_at.guest").alias("_guest"), *places[2:])
+    window = Window.partitionBy("_r").orderBy(*places[1:])
+    following = lambda rows, what: rows.select("*", *(F.lead(F.col(f"`{c}`")).over(window).alias(f"next_{c}") for c in what))
+    found = following(placed, carry)
+    if made is not None:
+        found = following(made(found), carry_made)
+    return found.where("_guest = 0").drop(*places)

@@ -237,18 +237,14 @@ def brute_sketch(text):
         return seed >> 16
 
     shingles = {chain(hashed[i : i + 5]) for i in range(max(1, len(hashed) - 4))} if hashed else set()
-    limit = (1 << 48) // 8
-    low = sorted(h for h in shingles if h < limit)
-    if len(low) >= 32:
-        return limit, low
-    low = sorted(shingles)[:32]
-    return (1 << 48 if len(shingles) <= 32 else low[-1] + 1), low
+    return bool(shingles), sorted(h for h in shingles if h < (1 << 48) // 4)
 
 
 def brute_likeness(a, b):
-    limit = min(a[0], b[0])
-    x, y = ({h for h in s[1] if h < limit} for s in (a, b))
-    return len(x & y) / len(x | y) if x | y else float(not a[1] and not b[1])
+    if a[0] and b[0]:
+        x, y = set(a[1]), set(b[1])
+        return len(x & y) / len(x | y) if x | y else 0.0
+    return float(a[0] == b[0])
 
 
 def test_fingerprints(spark, sf, odd, documents, tmp_path):
@@ -262,13 +258,20 @@ def test_fingerprints(spark, sf, odd, documents, tmp_path):
             edited = text[: len(text) - size] + after[:size]
             assert rows[i].n_chars == len(text)
             assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            limit, hashes = brute_sketch(text)
-            assert rows[i].fingerprint == f"{limit:x}:" + ".".join(f"{h:x}" for h in hashes)
+            some, hashes = brute_sketch(text)
+            assert rows[i].fingerprint == f"{some:d}:" + ".".join(f"{h:x}" for h in hashes)
+            assert rows[i].compared_next == len({*hashes} | {*brute_sketch(after)[1]})
             assert rows[i].near_edited == pytest.approx(brute_likeness(brute_sketch(text), brute_sketch(edited)))
             assert rows[i].near_next == pytest.approx(brute_likeness(brute_sketch(text), brute_sketch(after)))
     both = odd.select(F.coalesce("text", F.lit("")).alias("a")).select("a", F.concat("a", F.lit(" more words that follow")).alias("b"))
     made = sketch.sketches(sketch.sketches(both, "a", "x"), "b", "y").select(sketch.containment(F.col("x"), F.col("y")).alias("c"), sketch.merge(F.col("x"), F.col("y"))["hashes"].alias("m"), F.col("x.hashes").alias("h")).collect()
-    assert all(0 <= r.c <= 1 for r in made)
+    assert all(r.c is None or 0 <= r.c <= 1 for r in made)
+    # What nothing is known of is null, not 0: one text of 24 words against a long one that holds it.
+    words = [f"w{i}" for i in range(4000)]
+    parts = [" ".join(words[24 * i : 24 * i + 24]) for i in range(100)]
+    pairs = spark.createDataFrame([(p, " ".join(words)) for p in parts], "a string, b string")
+    told = sketch.sketches(sketch.sketches(pairs, "a", "x"), "b", "y").select(sketch.containment(F.col("x"), F.col("y")).alias("c"), sketch.likeness(F.col("x"), F.col("x")).alias("j"), F.size("x.hashes").alias("n")).collect()
+    assert all((r.c, r.j) == ((1.0, 1.0) if r.n else (None, None)) for r in told) and sum(r.n > 0 for r in told) > 90
     odd.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert queries.op3_fingerprints(spark, f"{tmp_path}/e").count() == 0
 
@@ -281,6 +284,25 @@ def test_next_row_over_many_ranges(spark, monkeypatch):
     assert found == {i: f"t{j}" for i, j in zip(ids, ids[1:] + ids[:1], strict=True)}
 
 
+def test_next_row_by_string_ids(spark, monkeypatch):
+    monkeypatch.setattr(sketch, "RANGE_ROWS", 7)
+    ids = sorted({f"doc-{i * i * 37 % 100_003}" for i in range(200)} | {"doc-é", "doc-", "doc-\U0001f642"}, key=str.encode)
+    for some in (ids, ids[:1]):
+        rows = spark.createDataFrame([(i, f"t{i}") for i in some], "doc_id string, text string")
+        found = {r.doc_id: r.next_text for r in sketch.with_next(rows, carry=("text",)).collect()}
+        assert found == {i: f"t{j}" for i, j in zip(some, some[1:] + some[:1], strict=True)}
+    rows = spark.createDataFrame([(None, "b"), ("x", "c"), (None, "a"), ("x", "d")], "doc_id string, text string")
+    found = {r.text: r.next_text for r in sketch.with_next(rows, tie=F.col("text"), carry=("text",)).collect()}
+    assert found == {"a": "b", "b": "c", "c": "d", "d": "a"}
+    with pytest.raises(TypeError, match="integers or strings"):
+        sketch.with_next(rows.select(F.lit(1.5).alias("doc_id")))
+
+
+def test_fingerprints_exchange_texts_once(spark, sf):
+    plan = queries.op3_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Python" not in plan and "InArrow" not in plan
+
+
 def brute_lines(rows, threshold):
     key = lambda line: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\f\r"))
     held = {}
