@@ -373,8 +373,8 @@ def test_secrets_that_stand_twice():
 B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 
 
-@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", B64, B64 + "+/", B64 + "-_"])
-@pytest.mark.parametrize("size", [32, 64, 128, 256, 1024, 4096])
+@pytest.mark.parametrize("alphabet", ["0123456789ABCDEF", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", B64, B64 + "+/", B64 + "-_"])
+@pytest.mark.parametrize("size", [20, 24, 32, 40, 64, 88, 128, 256, 512, 1024, 4096])
 def test_random_keys_of_any_alphabet(alphabet, size):
     rng = np.random.default_rng(size)
     for _ in range(10):
@@ -430,6 +430,114 @@ def test_secrets(spark, odd, documents):
     assert sorted(map(str, secrets.redact(odd).collect())) == sorted(map(str, odd.collect()))
 
 
+def brute_base(text):
+    """Base spans, character by character."""
+    low = lambda c: chr(ord(c) + 32) if "A" <= c <= "Z" else c
+    at = lambda i: text[i] if i < len(text) else ""
+    inside = lambda c, more: c != "" and (c.isascii() and c.isalnum() or c in more)
+    found, i = [], 0
+    while i < len(text):
+        end = None
+        for word in ("password", "passwd", "secret", "token", "apikey", "api_key"):
+            if "".join(map(low, text[i : i + len(word)])) != word:
+                continue
+            j = i + len(word)
+            j += at(j) in ("'", '"')
+            while at(j) == " ":
+                j += 1
+            if at(j) not in (":", "="):
+                continue
+            j += 1
+            while at(j) == " ":
+                j += 1
+            j += at(j) in ("'", '"')
+            end = j
+            while inside(at(end), "+/_.=-"):
+                end += 1
+            if end > j:
+                if end - j >= 6:
+                    found.append((i, 0, end))
+                break
+            end = None
+        i = end or i + 1
+    for kind, head, letters, least in ((1, "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20), (2, "", "0123456789abcdef", 24)):
+        i = 0
+        while i < len(text):
+            j = i
+            if text.startswith(head, i):
+                j = i + len(head)
+                while at(j) and at(j) in letters:
+                    j += 1
+            if j > i + len(head):
+                if j - i >= least:
+                    found.append((i, kind, j))
+                i = j
+            else:
+                i += 1
+    return [(secrets.KINDS[k], s, e) for s, k, e in sorted(found)]
+
+
+def brute_novel(text, known):
+    """Novel spans of texts without private keys' blocks: every run of key characters, judged one by one."""
+    import zstandard
+
+    runs, i = [], 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j].isascii() and (text[j].isalnum() or text[j] in "+/_=-"):
+            j += 1
+        if j - i >= 20:
+            runs.append((i, j))
+        i = max(j, i + 1)
+    found, last = [], None
+    for s, e in runs:
+        between = None if last is None else text[last:s]
+        follows = between is not None and 1 <= len(between) <= 8 and all(c.isspace() or c in ".,:;\"'\\" for c in between)
+        over = {k for k, a, b in known if a < e and s < b}
+        if over:
+            last = e if follows or over & {"assign", "access"} else None
+            continue
+        near = text[max(0, s - 48) : s].lower()
+        told = any(w in near for w in ("passw", "passphrase", "secret", "token", "private", "credential", "auth", "bearer", "signature", "session", "apikey", "accesskey"))
+        told = told or re.search("(api|access).key", near)
+        if not (follows or told):
+            continue
+        last, key = e, text[s:e]
+        letters = [c for c in key if c.isalpha()]
+        turns = sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:], strict=False))
+        upper = sum(c.isupper() for c in letters)
+        if not any(c.isdigit() for c in key) and not (letters and 0.3 * len(letters) <= upper <= 0.7 * len(letters) and turns >= 0.3 * len(letters)):
+            continue
+        sides = [text[max(0, s - 512 - len(key)) : s], text[e : e + 512 + len(key)]]
+        for part in sorted({key, *(x for x in key.split("=") if len(x) >= 8)}, key=len, reverse=True):
+            sides = [x.replace(part, " " * len(part)) for x in sides]
+        primed = secrets.IDENTIFIERS + (sides[0][-512:] + sides[1][:512]).encode()
+        size = lambda x, d: len(zstandard.ZstdCompressor(level=19, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False).compress(x))
+        alphabet = next((a for a in secrets.ALPHABETS if set(max(key.split("="), key=len)) <= set(a)), secrets.ALPHABETS[-1])
+        if size(key.encode(), primed) - size(b"", primed) >= 0.8 * secrets.random_bytes(alphabet, len(key)):
+            found.append(("novel", s, e))
+    return found
+
+
+SECRET_PARTS = ["password", "TOKEN", "api_key", "ApiKey", "secret", ":", "=", "'", '"', " ", "  ", "\n", "AKIA", "0123456789ABCDEF", "0123456789abcdef", "deadbeef", "Zk3vQ9xLw7Tb2Rf8Yh5Nc1Jm6Pd4Gs0", "abc", "x", ".", "é", "Bearer", "auth", "K"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(SECRET_PARTS), max_size=14).map("".join))
+def test_spans_against_brute_force(text):
+    base = secrets.base_spans(text)
+    assert base == brute_base(text)
+    assert secrets.novel_spans(text, base) == brute_novel(text, base)
+
+
+def test_scan_of_whole_tables_against_brute_force(spark, odd, documents):
+    for df in (odd.where("doc_id is not null").dropDuplicates(["doc_id"]), documents):
+        texts = {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+        got = {r.id: [tuple(s) for s in r.spans] for r in secrets.scan(df).collect()}
+        base = {i: brute_base(t) for i, t in texts.items()}
+        assert got == {i: sorted(base[i] + brute_novel(t, base[i]), key=lambda s: (s[1], secrets.KINDS.index(s[0]))) for i, t in texts.items()}
+
+
 def test_urls(spark, sf, duck):
     urls = [None, "", "no scheme", "http://", "HTTPS://A.Example.ORG/es/x?y#z", "http://example.org/en/12", "http://x.com/fr/", "http://x.com/de/a", "http://com/fr", "http://org?q", "http://org/", "a://b.org://c/", "http://notexample.org/es/", "http://x.org.evil.net/", "http://y.net/de/", "http://example.org/en/1", "http://é.com/fr/ü"]
     rows = spark.createDataFrame([(i, u, "x", "y") for i, u in enumerate(urls)], "page_id long, url string, host string, rule string")
