@@ -6,11 +6,12 @@ from the long ones; what is left is assigned, dearest first, to the cheapest
 sequence that has room for it, and is cut only where no sequence has. A window has
 just as many sequences as its tokens need, so all its padding is less than one sequence.
 
-No window leaves its task, so there is no shuffle, and a lost task is packed again
-from the same rows to the same sequences.
+No window leaves its task, so there is no shuffle. A lost task is packed again to the same
+sequences if its rows come in the same order, as those of a file do; rows that come from
+a shuffle are to be written or checkpointed before.
 
-Defined cases: a null or empty text is the end token alone. Repeated rows are packed
-as often as they occur. An empty table gives no pieces.
+Defined cases: a null or empty text is the end token alone. Repeated rows and ids are
+packed as often as they occur, each row whole. An empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 import base64
 import heapq
 import re
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,11 +31,31 @@ from memspan.llm.common import columns, slices, small_batches
 LENGTH = 1024
 #: Tokens of a window: about a thousand sequences, with less padding than one of them.
 WINDOW_TOKENS = 1 << 20
-#: Chunks held by a task's table before it starts afresh: this bounds memory, not the result.
-TABLE_CHUNKS = 300_000
+#: Chunks of a generation of a task's table.
+TABLE_CHUNKS = 150_000
 _SPACE_IN_RUN = re.compile(r" \s")
 
 
+class ChunkIds(dict):
+    """Ids of distinct chunks as bytes; those of the last two generations are held, which bounds memory, not the result."""
+
+    def __init__(self, encode: Callable[[str], list[int]], limit: int):
+        super().__init__()
+        self.encode, self.limit = encode, limit
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(word)
+        if found is None:
+            ids = self.encode(f" {word}")
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self[word] = found
+        return found
+
+
 class ByteCoder:
     """Ids of texts as little-endian 32-bit bytes, by a table of distinct chunks.
 
@@ -49,32 +71,20 @@ class ByteCoder:
 
         self.whole = Tokenizer.from_file(tokenizer)
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
-        self.fast = None
+        self.plain: Callable[[str], list[int]] = lambda text: self.whole.encode(text, add_special_tokens=False).ids
         if ranks:
             with open(ranks, "rb") as lines:
                 merges = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-            self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
-        self.limit = limit
-        self.table: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        if self.fast is None or any(token in text for token in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+            self.plain = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        self.table = ChunkIds(self.plain, limit)
 
     def encode(self, text: str) -> bytes:
-        if _SPACE_IN_RUN.search(text) or any(token in text for token in self.special):
-            return self._ids(text)
+        if any(token in text for token in self.special):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if _SPACE_IN_RUN.search(text):
+            return np.array(self.plain(text), "<u4").tobytes()
         first, *rest = text.split(" ")
-        table, out = self.table, [self._ids(first)]
-        for word in rest:
-            found = table.get(word)
-            if found is None:
-                if len(table) >= self.limit:
-                    table.clear()
-                found = table[word] = self._ids(f" {word}")
-            out.append(found)
-        return b"".join(out)
+        return np.array(self.plain(first), "<u4").tobytes() + b"".join(map(self.table.__getitem__, rest))
 
 
 def assign(lengths: list[int], length: int = LENGTH, balance: float = 4096.0) -> list[tuple[int, int, int, int, int]]:

@@ -137,6 +137,53 @@ def naive_phrases(text, known):
     return count
 
 
+def brute_assign(lengths, length=1024, balance=4096.0):
+    """Full sequences first, then the rest by falling length to the cheapest sequence with room, by looking at all of them."""
+    full, left = [], []
+    for i, n in enumerate(lengths):
+        full += [(i, k * length, length) for k in range(n // length)]
+        if n % length:
+            left.append((i, n // length * length, n % length))
+    rows = [[p] for p in full] + [[] for _ in range(-(-sum(n for *_, n in left) // length))]
+    held = lambda row: sum(n for *_, n in row)
+    cost = lambda row: sum(n + n * n / balance for *_, n in row)
+    for i, start, n in sorted(left, key=lambda x: (-x[2], x[0])):
+        while n:
+            open_ = [r for r in range(len(full), len(rows)) if held(rows[r]) < length]
+            roomy = [r for r in open_ if held(rows[r]) + n <= length]
+            r = min(roomy, key=lambda r: (cost(rows[r]), r)) if roomy else min(open_, key=lambda r: (held(rows[r]), cost(rows[r]), r))
+            take = min(n, length - held(rows[r]))
+            rows[r].append((i, start, take))
+            start, n = start + take, n - take
+    return rows
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 2500), max_size=60))
+def test_assign_is_cost_balanced(lengths):
+    rows = {}
+    for doc, start, size, sequence, offset in packing.assign(lengths):
+        rows.setdefault(sequence, []).append((offset, doc, start, size))
+    got = [[p[1:] for p in sorted(rows[s])] for s in sorted(rows)]
+    assert got == brute_assign(lengths)
+
+
+def test_costs_lie_close():
+    rng = np.random.default_rng(3)
+    costs = {}
+    for _, _, size, sequence, _ in packing.assign(np.minimum(rng.lognormal(5.5, 0.9, 3000).astype(int) + 1, 1000).tolist()):
+        costs[sequence] = costs.get(sequence, 0) + size + size * size / 4096
+    assert np.std(list(costs.values())) < 0.03 * np.mean(list(costs.values()))
+
+
+def test_repeated_ids_are_packed_row_by_row(spark, tokenizer):
+    texts = ["one two three", "one two three", None, "four", "five " * 1500]
+    rows = spark.createDataFrame([(7, t) for t in texts] + [(None, "six")], "doc_id long, text string").coalesce(1)
+    pieces_ = packing.pack(rows, BYTES, ranks=RANKS).collect()
+    sizes = sorted(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for t in [*texts, "six"])
+    assert sum(r.length for r in pieces_) == sum(sizes) and sorted(r.doc_tokens for r in pieces_ if r.start == 0) == sizes
+
+
 def substrings(labelled):
     return {tuple(labelled[i:j]) for i in range(len(labelled)) for j in range(i + 1, len(labelled) + 1)}
 
