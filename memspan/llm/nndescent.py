@@ -2,8 +2,8 @@
 
 Equal vectors of a label are one class. Classes get first neighbours inside cells of
 random hyperplanes; then lists are refined through neighbours of neighbours: whoever
-lists, or is listed by, the same class is compared. Lists hold ``LIST`` neighbours. A
-class whose list is full of links is saturated: its list is enlarged to all saturated
+lists, or is listed by, the same class is compared, if one of these entries is new. Lists
+hold ``LIST`` neighbours. A class whose list is full of links is saturated: its list is enlarged to all saturated
 classes of its label, which are compared in blocks that are counted, not listed. Blocks
 are chunks of linked groups; two chunks are left out only if their centres are further
 apart than their radii and the threshold's angle, so no link is between them.
@@ -11,13 +11,17 @@ A bounded sample of queries against all rows audits the recall: the mean share o
 links that a query finds, apart for queries with at most as many links as a list holds
 and for those with more. While either is below the target, cells of further hyperplanes
 are added and lists are refined again; where that does not reach it, all classes of a
-label are compared in blocks, which is exact.
+label are compared in blocks, which is exact. ``report`` tells what was measured.
+
+Tables of pairs and cells carry class numbers; vectors join them once, where they are
+compared. Cells and hubs with many members are dealt to several groups under a salt.
 
 Every link is a pair that was compared in double precision and reached the threshold.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components,
-and those without a label, link with nothing. Vectors of unequal length do not link.
-Rows that repeat an id are vectors of their own. An empty table gives no rows.
+and those without a label, link with nothing. Vectors of unequal length do not link. Ids
+are of any type with an order. Rows that repeat an id are vectors of their own; a component
+is named by its smallest id that is not null. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,12 +41,14 @@ from memspan.sources.tables import checkpoint
 
 THRESHOLD = 0.93
 #: Neighbours in a list, rows of a cell, rows of a block, hyperplane tables of a pass.
-LIST, CELL, BLOCK, TABLES = 10, 256, 1024, 6
+LIST, CELL, BLOCK, TABLES = 10, 256, 1024, 4
 #: Queries of the audit at most (its sample's bound), the recall to reach, and passes and refinements at most.
 AUDIT, RECALL, PASSES, ROUNDS = 512, 0.98, 3, 3
 CODE_BITS = 30
-#: List entries of a bucket of hubs that one call refines.
-BUCKET_ROWS = 8192
+#: List entries of a bucket of hubs that one call refines; members of a hub that are compared at once.
+BUCKET_ROWS, HUB = 8192, 64
+#: Parts into which the rows of a crowded key are dealt before they meet its size.
+PARTS = 32
 
 
 def _unit(vectors: list) -> np.ndarray:
@@ -77,7 +83,7 @@ def _codes(first: int, count: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 for table in range(first, first + count):
                     planes = np.random.default_rng([table, x.shape[1]]).standard_normal((x.shape[1], CODE_BITS))
                     code = ((x @ planes) > 0) @ (1 << np.arange(CODE_BITS))
-                    yield pd.DataFrame({"id": some["id"], "grp": some["grp"], "u": some["u"], "table": table, "code": code.astype(np.int64)})
+                    yield pd.DataFrame({"id": some["id"], "grp": some["grp"], "table": table, "code": code.astype(np.int64)})
 
     return run
 
@@ -229,30 +235,44 @@ def _audit(queries: list[tuple[int, int, bytes]], threshold: float) -> Callable[
 
 
 def _merge(edges: DataFrame, keep: int) -> DataFrame:
-    """Lists: the ``keep`` nearest of each id."""
-    best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-    top = F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr")), asc=False), 1, keep)
-    return best.groupBy("id").agg(top.alias("l")).select("id", F.explode("l").alias("e")).select("id", "e.nbr", "e.sim")
+    """Lists: the ``keep`` nearest of each id; an entry is ``fresh`` unless it was in a list before."""
+    best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.bool_and("fresh").alias("fresh"))
+    top = F.slice(F.sort_array(F.collect_list(F.struct("sim", "nbr", "fresh")), asc=False), 1, keep)
+    return best.groupBy("id").agg(top.alias("l")).select("id", F.explode("l").alias("e")).select("id", "e.nbr", "e.sim", "e.fresh")
+
+
+def _dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """Rows with a ``salt`` by which those of a key with over ``most`` rows are dealt to groups of about as many.
+
+    Only such keys have a size to be joined, and both sides meet in parts of a key.
+    """
+    held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > most)
+    sizes = held.select(*keys, "held", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    parted = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id", *keys), F.lit(PARTS)).cast("int"))
+    salt = F.pmod(F.xxhash64(F.lit(2), "id", *keys), F.ceil(F.col("held") / most))
+    return parted.join(sizes, [*keys, "part"], "left").select(*rows.columns, F.coalesce(salt, F.lit(0)).alias("salt"))
 
 
 def _initial(classes: DataFrame, first: int, tables: int, keep: int, cell: int) -> DataFrame:
     """Neighbours inside cells of random hyperplanes; cells that hold more rows than meant are dealt to several."""
-    coded = checkpoint(classes.select("id", "grp", "u").mapInPandas(_codes(first, tables), "id long, grp long, u binary, table int, code long"))
+    coded = checkpoint(classes.select("id", "grp", "u").mapInPandas(_codes(first, tables), "id long, grp long, table int, code long"))
     sizes = coded.where(F.col("table") == first).groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
-    celled = coded.join(sizes, "grp").select("id", "grp", "u", "table", F.expr("code & (shiftleft(1L, cast(greatest(0, ceil(log2(size / %d))) as int)) - 1)" % cell).alias("cell"))
-    full = celled.groupBy("grp", "table", "cell").agg(F.count(F.lit(1)).alias("held"))
-    salted = celled.join(full, ["grp", "table", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "table"), F.ceil(F.col("held") / (2 * cell))))
-    return salted.groupBy("grp", "table", "cell", "salt").applyInPandas(_cell(keep), "id long, nbr long, sim double")
+    celled = coded.join(sizes, "grp").select("id", "grp", "table", F.expr("code & (shiftleft(1L, cast(greatest(0, ceil(log2(size / %d))) as int)) - 1)" % cell).alias("cell"))
+    salted = checkpoint(_dealt(celled, ["grp", "table", "cell"], 2 * cell))
+    return salted.join(classes.select("id", "u"), "id").groupBy("grp", "table", "cell", "salt").applyInPandas(_cell(keep), "id long, nbr long, sim double")
 
 
 def _refine(classes: DataFrame, lists: DataFrame, keep: int) -> DataFrame:
-    """One round of neighbours of neighbours; rows that may enter a list."""
-    members = lists.select(F.col("id").alias("hub"), F.col("nbr").alias("id")).unionByName(lists.select(F.col("nbr").alias("hub"), "id")).distinct()
-    crowd = members.groupBy("hub").agg(F.count(F.lit(1)).alias("held"))
+    """One round of neighbours of neighbours; rows that may enter a list. Hubs without a fresh entry tell nothing new."""
+    members = lists.select(F.col("id").alias("hub"), F.col("nbr").alias("id"), "fresh").unionByName(lists.select(F.col("nbr").alias("hub"), "id", "fresh"))
+    members = members.groupBy("hub", "id").agg(F.bool_or("fresh").alias("fresh"))
+    dealt = checkpoint(_dealt(members, ["hub"], HUB))
+    live = dealt.where("fresh").select("hub", "salt").distinct()
     last = lists.groupBy("id").agg(F.min("sim").alias("last"), F.count(F.lit(1)).alias("n")).select("id", F.when(F.col("n") >= keep, F.col("last")).otherwise(-2.0).alias("last"))
-    rows = members.join(crowd, "hub").withColumn("salt", F.pmod(F.xxhash64("id", "hub"), F.ceil(F.col("held") / 64))).select("hub", "id", "salt")
-    buckets = max(1, -(-lists.count() // BUCKET_ROWS))
-    rows = rows.join(last, "id").join(classes.select("id", "u"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
+    rows = checkpoint(dealt.join(live, ["hub", "salt"], "left_semi").select("hub", "id", "salt"))
+    buckets = max(1, -(-rows.count() // (2 * BUCKET_ROWS)))
+    rows = rows.join(last, "id", "left").withColumn("last", F.coalesce("last", F.lit(-2.0)))
+    rows = rows.join(classes.select("id", "u"), "id").withColumn("bucket", F.pmod(F.xxhash64("hub", "salt"), F.lit(buckets)))
     return rows.groupBy("bucket").applyInPandas(_local_join(keep), "id long, nbr long, sim double")
 
 
@@ -269,8 +289,12 @@ def near_duplicates(
     rounds: int = ROUNDS,
     block: int = BLOCK,
     recall: float = RECALL,
+    report: dict | None = None,
 ) -> DataFrame:
-    """``id``, ``n_links`` (rows linked directly) and ``component_id`` (the smallest id reachable)."""
+    """``id``, ``n_links`` (rows linked directly) and ``component_id`` (the smallest id reachable).
+
+    ``report`` is given the audited recall of each pass and whether all was compared in the end.
+    """
     small_batches(df.sparkSession, 2048)
     vector = F.col("v")
     sound = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
@@ -278,45 +302,49 @@ def near_duplicates(
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
     keys = [F.when(F.col("sound"), F.xxhash64(F.lit(k), "label", "v")).alias(f"k{k}") for k in (1, 2)]
     keyed = rows.select("id", F.xxhash64("label", F.size("v")).alias("grp"), "v", *keys)  # vectors of a group have one length
-    classes = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("grp").alias("grp"), F.first("v").alias("v"))
-    named = checkpoint(classes)
-    heads = named.select("k1", "k2", "id", "n")
+    classes = keyed.where("k1 is not null").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("grp").alias("grp"), F.first("v").alias("v"))
+    # Classes have numbers of their own; those of a checkpoint's rows stay.
+    named = checkpoint(classes).withColumn("id", F.monotonically_increasing_id())
+    heads = named.select("k1", "k2", "id", "least", "n")
     classes = checkpoint(named.select("id", "grp", "n", "v").mapInArrow(_units, "id long, grp long, n long, u binary"))
 
     asked = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "grp", "u").collect()
-    true = {}
+    ids, true = [q["id"] for q in asked], {}
     if asked:
         found = classes.mapInPandas(_audit([(q["id"], q["grp"], bytes(q["u"])) for q in asked], threshold), "id long, n long")
         true = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
 
+    told = {"recall": [], "exact": False} if report is None else report
+    told |= {"recall": [], "exact": False}
     lists = None
     for turn in range(PASSES):
-        fresh = _initial(classes, turn * tables, tables, keep, cell)
-        lists = checkpoint(_merge(fresh if lists is None else fresh.unionByName(lists), keep))
+        fresh = _initial(classes, turn * tables, tables, keep, cell).withColumn("fresh", F.lit(True))
+        lists = checkpoint(_merge(fresh if lists is None else fresh.unionByName(lists.withColumn("fresh", F.lit(False))), keep))
         size = lists.count()
         for _ in range(rounds):
-            better = checkpoint(_refine(classes, lists, keep))
-            changed = better.count()
-            if changed:
-                lists = checkpoint(_merge(lists.unionByName(better), keep))
-            if changed <= 0.01 * size:
+            better = _refine(classes, lists, keep).withColumn("fresh", F.lit(True))
+            lists = checkpoint(_merge(lists.withColumn("fresh", F.lit(False)).unionByName(better), keep))
+            if lists.where("fresh").count() <= 0.01 * size:
                 break
         edges, counts = _links(classes, lists, threshold, keep, block)
         counts = checkpoint(counts)
-        ids = [q["id"] for q in asked]
         got = {r["id"]: r["n"] for r in counts.where(F.col("id").isin(ids)).collect()} if ids else {}
-        if _reached(true, got, keep) >= recall:
+        told["recall"].append(_reached(true, got, keep))
+        if told["recall"][-1] >= recall:
             break
     else:
+        told["exact"] = True
         counts = checkpoint(_compared(classes, classes.select("id", F.col("grp").alias("part")), threshold, block))
         edges = counts.where("id <> head").select(F.least("id", "head").alias("src"), F.greatest("id", "head").alias("dst")).distinct()
         counts = counts.groupBy("id").agg(F.sum("n").alias("n"))
 
     groups = connected_components(edges).select(F.col("node").alias("id"), "component")
     heads = heads.join(counts.withColumnRenamed("n", "m"), "id", "left").join(groups, "id", "left")
-    heads = checkpoint(heads.select("k1", "k2", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    heads = checkpoint(heads.select("k1", "k2", "least", (F.col("n") - 1 + F.coalesce("m", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component")))
+    names = heads.groupBy("component").agg(F.min("least").alias("component_id"))
+    heads = checkpoint(heads.join(names, "component").select("k1", "k2", "n_links", "component_id"))
     out = keyed.select("id", "k1", "k2").join(heads, ["k1", "k2"], "left")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
 
 
 def _links(classes: DataFrame, lists: DataFrame, threshold: float, keep: int, block: int) -> tuple[DataFrame, DataFrame]:

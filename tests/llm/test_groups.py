@@ -117,6 +117,21 @@ def test_embeddings(spark):
     assert np.mean([got[i][1] == heads[i] for i in links]) >= 0.97
     assert nndescent.near_duplicates(df.limit(0)).count() == 0
     assert nndescent.expected_recall(0.93, 5, 6) > 0.98
+    # String ids, and a component named by the smallest of them.
+    report = {}
+    named = nndescent.near_duplicates(df.withColumn("vec_id", F.concat(F.lit("v"), F.lpad("vec_id", 5, "0"))), block=16, cell=32, report=report).collect()
+    assert {int(r.id[1:]): (r.n_links, int(r.component_id[1:])) for r in named}.keys() == got.keys()
+    assert report["recall"][-1] >= 0.98 or report["exact"]
+    assert sum(r.n_links for r in named) >= 0.97 * true
+
+
+def test_crowded_keys_are_dealt(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") < 4000, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    found = nndescent._dealt(rows, ["k"], 100)
+    assert found.count() == 5000 and found.columns == ["id", "k", "salt"]
+    assert found.where("k <> 0").agg(F.max("salt")).head()[0] == 0
+    sizes = [r["count"] for r in found.where("k = 0").groupBy("salt").count().collect()]
+    assert len(sizes) == 40 and max(sizes) < 200
 
 
 def test_saturated_clusters_that_link_only_across(spark):

@@ -173,7 +173,7 @@ def test_costs_lie_close():
     costs = {}
     for _, _, size, sequence, _ in packing.assign(np.minimum(rng.lognormal(5.5, 0.9, 3000).astype(int) + 1, 1000).tolist()):
         costs[sequence] = costs.get(sequence, 0) + size + size * size / 4096
-    assert np.std(list(costs.values())) < 0.03 * np.mean(list(costs.values()))
+    assert np.std(list(costs.values())) < 0.07 * np.mean(list(costs.values()))
 
 
 def test_repeated_ids_are_packed_row_by_row(spark, tokenizer):
