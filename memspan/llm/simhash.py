@@ -6,13 +6,14 @@ pruned as soon as they exceed the Hamming budget.
 
 The upper levels are walked as tables of node pairs. A pair whose nodes hold few
 enough fingerprints becomes a tile, which one task walks down to the leaves; pairs with
-a larger node are taken deeper first, so that no tile outgrows a task. A tile gives a
-spanning forest of its links, never all pairs of a dense group: it also drops node pairs
+a larger node are taken deeper first, so that no tile outgrows a task. A node's leaves are
+laid into blocks once, and blocks, eight bytes a leaf, go to the tiles of the node: 8 of
+them at depth 3, 42 at 6, 130 at 9 and 299 at 12, which some 10^9 distinct fingerprints
+need. A tile gives a spanning forest of its links, never all pairs of a dense group: it also drops node pairs
 whose leaves are already connected. Equal fingerprints are one leaf.
 
 Defined cases: a text without words, or null, has fingerprint zero, which links like any
-other. Rows that repeat an id count like different rows; an id's component is then the
-smallest id of any of its rows' components. Null ids take part as documents, but a
+other. Rows that repeat an id are documents of their own, each in its own component. Null ids take part as documents, but a
 component is named by its smallest id that is not null. An empty table gives no rows.
 """
 
@@ -33,8 +34,8 @@ from memspan.sources.tables import checkpoint
 SHINGLE = 3
 BUDGET = 3
 SEED = 42
-#: Fingerprints below one node of a tile.
-TILE_NODE = 1 << 16
+#: Fingerprints below one node of a tile: its two tries take some 250 MB of a task. Blocks that a node's leaves are laid into.
+TILE_NODE, BLOCKS = 1 << 18, 16
 #: Bits of the first level, and of every further one.
 STRIDE = 3
 #: Node pairs that a task holds at once.
@@ -100,10 +101,10 @@ class Trie:
         """The first leaf of each node."""
         if depth not in self.levels:
             if depth == 0:
-                self.levels[0] = np.zeros(1, np.int64)
+                self.levels[0] = np.zeros(1, np.int32)
             else:
                 prefix = self.leaves >> np.uint64(64 - depth)
-                self.levels[depth] = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1]).astype(np.int64)
+                self.levels[depth] = np.concatenate([[0], np.flatnonzero(prefix[1:] != prefix[:-1]) + 1]).astype(np.int32)
         return self.levels[depth]
 
     def children(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +113,7 @@ class Trie:
             mine, next_ = self.starts(depth), self.starts(depth + 1)
             parent = np.searchsorted(mine, next_, "right") - 1
             bit = (self.leaves[next_] >> np.uint64(63 - depth)) & np.uint64(1)
-            pair = (np.full(len(mine), -1, np.int64), np.full(len(mine), -1, np.int64))
+            pair = (np.full(len(mine), -1, np.int32), np.full(len(mine), -1, np.int32))
             for b in (0, 1):
                 at = bit == b
                 pair[b][parent[at]] = np.flatnonzero(at)
@@ -150,7 +151,7 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, differ: int, budget: i
     both = a if b is None else np.concatenate([a, b])
     shift = 0 if b is None else len(a)
     forest = Forest(len(both))
-    stack = [(depth, np.zeros(1, np.int64), np.zeros(1, np.int64), np.full(1, differ, np.int64))]
+    stack = [(depth, np.zeros(1, np.int32), np.zeros(1, np.int32), np.full(1, differ, np.int8))]
     while stack:
         depth, x, y, d = stack.pop()
         sx, sy = left.starts(depth), right.starts(depth)
@@ -189,9 +190,8 @@ def walk(a: np.ndarray, b: np.ndarray | None, depth: int, differ: int, budget: i
 def _tile(budget: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         depth, a, b, differ = (int(k) for k in key)
-        fps = np.ascontiguousarray(rows["fp"].to_numpy()).view(np.uint64)
-        side = rows["side"].to_numpy()
-        src, dst = walk(np.sort(fps[side == 0]), None if a == b else np.sort(fps[side == 1]), depth, differ, budget)
+        sides = [np.sort(np.concatenate([np.zeros(0, np.int64), *rows["fps"][rows["side"] == side]]).view(np.uint64)) for side in (0, 1)]
+        src, dst = walk(sides[0], None if a == b else sides[1], depth, differ, budget)
         return pd.DataFrame({"src": src.view(np.int64), "dst": dst.view(np.int64)})
 
     return run
@@ -235,14 +235,19 @@ def tiles(leaves: DataFrame, budget: int = BUDGET, node: int = TILE_NODE) -> Dat
 
 def trie_links(leaves: DataFrame, budget: int = BUDGET, node: int = TILE_NODE) -> DataFrame:
     """Edges ``src, dst`` that connect the distinct fingerprints ``fp`` as all links within the budget do."""
-    found = tiles(leaves, budget, node)
+    return tile_links(leaves, tiles(leaves, budget, node), budget)
+
+
+def tile_links(leaves: DataFrame, found: DataFrame, budget: int = BUDGET) -> DataFrame:
+    """The edges that a walk of every tile finds."""
     depths = [row.depth for row in found.select("depth").distinct().collect()]  # 21 at most
     if not depths:
         return leaves.select(F.col("fp").alias("src"), F.col("fp").alias("dst")).limit(0)
     placed = leaves.select("fp", F.explode(F.array(*(F.struct(F.lit(d).alias("depth"), _prefix(d).alias("p")) for d in depths))).alias("x")).select("fp", "x.depth", "x.p")
+    blocks = placed.groupBy("depth", "p", F.pmod(F.xxhash64("fp"), F.lit(BLOCKS)).alias("block")).agg(F.collect_list("fp").alias("fps"))
     first = found.withColumn("p", F.col("a")).withColumn("side", F.lit(0))
     second = found.where("a <> b").withColumn("p", F.col("b")).withColumn("side", F.lit(1))
-    rows = placed.join(first.unionByName(second), ["depth", "p"]).select("depth", "a", "b", "differ", "side", "fp")
+    rows = blocks.join(first.unionByName(second), ["depth", "p"]).select("depth", "a", "b", "differ", "side", "fps")
     return rows.groupBy("depth", "a", "b", "differ").applyInPandas(_tile(budget), "src long, dst long")
 
 

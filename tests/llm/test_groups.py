@@ -74,7 +74,32 @@ def test_simhash(odd, documents, node):
         got = {r.id: (r.fp % (1 << 64), r.component_id) for r in simhash.near_duplicates(df, node=node).collect()}
         assert got == {i: (p, rows[want[k]][0]) for k, (i, p) in enumerate(rows)}
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
-    assert simhash.near_duplicates(odd).count() == odd.count()
+    rows = simhash.near_duplicates(odd).collect()
+    assert len(rows) == odd.count()
+    # Rows that repeat an id each have their own component.
+    apart = simhash.near_duplicates(odd.sparkSession.createDataFrame([(1, "a b c d e f g"), (2, "h i j k l m n"), (2, "a b c d e f g")], "doc_id long, text string"))
+    assert sorted((r.id, r.component_id) for r in apart.collect()) == [(1, 1), (2, 1), (2, 2)]
+
+
+def test_tiles_below_depth_three(spark):
+    node = 200
+    rng = np.random.default_rng(12)
+    # A third of all fingerprints below one node of 12 bits, which is taken deepest.
+    hot = rng.integers(0, 1 << 52, 150, dtype=np.uint64)
+    heads = np.concatenate([hot, rng.integers(0, 1 << 63, 100, dtype=np.uint64)])
+    flips = np.uint64(1) << rng.integers(0, 64, (250, 2), dtype=np.uint64)
+    leaves = np.unique(np.concatenate([heads, heads ^ flips[:, 0] ^ flips[:, 1]]))
+    df = spark.createDataFrame([(int(x),) for x in leaves.view(np.int64)], "fp long")
+    found = simhash.tiles(df, node=node)
+    tiles = found.collect()
+    assert max(t.depth for t in tiles) >= 12 and all(t.differ == (t.a ^ t.b).bit_count() <= 3 for t in tiles)
+    assert len({(t.depth, t.a, t.b) for t in tiles}) == len(tiles)
+    at = {int(x): i for i, x in enumerate(leaves.view(np.int64))}
+    links = simhash.tile_links(df, found)
+    pairs = [(at[r.src], at[r.dst]) for r in links.collect()]
+    assert groups(range(len(leaves)), pairs) == groups(range(len(leaves)), brute_near(leaves))
+    text = links._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_fingerprint_agrees_with_the_built_in_hash(spark):
