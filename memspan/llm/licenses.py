@@ -12,7 +12,10 @@ probability under 0.00002. As a band agrees only where the window holds the temp
 smallest shingle, windows without any of those shingles are passed over; that changes
 no result.
 
-Templates are a fixed list, so the tables made of them are small whatever the input.
+Templates are notices, made of names and the phrases that introduce them, and public license
+texts, whole and by paragraph, so that a body is found without its opening. They are a fixed
+list, so the tables made of them are small whatever the input; those of a caller are
+broadcast only up to a stated size.
 
 Defined cases: a null or empty text, or one of fewer than five words, has no license.
 Rows that repeat an id are scanned each; an empty table gives no rows.
@@ -31,17 +34,91 @@ WORDS = 5
 BANDS = 16
 CONTAINMENT = 0.8
 
-#: Notices by which the licenses are named, and the openings of their texts.
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "mit": "Released under the MIT License.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
-    "mit-text": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction',
-    "gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "bsd-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+#: Bytes of template texts up to which their table is broadcast.
+BROADCAST_BYTES = 1 << 20
+
+#: Names of licenses in notices.
+NAMES = {
+    "apache-2.0": ["the Apache License, Version 2.0"],
+    "mit": ["the MIT License"],
+    "bsd-2-clause": ["the BSD 2-Clause License"],
+    "bsd-3-clause": ["the BSD 3-Clause License"],
+    "isc": ["the ISC License"],
+    "mpl-2.0": ["the Mozilla Public License, version 2.0"],
+    "epl-2.0": ["the Eclipse Public License 2.0"],
+    "gpl-2.0": ["the GNU General Public License, version 2"],
+    "gpl-3.0": ["the GNU General Public License, version 3"],
+    "lgpl-2.1": ["the GNU Lesser General Public License, version 2.1"],
+    "lgpl-3.0": ["the GNU Lesser General Public License, version 3"],
+    "agpl-3.0": ["the GNU Affero General Public License, version 3"],
+    "cc-by-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "cc-by-sa-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "cc-by-nc-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "cc-by-nd-4.0": ["CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "cc-by-nc-sa-4.0": ["CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nc-nd-4.0": ["CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"],
 }
+PHRASES = ["Licensed under", "Released under", "Distributed under"]
+
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_BSD_CONDITIONS = [
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+]
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details.",
+)
+#: Paragraphs of public license texts and of the headers that the longer licenses prescribe.
+TEXTS = {
+    "mit": [
+        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    ],
+    "bsd-2-clause": [*_BSD_CONDITIONS, _BSD_WARRANTY],
+    "bsd-3-clause": [*_BSD_CONDITIONS, "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", _BSD_WARRANTY],
+    "zlib": [
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+        "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.",
+        "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.",
+        "3. This notice may not be removed or altered from any source distribution.",
+    ],
+    "unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "apache-2.0": [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+    ],
+    "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
+    "gpl-3.0": [x.format(name="GNU General Public License", version=3) for x in _GNU],
+    "lgpl-3.0": [x.format(name="GNU Lesser General Public License", version=3) for x in _GNU],
+    "agpl-3.0": [x.format(name="GNU Affero General Public License", version=3) for x in _GNU],
+}
+
+
+def default_templates() -> dict[str, list[str]]:
+    """Notices, paragraphs of over eight words, and whole texts, by license."""
+    out: dict[str, list[str]] = {}
+    for license_, names in NAMES.items():
+        out[license_] = [f"{phrase} {name}" for phrase in PHRASES for name in names]
+    for license_, parts in TEXTS.items():
+        known = out.setdefault(license_, [])
+        known += [p for p in parts if len(template_words(p)) > 8]
+        known += ["\n\n".join(parts)] * (len(parts) > 1)
+    return out
 
 
 def template_words(text: str) -> list[str]:
@@ -61,14 +138,15 @@ def _banded(df: DataFrame, hashes: str, keep: list[str], bands: int) -> DataFram
     return rows.select(*keep, "band", smallest.alias("least"))
 
 
-def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, bands: int = BANDS, least: float = CONTAINMENT) -> DataFrame:
+def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, list[str]] | None = None, bands: int = BANDS, least: float = CONTAINMENT) -> DataFrame:
     """``id``, ``row`` (a hash of the text) and ``licenses``, an array of (license, share, word) by license.
 
-    ``share`` is the best share of the template's shingles in a window and ``word`` the
-    first word of the first such window, from 0.
+    ``share`` is the best share of the shingles of one of the license's templates in a window
+    and ``word`` the first word of the first such window, from 0.
     """
     spark = df.sparkSession
-    texts = [(name, len(words), words) for name, text in (templates or TEMPLATES).items() if len(words := template_words(text)) >= WORDS or _refuse(name)]
+    given = default_templates() if templates is None else templates
+    texts = [(name, len(words), words) for name, listed in given.items() for text in listed if len(words := template_words(text)) >= WORDS or _refuse(name)]
     listed = spark.createDataFrame(texts, "license string, n int, words array<string>")
     known = _shingled(listed, "words", "t", ["license", "n"]).select("license", "n", F.array_distinct("t").alias("t"))
     table = _banded(known, "t", ["license", "n", "t"], bands).collect()  # a row for each template and band
@@ -87,7 +165,8 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     windows = shaped.select("id", "row", "n", "s", "size", F.explode(starts).alias("word")).select("id", "row", "n", "word", F.slice("s", F.col("word") + 1, F.col("size")).alias("w"))
     keyed = _banded(windows.where(F.arrays_overlap("w", F.lit(minima))), "w", ["id", "row", "n", "word", "w"], bands)
     of = spark.createDataFrame([(r["license"], r["n"], r["t"], r["band"], r["least"]["v"]) for r in table], "license string, n int, t array<bigint>, band int, v bigint")
-    met = keyed.select("id", "row", "n", "word", "w", "band", F.col("least.v").alias("v")).join(F.broadcast(of), ["n", "band", "v"])
+    small = sum(len(text.encode()) for listed in given.values() for text in listed) <= BROADCAST_BYTES
+    met = keyed.select("id", "row", "n", "word", "w", "band", F.col("least.v").alias("v")).join(F.broadcast(of) if small else of, ["n", "band", "v"])
     share = F.size(F.array_intersect("w", "t")) / F.size("t")
     hits = met.select("id", "row", "license", "word", share.alias("share")).where(F.col("share") >= least)
     best = hits.groupBy("id", "row", "license").agg(F.max(F.struct(F.col("share"), (-F.col("word")).alias("word"))).alias("b"))

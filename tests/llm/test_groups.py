@@ -248,6 +248,10 @@ def test_near_dedup_stage_tells_null_and_repeated_ids_apart(spark, sf, documents
     docs = spark.createDataFrame(rows, documents.schema)
     assert not brute_near([brute_print(t) for t in texts])
     kept = dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, docs, sf).collect()
+    # The order of input makes no difference, nor which row of one id and text comes first.
+    more = [*rows, (7, texts[3], "de", "t", 5), (7, texts[3], "en", "a", 5)]
+    runs = [dict(corpus_pipeline.STAGES)["simhash_near_dedup"](spark, spark.createDataFrame(r, documents.schema), sf).collect() for r in (more, more[::-1])]
+    assert sorted(map(str, runs[0])) == sorted(map(str, runs[1])) and ("de", "t") in {(r.lang, r.source) for r in runs[0]}
     want = [(None, texts[0]), (9, texts[1]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (8, texts[5])]
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
 

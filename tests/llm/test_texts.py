@@ -375,35 +375,54 @@ def test_line_dedup(odd, documents, threshold):
     assert linedup.drop_common_lines(odd.limit(0)).count() == 0
 
 
-def brute_licenses(text):
+def license_runs(text):
     words = licenses.template_words(text or "")
-    runs = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-    found, shingles = {}, runs(words)
-    for name, template in licenses.TEMPLATES.items():
-        told = licenses.template_words(template)
-        wanted, n = set(runs(told)), len(told)
-        stride = max(1, n // 4)
-        size = n - 4 + stride - 1
-        last = max(0, len(shingles) - size)
-        for start in sorted({*range(0, last + 1, stride), last}) if shingles else []:
-            share = len(wanted & set(shingles[start : start + size])) / len(wanted)
-            if share >= 0.8 and share > found.get(name, (0, 0))[0]:
-                found[name] = (share, start)
+    return [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+
+
+def brute_licenses(text):
+    """The share of each license's best template in the runs of its own length at every position."""
+    found, runs = {}, license_runs(text)
+    for name, listed in licenses.default_templates().items():
+        for template in listed:
+            wanted = set(license_runs(template))
+            size = len(licenses.template_words(template)) - 4
+            if not wanted & set(runs):
+                continue
+            for start in range(max(1, len(runs) - size + 1)):
+                share = len(wanted & set(runs[start : start + size])) / len(wanted)
+                if share >= 0.8:
+                    found[name] = max(share, found.get(name, 0))
     return found
 
 
 def test_license_scan(spark, odd, documents):
     words = " ".join(f"w{i}" for i in range(40))
-    long = licenses.TEMPLATES["mit-text"]
-    planted = [words + " " + t + " " + words for t in licenses.TEMPLATES.values()] + [long.replace("Software", "Program", 1), " ".join(long.split()[:12]), words + "\n" + long.upper()]
+    made = licenses.default_templates()
+    assert all(len(licenses.template_words(t)) >= 5 for listed in made.values() for t in listed) and len(made) >= 20
+    mit = licenses.TEXTS["mit"]
+    planted = [f"{words} {t} {words}" for listed in made.values() for t in (listed[0], listed[-1])]
+    planted += [mit[0].replace("Software", "Program", 1), " ".join(mit[0].split()[:12]), words + "\n" + mit[2].upper(), f"{words} {licenses._BSD_WARRANTY} {words}", "It is released under the MIT license, we think."]
     rows = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
     for df in (rows, odd.where("doc_id is not null"), documents):
         texts = {r.doc_id: r.text for r in df.select("doc_id", "text").collect()}
         got = {r.id: {x.license: (x.share, x.word) for x in r.licenses} for r in licenses.scan(df).collect()}
-        assert got == {i: brute_licenses(t) for i, t in texts.items()}
+        for i, t in texts.items():
+            want = brute_licenses(t)
+            # No occurrence is missed, and what is reported stands in the text, in a run a little longer than the template.
+            assert all(got[i][name][0] >= share for name, share in want.items())
+            runs = license_runs(t)
+            for name, (share, word) in got[i].items():
+                sizes = [(set(license_runs(x)), len(licenses.template_words(x))) for x in made[name]]
+                assert any(len(w & set(runs[word : word + n - 4 + max(1, n // 4) - 1])) / len(w) == share for w, n in sizes)
+    found = {r.id: {x.license for x in r.licenses} for r in licenses.scan(rows).collect()}
+    first = [name for name, listed in made.items() for _ in (0, -1)]
+    assert all(name in found[10_000 + i] for i, name in enumerate(first))
+    tail = [found[10_000 + len(first) + i] for i in range(5)]
+    assert tail[0] == tail[2] == {"mit"} and not tail[1] and tail[3] == {"bsd-2-clause", "bsd-3-clause"} and tail[4] == {"mit"}
     assert licenses.scan(odd.limit(0)).count() == 0
     with pytest.raises(ValueError, match="fewer"):
-        licenses.scan(odd, templates={"short": "All rights reserved."})
+        licenses.scan(odd, templates={"short": ["All rights reserved."]})
 
 
 def test_secrets_that_stand_twice():
