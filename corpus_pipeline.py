@@ -8,12 +8,14 @@ out in sequences. Stages that change a text set ``n_chars`` anew.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memspan.llm import langid, linedup, secrets, simhash
 from memspan.llm.queries import language_model, packed
-from memspan.sources.tables import read_table, written
+from memspan.sources.tables import discard, fresh_path, read_table, written
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -37,16 +39,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the first document of each group of near-duplicates, once.
 
     A document is its id and a hash of its text, so texts with null or equal ids are told
-    apart; documents without id come last. Documents meet what is kept by a struct, in
-    which nulls are equal, and are told from repeats where they are then, so texts are
-    exchanged once.
+    apart; documents without id come last. Of rows with one id and text the one with the
+    least other columns stays, whatever the order of input. Documents meet what is kept by a
+    struct, in which nulls are equal, and are told from repeats where they are then, so
+    texts are exchanged once.
     """
     # The cast makes all fields nullable, as they come back, so that the join casts nothing and one exchange serves both.
     kind = f"struct<no_id:boolean,doc_id:{docs.schema['doc_id'].dataType.simpleString()},row:bigint>"
-    keyed = docs.withColumn("_key", F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("row")).cast(kind))
+    keyed = docs.select(F.struct("*").alias("_doc"), F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("row")).cast(kind).alias("_key"), "text")
     found = simhash.near_duplicates(keyed, id_col="_key")
     first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_key"))
-    return keyed.join(first.distinct(), "_key", "left_semi").dropDuplicates(["_key"]).select(*(f"`{c}`" for c in docs.columns))
+    others = [F.col("_doc")[f.name] for f in docs.schema.fields if f.name != "text" and not re.search("map<|variant", f.dataType.simpleString())]
+    kept = keyed.drop("text").join(first.distinct(), "_key", "left_semi").groupBy("_key").agg(F.min_by("_doc", F.struct(*others)).alias("_doc"))
+    return kept.select("_doc.*")
 
 
 def secret_marks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +77,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table of documents; each stage's result is a table that the next one reads."""
-    docs = read_table(spark, sf_dir, "documents")
+    """All stages over the table of documents; each stage's result is a table that the next one reads.
+
+    A stage's table is removed when the next one is written; the last one stays, as the result reads it.
+    """
+    docs, held = read_table(spark, sf_dir, "documents"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        path = fresh_path(spark)
+        docs = written(stage(spark, docs, sf_dir), path)
+        if held:
+            discard(spark, held)
+        held = path
     return STAGES[-1][1](spark, docs, sf_dir)

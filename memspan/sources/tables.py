@@ -22,21 +22,46 @@ def _own_folder() -> str:
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``, which all executors see.
 
-    Only where that is unset (a single machine, as in tests) a local folder is chosen.
+    Only where that is unset on a single machine, as in tests, a local folder is chosen; on
+    a cluster it has to be set.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _own_folder()
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if found:
+        return found
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return _own_folder()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a reliable checkpoint in the shared folder; Spark removes it when it is no longer used."""
+    """Cuts lineage by a reliable checkpoint in the shared folder.
+
+    Spark removes it once the frame is gone if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage by a table in the shared folder: for wide rows, which Parquet compresses."""
-    path = f"{shared_folder(df.sparkSession)}/memspan-{uuid.uuid4().hex}"
+def fresh_path(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/memspan-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Cuts lineage by a table in the shared folder: for wide rows, which Parquet compresses.
+
+    The caller may give a path of ``fresh_path``, to ``discard`` the table when it is no longer read.
+    """
+    path = path or fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a table that ``written`` made, in whatever store it is."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
