@@ -31,7 +31,8 @@ def groups(nodes, pairs):
 
 def test_components(spark):
     rng = np.random.default_rng(5)
-    pairs = [(i, i + 1) for i in range(0, 60)] + [(1000, 1000 + i) for i in range(1, 80)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (150, 2))]
+    # A chain, stars with hubs in the middle of their leaves, and random edges.
+    pairs = [(i, i + 1) for i in range(0, 60)] + [(1040, 1000 + i) for i in range(0, 180)] + [(3000 + i, 3300) for i in range(150)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (150, 2))]
     edges = spark.createDataFrame(pairs, "src long, dst long")
     want = groups({x for p in pairs if p[0] != p[1] for x in p}, pairs)
     assert {r.node: r.component for r in components.connected_components(edges).collect()} == want
