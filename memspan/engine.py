@@ -1,25 +1,36 @@
 """One entry point: an engine over a store's tables.
 
-Tables are DataFrames by name (``session``, ``observation``, ``memory``, ``run``, ``edge``,
-``commits``, ``plan``, ``core``). Reads return DataFrames; writes return the table's next
-version, which the caller stores. ``now_s`` is the time of asking in seconds.
+Tables are DataFrames by name (``sources.schemas``). Reads return DataFrames; writes return
+the tables that change, by name, which the caller stores. ``now_s`` is the time of asking
+in seconds. Text indexes are built when a search first needs them, or given.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspan.functions import hooks, scores
-from memspan.operators import context, graph, lifecycle, maintain, models
+from memspan.functions import scores
+from memspan.operators import context, graph, lifecycle, maintain, models, pipelines, plans, provenance
 from memspan.operators import retrieval as R
+from memspan.operators.textindex import TextIndex
+from memspan.sources import parsers, schemas
+
+INDEXED = {"observation": ["title", "narrative"], "memory": ["title", "content"], "run": ["prompt", "lesson"]}
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int, indexes: Mapping[str, TextIndex] | None = None):
         self.spark, self.tables, self.now_s = spark, dict(tables), now_s
+        self._indexes = dict(indexes or {})
+
+    @classmethod
+    def empty(cls, spark: SparkSession, now_s: int) -> Engine:
+        """An engine over empty tables of every kind."""
+        return cls(spark, {name: schemas.empty(spark, name) for name in schemas.SCHEMAS}, now_s)
 
     @classmethod
     def of_folder(cls, spark: SparkSession, folder: str, names: Sequence[str], now_s: int) -> Engine:
@@ -29,127 +40,246 @@ class Engine:
     def __getitem__(self, name: str) -> DataFrame:
         return self.tables[name]
 
+    def after(self, changes: Mapping[str, DataFrame]) -> Engine:
+        """An engine over the tables, some of them in their next version."""
+        return Engine(self.spark, {**self.tables, **changes}, self.now_s)
+
+    def _grown(self, changes: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
+        """Changes with the next version of tables that only grow, of which a step gives the new rows."""
+        out = dict(changes)
+        for name in ("observation", "commits", "summary", "edge"):
+            if name in changes:
+                out[name] = self[name].unionByName(changes[name], allowMissingColumns=True)
+        if "edge" in out:
+            out["edge"] = graph.upsert(out["edge"])
+        return out
+
     # Reads
 
+    def index(self, name: str) -> TextIndex:
+        if name not in self._indexes:
+            self._indexes[name] = TextIndex.build(self[name], "id", INDEXED[name])
+        return self._indexes[name]
+
     def health(self) -> DataFrame:
         counts = [df.agg(F.lit(name).alias("t"), F.count(F.lit(1)).alias("n")) for name, df in sorted(self.tables.items())]
-        out = counts[0]
-        for more in counts[1:]:
-            out = out.unionByName(more)
-        return out
+        return reduce(DataFrame.unionByName, counts)
 
     def get(self, table: str, key: int) -> DataFrame:
         return self[table].where(F.col("id") == key)
 
-    def search(self, query: str, mode: str = "hybrid", limit: int = 20, project: str | None = None, embed: models.Embedder = models.hashed_trigrams) -> DataFrame:
+    def find(self, table: str, **key: object) -> DataFrame:
+        """The row of a unique key: a commit's ``sha``, a plan's ``file_path``, a core memory's ``project``, an entity's ``kind, name, project``."""
+        if tuple(key) != schemas.KEYS.get(table):
+            raise ValueError(f"{table} has the key {schemas.KEYS.get(table)}")
+        return self[table].where(reduce(lambda a, b: a & b, (F.col(c) == v for c, v in key.items()))).limit(1)
+
+    def listed(self, table: str, order: Sequence[Column | str], limit: int, **wanted: object) -> DataFrame:
+        """Rows that agree with the values that are given; a value that is None or ``all`` asks for nothing."""
+        given = [F.col(c) == v for c, v in wanted.items() if v not in (None, "all")]
+        rows = self[table].where(reduce(lambda a, b: a & b, given)) if given else self[table]
+        return rows.orderBy(*order).limit(limit)
+
+    def search(self, query: str, mode: str = "hybrid", limit: int = 20, project: str | None = None, embed: models.Embedder = models.hashed_trigrams, config: R.Config = R.Config()) -> DataFrame:
         """``text``, ``semantic``, ``hybrid``, or ``agentic``, which also expands along edges."""
+        indexes = lambda: R.Indexes(*(self.index(x) for x in ("observation", "memory", "run")))
         if mode == "text":
-            return R.search_text(self["observation"], self["memory"], query, limit, self.now_s)
+            return R.search_text(self["observation"], self["memory"], indexes(), query, limit, self.now_s)
         vector = [float(x) for x in embed([query])[0]]
         if mode == "semantic":
             near = R.nearest(self["observation"], vector, limit, "id", "embedding")
             return self["observation"].select("id", "title").join(F.broadcast(near), "id")
         if mode not in ("hybrid", "agentic"):
             raise ValueError(f"unsupported mode {mode}")
-        memory = self["memory"] if project is None else self["memory"].where(F.col("project") == project)
         vectors = {}
-        for name, df in (("memory_vectors", memory), ("obs_vectors", self["observation"])):
+        for name, df in (("memory_vectors", self["memory"]), ("obs_vectors", self["observation"])):
             if "embedding" in df.columns:
                 vectors[name] = R.nearest(df, vector, limit, "id", "embedding")
-        edges = self.tables.get("edge") if mode == "agentic" else None
-        return R.search_hybrid(self["observation"], memory, self["run"], query, limit, self.now_s, edges=edges, **vectors)
+        edges = self.memory_edges() if mode == "agentic" else None
+        return R.search_hybrid(self["observation"], self["memory"], self["run"], indexes(), query, limit, self.now_s, edges=edges, project=project, config=config, **vectors)
+
+    def memory_edges(self) -> DataFrame:
+        """Edges between memories, by their keys."""
+        key = lambda c: F.substring_index(c, ":", -1).cast("bigint").alias(c)
+        both = self["edge"].where("src like 'memory:%' and dst like 'memory:%'")
+        return both.select(key("src"), key("dst"), "relation", "via", "edge_score")
+
+    def informed(self, hits: DataFrame, session: int) -> dict[str, DataFrame]:
+        """After a search in a session: its open run has recalled the memories found, which have informed it."""
+        mine = self["run"].where((F.col("session_id") == session) & F.col("ended_s").isNull()).orderBy(F.desc("started_s"), F.desc("id")).limit(1)
+        found = hits.where(F.col("id").startswith("memory:")).select(F.substring_index("id", ":", -1).cast("bigint").alias("id"), "score")
+        edges = provenance.informed_edges(found.join(F.broadcast(mine.select(F.col("id").alias("run_id")))), F.col("run_id"))  # one run
+        ids = found.agg(F.array_sort(F.collect_list("id")).alias("_more"))  # as many as the search gave
+        more = mine.select("id").join(F.broadcast(ids)).select("id", "_more")
+        runs = self["run"].join(F.broadcast(more), "id", "left")
+        runs = runs.withColumn("recalled", F.when(F.col("_more").isNotNull(), lifecycle.recalled(F.col("recalled"), F.col("_more"))).otherwise(F.col("recalled"))).drop("_more")
+        return self._grown({"run": runs, "edge": schemas.conformed(edges.withColumn("created_s", F.lit(self.now_s).cast("bigint")), "edge")})
+
+    def memories(self, query: str | None = None, project: str | None = None, category: str | None = None, limit: int = 50) -> DataFrame:
+        return R.listed_memories(self["memory"], self.index("memory"), query, limit, project, category)
+
+    def observations(self, query: str | None = None, session: int | None = None, limit: int = 100) -> DataFrame:
+        return R.listed_observations(self["observation"], self.index("observation"), query, limit, session)
+
+    def runs(self, query: str | None = None, project: str | None = None, limit: int = 20) -> DataFrame:
+        return R.listed_runs(self["run"], self.index("run"), query, limit, project)
+
+    def run(self, key: int) -> DataFrame:
+        """A run's observations in order of time."""
+        ids = self.get("run", key).select(F.explode("observation_ids").alias("id"))
+        return self["observation"].join(ids, "id", "left_semi").orderBy("ts_us", "id")
+
+    def sessions(self, limit: int = 20) -> DataFrame:
+        return self.listed("session", [F.desc("started_s"), "id"], limit)
+
+    def commits(self, project: str | None = None, branch: str | None = None, session: int | None = None, limit: int = 50) -> DataFrame:
+        return self.listed("commits", [F.desc("at_s"), "id"], limit, project=project, branch=branch, session_id=session)
+
+    def plans(self, status: str | None = None, project: str | None = None, limit: int = 20) -> DataFrame:
+        return self.listed("plan", [F.desc("created_s"), "id"], limit, status=status, project=project)
 
     def timeline(self, session: int | None = None, limit: int = 100) -> DataFrame:
         if session is None:
-            return self["observation"].orderBy(F.desc("at_s"), "id").limit(limit)
-        return self["observation"].where(F.col("session_id") == session).orderBy("at_s", "id").limit(limit)
-
-    def plans(self, status: str | None = None, limit: int = 20) -> DataFrame:
-        rows = self["plan"] if status in (None, "all") else self["plan"].where(F.col("status") == status)
-        return rows.orderBy("id").limit(limit)
+            return self["observation"].orderBy(F.desc("ts_us"), "id").limit(limit)
+        return self["observation"].where(F.col("session_id") == session).orderBy("ts_us", "id").limit(limit)
 
-    def trace(self, start: int, hops: int = 2, direction: str = "both", relations: Sequence[str] | None = None) -> DataFrame:
-        """Nodes around a memory with their titles."""
-        seeds = self.get("memory", start).select("id")
-        found = graph.expand(self["edge"], seeds, hops, relations, direction=direction)
-        return found.join(self["memory"].select(F.col("id").alias("node"), "title"), "node", "left")
+    def trace(self, start: str, hops: int = 2, direction: str = "both", relations: Sequence[str] | None = None) -> DataFrame:
+        """Nodes around a node ``table:id`` with labels and times."""
+        named = {name: df for name, df in self.tables.items() if "id" in df.columns}
+        return graph.trace(self["edge"], start, named, hops, direction, relations)
 
     def links(self, memory: int) -> DataFrame:
-        mine = self["edge"].where(F.col("src") == memory)
+        mine = self.memory_edges().where(F.col("src") == memory)
         return mine.join(self["memory"].select(F.col("id").alias("dst"), "title", "category"), "dst", "left")
 
     def digest(self, project: str, newest: int = 200, limit: int = 20) -> DataFrame:
         """The most frequent keywords and files of a project's newest observations."""
-        latest = self["observation"].where(F.col("project") == project).orderBy(F.desc("at_s"), "id").limit(newest)
+        latest = self["observation"].where(F.col("project") == project).orderBy(F.desc("ts_us"), "id").limit(newest)
         kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("names")) for kind in ("keywords", "files")))
         named = latest.select(F.explode(kinds).alias("k")).select("k.kind", F.explode("k.names").alias("name"))
         counted = named.groupBy("kind", "name").agg(F.count(F.lit(1)).alias("score"))
-        return lifecycle.latest(counted, ["kind", "name"], [F.desc("score")]).orderBy(F.desc("score"), "kind", "name").limit(2 * limit)
+        window = lifecycle.Window.partitionBy("kind").orderBy(F.desc("score"), "name")
+        return counted.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= limit).drop("_nth")
+
+    def core(self, project: str) -> DataFrame:
+        """``block``: the project's core memory as markdown."""
+        return self.find("core", project=project).select("project", plans.rendered(*map(F.col, ("identity", *plans.SECTIONS))).alias("block"))
 
     def context(self, project: str, query: str | None = None, budget: int = 2000) -> DataFrame:
-        """Lines of core memory's project context that fit the budget, by section."""
-        if query:
-            ranked = R.search_memories(self["memory"], query, 20, self.now_s).join(self["memory"].select("id", "category", "content", F.get("keywords", F.lit(0)).alias("kw")), "id")
+        """``section, pos, line`` of core memory, memories, facts, procedures, observations and runs that fit the budget.
+
+        Without a query the project's most important observations make one; memories are
+        searched with it if there is any, or ranked by recency and access.
+        """
+        asked = query if not R.plain(query) else self.synthesised(project)
+        if asked:
+            found = self.search(asked, "agentic", 20, project)
+            hits = found.where(F.col("obs_type").startswith("memory:")).select(F.substring_index("id", ":", -1).cast("bigint").alias("id"), "score")
+            ranked = self["memory"].join(hits, "id")
         else:
             age = scores.age_days(F.lit(self.now_s), F.col("created_s"))
-            scope = self["memory"].where(F.col("is_latest") & F.col("project").isin(project, "global"))
-            ranked = scope.select("id", "category", "title", "content", F.get("keywords", F.lit(0)).alias("kw"), scores.recency_access(F.col("strength"), age, F.col("retrieval_count")).alias("score"))
-        told = R.first_of_each(R.top(ranked, 20), ["category", "kw"], 10)
-        lines = told.select(F.lit(1).alias("section"), (-F.col("score")).alias("by"), "id", F.concat(F.lit("- ["), "category", F.lit("] **"), "title", F.lit("**: "), "content", F.lit("\n")).alias("line"))
-        seen = self["observation"].where((F.col("project") == project) & (F.col("importance") >= 4)).orderBy(F.desc("at_s"), "id").limit(20)
-        lines = lines.unionByName(seen.select(F.lit(4).alias("section"), (-F.col("at_s")).cast("double").alias("by"), "id", F.concat(F.lit("- **"), "title", F.lit("**: "), "narrative", F.lit("\n")).alias("line")))
-        ordered = lifecycle.Window.partitionBy("section").orderBy("by", "id")
-        return context.packed_sections(lines.withColumn("pos", F.row_number().over(ordered)).select("section", "pos", "line"), budget)
+            scope = self["memory"].where(F.col("is_latest") & F.col("project").isin(project, "global")).orderBy(F.desc("created_s"), "id").limit(100)
+            ranked = R.top(scope.withColumn("score", scores.recency_access(F.col("strength"), age, F.col("retrieval_count"))), 20)
+        told = R.first_of_each(ranked.withColumn("kw", F.get("keywords", F.lit(0))), ["category", "kw"], 10)
+        parts = [context.core_lines(self.core(project)), context.memory_lines(told, [F.desc("score"), "id"]), context.fact_lines(self["fact"]), context.procedure_lines(self["procedure"]), context.observation_lines(self["observation"], project)]
+        if asked:
+            closed = self["run"].where((F.col("project") == project) & F.expr("ended_s is not null and lesson <> ''"))
+            fused = R.fuse([R.top(R.scoped(self.index("run").bm25(field, asked), closed), 8) for field in INDEXED["run"]], 60, 8)
+            parts.append(context.run_lines(self["run"].join(fused, "id"), project, [F.desc("score"), "id"]))
+        else:
+            parts.append(context.run_lines(self["run"], project))
+        return context.packed_sections(reduce(DataFrame.unionByName, parts), budget)
+
+    def synthesised(self, project: str) -> str | None:
+        """A query of the project's name and the titles of its five most important observations."""
+        few = self["observation"].where((F.col("project") == project) & (F.col("importance") >= 5)).orderBy(F.desc("importance"), "ts_us", "id").limit(5)
+        titles = [row["title"] for row in few.select("title").collect()]
+        return " ".join([project, *titles]) if titles else None
+
+    def export(self, path: str, version: str, exported_at: str) -> None:
+        parsers.export({name: self[name] for name in ("session", "observation", "memory", "run", "commits", "plan", "core") if name in self.tables}, path, version, exported_at)
 
     # Writes
 
-    def observe(self, events: DataFrame, ttl_us: int = lifecycle.TTL_US) -> DataFrame:
-        """New observations of hook events ``id, session_id, ts_us, hook, data``: repeats dropped, payloads compressed."""
-        given = F.coalesce(hooks.tool_input(F.col("data")), F.lit(""))
-        keyed = events.withColumn("key", hooks.dedup_key(F.col("session_id"), hooks.tool_name(F.col("data")), given))
-        return hooks.observed(lifecycle.ttl_dedup(keyed, "key", "ts_us", "id", ttl_us).drop("key"))
-
-    def remember(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Memories with new rows, and the new rows' edges to memories of their project that share keywords or files."""
-        new = rows.withColumn("is_latest", F.lit(True)).withColumn("strength", F.lit(1.0)).withColumn("retrieval_count", F.lit(0).cast("long")).withColumn("created_s", F.lit(self.now_s).cast("long"))
-        memory = self["memory"].unionByName(new, allowMissingColumns=True)
-        items = memory.select("id", "project", F.array_union("keywords", "files").alias("entities"))
-        pairs = graph.shared_tokens(items, "entities", 0.0, scope="project")
-        fresh = new.select(F.col("id").alias("n"))
-        mine = pairs.join(fresh, (F.col("src") == F.col("n")) | (F.col("dst") == F.col("n")), "left_semi")
-        return memory, mine.select("src", "dst", F.lit("mentions").alias("relation"), F.lit("entity").alias("via"), F.col("jaccard").alias("edge_score"), F.lit(self.now_s).cast("long").alias("created_s"))
-
-    def delete(self, ids: DataFrame) -> DataFrame:
-        return self["memory"].join(ids, "id", "left_anti")
-
-    def bump(self, hits: DataFrame) -> DataFrame:
-        return R.bump(self["memory"], hits, self.now_s)
-
-    def strengthen(self, project: str, files: Sequence[str]) -> DataFrame:
-        """Memories after a commit of these files."""
-        hit = (F.col("project") == project) & F.arrays_overlap("files", F.lit(list(files)))
-        return self["memory"].withColumn("strength", F.when(hit, scores.strengthened(F.col("strength"))).otherwise(F.col("strength")))
+    def observe(self, events: DataFrame, ttl_us: int = lifecycle.TTL_US) -> dict[str, DataFrame]:
+        """After hook events; the commits that they tell are recorded too."""
+        changes = pipelines.observe(self.tables, events, self.now_s, ttl_us)
+        told = changes.pop("commits")
+        first = self._grown(changes)
+        then = self.after(first)
+        return {**first, **then._grown(pipelines.record_commits(then.tables, told, self.now_s))}
+
+    def remember(self, rows: DataFrame, model: models.Embedder = models.hashed_trigrams) -> dict[str, DataFrame]:
+        return self._grown(pipelines.remember(self.tables, rows, self.now_s, model))
+
+    def record_commits(self, rows: DataFrame) -> dict[str, DataFrame]:
+        return self._grown(pipelines.record_commits(self.tables, rows, self.now_s))
+
+    def start_session(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """Sessions ``id, project, cwd`` begin, if they are not known."""
+        new = rows.join(self["session"].select("id"), "id", "left_anti").dropDuplicates(["id"])
+        made = new.select("id", "project", "cwd", F.lit(self.now_s).cast("bigint").alias("started_s"), F.lit("active").alias("status"), F.lit(0).cast("bigint").alias("observation_count"))
+        return {"session": schemas.conformed(self["session"], "session").unionByName(schemas.conformed(made, "session"))}
+
+    def end_sessions(self, ids: DataFrame) -> dict[str, DataFrame]:
+        """Sessions end and get a name."""
+        mine = self["session"].join(ids.select("id").distinct(), "id", "left_semi")
+        names = lifecycle.session_names(mine, self["run"], self["observation"], self.now_s).withColumnRenamed("name", "_name")
+        joined = self["session"].join(names, "id", "left")
+        hit = F.col("_name").isNotNull()
+        ended = {"name": F.coalesce("_name", "name"), "status": F.when(hit, "completed").otherwise(F.col("status")), "ended_s": F.when(hit, F.lit(self.now_s)).otherwise(F.col("ended_s")).cast("bigint")}
+        return {"session": joined.withColumns(ended).drop("_name")}
+
+    def save_plan(self, rows: DataFrame) -> dict[str, DataFrame]:
+        """Plans ``id, file_path, title, content, project, ...`` by path; what is new or changed is active, as are its goals and files in core memory, and memories that its run recalled have motivated it."""
+        made = schemas.conformed(rows, "plan").withColumn("status", F.coalesce("status", F.lit("active"))).withColumn("created_s", F.coalesce("created_s", F.lit(self.now_s).cast("bigint")))
+        edges = provenance.motivated_edges(made.where("run_id is not null"), self["run"].select("id", "recalled")).withColumn("created_s", F.lit(self.now_s).cast("bigint"))
+        active = made.where("status = 'active'")
+        return self._grown({"plan": plans.upsert(self["plan"], made, ["file_path"], "created_s"), "core": plans.core_synced(self["core"], active, "add"), "edge": schemas.conformed(edges, "edge")})
+
+    def set_plans(self, ids: DataFrame, status: str) -> dict[str, DataFrame]:
+        """Plans become ``active``, ``completed`` or ``abandoned``; core memory follows."""
+        if status not in ("active", "completed", "abandoned"):
+            raise ValueError(f"unsupported status {status}")
+        changed = self["plan"].join(ids.select("id").distinct(), "id", "left_semi")
+        at = F.when((F.col("status") == "completed") & F.col("completed_s").isNull(), F.lit(self.now_s)).otherwise(F.col("completed_s")).cast("bigint")
+        return {"plan": plans.status_set(self["plan"], changed, status).withColumn("completed_s", at), "core": plans.core_synced(self["core"], changed, "add" if status == "active" else "remove")}
+
+    def delete(self, ids: DataFrame) -> dict[str, DataFrame]:
+        return {"memory": self["memory"].join(ids, "id", "left_anti")}
+
+    def bump(self, hits: DataFrame) -> dict[str, DataFrame]:
+        return {"memory": R.bump(self["memory"], hits, self.now_s)}
 
     def forget(self) -> DataFrame:
         """What garbage collection would do: ``action, id``."""
         return maintain.to_forget(self["memory"], self["observation"], self.now_s)
 
-    def decay(self, period_days: int = 60) -> DataFrame:
-        age = scores.age_days(F.lit(self.now_s), F.coalesce("last_s", "created_s"))
-        return self["memory"].withColumn("strength", scores.decayed(F.col("strength"), age, period_days))
+    def purge(self) -> dict[str, DataFrame]:
+        return pipelines.purge(self.tables, self.now_s)
+
+    def decay_uncommitted(self) -> dict[str, DataFrame]:
+        """Memories of files that uncommitted runs wrote are to be forgotten in 60 days, unless a commit covers them."""
+        bad = self["run"].where("outcome = 'uncommitted'").select("project", F.explode("observation_ids").alias("id"))
+        wrote = self["observation"].where(F.col("obs_type").isin("file_write", "file_edit")).select("id", F.explode("files").alias("file"))
+        found = lifecycle.uncommitted_decay(self["memory"], bad.join(wrote, "id"), self["commits"].select("project", F.explode("files").alias("file")), self.now_s)
+        joined = self["memory"].join(found.withColumnRenamed("forget_s", "_forget"), "id", "left")
+        return {"memory": joined.withColumn("forget_s", F.coalesce("_forget", "forget_s")).drop("_forget")}
 
-    def consolidate(self) -> DataFrame:
-        """Edges between the memories of each greedy cluster."""
-        members = maintain.clusters(self["memory"])
-        other = members.withColumnRenamed("id", "dst")
-        return members.withColumnRenamed("id", "src").join(other, "cluster").where("src < dst").select("src", "dst", F.lit("similar_to").alias("relation"), F.lit("cluster").alias("via"), F.lit(0.5).alias("edge_score"))
+    def consolidate(self, model: pipelines.Model | None = None) -> dict[str, DataFrame]:
+        return self._grown(pipelines.consolidate(self.tables, self.now_s, model))
 
-    def evolve(self, replies: DataFrame) -> tuple[DataFrame, DataFrame]:
-        return models.evolve(self["memory"], models.evolution(replies))
+    def evolve(self, new: DataFrame, model: pipelines.Model, system: str = "Refine the notes. Answer in JSON.") -> tuple[DataFrame, DataFrame]:
+        """Memories and their new edges after a language model saw each new memory beside its neighbours; one call for each new memory that has any."""
+        asked = pipelines.neighbours_asked(self["edge"], self["memory"], new)
+        told = [(row["new_id"], row["allowed"], model(system, row["prompt"])) for row in asked.toLocalIterator()]
+        replies = self.spark.createDataFrame(told, "new_id bigint, allowed array<string>, reply string")
+        updates = models.evolution(replies).withColumn("id", F.col("id").cast("bigint"))
+        return models.evolve(self["memory"], updates)
 
-    def reindex(self) -> DataFrame:
+    def reindex(self) -> dict[str, DataFrame]:
         texts = self["memory"].withColumn("_text", models.embed_text(F.col("title"), F.col("content"), F.col("keywords"), F.col("files")))
-        return models.embedded(texts, "_text").drop("_text")
+        return {"memory": models.embedded(texts, "_text").drop("_text")}
 
-    def edit_core(self, project: str, field: str, op: str, value: str) -> DataFrame:
-        return lifecycle.edit_core(self["core"], project, field, op, value)
+    def edit_core(self, project: str, field: str, op: str, value: str) -> dict[str, DataFrame]:
+        return {"core": lifecycle.edit_core(self["core"], project, field, op, value)}

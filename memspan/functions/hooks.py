@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspan.functions import text
@@ -57,7 +57,8 @@ def either(data: Column, *paths: str) -> Column:
 
 
 def tool_name(data: Column) -> Column:
-    return F.coalesce(either(data, "$.tool_name", "$.toolName"), F.lit(""))
+    """The tool's name; ``unknown`` where a payload has none."""
+    return F.coalesce(either(data, "$.tool_name", "$.toolName"), F.lit("unknown"))
 
 
 def tool_input(data: Column) -> Column:
@@ -89,11 +90,17 @@ def importance(hook: Column, tool: Column) -> Column:
     return look_up(hook, HOOK_IMPORTANCE, look_up(tool, TOOL_IMPORTANCE, F.lit(3)))
 
 
-def title(tool: Column, data: Column) -> Column:
+def prompt_title(data: Column) -> Column:
+    prompt = F.coalesce(F.get_json_object(data, "$.prompt"), F.lit(""))
+    return F.when(prompt == "", F.lit("Prompt")).otherwise(F.concat(F.lit("Prompt: "), text.cut(prompt, 60)))
+
+
+def title(tool: Column, hook: Column, data: Column) -> Column:
     command = F.coalesce(F.get_json_object(tool_input(data), "$.command"), F.lit(""))
     path = file_path(data)
     by_file = F.when(path != "", F.concat(tool, F.lit(": "), text.basename(path))).otherwise(F.concat(tool, F.lit(" call")))
-    return F.when(shell(tool) & (command != ""), F.concat(tool, F.lit(": "), text.first_command(command))).otherwise(by_file)
+    by_tool = F.when(shell(tool) & (command != ""), F.concat(tool, F.lit(": "), text.first_command(command))).otherwise(by_file)
+    return F.when(hook == "prompt_submit", prompt_title(data)).otherwise(by_tool)
 
 
 def narrative(tool: Column, hook: Column, data: Column) -> Column:
@@ -127,8 +134,7 @@ def keywords(tool: Column, data: Column) -> Column:
 
 def dedup_key(session: Column, tool: Column, given: Column, event: Column | None = None) -> Column:
     """Hash of session, tool and the first 500 characters of the input, and of the event if given."""
-    parts = [F.coalesce(session.cast("string"), F.lit("")), F.when(tool == "", None).otherwise(tool), F.substring(F.coalesce(given, F.lit("")), 1, 500)]
-    parts[1] = F.coalesce(parts[1], F.lit("unknown"))
+    parts = [F.coalesce(session.cast("string"), F.lit("")), F.coalesce(tool, F.lit("unknown")), F.substring(F.coalesce(given, F.lit("")), 1, 500)]
     return F.sha2(F.concat_ws(":", *parts, *([event] if event is not None else [])), 256)
 
 
@@ -162,14 +168,22 @@ def shell_output(output: Column) -> Column:
     return F.coalesce(F.get_json_object(output, "$.stdout"), output)
 
 
-def observed(events, hook: str = "hook", data: str = "data"):
+def commits_of(events: DataFrame, data: str = "data") -> DataFrame:
+    """Events that tell a commit, with ``sha``, ``branch`` and ``message``: a shell ran a commit and its output names it."""
+    tool, command = tool_name(F.col(data)), F.get_json_object(tool_input(F.col(data)), "$.command")
+    branch, sha, message = commit_parts(shell_output(tool_output(F.col(data))))
+    told = events.where(shell(tool) & is_commit_command(command))
+    return told.select("*", sha.alias("sha"), branch.alias("branch"), message.alias("message")).where("sha is not null")
+
+
+def observed(events: DataFrame, hook: str = "hook", data: str = "data") -> DataFrame:
     """Events compressed by rules to observations: type, title, facts, narrative, keywords, files, importance."""
     tool = tool_name(F.col(data))
     return events.select(
         "*",
         tool.alias("tool"),
         obs_type(tool, F.col(hook)).alias("obs_type"),
-        title(tool, F.col(data)).alias("title"),
+        title(tool, F.col(hook), F.col(data)).alias("title"),
         narrative(tool, F.col(hook), F.col(data)).alias("narrative"),
         facts(tool, F.col(data)).alias("facts"),
         keywords(tool, F.col(data)).alias("keywords"),

@@ -1,18 +1,12 @@
 """English stemming by the published Porter2 rules, for the stemmed analyzer.
 
-Words are stemmed once each: a vocabulary is far smaller than its corpus, so the stems of
-distinct words are joined back, or a query's few terms are stemmed on the driver.
+The index stems each distinct word of a task once; a query's few terms are stemmed on the
+driver.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 V = "aeiouy"
 #: Words with stems of their own, words left alone, and words left alone after the first step.
 SPECIAL = {"skis": "ski", "skies": "sky", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
@@ -113,18 +107,3 @@ def stem(word: str) -> str:
     elif word.endswith("ll") and len(word) - 1 >= r2:
         word = word[:-1]
     return word.replace("Y", "y")
-
-
-def _stems(words: pd.Series) -> pd.Series:
-    return words.map(stem, na_action="ignore")
-
-
-def stemmed_postings(index: DataFrame) -> DataFrame:
-    """Postings ``term, id, tf`` with stems for terms; each distinct term is stemmed once."""
-    named = index.select("term").distinct().select("term", F.pandas_udf(_stems, "string")("term").alias("stem"))
-    return index.join(named, "term").groupBy(F.col("stem").alias("term"), "id").agg(F.sum("tf").alias("tf"))
-
-
-def stem_all(words: Iterator[str]) -> list[str]:
-    """Distinct stems, in order."""
-    return list(dict.fromkeys(map(stem, words)))

@@ -13,9 +13,14 @@ SYMBOL = r"\b(?:fn|def|class|impl)\s+([A-Za-z_][A-Za-z0-9_]*)"
 ERROR_CODE = r"\b(?:E\d{3,}|[45]\d{2})\b"
 
 
+#: A token is a run of letters of any script, or of digits.
+TOKEN = r"\p{L}+|[0-9]+"
+PLAN_FILE = r"[\w/.-]+\.(rs|mjs|ts|json|md|toml|yaml|yml|py|sh)\b"
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))
+    """Lower-cased tokens in order, unstemmed."""
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
 def cut(text: Column, size: int, mark: str = "…") -> Column:
@@ -23,6 +28,14 @@ def cut(text: Column, size: int, mark: str = "…") -> Column:
     return F.when(F.length(text) > size, F.concat(F.substring(text, 1, size), F.lit(mark))).otherwise(text)
 
 
+def first_bytes(text: Column, size: int) -> Column:
+    """The longest start of a text that takes at most ``size`` bytes and cuts no character."""
+    start = F.struct(F.lit(0).alias("n"), F.lit("").alias("t"), F.lit(True).alias("on"))
+    step = lambda a, c: F.when(a["on"] & (a["n"] + F.octet_length(c) <= size), F.struct((a["n"] + F.octet_length(c)).alias("n"), F.concat(a["t"], c).alias("t"), F.lit(True).alias("on"))).otherwise(F.struct(a["n"].alias("n"), a["t"].alias("t"), F.lit(False).alias("on")))
+    whole = F.when(F.octet_length(text) <= size, text)
+    return F.coalesce(whole, F.aggregate(F.split(F.substring(text, 1, size), ""), start, step, lambda a: a["t"]))
+
+
 def cut_at_word(text: Column, size: int) -> Column:
     """Cut at the last blank of the first ``size`` characters, if that keeps over half of them."""
     head = F.substring(text, 1, size)
@@ -97,6 +110,38 @@ def plan_title(content: Column, file_name: Column) -> Column:
     return F.when(found != "", F.trim(found)).otherwise(file_name)
 
 
+def plan_files(content: Column, most: int = 20) -> Column:
+    """Files that a plan refers to: its first ``most`` references, each once."""
+    return F.array_distinct(F.slice(F.regexp_extract_all(content, F.lit(PLAN_FILE), F.lit(0)), 1, most))
+
+
+def slug(heading: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(heading), "[^a-z0-9]+", "-"), "^-|-$", "")
+
+
+def plan_keywords(content: Column) -> Column:
+    """The first ten file references in lower case and slugs of the first five sections, those of over two characters."""
+    named = F.transform(F.slice(F.regexp_extract_all(content, F.lit(PLAN_FILE), F.lit(0)), 1, 10), lambda f: F.lower(f))
+    headings = F.slice(F.regexp_extract_all(content, F.lit(r"(?m)^##\s+(.+)$"), F.lit(1)), 1, 5)
+    return F.array_distinct(F.concat(named, F.filter(F.transform(headings, slug), lambda s: F.length(s) > 2)))
+
+
+def plan_content(content: Column, size: int = 8000) -> Column:
+    return cut(content, size, "\n\n[...truncated]")
+
+
+def listwise_prompt(query: str, titles: Column, narratives: Column, size: int = 240) -> Column:
+    """What a listwise reranker is asked: numbered documents with snippets of ``size`` characters."""
+    lines = F.transform(F.arrays_zip(titles.alias("t"), narratives.alias("n")), lambda x, i: F.concat(i.cast("string"), F.lit(". "), x["t"], F.lit(" — "), F.substring(F.coalesce(x["n"], F.lit("")), 1, size), F.lit("\n")))
+    ask = F.concat(F.lit('\nRespond with strict JSON: {"order": [indices 0..'), (F.size(titles) - 1).cast("string"), F.lit(", each exactly once, best first]}"))
+    return F.concat(F.lit(f'Query: "{query}"\n\nDocuments:\n'), F.array_join(lines, ""), ask)
+
+
+def pretty_json(rows: Column) -> Column:
+    """Rows as indented JSON, as language models are shown them."""
+    return F.to_json(rows, {"pretty": "true"})
+
+
 def permutation_scores(order: Column, count: Column) -> Column:
     """Scores (n - rank) / n by item of a listwise order; null unless it is a permutation of 0..n-1."""
     valid = (F.size(order) == count) & (F.array_sort(order) == F.sequence(F.lit(0), count - 1))

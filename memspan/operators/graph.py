@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,49 +21,93 @@ def upsert(edges: DataFrame) -> DataFrame:
 
 
 def shared_tokens(items: DataFrame, tokens: str, least: float, scope: str | None = None, most_df: int | None = None) -> DataFrame:
-    """``src < dst`` and ``jaccard`` of items that share tokens.
+    """``src < dst`` and ``jaccard`` of items, of one ``scope`` if given, that share tokens.
 
-    Tokens that over ``most_df`` items hold are left out of the join when given: they
-    would pair all their items.
+    Sets that are alike by ``least`` share one of the rarest tokens of each, as many as may
+    be missing and one more, so only these are joined and the most frequent tokens pair
+    nothing. With ``least`` 0 a token pairs all its items, which is the result; tokens that
+    over ``most_df`` items hold are left out then, if it is given.
     """
-    keys = [scope] if scope else []
-    exploded = items.select("id", *keys, F.explode(F.array_distinct(tokens)).alias("token"))
-    if most_df is not None:
-        frequent = exploded.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_df)
-        exploded = exploded.join(frequent, [*keys, "token"], "left_anti")
-    right = exploded.select(F.col("id").alias("dst"), *keys, "token")
-    pairs = exploded.withColumnRenamed("id", "src").join(right, [*keys, "token"]).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
-    sizes = items.select("id", F.size(F.array_distinct(tokens)).alias("size"))
-    sized = pairs.join(sizes.select(F.col("id").alias("src"), F.col("size").alias("na")), "src").join(sizes.select(F.col("id").alias("dst"), F.col("size").alias("nb")), "dst")
-    return sized.select("src", "dst", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")).where(F.col("jaccard") >= least)
-
-
-def alike_tokens(items: DataFrame, tokens: str, least: float) -> DataFrame:
-    """``src < dst`` and ``jaccard`` of items whose sets are alike by at least ``least`` (above 0).
-
-    Two such sets share one of the rarest tokens of each, as many as may be missing and one
-    more, so only these are joined and the most frequent tokens pair nothing.
+    scoped = items.select("id", (F.col(scope) if scope else F.lit(0)).alias("scope"), F.array_compact(F.array_distinct(tokens)).alias("set")).withColumn("size", F.size("set"))
+    exploded = scoped.select("id", "scope", "set", "size", F.explode("set").alias("token"))
+    if least > 0:
+        held = exploded.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
+        ranked = exploded.join(held, ["scope", "token"]).groupBy("id", "scope").agg(F.first("set").alias("set"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
+        spare = F.size("by") - F.ceil(least * F.col("size") - F.lit(1e-9)).cast("int") + 1
+        exploded = ranked.select("id", "scope", "set", "size", F.explode(F.slice("by", F.lit(1), F.greatest(spare, F.lit(0)))).alias("t")).select("id", "scope", "set", "size", "t.token")
+    elif most_df is not None:
+        frequent = exploded.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_df)
+        exploded = exploded.join(frequent, ["scope", "token"], "left_anti")
+    return met(exploded, exploded).where("src < dst").where(F.col("jaccard") >= least).distinct()
+
+
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``src, dst, jaccard`` of rows ``id, scope, set, size, token`` that meet on a token of their scope."""
+    other = right.select(F.col("id").alias("dst"), "scope", "token", F.col("set").alias("other"), F.col("size").alias("nb"))
+    pairs = left.withColumnRenamed("id", "src").join(other, ["scope", "token"]).where("src <> dst")
+    both = F.size(F.array_intersect("set", "other"))
+    return pairs.select("src", "dst", (both / (F.col("size") + F.col("nb") - both)).alias("jaccard"))
+
+
+def tokens_shared_with(new: DataFrame, stored: DataFrame, tokens: str, scope: str) -> DataFrame:
+    """``src, dst, jaccard`` of new rows and all rows of their scope, new ones too, that share a token; each pair once.
+
+    Only the new rows' tokens are looked for.
     """
-    sets = items.select("id", F.array_distinct(tokens).alias("set"), F.size(F.array_distinct(tokens)).alias("size"))
-    exploded = sets.select("id", "set", "size", F.explode("set").alias("token"))
-    held = exploded.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(held, "token").groupBy("id").agg(F.first("set").alias("set"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
-    spare = F.size("by") - F.ceil(least * F.col("size") - F.lit(1e-9)).cast("int") + 1
-    rare = ranked.select("id", "set", "size", F.explode(F.slice("by", F.lit(1), F.greatest(spare, F.lit(0)))).alias("t")).select("id", "set", "size", "t.token")
-    other = rare.select(F.col("id").alias("dst"), F.col("set").alias("other"), F.col("size").alias("nb"), "token")
-    met = rare.withColumnRenamed("id", "src").join(other, "token").where("src < dst")
-    both = F.size(F.filter(F.array_intersect("set", "other"), lambda x: x.isNotNull()))
-    shared = met.select("src", "dst", (both / (F.col("size") + F.col("nb") - both)).alias("jaccard"))
-    return shared.where(F.col("jaccard") >= least).distinct()
-
-
-def knn_pairs(vectors: DataFrame, k: int, label: str) -> DataFrame:
-    """``id, nbr, sim``: each vector's nearest among those of its label, compared within the label only."""
-    a = vectors.select(F.col("vec_id").alias("id"), label, F.col("embedding").alias("a"))
-    b = vectors.select(F.col("vec_id").alias("nbr"), label, F.col("embedding").alias("b"))
-    sims = a.join(b, label).where("id <> nbr").select("id", "nbr", scores.cosine(F.col("a"), F.col("b")).alias("sim"))
+    parts = lambda df: df.select("id", F.col(scope).alias("scope"), F.array_compact(F.array_distinct(tokens)).alias("set")).select("id", "scope", "set", F.size("set").alias("size"), F.explode("set").alias("token"))
+    fresh = parts(new)
+    among = met(fresh, fresh).where("src < dst")
+    return met(fresh, parts(stored)).unionByName(among).distinct()
+
+
+#: Vectors of a block: two blocks are compared by one matrix product.
+BLOCK = 1024
+
+
+def _unit(vectors: pd.Series) -> np.ndarray:
+    x = np.array(vectors.tolist(), np.float64)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _nearest(k: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
+    """The ``k`` nearest rows of one block to each row of the other one."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows[rows["asks"]], rows[~rows["asks"]]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"id": [], "nbr": [], "sim": []}).astype({"id": "int64", "nbr": "int64"})
+        sims = np.round(_unit(a["v"]) @ _unit(b["v"]).T, 9)
+        others = b["id"].to_numpy()
+        order = np.lexsort((np.broadcast_to(others, sims.shape), -sims), axis=1)[:, : k + 1]
+        found = pd.DataFrame({"id": np.repeat(a["id"].to_numpy(), order.shape[1]), "nbr": others[order].ravel(), "sim": np.take_along_axis(sims, order, 1).ravel()})
+        return found[found["id"] != found["nbr"]]
+
+    return run
+
+
+def nearest_of(asking: DataFrame, stored: DataFrame, k: int, scope: str, id_col: str = "id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
+    """``id, nbr, sim``: for each asking row the ``k`` nearest stored ones of its scope, itself left out, exactly, with cosines to nine digits.
+
+    Blocks of both sides meet in one matrix product each; of a product a row's ``k`` best leave.
+    """
+
+    def dealt(df: DataFrame, asks: bool) -> tuple[DataFrame, DataFrame]:
+        rows = df.where(F.col(vector_col).isNotNull() & F.col(scope).isNotNull()).select(F.col(id_col).alias("id"), F.col(scope).alias("scope"), F.col(vector_col).alias("v"), F.lit(asks).alias("asks"))
+        sizes = rows.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / block).alias("own"))
+        return rows, sizes
+
+    (a, na), (b, nb) = dealt(asking, True), dealt(stored, False)
+    sizes = na.withColumnRenamed("own", "na").join(nb.withColumnRenamed("own", "nb"), "scope")
+    mine = a.join(sizes, "scope").select("scope", "id", "v", "asks", F.pmod(F.xxhash64("id"), F.col("na")).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("j"))
+    theirs = b.join(sizes, "scope").select("scope", "id", "v", "asks", F.explode(F.sequence(F.lit(0).cast("long"), F.col("na") - 1)).alias("i"), F.pmod(F.xxhash64("id"), F.col("nb")).alias("j"))
+    best = mine.unionByName(theirs).groupBy("scope", "i", "j").applyInPandas(_nearest(k), "id long, nbr long, sim double")
     window = Window.partitionBy("id").orderBy(F.col("sim").desc(), "nbr")
-    return sims.withColumn("nth", F.row_number().over(window)).where(F.col("nth") <= k).drop("nth")
+    return best.withColumn("nth", F.row_number().over(window)).where(F.col("nth") <= k).drop("nth")
+
+
+def knn_pairs(vectors: DataFrame, k: int, label: str, block: int = BLOCK) -> DataFrame:
+    """``id, nbr, sim``: each vector's nearest among those of its label."""
+    return nearest_of(vectors, vectors, k, label, id_col="vec_id", block=block)
 
 
 def similarity_edges(pairs: DataFrame, memory: DataFrame, cosine: float = 0.75, jaccard: float = 0.3) -> DataFrame:
@@ -75,10 +121,12 @@ def similarity_edges(pairs: DataFrame, memory: DataFrame, cosine: float = 0.75,
     return joined.select(F.col("id").alias("src"), F.col("nbr").alias("dst"), F.explode(by).alias("e")).where("e.ok").select("src", "dst", F.lit("similar_to").alias("relation"), "e.via", F.col("e.s").alias("edge_score"))
 
 
-def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, relations: Sequence[str] | None = None, min_score: float = 0.0, direction: str = "out") -> DataFrame:
+def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, relations: Sequence[str] | None = None, min_score: float = 0.0, direction: str = "out", max_results: int | None = None) -> DataFrame:
     """Breadth-first search: ``node, hop, via_src, relation, edge_score`` for every node when first reached.
 
-    Of the edges that reach a node in one hop the best counts (score, then source).
+    Of the edges that reach a node in one hop the best counts (score, then source). With
+    ``max_results`` the search stops at the hop that reaches it, of which the best edges
+    count (score, then node).
     """
     usable = edges.where(F.col("edge_score") >= min_score)
     if relations:
@@ -93,23 +141,79 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, relations: Seq
         window = Window.partitionBy("dst").orderBy(F.col("edge_score").desc(), "src", "relation")
         first = reached.withColumn("nth", F.row_number().over(window)).where("nth = 1")
         layer = checkpoint(first.select(F.col("dst").alias("node"), F.lit(hop).alias("hop"), F.col("src").alias("via_src"), "relation", "edge_score"))
+        if max_results is not None:
+            reached_so_far = 0 if out is None else out.count()
+            if reached_so_far + layer.count() >= max_results:
+                last = layer.orderBy(F.desc("edge_score"), "node").limit(max_results - reached_so_far)
+                return last if out is None else out.unionByName(last)
         out = layer if out is None else out.unionByName(layer)
         frontier = layer.select("node")
         visited = visited.unionByName(frontier)
     return out
 
 
+def fetched(edges: DataFrame, ids: DataFrame, direction: str = "both", relations: Sequence[str] | None = None, min_score: float = 0.0) -> DataFrame:
+    """Edges that leave, enter or touch the given ids, each once."""
+    usable = edges.where(F.col("edge_score") >= min_score)
+    if relations:
+        usable = usable.where(F.col("relation").isin(list(relations)))
+    sides = {"out": ["src"], "in": ["dst"], "both": ["src", "dst"]}[direction]
+    wanted = ids.select(F.col("id")).distinct()
+    found = None
+    for side in sides:
+        touched = usable.join(wanted.withColumnRenamed("id", side), side, "left_semi").select(*edges.columns)
+        if found is not None:  # those of the first side are there already
+            touched = touched.join(wanted.withColumnRenamed("id", sides[0]), sides[0], "left_anti").select(*edges.columns)
+        found = touched if found is None else found.unionByName(touched)
+    return found
+
+
+#: Columns that may label a node, and those that may tell its time, in order.
+LABELS, TIMES = ("title", "prompt", "name", "sha", "fact"), ("created_s", "started_s", "at_s")
+
+
+def nodes(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """``node, table, label, at_s`` of every row of several tables; nodes are named ``table:id``."""
+    out = None
+    for name, df in tables.items():
+        told = [F.col(c).cast("string") for c in LABELS if c in df.columns]
+        times = [F.col(c).cast("long") for c in TIMES if c in df.columns]
+        node = F.concat(F.lit(f"{name}:"), F.col("id").cast("string"))
+        part = df.select(node.alias("node"), F.lit(name).alias("table"), F.coalesce(*told, node).alias("label"), (F.coalesce(*times) if times else F.lit(None).cast("long")).alias("at_s"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def trace(edges: DataFrame, start: str, tables: Mapping[str, DataFrame], hops: int = 2, direction: str = "both", relations: Sequence[str] | None = None, max_results: int = 100) -> DataFrame:
+    """Nodes around a node ``table:id`` with the edge by which each was reached, their labels and times; unknown nodes are their own label."""
+    seeds = edges.sparkSession.createDataFrame([(start,)], "id string")
+    way = {"forward": "out", "backward": "in"}.get(direction, direction)
+    found = expand(edges, seeds, hops, relations, direction=way, max_results=max_results)
+    first = seeds.select(F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via_src"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("double").alias("edge_score"))
+    named = first.unionByName(found).join(nodes(tables), "node", "left")
+    return named.select("node", "hop", "via_src", "relation", "edge_score", F.coalesce("table", F.substring_index("node", ":", 1)).alias("table"), F.coalesce("label", "node").alias("label"), "at_s")
+
+
 def cooccurrence(items: DataFrame, tokens: str, most_df: int = 20) -> DataFrame:
     """``src < dst`` of items that share a token which at most ``most_df`` items hold."""
     return shared_tokens(items, tokens, 0.0, most_df=most_df).select("src", "dst")
 
 
+def drawn(memory: DataFrame, obs: DataFrame, most_df: int = 20) -> tuple[DataFrame, DataFrame]:
+    """The picture of memories and observations: nodes with degree and radius, and edges of shared keywords.
+
+    Conversations and calls of unknown tools are left out. A node grows by two for each
+    edge, from 12 (memories) or 6, up to 22.
+    """
+    seen = obs.where((F.col("obs_type") != "conversation") & (F.col("title") != "unknown call"))
+    named = lambda df, table: df.select(F.concat(F.lit(f"{table}:"), F.col("id").cast("string")).alias("id"), "keywords")
+    items = named(memory, "memory").unionByName(named(seen, "observation"))
+    edges = checkpoint(cooccurrence(items, "keywords", most_df))
+    sized = items.select("id").join(degrees(edges).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    base = F.when(F.col("id").startswith("memory:"), 12).otherwise(6)
+    return sized.withColumn("radius", F.least(base + 2 * F.col("degree"), F.lit(22))), edges
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """Undirected degree of each node."""
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
-
-
-def follows(runs: DataFrame) -> DataFrame:
-    """Run to the run of its session that ended before it."""
-    window = Window.partitionBy("session_id").orderBy("ended_s", "id")
-    return runs.where("ended_s is not null").select(F.col("id").alias("src"), F.lag("id").over(window).alias("dst")).where("dst is not null")

@@ -2,30 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TTL_US = 300_000_000
 
 
+def _first_of_windows(ttl_us: int, key: int, time: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Passes rows that come sorted by key and time: the first of a key, and those that are late enough after the last one passed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, last = None, 0
+        for batch in batches:
+            keep = []
+            for row, (k, t) in enumerate(zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), strict=True)):
+                if k != of or t - last >= ttl_us:
+                    of, last = k, t
+                    keep.append(row)
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    return run
+
+
 def ttl_dedup(events: DataFrame, key: str, time_us: str, event_id: str, ttl_us: int = TTL_US) -> DataFrame:
     """Events that are kept when each kept one hides its key's repeats for the next ``ttl_us``.
 
-    A repeat does not renew the window, so which events stay depends on those kept
-    before: a key's events are folded in time order, after runs without a gap of the
-    window were cut apart. An event after such a gap is kept whatever came before, so
-    each run folds alone and a hot key is as many groups as it has gaps.
+    A repeat does not renew the window, so which events stay depends on those kept before
+    and a key's events are passed in time order. Where a stretch of time as long as the
+    window, from a multiple of it to the next, holds no event of a key, what follows does
+    not depend on what was before: a key is cut there, so a hot key is as many groups as it
+    has such gaps. Groups are sorted on disk if need be and passed one row at a time.
     """
-    window = Window.partitionBy(key).orderBy(time_us, event_id)
-    gap = F.col(time_us) - F.lag(time_us).over(window)
-    runs = events.select("*", F.sum(F.when(gap < ttl_us, 0).otherwise(1)).over(window).alias("_run"))
-    folded = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(time_us).alias("t"), F.col(event_id).alias("e")))).alias("all"))
-    empty = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{events.schema[event_id].dataType.simpleString()}>").alias("kept"))
-    step = lambda acc, x: F.when(
-        acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_us), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["e"])).alias("kept"))
-    ).otherwise(acc)
-    kept = folded.select(F.explode(F.aggregate("all", empty, step, lambda acc: acc["kept"])).alias(event_id))
-    return events.join(kept, event_id, "left_semi")
+    bucket = F.floor(F.col(time_us) / ttl_us)
+    keyed = events.select("*", bucket.alias("_bucket"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"))
+    window = Window.partitionBy("_key").orderBy("_bucket")
+    new = F.when(F.col("_bucket") - F.lag("_bucket").over(window) <= 1, 0).otherwise(1)
+    parts = keyed.select("_key", "_bucket").distinct().select("_key", "_bucket", F.sum(new).over(window).alias("_part"))
+    placed = keyed.join(parts, ["_key", "_bucket"]).select(F.struct("_key", "_part").alias("_group"), *events.columns)
+    ordered = placed.repartition("_group").sortWithinPartitions("_group", time_us, event_id)
+    at = ordered.columns.index(time_us)
+    return ordered.mapInArrow(_first_of_windows(ttl_us, 0, at), ordered.schema).drop("_group")
 
 
 def run_numbers(events: DataFrame, session: str, order: list[str], opens: Column, closes: Column) -> DataFrame:
@@ -47,6 +66,71 @@ def outcome(committed: Column, wrote: Column) -> Column:
     return F.when(committed, "committed").when(wrote, "uncommitted").otherwise("success")
 
 
+def runs_of(numbered: DataFrame) -> DataFrame:
+    """Runs of events ``id, session_id, project, ts_us, hook, prompt, run_no``: first prompt, later prompts, ids and times.
+
+    ``numbered`` has events outside runs too: one that ends a run tells when it ended.
+    """
+    inside = numbered.where("run_no is not null")
+    prompts = F.transform(F.array_sort(F.collect_list(F.when(F.col("hook") == "prompt_submit", F.struct("ts_us", "id", "prompt")))), lambda x: x["prompt"])
+    made = inside.groupBy("session_id", "run_no").agg(
+        F.first("project").alias("project"),
+        F.floor(F.min("ts_us") / 1_000_000).alias("started_s"),
+        prompts.alias("prompts"),
+        F.array_sort(F.collect_list("id")).alias("observation_ids"),
+    )
+    window = Window.partitionBy("session_id").orderBy("ts_us", "id").rowsBetween(Window.unboundedPreceding, -1)
+    ends = numbered.withColumn("of", F.last("run_no", ignorenulls=True).over(window)).where("run_no is null and closes")
+    ends = ends.groupBy("session_id", F.col("of").alias("run_no")).agg(F.floor(F.min("ts_us") / 1_000_000).alias("ended_s"))
+    return made.join(ends, ["session_id", "run_no"], "left").withColumn("prompt", F.get("prompts", F.lit(0)))
+
+
+def recalled(values: Column, more: Column) -> Column:
+    """Ids that a run has recalled, with further ones."""
+    return F.array_distinct(F.concat(F.coalesce(values, F.array().cast("array<bigint>")), more))
+
+
+def committed_lesson(sha: Column, message: Column) -> Column:
+    return F.concat(F.lit("Committed "), F.substring(sha, 1, 7), F.lit(": "), message)
+
+
+def session_name(prompt: Column, title: Column, project: Column, at_s: Column) -> Column:
+    """A session's name: its first prompt if that says something, its best title, or the project's last folder and the day."""
+    from memspan.functions import text, times
+
+    day = F.concat(text.basename(project), F.lit(" — "), times.month_day(at_s))
+    told = lambda value, least: F.when(F.length(F.trim(value)) > least, text.cut_at_word(F.trim(value), 80))
+    return F.coalesce(told(prompt, 5), told(title, 3), day)
+
+
+def session_names(sessions: DataFrame, runs: DataFrame, obs: DataFrame, now_s: int) -> DataFrame:
+    """``id, name`` of sessions ``id, project``, from their first run and best observation."""
+    prompts = runs.groupBy(F.col("session_id").alias("id")).agg(F.min_by("prompt", F.struct("started_s", "id")).alias("prompt"))
+    shown = obs.where("obs_type <> 'conversation'").groupBy(F.col("session_id").alias("id")).agg(F.min_by("title", F.struct((-F.col("importance")).alias("i"), "ts_us", "id")).alias("title"))
+    both = sessions.select("id", "project").join(prompts, "id", "left").join(shown, "id", "left")
+    return both.select("id", session_name(F.col("prompt"), F.col("title"), F.col("project"), F.lit(now_s)).alias("name"))
+
+
+def uncommitted_decay(memory: DataFrame, touched: DataFrame, commits: DataFrame, now_s: int, days: int = 60) -> DataFrame:
+    """``id, forget_s`` of memories with files that uncommitted runs wrote and no commit of their project changed.
+
+    ``touched`` and ``commits`` have ``project, file``; memories have ``files``.
+    """
+    files = memory.select("id", "project", F.explode(F.array_distinct("files")).alias("file"))
+    safe = files.join(commits.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id").distinct()
+    hit = files.join(touched.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id").distinct()
+    return hit.join(safe, "id", "left_anti").select("id", F.lit(now_s + days * 86_400).cast("long").alias("forget_s"))
+
+
+def strengthened_by(memory: DataFrame, commits: DataFrame) -> DataFrame:
+    """Memories after commits ``project, files``: those of the project that share a file grow stronger, once."""
+    from memspan.functions import scores
+
+    changed = commits.select("project", F.explode("files").alias("file")).distinct()
+    hit = memory.select("id", "project", F.explode("files").alias("file")).join(changed, ["project", "file"], "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
+    return memory.join(hit, "id", "left").withColumn("strength", F.when(F.col("_hit"), scores.strengthened(F.col("strength"))).otherwise(F.col("strength"))).drop("_hit")
+
+
 def joined_top(df: DataFrame, group: list[str], value: str, order: list[Column], limit: int, separator: str, name: str) -> DataFrame:
     """The values of a group's first rows, joined; groups keep no more than ``limit`` rows before they are collected."""
     window = Window.partitionBy(*group).orderBy(*order)
@@ -103,7 +187,22 @@ def covered(plans: DataFrame, commits: DataFrame, least: float = 0.8) -> DataFra
 
 
 def entities(records: DataFrame) -> DataFrame:
-    """``kind, name, project`` with count and first and last time; a record counts a name once."""
-    kinds = F.array(*(F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.transform(column, fold)).alias("names")) for kind, column, fold in (("file", "files", lambda x: x), ("concept", "keywords", lambda x: F.lower(F.trim(x))))))
-    named = records.select("project", "at_s", F.explode(kinds).alias("k")).select("project", "at_s", "k.kind", F.explode("k.names").alias("name")).where("name <> ''")
+    """``kind, name, project`` with count and first and last time; a record counts a name once.
+
+    Files and lower-cased keywords, and of records with a ``text`` its symbols and error codes.
+    """
+    from memspan.functions import text
+
+    plain = lambda names: F.array_distinct(F.coalesce(names, F.array().cast("array<string>")))
+    kinds = {"file": plain(F.col("files")), "concept": plain(F.transform("keywords", lambda x: F.lower(F.trim(x))))}
+    if "text" in records.columns:
+        kinds |= {"symbol": plain(text.symbols(F.col("text"))), "error": plain(text.error_codes(F.col("text")))}
+    listed = F.array(*(F.struct(F.lit(kind).alias("kind"), names.alias("names")) for kind, names in kinds.items()))
+    named = records.select("project", "at_s", F.explode(listed).alias("k")).select("project", "at_s", "k.kind", F.explode("k.names").alias("name")).where("name <> ''")
     return named.groupBy("kind", "name", "project").agg(F.count(F.lit(1)).alias("n"), F.min("at_s").alias("first_s"), F.max("at_s").alias("last_s"))
+
+
+def entities_merged(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Entities after those of new records: counts add up, times widen."""
+    both = known.select(fresh.columns).unionByName(fresh)
+    return both.groupBy("kind", "name", "project").agg(F.sum("n").alias("n"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"))

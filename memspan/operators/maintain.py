@@ -60,6 +60,16 @@ def clusters(memory: DataFrame, newest: int = 100, least: float = 0.4, smallest:
     return members.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(greedy, "cluster long, id long")
 
 
+def superseded(memory: DataFrame, newer: DataFrame) -> DataFrame:
+    """Memories after newer ones ``id`` took the place of ``older``: the old is no longer the latest, the new one tells what it supersedes."""
+    old = newer.groupBy(F.col("older").alias("id")).agg(F.min("id").alias("_by"))
+    new = newer.groupBy("id").agg(F.array_sort(F.collect_set("older")).alias("_of"))
+    joined = memory.join(old, "id", "left").join(new, "id", "left")
+    known = F.coalesce(F.col("supersedes"), F.array().cast("array<bigint>")) if "supersedes" in memory.columns else F.array().cast("array<bigint>")
+    changed = {"is_latest": F.col("is_latest") & F.col("_by").isNull(), "superseded_by": F.col("_by"), "supersedes": F.array_union(known, F.coalesce("_of", F.array().cast("array<bigint>")))}
+    return joined.withColumns(changed).drop("_by", "_of")
+
+
 def to_forget(memory: DataFrame, obs: DataFrame, now_s: int) -> DataFrame:
     """``action, id`` of everything that garbage collection would remove or mark."""
     expired = memory.where(F.col("forget_s") < now_s).select(F.lit("expired").alias("action"), "id")

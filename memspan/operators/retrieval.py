@@ -1,67 +1,46 @@
-"""Ranking: BM25, nearest vectors, rank fusion, boosts, diversification, graph expansion."""
+"""Searches: ranks of full text and nearest vectors, fused, boosted, diversified and expanded along edges.
+
+Full text is that of stored indexes (``textindex``) of memories' titles and contents,
+observations' titles and narratives, and runs' prompts and lessons.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memspan.functions import scores, text
-
-K1, B = 1.2, 0.75
-
-
-def query_terms(query: str) -> list[str]:
-    """Distinct terms of a query, in order."""
-    return list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))
-
-
-def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """An inverted index ``term, id, tf``: write it bucketed by term where many queries follow."""
-    counted = docs.select(F.col(id_col).alias("id"), F.explode(text.tokens(F.col(text_col))).alias("term"))
-    return counted.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"))
+from memspan.operators.textindex import TextIndex
 
 
-def term_table(docs: DataFrame, id_col: str, text_col: str, terms: Sequence[str]) -> DataFrame:
-    """``id``, ``dl`` and a ``tf<i>`` for each term, in one pass over the text column and without a shuffle."""
-    tokens = F.coalesce(text.tokens(F.col(text_col)), F.array().cast("array<string>"))
-    # A lambda's variable and a generator keep the optimizer from tokenising once for each use.
-    count = lambda tk, term: F.size(F.filter(tk, lambda x: x == term)).cast("double")
-    counts = lambda tk: F.struct(F.size(tk).cast("double").alias("dl"), *(count(tk, term).alias(f"tf{i}") for i, term in enumerate(terms)))
-    counted = docs.select(F.col(id_col).alias("id"), F.explode_outer(F.transform(F.array(tokens), counts)).alias("m"))
-    return counted.select("id", "m.dl", *(f"m.tf{i}" for i in range(len(terms))))
+@dataclass(frozen=True)
+class Config:
+    """What of a hybrid search is on, and the constant of its rank fusion."""
 
+    vector: bool = True
+    recency_access: bool = True
+    graph: bool = True
+    diversify: bool = True
+    k: int = 10
 
-def bm25(docs: DataFrame, id_col: str, text_col: str, query: str, every: bool = False) -> DataFrame:
-    """``id, score`` of documents with any (or every) term of the query.
+    @classmethod
+    def without(cls, switches: str, k: int = 10) -> Config:
+        """All but what a list ``vector,recency,access,graph,diversify`` names."""
+        names = {"vector": "vector", "recency": "recency_access", "access": "recency_access", "recency+access": "recency_access", "graph": "graph", "diversify": "diversify"}
+        asked = [x.strip() for x in switches.split(",") if x.strip()]
+        if unknown := [x for x in asked if x not in names]:
+            raise ValueError(f"unknown switch {unknown[0]}: {', '.join(names)}")
+        return cls(**{names[x]: False for x in asked}, k=k)
 
-    Statistics are a scalar subquery over the same scan; no postings are exchanged.
-    """
-    terms = query_terms(query)
-    if not terms:
-        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
-    table = term_table(docs, id_col, text_col, terms)
-    stats = table.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"tf{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))))
-    stats = stats.select(F.struct("*").alias("s")).scalar()
-    norm = K1 * (1.0 - B + B * F.col("dl") / stats["avgdl"])
-    weights = []
-    for i in range(len(terms)):
-        tf, df = F.col(f"tf{i}"), stats[f"df{i}"]
-        weights.append(F.ln(1.0 + (stats["n"] - df + 0.5) / (df + 0.5)) * tf * (K1 + 1.0) / (tf + norm))
-    hits = [F.col(f"tf{i}") > 0 for i in range(len(terms))]
-    match = reduce((lambda a, b: a & b) if every else (lambda a, b: a | b), hits)
-    return table.where(match).select("id", reduce(lambda a, b: a + b, weights).alias("score"))
-
-
-def matches_all(docs: DataFrame, id_col: str, fields: Sequence[str], query: str) -> DataFrame:
-    """``id`` of documents of which one field holds every term."""
-    terms = F.lit(query_terms(query))
-    holds = [F.size(F.array_except(terms, F.coalesce(text.tokens(F.col(f)), F.array().cast("array<string>")))) == 0 for f in fields]
-    return docs.where(reduce(lambda a, b: a | b, holds)).select(F.col(id_col).alias("id"))
 
+def plain(query: str | None) -> bool:
+    """Whether a query asks for a plain listing."""
+    return query is None or query.strip() in ("", "*")
 
 def top(df: DataFrame, limit: int, score: str = "score", id_col: str = "id") -> DataFrame:
     """The best rows; unknown scores count as 0 and ties go to the smaller id."""
@@ -97,37 +76,74 @@ def first_of_each(results: DataFrame, keys: Sequence[str], limit: int) -> DataFr
     return top(results.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth"), limit)
 
 
-def boosted(fused: DataFrame, memory: DataFrame, now_s: int) -> DataFrame:
+def boosted(fused: DataFrame, memory: DataFrame, now_s: int, recency_access: bool = True) -> DataFrame:
     """Memories with their fused score times strength, recency and access."""
     age = scores.age_days(F.lit(now_s), F.col("created_s"))
-    score = scores.recency_access(F.col("score") * F.col("strength"), age, F.col("retrieval_count"))
-    return memory.join(fused, "id").withColumn("score", score)
+    score = F.col("score") * F.col("strength")
+    return memory.join(fused, "id").withColumn("score", scores.recency_access(score, age, F.col("retrieval_count")) if recency_access else score)
+
+
+def scoped(branch: DataFrame, scope: DataFrame) -> DataFrame:
+    """Hits within a scope of rows: before they are ranked, as ranks depend on it."""
+    return branch.join(scope.select("id"), "id", "left_semi")
 
 
-def search_memories(memory: DataFrame, query: str, limit: int, now_s: int, project: str | None = None, k: int = 10, vectors: DataFrame | None = None) -> DataFrame:
+def search_memories(memory: DataFrame, index: TextIndex, query: str, limit: int, now_s: int, project: str | None = None, vectors: DataFrame | None = None, config: Config = Config()) -> DataFrame:
     """Hybrid search of latest memories: BM25 of titles and contents, and vector ranks if given, fused and boosted."""
     scope = memory.where("is_latest")
     if project is not None:
         scope = scope.where(F.col("project") == project)
-    branches = [top(bm25(scope, "id", field, query), limit) for field in ("title", "content")]
-    if vectors is not None:
-        branches.append(vectors.join(scope.select("id"), "id", "left_semi"))
+    branches = [top(scoped(index.bm25(field, query), scope), limit) for field in ("title", "content")]
+    if vectors is not None and config.vector:
+        branches.append(scoped(vectors, scope))
     wide = scope.select("id", "project", "category", "title", "strength", "retrieval_count", "created_s")
-    found = boosted(fuse(branches, k, limit), wide, now_s)
+    found = boosted(fuse(branches, config.k, limit), wide, now_s, config.recency_access)
     return found.select("id", F.lit(None).cast("string").alias("session_id"), "title", F.concat(F.lit("memory:"), F.col("category")).alias("obs_type"), F.floor(10 * F.col("strength")).cast("int").alias("importance"), "score")
 
 
-def search_runs(runs: DataFrame, query: str, limit: int, k: int = 60, weight: float = 0.7) -> DataFrame:
+def listed_memories(memory: DataFrame, index: TextIndex, query: str | None, limit: int = 50, project: str | None = None, category: str | None = None) -> DataFrame:
+    """``id, score``: latest memories of a project or all projects, by the sum of both fields' scores if every term matches, or newest first."""
+    wanted = [F.col("is_latest")]
+    if project is not None:
+        wanted.append(F.col("project").isin(project, "global"))
+    if category is not None:
+        wanted.append(F.col("category") == category)
+    scope = memory.where(reduce(lambda a, b: a & b, wanted))
+    if plain(query):
+        return scope.orderBy(F.desc("created_s"), "id").limit(limit).select("id", F.lit(0.0).alias("score"))
+    title, content = (index.bm25(field, query, every=True).withColumnRenamed("score", field) for field in ("title", "content"))
+    both = title.join(content, "id", "full").select("id", (F.coalesce("title", F.lit(0.0)) + F.coalesce("content", F.lit(0.0))).alias("score"))
+    return top(scoped(both, scope), limit)
+
+
+def listed_observations(obs: DataFrame, index: TextIndex, query: str | None, limit: int = 100, session: int | None = None) -> DataFrame:
+    """Observations of which one field holds every term of the query, newest first; all of them without a query."""
+    scope = obs if session is None else obs.where(F.col("session_id") == session)
+    found = scope if plain(query) else scope.join(index.matching(["title", "narrative"], query), "id", "left_semi")
+    return found.orderBy(F.desc("ts_us"), "id").limit(limit)
+
+
+def listed_runs(runs: DataFrame, index: TextIndex, query: str | None, limit: int = 20, project: str | None = None) -> DataFrame:
+    """Runs by fused ranks of prompt and lesson, or the newest ones."""
+    scope = runs if project is None else runs.where(F.col("project") == project)
+    if plain(query):
+        return scope.orderBy(F.desc("started_s"), "id").limit(limit).withColumn("score", F.lit(0.0))
+    fused = fuse([top(scoped(index.bm25(field, query), scope), limit) for field in ("prompt", "lesson")], 60, limit)
+    return scope.join(fused, "id").orderBy(F.desc("score"), "id")
+
+
+def search_runs(runs: DataFrame, index: TextIndex, query: str, limit: int, k: int = 60, weight: float = 0.7) -> DataFrame:
     """Closed runs with a lesson, by fused ranks of prompt and lesson."""
     closed = runs.where("ended_s is not null and lesson <> ''")
-    fused = fuse([top(bm25(closed, "id", field, query), limit) for field in ("prompt", "lesson")], k, limit)
+    fused = fuse([top(scoped(index.bm25(field, query), closed), limit) for field in ("prompt", "lesson")], k, limit)
     found = closed.select("id", "session_id", "prompt", "outcome").join(fused, "id")
     return found.select("id", F.col("session_id").cast("string").alias("session_id"), text.cut(F.col("prompt"), 80).alias("title"), F.concat(F.lit("run:task:"), F.col("outcome")).alias("obs_type"), F.lit(5).alias("importance"), (F.col("score") * weight).alias("score"))
 
 
-def search_observations(obs: DataFrame, query: str, limit: int, k: int, vectors: DataFrame | None = None, project: str | None = None) -> DataFrame:
+def search_observations(obs: DataFrame, index: TextIndex, query: str, limit: int, k: int, vectors: DataFrame | None = None, project: str | None = None) -> DataFrame:
     scope = obs if project is None else obs.where(F.col("project") == project)
-    branches = [top(bm25(scope, "id", field, query), limit) for field in ("title", "narrative")]
+    hits = [index.bm25(field, query) for field in ("title", "narrative")]
+    branches = [top(b if project is None else scoped(b, scope), limit) for b in hits]
     if vectors is not None:
         branches.append(vectors)
     found = scope.select("id", "session_id", "title", "obs_type", "importance").join(fuse(branches, k, limit), "id")
@@ -139,8 +155,17 @@ def tagged(results: DataFrame, table: str) -> DataFrame:
     return results.withColumn("id", F.concat(F.lit(f"{table}:"), F.col("id").cast("string")))
 
 
-def search_text(obs: DataFrame, memory: DataFrame, query: str, limit: int, now_s: int) -> DataFrame:
-    both = tagged(search_observations(obs, query, limit, 60), "observation").unionByName(tagged(search_memories(memory, query, limit, now_s), "memory"))
+@dataclass(frozen=True)
+class Indexes:
+    """The indexes that searches over several tables read."""
+
+    observation: TextIndex
+    memory: TextIndex
+    run: TextIndex
+
+
+def search_text(obs: DataFrame, memory: DataFrame, indexes: Indexes, query: str, limit: int, now_s: int) -> DataFrame:
+    both = tagged(search_observations(obs, indexes.observation, query, limit, 60), "observation").unionByName(tagged(search_memories(memory, indexes.memory, query, limit, now_s), "memory"))
     return top(both, limit)
 
 
@@ -148,27 +173,31 @@ def search_hybrid(
     obs: DataFrame,
     memory: DataFrame,
     runs: DataFrame,
+    indexes: Indexes,
     query: str,
     limit: int,
     now_s: int,
-    k: int = 10,
     edges: DataFrame | None = None,
     memory_vectors: DataFrame | None = None,
     obs_vectors: DataFrame | None = None,
-    per_session: int | None = 3,
+    project: str | None = None,
+    config: Config = Config(),
 ) -> DataFrame:
-    """Observations, memories and half as many runs on one scale; expanded along edges and diversified."""
-    found = tagged(search_observations(obs, query, limit, k, obs_vectors), "observation")
-    found = found.unionByName(tagged(search_memories(memory, query, limit, now_s, k=k, vectors=memory_vectors), "memory"))
-    found = top(found.unionByName(tagged(search_runs(runs, query, limit // 2), "run")), limit)
-    if edges is not None:
-        found = top(expand(found, edges, memory, now_s), limit)
-    return diversify(found, per_session) if per_session else found
-
-
-def expand(results: DataFrame, edges: DataFrame, memory: DataFrame, now_s: int, damping: float = 0.5) -> DataFrame:
-    """Adds latest memories that memory hits point to, scored by the best edge."""
-    seeds = results.where(F.col("obs_type").startswith("memory:")).select(F.regexp_extract("id", "[^:]*$", 0).cast("long").alias("src"), "score")
+    """Observations, memories and half as many runs on one scale; expanded along edges and diversified.
+
+    Memories alone are scoped by the project. The vector switch concerns memories alone.
+    """
+    found = tagged(search_observations(obs, indexes.observation, query, limit, config.k, obs_vectors), "observation")
+    found = found.unionByName(tagged(search_memories(memory, indexes.memory, query, limit, now_s, project, memory_vectors, config), "memory"))
+    found = top(found.unionByName(tagged(search_runs(runs, indexes.run, query, limit // 2), "run")), limit)
+    if edges is not None and config.graph:
+        found = top(expand(found, edges, memory, now_s, limit=limit), limit)
+    return diversify(found) if config.diversify else found
+
+
+def expand(results: DataFrame, edges: DataFrame, memory: DataFrame, now_s: int, damping: float = 0.5, limit: int = 100) -> DataFrame:
+    """Adds latest memories that memory hits, the best ``limit`` of them, point to, scored by the best edge."""
+    seeds = top(results, limit).where(F.col("obs_type").startswith("memory:")).select(F.regexp_extract("id", "[^:]*$", 0).cast("long").alias("src"), "score")
     out = edges.where(F.col("relation").isin("similar_to", "elaborates")).join(F.broadcast(seeds), "src")
     best = out.groupBy("dst").agg(F.max(F.struct((F.col("score") * damping * F.col("edge_score")).alias("s"), "relation", "via")).alias("b"))
     fresh = best.join(results.select(F.regexp_extract("id", "[^:]*$", 0).cast("long").alias("dst")), "dst", "left_anti")
@@ -201,5 +230,27 @@ def rerank(results: DataFrame, score: Column, top_n: int = 20) -> DataFrame:
 
 def overlap_score(query: str, document: Column) -> Column:
     """An offline scorer: the share of the query's terms that a document holds."""
-    terms = F.lit(query_terms(query))
-    return F.size(F.array_intersect(terms, text.tokens(document))) / F.size(terms)
+    asked = F.lit(list(dict.fromkeys(_tokens(query))))
+    return F.size(F.array_intersect(asked, text.tokens(document))) / F.size(asked)
+
+
+def _tokens(query: str) -> list[str]:
+    return regex.findall(text.TOKEN, query.lower())
+
+
+def listwise(results: DataFrame, memory: DataFrame, query: str, model: Callable[[str], str], top_n: int = 20) -> DataFrame:
+    """The first memory rows in the order that a language model tells; unchanged if there are under two, or its reply is no order of them.
+
+    The prompt has the few rows' titles and first 240 characters; results are a stated top.
+    """
+    few = top(results.where(F.col("obs_type").startswith("memory:")), top_n)
+    told = few.join(memory.select(F.concat(F.lit("memory:"), F.col("id").cast("string")).alias("id"), "content"), "id")
+    rows = top(told, top_n).select(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "id", "title", "content").alias("r")).agg(F.collect_list("r").alias("l"))
+    ordered = F.sort_array("l")
+    asked = rows.select(ordered["id"].alias("ids"), text.listwise_prompt(query, ordered["title"], ordered["content"]).alias("prompt")).head()
+    if len(asked["ids"]) < 2:
+        return results
+    reply = results.sparkSession.createDataFrame([(asked["ids"], model(asked["prompt"]))], "ids array<string>, reply string")
+    order = F.from_json(text.json_slice(F.col("reply")), "`order` array<int>")["order"]
+    given = reply.select("ids", F.explode(text.permutation_scores(order, F.size("ids"))).alias("x")).select(F.get("ids", F.col("x.item")).alias("id"), F.col("x.score").alias("told"))
+    return results.join(F.broadcast(given), "id", "left").withColumn("score", F.coalesce("told", "score")).drop("told")

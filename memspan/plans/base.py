@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspan.functions import hooks, scores, text
+from memspan.functions import hooks, scores, text, times
 from memspan.plans.book import Book, r6
 from memspan.plans.lens import NOW, Lens
 
@@ -136,7 +136,7 @@ def _(t: Lens) -> DataFrame:
     return named.groupBy("h").agg(F.count(F.lit(1)).alias("n")).select("h", hooks.event_name(F.col("h")).alias("event"), "n")
 
 
-_TOOL = "json_extract_string(data, '$.tool_name')"
+_TOOL = "coalesce(json_extract_string(data, '$.tool_name'), 'unknown')"
 _PATH = "json_extract_string(data, '$.tool_input.file_path')"
 _COMMAND = "json_extract_string(data, '$.tool_input.command')"
 _OUTPUT = "json_extract_string(data, '$.tool_output')"
@@ -161,13 +161,14 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "build_title",
-    f"""WITH h AS (SELECT id, {_TOOL} AS tool, {_PATH} AS p, {_COMMAND} AS c FROM hook),
+    f"""WITH h AS (SELECT id, hook, json_extract_string(data, '$.prompt') AS q, {_TOOL} AS tool, {_PATH} AS p, {_COMMAND} AS c FROM hook),
         l AS (SELECT *, coalesce(list_filter(list_transform(string_split(c, chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '#'))[1], c) AS line FROM h)
-        SELECT id, CASE WHEN tool = 'Bash' AND c <> '' THEN tool || ': ' || trim(CASE WHEN strpos(line, '|') BETWEEN 1 AND 80 THEN substring(line, 1, strpos(line, '|') - 1) ELSE substring(line, 1, 80) END)
+        SELECT id, CASE WHEN hook = 'prompt_submit' THEN 'Prompt' || CASE WHEN q = '' THEN '' WHEN length(q) > 60 THEN ': ' || substring(q, 1, 60) || '…' ELSE ': ' || q END
+               WHEN tool = 'Bash' AND c <> '' THEN tool || ': ' || trim(CASE WHEN strpos(line, '|') BETWEEN 1 AND 80 THEN substring(line, 1, strpos(line, '|') - 1) ELSE substring(line, 1, 80) END)
                WHEN p <> '' THEN tool || ': ' || string_split(p, '/')[-1] ELSE tool || ' call' END AS title FROM l""",
 )
 def _(t: Lens) -> DataFrame:
-    return t.hook.select("id", hooks.title(hooks.tool_name(F.col("data")), F.col("data")).alias("title"))
+    return t.hook.select("id", hooks.title(hooks.tool_name(F.col("data")), F.col("hook"), F.col("data")).alias("title"))
 
 
 @BOOK.add(
@@ -197,7 +198,7 @@ def _(t: Lens) -> DataFrame:
     return t.hook.select("id", F.array_join(hooks.facts(hooks.tool_name(F.col("data")), F.col("data")), ";").alias("facts"))
 
 
-@BOOK.add("dedup_hash", f"SELECT id, sha256(CAST(session_id AS VARCHAR) || ':' || CASE WHEN {_TOOL} = '' THEN 'unknown' ELSE {_TOOL} END || ':' || substring({_COMMAND}, 1, 500)) AS key FROM hook")
+@BOOK.add("dedup_hash", f"SELECT id, sha256(CAST(session_id AS VARCHAR) || ':' || {_TOOL} || ':' || substring({_COMMAND}, 1, 500)) AS key FROM hook")
 def _(t: Lens) -> DataFrame:
     command = F.get_json_object(hooks.tool_input(F.col("data")), "$.command")
     return t.hook.select("id", hooks.dedup_key(F.col("session_id"), hooks.tool_name(F.col("data")), command).alias("key"))
@@ -311,7 +312,52 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "observe_compress",
-    "SELECT id, hook, importance FROM (SELECT id, hook, CASE hook WHEN 'post_tool_failure' THEN 7 WHEN 'prompt_submit' THEN 4 ELSE CASE tool WHEN 'Write' THEN 6 WHEN 'Edit' THEN 6 WHEN 'Bash' THEN 5 WHEN 'Read' THEN 2 WHEN 'Grep' THEN 2 ELSE 3 END END AS importance FROM hook)",
+    f"""WITH h AS (SELECT id, hook, {_TOOL} AS tool, {_PATH} AS p, {_COMMAND} AS c, {_OUTPUT} AS o, json_extract_string(data, '$.prompt') AS q FROM hook)
+        SELECT id, hook, tool, CASE tool WHEN 'Read' THEN 'file_read' WHEN 'Write' THEN 'file_write' WHEN 'Edit' THEN 'file_edit' WHEN 'Bash' THEN 'command_run' WHEN 'Grep' THEN 'search'
+                 ELSE CASE hook WHEN 'post_tool_failure' THEN 'error' WHEN 'prompt_submit' THEN 'conversation' WHEN 'task_completed' THEN 'task' ELSE 'other' END END AS obs_type,
+               CASE hook WHEN 'post_tool_failure' THEN 7 WHEN 'prompt_submit' THEN 4 ELSE CASE tool WHEN 'Write' THEN 6 WHEN 'Edit' THEN 6 WHEN 'Bash' THEN 5 WHEN 'Read' THEN 2 WHEN 'Grep' THEN 2 ELSE 3 END END AS importance,
+               CASE WHEN hook = 'prompt_submit' THEN 'Prompt: ' || q WHEN tool = 'Bash' THEN '-' WHEN p <> '' THEN tool || ': ' || string_split(p, '/')[-1] ELSE tool || ' call' END AS title,
+               CASE WHEN p = '' THEN lower(tool) ELSE array_to_string([string_split(p, '/')[4], 'core', 'rs', lower(tool)], ',') END AS keywords, 0.5::DOUBLE AS confidence FROM h""",
 )
 def _(t: Lens) -> DataFrame:
-    return hooks.observed(t.hook.drop("tool")).select("id", "hook", "importance")
+    rows = hooks.observed(t.hook.drop("tool"))
+    title = F.when((F.col("tool") == "Bash") & (F.col("hook") != "prompt_submit"), F.lit("-")).otherwise(F.col("title"))
+    return rows.select("id", "hook", "tool", "obs_type", "importance", title.alias("title"), F.array_join("keywords", ",").alias("keywords"), "confidence")
+
+
+
+
+@BOOK.add(
+    "rfc3339_age",
+    f"SELECT id, CASE WHEN id % 5 = 0 THEN 1.0::DOUBLE WHEN id % 5 = 1 THEN round(({NOW} - epoch(CAST('2024-05-2' || CAST(id % 10 AS VARCHAR) || ' 08:11:12' AS TIMESTAMP)))::DOUBLE / 86400, 6) ELSE 0.0::DOUBLE END AS age FROM memory",
+)
+def _(t: Lens) -> DataFrame:
+    kind = F.col("id") % 5
+    local = F.concat(F.lit("2024-05-2"), (F.col("id") % 10).cast("string"), F.lit("T10:11:12.5+02:00"))
+    told = F.when(kind == 0, "2024-05-31T00:00:00Z").when(kind == 1, local).when(kind == 2, "yesterday").when(kind == 3, "2031-01-01T00:00:00Z")
+    return t.memory.select("id", r6(times.age_of(told, F.lit(NOW))).alias("age"))
+
+
+@BOOK.add("month_day", "SELECT id, strftime(make_timestamp(created_s * 1000000), '%b %d') AS day FROM memory")
+def _(t: Lens) -> DataFrame:
+    return t.memory.select("id", times.month_day(F.col("created_s")).alias("day"))
+
+
+@BOOK.add(
+    "plan_capture",
+    "SELECT id, title, 'src/a' || CAST(id AS VARCHAR) || '.rs,docs/b.md' AS files, 'src/a' || CAST(id AS VARCHAR) || '.rs,docs/b.md,first-steps-' || CAST(id AS VARCHAR) || ',then-more' AS keywords FROM plan",
+)
+def _(t: Lens) -> DataFrame:
+    n = F.col("id").cast("string")
+    body = F.concat(F.lit("# "), "title", F.lit("\nuse src/a"), n, F.lit(".rs and docs/b.md, then src/a"), n, F.lit(".rs\n## First Steps: "), n, F.lit("\nx\n## Then, more!\n## ab\n"))
+    return t.plan.select("id", text.plan_title(body, F.lit("none")).alias("title"), F.array_join(text.plan_files(body), ",").alias("files"), F.array_join(text.plan_keywords(body), ",").alias("keywords"))
+
+
+@BOOK.add(
+    "listwise_prompt",
+    """SELECT conv_id, 'Query: "q"' || chr(10) || chr(10) || 'Documents:' || chr(10) || string_agg(CAST(turn AS VARCHAR) || '. ' || role || ' — ' || substring(text, 1, 240) || chr(10), '' ORDER BY turn) || chr(10)
+       || 'Respond with strict JSON: {"order": [indices 0..' || CAST(count(*) - 1 AS VARCHAR) || ', each exactly once, best first]}' AS prompt FROM turns GROUP BY conv_id HAVING count(*) = max(turn) + 1""",
+)
+def _(t: Lens) -> DataFrame:
+    turns = t.turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("l"), F.max("turn").alias("last")).where("size(l) = last + 1")
+    return turns.select("conv_id", text.listwise_prompt("q", F.transform("l", lambda x: x["role"]), F.transform("l", lambda x: x["text"])).alias("prompt"))

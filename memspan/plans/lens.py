@@ -34,7 +34,7 @@ VIEWS = {
         FROM ev""",
     "hook": """
         SELECT event_id AS id, user_id AS session_id, project, ts_us, hook, tool,
-               '{"tool_name":"' || tool || '","tool_input":{"file_path":"' || path || '","command":"' || command || '"},"tool_output":"' || output || '","prompt":"' || prompt || '"}' AS data
+               '{' || CASE WHEN tool = '' THEN '' ELSE '"tool_name":"' || tool || '",' END || '"tool_input":{"file_path":"' || path || '","command":"' || command || '"},"tool_output":"' || output || '","prompt":"' || prompt || '"}' AS data
         FROM (
           SELECT *, CASE event_type WHEN 'signup' THEN 'prompt_submit' WHEN 'purchase' THEN 'task_completed' WHEN 'error' THEN 'post_tool_failure' ELSE 'post_tool_use' END AS hook,
                  CASE WHEN event_type = 'error' THEN 'Bash' WHEN event_type = 'view' AND k % 3 = 0 THEN 'Read' WHEN event_type = 'view' THEN 'Grep'

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memspan.functions import scores
 from memspan.operators import lifecycle as L
 from memspan.operators import maintain as M
+from memspan.operators import plans as P
 from memspan.plans.book import Book, r6
 from memspan.plans.graphs import tagged
 from memspan.plans.lens import NOW, Lens
@@ -79,27 +80,19 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "session_name",
-    "SELECT session_id, coalesce(max(CASE WHEN kind = 1 AND nth = 1 AND length(title) > 5 THEN title END), max(CASE WHEN kind = 2 AND nth = 1 THEN title END), max(project)) AS name FROM (SELECT session_id, project, title, kind, row_number() OVER (PARTITION BY session_id, kind ORDER BY CASE WHEN kind = 2 THEN -importance END, ts_us, id) AS nth FROM (SELECT *, CASE WHEN obs_type = 'conversation' THEN 1 ELSE 2 END AS kind FROM observation)) GROUP BY session_id",
+    f"""WITH p AS (SELECT session_id * 3 AS id, arg_min(prompt, started_s * 100000 + id) AS prompt FROM run GROUP BY session_id), b AS (SELECT session_id AS id, arg_min(title, -importance * 1000000000000000000::HUGEINT + ts_us::HUGEINT) AS title FROM observation WHERE obs_type <> 'conversation' AND session_id % 2 = 0 GROUP BY session_id)
+        SELECT s.id, CASE WHEN length(trim(p.prompt)) > 80 THEN (CASE WHEN length(regexp_extract(substring(trim(p.prompt), 1, 80), '(?s)^(.*)\\s', 1)) > 40 THEN regexp_extract(substring(trim(p.prompt), 1, 80), '(?s)^(.*)\\s', 1) ELSE substring(trim(p.prompt), 1, 80) END) || '…'
+               WHEN length(trim(p.prompt)) > 5 THEN trim(p.prompt) WHEN length(trim(b.title)) > 3 THEN trim(b.title) ELSE 'app — ' || strftime(make_timestamp({NOW}000000), '%b %d') END AS name
+        FROM session s LEFT JOIN p ON p.id = s.id LEFT JOIN b ON b.id = s.id""",
 )
 def _(t: Lens) -> DataFrame:
-    rows = t.observation.select("session_id", "project", "title", "importance", "ts_us", "id", "obs_type")
-    talk = F.col("obs_type") == "conversation"
-    prompt = F.min_by(F.when(F.length("title") > 5, F.col("title")), F.when(talk, F.struct("ts_us", "id")))
-    best = F.min_by("title", F.when(~talk, F.struct((-F.col("importance")).alias("i"), "ts_us", "id")))
-    return rows.groupBy("session_id").agg(prompt.alias("p"), best.alias("b"), F.max("project").alias("d")).select("session_id", F.coalesce("p", "b", "d").alias("name"))
+    runs = t.run.withColumn("session_id", F.col("session_id") * 3)
+    sessions = t.session.select("id", F.lit("/home/dev/app").alias("project"))
+    return L.session_names(sessions, runs, t.observation.where("session_id % 2 = 0"), NOW)
 
 
 @BOOK.add(
     "open_run_asof",
-    "WITH p AS (SELECT id, session_id % 20 AS session_id, 1717100000 + id * 37 AS at_s FROM observation WHERE id < 3000) SELECT id, CASE WHEN ended_s IS NULL OR at_s < ended_s THEN run_id END AS span_id FROM (SELECT p.id, p.at_s, r.id AS run_id, r.ended_s, row_number() OVER (PARTITION BY p.id ORDER BY r.started_s DESC, r.id DESC) AS nth FROM p LEFT JOIN run r ON r.session_id = p.session_id AND r.started_s <= p.at_s) WHERE nth = 1",
-)
-def _(t: Lens) -> DataFrame:
-    points = t.observation.where("id < 3000").select("id", (F.col("session_id") % 20).alias("session_id"), (F.lit(1_717_100_000) + F.col("id") * 37).alias("at_s"))
-    return L.open_at(points, t.run.select("id", "session_id", "started_s", "ended_s"), "session_id", "at_s")
-
-
-@BOOK.add(
-    "open_run_asof_all",
     "WITH p AS (SELECT id, session_id % 20 AS session_id, 1717100000 + id * 37 AS at_s FROM observation) SELECT id, CASE WHEN ended_s IS NULL OR at_s < ended_s THEN run_id END AS span_id FROM (SELECT p.id, p.at_s, r.id AS run_id, r.ended_s, row_number() OVER (PARTITION BY p.id ORDER BY r.started_s DESC, r.id DESC) AS nth FROM p LEFT JOIN run r ON r.session_id = p.session_id AND r.started_s <= p.at_s) WHERE nth = 1",
 )
 def _(t: Lens) -> DataFrame:
@@ -130,14 +123,12 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "uncommitted_decay",
-    f"WITH touched AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'file_edit' AND id % 3 = 0), safe AS (SELECT DISTINCT kw2 AS w FROM observation WHERE obs_type = 'task' AND id % 40 = 1), m AS (SELECT id, 'k' || CAST(id % 120 AS VARCHAR) AS w FROM memory) SELECT m.id, CAST({NOW} + 60 * 86400 AS BIGINT) AS forget_s FROM m WHERE m.w IN (SELECT w FROM touched) AND m.w NOT IN (SELECT w FROM safe)",
+    f"""WITH m AS (SELECT id, 'proj' || CAST(id % 5 AS VARCHAR) AS project, unnest(['src/m' || CAST(id % 20 AS VARCHAR) || '.rs', 'x']) AS file FROM memory), w AS (SELECT DISTINCT project, file FROM observation WHERE obs_type = 'file_edit' AND id % 3 = 0), c AS (SELECT DISTINCT project, file FROM observation WHERE obs_type = 'task' AND id % 40 = 1)
+        SELECT DISTINCT id, CAST({NOW} + 60 * 86400 AS BIGINT) AS forget_s FROM m WHERE (project, file) IN (SELECT project, file FROM w) AND id NOT IN (SELECT id FROM m WHERE (project, file) IN (SELECT project, file FROM c))""",
 )
 def _(t: Lens) -> DataFrame:
-    touched = t.observation.where("obs_type = 'file_edit' and id % 3 = 0").select(F.col("kw2").alias("w")).distinct()
-    safe = t.observation.where("obs_type = 'task' and id % 40 = 1").select(F.col("kw2").alias("w")).distinct()
-    memories = t.memory.select("id", F.concat(F.lit("k"), (F.col("id") % 120).cast("string")).alias("w"))
-    hit = memories.join(touched, "w", "left_semi").join(safe, "w", "left_anti")
-    return hit.select("id", F.lit(NOW + 60 * scores.DAY).cast("long").alias("forget_s"))
+    memory = t.memory.select("id", F.concat(F.lit("proj"), (F.col("id") % 5).cast("string")).alias("project"), F.array(F.concat(F.lit("src/m"), (F.col("id") % 20).cast("string"), F.lit(".rs")), F.lit("x")).alias("files"))
+    return L.uncommitted_decay(memory, t.observation.where("obs_type = 'file_edit' and id % 3 = 0"), t.observation.where("obs_type = 'task' and id % 40 = 1"), NOW)
 
 
 @BOOK.add(
@@ -158,11 +149,11 @@ def _(t: Lens) -> DataFrame:
     return core.select("project", F.array_join("goals", ",").alias("goals"), F.array_join("watchlist", ",").alias("watchlist"))
 
 
-@BOOK.add("supersede", "SELECT id, id % 11 <> 0 AND id % 17 <> 3 AS is_latest, CASE WHEN id % 17 = 3 THEN id + 1 END AS superseded_by FROM memory")
+@BOOK.add("supersede", "SELECT id, id % 11 <> 0 AND id % 17 <> 3 AS is_latest, CASE WHEN id % 17 = 3 THEN id + 1 END AS superseded_by, CASE WHEN id % 17 = 4 THEN CAST(id - 1 AS VARCHAR) ELSE '' END AS supersedes FROM memory")
 def _(t: Lens) -> DataFrame:
-    newer = t.memory.where("id % 17 = 3").select("id", (F.col("id") + 1).alias("superseded_by"))
-    joined = t.memory.select("id", "is_latest").join(newer, "id", "left")
-    return joined.select("id", (F.col("is_latest") & F.col("superseded_by").isNull()).alias("is_latest"), "superseded_by")
+    newer = t.memory.where("id % 17 = 3").select((F.col("id") + 1).alias("id"), F.col("id").alias("older"))
+    after = M.superseded(t.memory.select("id", "is_latest"), newer)
+    return after.select("id", "is_latest", "superseded_by", F.array_join(F.col("supersedes").cast("array<string>"), ",").alias("supersedes"))
 
 
 @BOOK.add("ttl_expired", f"SELECT id FROM memory WHERE forget_s IS NOT NULL AND forget_s < {NOW}")
@@ -177,7 +168,8 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add("low_value_obs", f"SELECT id FROM observation WHERE importance <= 2 AND at_s < {NOW} - 140 * 86400")
 def _(t: Lens) -> DataFrame:
-    return t.observation.where((F.col("importance") <= 2) & (F.col("at_s") < NOW - 140 * scores.DAY)).select("id")
+    # Asked 40 days later, when rows of 140 days before are 180 days old.
+    return M.to_forget(tagged(t).join(t.memory.select("id", "is_latest", "forget_s", "strength"), "id"), t.observation, NOW + 40 * scores.DAY).where("action = 'stale'").select("id")
 
 
 _RECENT = "SELECT * FROM memory ORDER BY created_s DESC, id LIMIT {}"
@@ -211,7 +203,16 @@ def _(t: Lens) -> DataFrame:
     return shared_tokens(recent, "keywords", 0.4).withColumn("jaccard", r6(F.col("jaccard")))
 
 
-@BOOK.add("reflect_clusters")
+@BOOK.add(
+    "reflect_clusters",
+    f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY created_s DESC, id) AS pos FROM ({_RECENT.format(100)})), k AS (SELECT pos, unnest([kw1, kw2, kw3]) AS w FROM r),
+        s AS (SELECT w FROM k GROUP BY w HAVING count(*) > (SELECT count(*) // 2 FROM r)), q AS (SELECT pos, w FROM k WHERE w NOT IN (SELECT w FROM s)), z AS (SELECT pos, count(*) AS n FROM q GROUP BY pos),
+        p AS (SELECT a, list(b ORDER BY b) AS near FROM (SELECT x.pos AS a, y.pos AS b, count(*) AS c FROM q x JOIN q y ON x.w = y.w AND x.pos < y.pos GROUP BY x.pos, y.pos) JOIN z za ON za.pos = a JOIN z zb ON zb.pos = b WHERE c / (za.n + zb.n - c)::DOUBLE >= 0.2 GROUP BY a),
+        g AS (SELECT 0::BIGINT AS pos, []::BIGINT[] AS taken, []::BIGINT[] AS found UNION ALL
+              SELECT m.pos, CASE WHEN m.ok THEN list_concat(m.taken, m.members) ELSE m.taken END, CASE WHEN m.ok THEN m.members ELSE []::BIGINT[] END FROM (SELECT *, NOT list_contains(taken, pos) AND len(members) >= 3 AS ok FROM (
+                SELECT g.pos + 1 AS pos, g.taken, list_concat([g.pos + 1], list_filter(coalesce(p.near, []::BIGINT[]), lambda x: NOT list_contains(g.taken, x))) AS members FROM g LEFT JOIN p ON p.a = g.pos + 1 WHERE g.pos < (SELECT count(*) FROM r))) m)
+        SELECT c.id AS cluster, m.id FROM (SELECT pos, unnest(found) AS member FROM g) u JOIN r c ON c.pos = u.pos JOIN r m ON m.pos = u.member""",
+)
 def _(t: Lens) -> DataFrame:
     return M.clusters(tagged(t), least=0.2)
 
@@ -221,10 +222,9 @@ def _(t: Lens) -> DataFrame:
     "WITH hit AS (SELECT DISTINCT m.id FROM (SELECT id, 'src/p' || CAST(id % 300 AS VARCHAR) AS file FROM memory) m JOIN commit_files c ON m.file = c.file AND c.commit_id % 100 = 1) SELECT m.id, round(CASE WHEN h.id IS NULL THEN strength ELSE least(strength * 1.15::DOUBLE, 1.0::DOUBLE) END, 6) AS strength FROM memory m LEFT JOIN hit h ON m.id = h.id",
 )
 def _(t: Lens) -> DataFrame:
-    files = t.memory.select("id", F.concat(F.lit("src/p"), (F.col("id") % 300).cast("string")).alias("file"))
-    hit = files.join(t.commit_files.where("commit_id % 100 = 1"), "file", "left_semi").select("id").distinct().withColumn("hit", F.lit(True))
-    joined = t.memory.select("id", "strength").join(hit, "id", "left")
-    return joined.select("id", r6(F.when(F.col("hit"), scores.strengthened(F.col("strength"))).otherwise(F.col("strength"))).alias("strength"))
+    memory = t.memory.select("id", F.lit("p").alias("project"), "strength", F.array(F.concat(F.lit("src/p"), (F.col("id") % 300).cast("string"))).alias("files"))
+    commits = t.commit_files.where("commit_id % 100 = 1").groupBy("commit_id").agg(F.collect_list("file").alias("files")).withColumn("project", F.lit("p"))
+    return L.strengthened_by(memory, commits).select("id", r6(F.col("strength")).alias("strength"))
 
 
 @BOOK.add("session_ensure", "SELECT user_id AS id, arg_min(event_type, ts_us) AS first_type, min(ts_us) AS started_us FROM ev GROUP BY user_id")
@@ -234,8 +234,7 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add("plan_complete", "SELECT id, CASE WHEN status = 'active' AND id % 5 = 0 THEN 'completed' ELSE status END AS status FROM plan")
 def _(t: Lens) -> DataFrame:
-    done = t.plan.where("status = 'active' and id % 5 = 0").select("id", F.lit("completed").alias("now"))
-    return t.plan.select("id", "status").join(done, "id", "left").select("id", F.coalesce("now", "status").alias("status"))
+    return P.status_set(t.plan.select("id", "status"), t.plan.where("status = 'active' and id % 5 = 0"), "completed")
 
 
 @BOOK.add("reindex_missing", "SELECT d.doc_id AS id FROM documents d WHERE d.doc_id NOT IN (SELECT vec_id FROM embeddings)")
@@ -252,4 +251,7 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add("stream_window_counts", "SELECT CAST(floor(ts_us / 3600000000) AS BIGINT) AS hour, event_type, count(*) AS n FROM ev GROUP BY hour, event_type")
 def _(t: Lens) -> DataFrame:
-    return t.ev.select(F.floor(F.col("ts_us") / 3_600_000_000).cast("long").alias("hour"), "event_type").groupBy("hour", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    from memspan.streaming.hooks import late_windows
+
+    rows = late_windows(t.ev.withColumn("ts", F.timestamp_micros("ts_us")), "ts")
+    return rows.select(F.floor(F.unix_seconds("start") / 3600).cast("long").alias("hour"), "event_type", "n")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memspan.functions.stem import stemmed_postings
-from memspan.operators import models
+from memspan.operators import graph, models
 from memspan.operators import plans as P
+from memspan.operators import provenance as V
 from memspan.operators import retrieval as R
 from memspan.plans.book import Book, r6
-from memspan.plans.graphs import tagged
+from memspan.operators.lifecycle import open_at
+from memspan.plans.graphs import OPEN_SQL, runs_with_recall, tagged
 from memspan.plans.lens import NOW, Lens
-from memspan.plans.searches import QUERY, memories_sql
+from memspan.plans.searches import QUERY, index_of, memories_sql
 
 BOOK = Book()
 
@@ -68,38 +69,36 @@ def _(t: Lens) -> DataFrame:
     return P.recorded(commits, t.commit_files, t.run.select("id", "session_id", "started_s", "ended_s")).select("id", "sha", "files", "run_id")
 
 
-@BOOK.add("commit_edges", "SELECT id AS src, id % 100 AS dst, 'generated_by' AS relation FROM commits UNION ALL SELECT plan_id, commit_id, 'implemented_by' FROM (SELECT p.plan_id, c.commit_id, count(*) AS n FROM (SELECT DISTINCT * FROM plan_files) p JOIN commit_files c ON p.file = c.file GROUP BY p.plan_id, c.commit_id) WHERE n = 2")
-def _(t: Lens) -> DataFrame:
-    made = t.commits.select(F.col("id").alias("src"), (F.col("id") % 100).alias("dst"), F.lit("generated_by").alias("relation"))
-    both = t.plan_files.distinct().join(t.commit_files, "file").groupBy("plan_id", "commit_id").agg(F.count(F.lit(1)).alias("n")).where("n = 2")
-    return made.unionByName(both.select(F.col("plan_id").alias("src"), F.col("commit_id").alias("dst"), F.lit("implemented_by").alias("relation")))
+_COMMITS = f"SELECT id, id % 20 AS session_id, {NOW} - 100000 + id % 90000 AS at_s FROM commits"
 
 
-@BOOK.add("informed_edges", f"SELECT x.id AS src, r.id AS dst, 'informed' AS relation, round(x.score, 6) AS edge_score FROM {memories_sql(QUERY, 20)} AS x JOIN (SELECT id FROM run WHERE ended_s IS NULL ORDER BY started_s DESC, id LIMIT 1) AS r ON TRUE")
+@BOOK.add(
+    "commit_edges",
+    f"""WITH o AS (SELECT id, run_id FROM ({OPEN_SQL.format(_COMMITS)}) WHERE run_id IS NOT NULL) SELECT 'commit:' || CAST(id AS VARCHAR) AS src, 'run:' || CAST(run_id AS VARCHAR) AS dst, 'generated_by' AS relation FROM o
+        UNION ALL SELECT 'plan:' || CAST(run_id % 10 AS VARCHAR), 'commit:' || CAST(id AS VARCHAR), 'implemented_by' FROM o""",
+)
 def _(t: Lens) -> DataFrame:
-    hits = R.search_memories(t.memory, QUERY, 20, NOW).select(F.col("id").alias("src"), "score")
-    newest = t.run.where("ended_s is null").orderBy(F.desc("started_s"), "id").limit(1).select("id").scalar()
-    return hits.select("src", newest.alias("dst"), F.lit("informed").alias("relation"), r6(F.col("score")).alias("edge_score"))
+    commits = t.commits.select("id", (F.col("id") % 20).alias("session_id"), (F.lit(NOW - 100_000) + F.col("id") % 90_000).alias("at_s"))
+    runs = runs_with_recall(t)
+    opened = open_at(commits, runs, "session_id", "at_s").withColumnRenamed("span_id", "run_id")
+    return V.commit_edges(opened, runs).select("src", "dst", "relation")
 
 
-@BOOK.add("motivated_edges", "SELECT DISTINCT m.id AS src, p.id AS dst, 'motivated' AS relation, 0.7::DOUBLE AS edge_score FROM plan p JOIN memory m ON (m.id = p.id * 3 OR m.id = p.id * 3 + 1) WHERE p.status = 'active'")
+@BOOK.add("informed_edges", f"SELECT 'memory:' || CAST(x.id AS VARCHAR) AS src, 'run:' || CAST(r.id AS VARCHAR) AS dst, 'informed' AS relation, round(x.score, 6) AS edge_score FROM {memories_sql(QUERY, 20)} AS x JOIN (SELECT id FROM run WHERE ended_s IS NULL ORDER BY started_s DESC, id LIMIT 1) AS r ON TRUE")
 def _(t: Lens) -> DataFrame:
-    recalled = t.plan.where("status = 'active'").select(F.col("id").alias("dst"), F.explode(F.array(F.col("id") * 3, F.col("id") * 3 + 1)).alias("src"))
-    return recalled.join(t.memory.select(F.col("id").alias("src")), "src", "left_semi").select("src", "dst", F.lit("motivated").alias("relation"), F.lit(0.7).alias("edge_score")).distinct()
+    hits = R.search_memories(t.memory, index_of(t, "memory"), QUERY, 20, NOW).select("id", "score")
+    newest = t.run.where("ended_s is null").orderBy(F.desc("started_s"), "id").limit(1).select("id").scalar()
+    return V.informed_edges(hits, newest).select("src", "dst", "relation", r6(F.col("edge_score")).alias("edge_score"))
 
 
-@BOOK.add("fetch_edges", "SELECT src, dst, relation, edge_score FROM edge WHERE (src IN (3, 5, 8) OR dst IN (3, 5, 8)) AND relation IN ('similar_to', 'mentions') AND edge_score >= 0.3")
+@BOOK.add("motivated_edges", "SELECT 'memory:' || CAST(r.id * 3 + i AS VARCHAR) AS src, 'plan:' || CAST(p.id AS VARCHAR) AS dst, 'motivated' AS relation, 0.7::DOUBLE AS edge_score FROM plan p JOIN run r ON r.id = p.id * 2, (VALUES (0), (1)) AS v(i)")
 def _(t: Lens) -> DataFrame:
-    wanted = [3, 5, 8]
-    near = F.col("src").isin(wanted) | F.col("dst").isin(wanted)
-    return t.edge.where(near & F.col("relation").isin("similar_to", "mentions") & (F.col("edge_score") >= 0.3)).select("src", "dst", "relation", "edge_score")
+    return V.motivated_edges(t.plan.select("id", (F.col("id") * 2).alias("run_id")), runs_with_recall(t)).select("src", "dst", "relation", "edge_score")
 
 
-@BOOK.add("session_end", "SELECT id, CASE WHEN id % 4 = 0 THEN 'ended' ELSE status END AS status, CASE WHEN id % 4 = 0 THEN ended_us END AS closed_us FROM session")
+@BOOK.add("fetch_edges", "SELECT src, dst, relation, edge_score FROM edge WHERE (src IN (3, 5, 8) OR dst IN (3, 5, 8)) AND relation IN ('similar_to', 'mentions') AND edge_score >= 0.3")
 def _(t: Lens) -> DataFrame:
-    done = t.session.where("id % 4 = 0").select("id", F.lit(True).alias("hit"))
-    joined = t.session.join(done, "id", "left")
-    return joined.select("id", F.when(F.col("hit"), F.lit("ended")).otherwise(F.col("status")).alias("status"), F.when(F.col("hit"), F.col("ended_us")).alias("closed_us"))
+    return graph.fetched(t.edge, t.memory.where("id in (3, 5, 8)").select("id"), "both", ["similar_to", "mentions"], 0.3).select("src", "dst", "relation", "edge_score")
 
 
 @BOOK.add("evolve_apply", "SELECT id, CASE WHEN id % 10 = 0 THEN array_to_string([kw2, kw3, 'evolved'], ',') ELSE array_to_string([kw1, kw2, kw3], ',') END AS keywords, is_latest AND NOT id % 20 = 0 AS is_latest FROM memory")
@@ -113,13 +112,18 @@ def _(t: Lens) -> DataFrame:
     return after.select("id", F.array_join("keywords", ",").alias("keywords"), "is_latest")
 
 
-@BOOK.add("embed_reindex")
+@BOOK.add("embed_reindex", "SELECT m.id, 64 AS size, v.embedding IS NOT NULL AS kept, 1.0::DOUBLE AS norm FROM memory m LEFT JOIN (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 2 = 0) v ON v.id = m.id")
 def _(t: Lens) -> DataFrame:
-    rows = t.memory.select("id", "title").join(t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), "id", "left")
-    return models.embedded(rows, "title").select("id", F.size("embedding").alias("size"))
+    old = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding", F.col("embedding").alias("old"))
+    rows = tagged(t).join(t.memory.select("id", "title"), "id").withColumn("body", models.embed_text(F.col("title"), F.col("content"), F.col("keywords"), F.col("files"))).select("id", "body").join(old, "id", "left")
+    made = models.embedded(rows, "body")
+    unit = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    kept = F.col("old").isNotNull() & (F.col("embedding") == F.col("old"))
+    return made.select("id", F.size("embedding").alias("size"), kept.alias("kept"), F.when(kept, 1.0).otherwise(F.round(unit, 4)).alias("norm"))
 
 
-@BOOK.add("stemmed_postings")
+@BOOK.add("entity_links", "WITH k AS (SELECT id, project, unnest([kw1, kw2, kw3, f1, f2]) AS w FROM memory) SELECT a.id AS src, b.id AS dst, round(count(*) / (10.0::DOUBLE - count(*)), 6) AS edge_score FROM k a JOIN k b ON a.w = b.w AND a.project = b.project AND a.id <> b.id AND a.id % 50 = 0 AND (b.id % 50 <> 0 OR a.id < b.id) GROUP BY a.id, b.id")
 def _(t: Lens) -> DataFrame:
-    index = stemmed_postings(R.postings(t.documents, "doc_id", "text"))
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).orderBy(F.desc("df"), "term").limit(200)
+    items = tagged(t).select("id", "project", F.concat("keywords", "files").alias("entities"))
+    new, old = items.where("id % 50 = 0"), items.where("id % 50 <> 0")
+    return graph.tokens_shared_with(new, old, "entities", "project").select("src", "dst", r6(F.col("jaccard")).alias("edge_score"))

@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from memspan.functions import text
+
 #: A hook event as it is posted.
 HOOK_SCHEMA = "hookType string, hook_type string, sessionId string, session_id string, project string, cwd string, timestamp timestamp, source string, data string"
 
@@ -20,9 +22,9 @@ def numstat(lines: DataFrame, key: str, line: str) -> DataFrame:
     return rows.groupBy(key).agg(F.collect_list("f").alias("files"), F.sum("i").alias("insertions"), F.sum("d").alias("deletions"))
 
 
-def diff_lines(diffs: DataFrame, key: str, text: str) -> DataFrame:
+def diff_lines(diffs: DataFrame, key: str, body: str) -> DataFrame:
     """Lines of diffs with their file's number and kind."""
-    lines = diffs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    lines = diffs.select(key, F.posexplode(F.split(body, "\n")).alias("pos", "line"))
     header = F.col("line").startswith("diff --git")
     kind = (
         F.when(header, "file")
@@ -66,12 +68,13 @@ def read_hooks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each session of a nested retrieval benchmark; abstention questions are left out."""
+    """One row for each session of a nested retrieval benchmark, with the start of its content that is embedded; abstention questions are left out."""
     rows = spark.read.option("multiLine", True).json(path).where(~F.col("question_type").endswith("_abs"))
     zipped = rows.select("question_id", "question_type", "question", "answer_session_ids", F.explode(F.arrays_zip("haystack_session_ids", "haystack_sessions")).alias("s"))
     turns = F.transform("s.haystack_sessions", lambda t: F.concat_ws(": ", t["role"], t["content"]))
     content = F.array_join(turns, "\n")
-    return zipped.select("question_id", "question_type", "question", "answer_session_ids", F.col("s.haystack_session_ids").alias("session_id"), content.alias("content"))
+    told = zipped.select("question_id", "question_type", "question", "answer_session_ids", F.col("s.haystack_session_ids").alias("session_id"), content.alias("content"))
+    return told.withColumn("embedded", text.first_bytes(F.col("content"), 512))
 
 
 def export(tables: Mapping[str, DataFrame], path: str, version: str, exported_at: str) -> None:
@@ -80,3 +83,8 @@ def export(tables: Mapping[str, DataFrame], path: str, version: str, exported_at
         df.select(F.lit(name).alias("table"), F.to_json(F.struct("*")).alias("row")).write.mode("overwrite").json(f"{path}/{name}")
     first = next(iter(tables.values())).sparkSession
     first.createDataFrame([(version, exported_at, sorted(tables))], "version string, exported_at string, tables array<string>").write.mode("overwrite").json(f"{path}/manifest")
+
+
+def write_results(metrics: DataFrame, path: str) -> None:
+    """A benchmark's results as JSON lines, a row each."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
