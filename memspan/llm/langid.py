@@ -42,8 +42,8 @@ from memspan.llm.common import columns, slices, small_batches
 MAX_LANGS = 200
 SEGMENT = 512
 UNKNOWN = "und"
-#: Languages that are parsed at once.
-TOGETHER = 8
+#: Languages, and bytes of texts, that are parsed at once: some 60 bytes of memory for a byte and language.
+TOGETHER, PART_BYTES = 8, 1 << 20
 #: Marks transitions by which a phrase starts: the sign of an entry.
 STARTS = np.int32(-(1 << 31))
 #: Bound of the sample: rows of a language, and characters of a row that may be one of them.
@@ -156,7 +156,9 @@ class Parsers:
         inside = np.arange(lanes * segment) < np.repeat(last[:lanes], segment)
         flat = np.zeros(lanes * segment, np.int32)
         flat[inside] = np.concatenate(coded)
-        held = np.concatenate([[0], np.cumsum(self._starts(np.tile(flat, len(self.roots)), np.tile(inside, len(self.roots)), root, nth, low, last, segment))])
+        starts = self._starts(np.tile(flat, len(self.roots)), np.tile(inside, len(self.roots)), root, nth, low, last, segment)
+        held = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(starts, out=held[1:])
         counts = held[begins * segment + sizes] - held[begins * segment]
         return counts.reshape(len(self.roots), len(coded)).T
 
@@ -260,7 +262,7 @@ def _predict(shared: Broadcast, text_at: int, made: tuple[str, str]) -> Callable
         groups = [Parsers(model.automata[i : i + TOGETHER]) for i in range(0, len(model.automata), TOGETHER)]
         bits = np.array([math.log2(automaton.size + 1) for automaton in model.automata])
         for batch in batches:
-            for part in slices(batch, text_at, 4 << 20):
+            for part in slices(batch, text_at, PART_BYTES):
                 coded = [model.coding[words_of(text or "")] for text in part.column(text_at).to_pylist()]
                 sizes = np.array([len(x) for x in coded], np.int64)
                 counts = [group.phrases(coded) for group in groups]
