@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from memspan.functions import text
 from memspan.functions.stem import stem
-from memspan.sources.tables import fresh_path
+from memspan.sources.tables import discard, fresh_path, written
 
 K1, B = 1.2, 0.75
 #: Folders that postings are laid into by a hash of their term.
@@ -90,8 +90,11 @@ class TextIndex:
         """
         spark = docs.sparkSession
         path = path or fresh_path(spark)
-        made = postings(docs, id_col, fields).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
+        # Texts are analysed once: choosing the ranges reads the postings another time.
+        raw = fresh_path(spark)
+        made = written(postings(docs, id_col, fields), raw).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
         made.repartitionByRange("bucket", "term", "id").sortWithinPartitions("bucket", "field", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+        discard(spark, raw)
         stored = _postings_of(spark, path, made.schema["id"].dataType.simpleString())
         total = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
         sizes = stored.groupBy("field").agg(F.sum("tf").alias("tokens"))

@@ -5,9 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from memspan.functions import hooks, scores, text
-from memspan.operators import lifecycle, retrieval
-from memspan.operators.graph import shared_tokens
+from memspan.functions import hooks, scores, text, times
+from memspan.operators import context, lifecycle, retrieval
+from memspan.operators.graph import knn_pairs, shared_tokens
 from memspan.operators.maintain import clusters
 from memspan.operators.metrics import per_query
 from memspan.sources import parsers
@@ -174,3 +174,42 @@ def test_hook_spellings(spark, tmp_path):
     (tmp_path / "e.json").write_text('{"hookType":"stop","sessionId":"a","cwd":"/x","data":{"k":1}}\n{"hook_type":"stop","session_id":"b","project":"p"}\n')
     rows = {r.session_id: r for r in parsers.read_hooks(spark, str(tmp_path / "e.json")).collect()}
     assert (rows["a"].project, rows["a"].data, rows["b"].data) == ("/x", '{"k":1}', "{}")
+
+
+def test_blocks_do_not_change_nearest_neighbours(spark, sf):
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    one_block, many = ({(r.id, r.nbr) for r in knn_pairs(vectors, 3, "label", block=b).collect()} for b in (1024, 5))
+    assert one_block == many and len(one_block) >= 3 * 0.9 * vectors.count()
+
+
+@pytest.mark.parametrize(("told", "age"), [("2024-05-31T00:00:00Z", 1.0), ("2024-05-31t02:00:00.25+02:00", 1.0), ("2024-05-31", 0.0), ("yesterday", 0.0), (None, 0.0), ("2031-01-01T00:00:00Z", 0.0), ("2024-13-01T00:00:00Z", 0.0)])
+def test_age_of_texts(spark, told, age):
+    assert one(spark, times.age_of(F.lit(told).cast("string"), F.lit(1_717_200_000))) == pytest.approx(age, abs=1e-4)
+
+
+def test_first_bytes(spark):
+    for value, size, want in (("abc", 2, "ab"), ("aé🙂z", 3, "aé"), ("aé🙂z", 2, "a"), ("aé🙂z", 7, "aé🙂"), ("aé🙂z", 8, "aé🙂z"), ("", 5, "")):
+        assert one(spark, text.first_bytes(F.lit(value), size)) == want
+
+
+def test_prompt_titles_and_unknown_tools(spark):
+    rows = spark.createDataFrame([("prompt_submit", '{"prompt":"' + "x" * 70 + '"}'), ("prompt_submit", "{}"), ("post_tool_use", '{"toolName":"Read"}'), ("post_tool_use", "{}")], "hook string, data string")
+    assert [(r.tool, r.title) for r in hooks.observed(rows).collect()] == [("unknown", "Prompt: " + "x" * 60 + "…"), ("unknown", "Prompt"), ("Read", "Read call"), ("unknown", "unknown call")]
+
+
+def test_plans_are_captured(spark):
+    body = "intro\n# Title \nsee src/a.rs, b.md and src/a.rs\n## One: Two!\n## ab\n" + "".join(f"f{i}.py " for i in range(30))
+    assert one(spark, text.plan_title(F.lit(body), F.lit("x"))) == "Title"
+    assert one(spark, text.plan_files(F.lit(body))) == ["src/a.rs", "b.md", *(f"f{i}.py" for i in range(17))]
+    assert one(spark, text.plan_keywords(F.lit(body))) == ["src/a.rs", "b.md", *(f"f{i}.py" for i in range(7)), "one-two"]
+    assert len(one(spark, text.plan_content(F.lit("x" * 9000)))) == 8000 + len("\n\n[...truncated]")
+
+
+def test_context_is_rendered_with_heads(spark):
+    lines = spark.createDataFrame([(0, 1, "# Core\n"), (1, 2, "- b\n"), (1, 1, "- a\n"), (5, 1, "- r\n")], "section int, pos int, line string")
+    assert context.rendered(lines).head().context == "# Core\n\n# Saved memories\n\n- a\n- b\n\n# Recent task outcomes\n\n- r\n"
+
+
+def test_results_are_written(spark, tmp_path):
+    parsers.write_results(spark.createDataFrame([("recall", 0.5)], "metric string, value double"), str(tmp_path / "r"))
+    assert [tuple(r) for r in spark.read.json(str(tmp_path / "r")).select("metric", "value").collect()] == [("recall", 0.5)]

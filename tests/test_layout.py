@@ -1,7 +1,8 @@
 import ast
 import pathlib
 
-from memspan.operators import retrieval
+from memspan.operators import graph
+from memspan.plans import graphs
 from memspan.plans.lens import Lens
 
 ROOT = pathlib.Path(__file__).resolve().parent.parent
@@ -19,10 +20,12 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_full_text_exchanges_no_postings(spark, sf):
-    text = plan(retrieval.bm25(Lens(spark, sf).memory, "id", "content", "the of"))
-    assert "hashpartitioning" not in text
-    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
+def test_joins_on_sets_and_vectors_pair_nothing_needlessly(spark, sf):
+    t = Lens(spark, sf)
+    items = graphs.tagged(t)
+    for made in (graph.shared_tokens(items, "keywords", 0.4), graph.tokens_shared_with(items.where("id = 3"), items, "keywords", "project"), graph.knn_pairs(t.embeddings, 5, "label")):
+        text = plan(made)
+        assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
 def test_filters_reach_the_scan(spark, sf):
