@@ -203,8 +203,7 @@ def _reached(true: dict[int, int], got: dict[int, int], keep: int) -> float:
 
 def _compared(classes: DataFrame, parts: DataFrame, threshold: float, block: int) -> DataFrame:
     """``id, n, head`` of the classes ``id`` in ``parts``, for all pairs of chunks of a label that can hold a link; a chunk is of one ``part``."""
-    held = parts.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("chunks"))
-    dealt = checkpoint(parts.join(held, "part").select("part", "id", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")))
+    dealt = checkpoint(_dealt(parts.select("part", "id"), ["part"], block).withColumnRenamed("salt", "chunk"))
     cids = dealt.groupBy("part", "chunk").agg(F.min("id").alias("cid"))
     dealt = checkpoint(dealt.join(cids, ["part", "chunk"]).select("id", "cid"))
     balls = checkpoint(dealt.join(classes.select("id", "grp", "u"), "id").groupBy("cid").applyInPandas(_ball, "cid long, grp long, u binary, r double"))
@@ -247,10 +246,10 @@ def _dealt(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
     Only such keys have a size to be joined, and both sides meet in parts of a key.
     """
     held = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("held")).where(F.col("held") > most)
-    sizes = held.select(*keys, "held", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
-    parted = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id", *keys), F.lit(PARTS)).cast("int"))
+    sizes = held.select(*keys, "held", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+    parted = rows.withColumn("_part", F.pmod(F.xxhash64(F.lit(1), "id", *keys), F.lit(PARTS)).cast("int"))
     salt = F.pmod(F.xxhash64(F.lit(2), "id", *keys), F.ceil(F.col("held") / most))
-    return parted.join(sizes, [*keys, "part"], "left").select(*rows.columns, F.coalesce(salt, F.lit(0)).alias("salt"))
+    return parted.join(sizes, [*keys, "_part"], "left").select(*rows.columns, F.coalesce(salt, F.lit(0)).alias("salt"))
 
 
 def _initial(classes: DataFrame, first: int, tables: int, keep: int, cell: int) -> DataFrame:
