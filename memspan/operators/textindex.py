@@ -90,6 +90,10 @@ class TextIndex:
         """
         spark = docs.sparkSession
         path = path or fresh_path(spark)
+        # A few files, which few tasks would read, are dealt to all cores; the many of a large table are not moved.
+        cores = spark.sparkContext.defaultParallelism
+        if len(docs.inputFiles()) < cores:
+            docs = docs.repartition(cores, id_col)
         # Texts are analysed once: choosing the ranges reads the postings another time.
         raw = fresh_path(spark)
         made = written(postings(docs, id_col, fields), raw).withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
