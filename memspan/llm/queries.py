@@ -1,4 +1,4 @@
-"""The ten registered queries, and their SQL where SQL can express them."""
+"""The thirteen registered queries, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memspan.llm import langid, licenses, linedup, nndescent, packing, pieces, secrets, simhash, sketch, urltrie
+from memspan.llm import ballkmeans, decontam, langid, licenses, linedup, nndescent, packing, pieces, secrets, simhash, sketch, urltrie, wand
 from memspan.sources.tables import read_table
 
 #: The rules that the URL query is asked to apply.
@@ -152,10 +152,95 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ballkmeans.ball_kmeans(read_table(spark, sf_dir, "embeddings"))
+    return found.rows.withColumnRenamed("id", "vec_id")
+
+
+def _kmeans_sql(k: int = 16, rounds: int = 3) -> str:
+    """Assignments and updates one after the other; ``d * k + c`` is least for the nearest centroid with the smallest number."""
+    whole = "list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE))))"
+    ctes = [
+        f"kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE len(embedding) = 64 AND {whole})",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), v) - 1 AS c, v FROM kept WHERE vec_id IS NOT NULL ORDER BY c LIMIT {k})",
+    ]
+    for i in range(rounds + 1):
+        apart = "CAST(list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT)"
+        ctes.append(f"a{i} AS MATERIALIZED (SELECT p.r, any_value(p.vec_id) AS vec_id, any_value(p.v) AS v, min({apart} * {k} + c.c) AS m FROM kept p, c{i} c GROUP BY p.r)")
+        if i < rounds:
+            ctes.append(f"s{i} AS (SELECT m % {k} AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{i}, range(1, 65) t(i) GROUP BY ALL)")
+            ctes.append(f"u{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS v FROM s{i} GROUP BY c)")
+            ctes.append(f"c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(u{i}.v, c{i}.v) AS v FROM c{i} LEFT JOIN u{i} ON c{i}.c = u{i}.c)")
+    return (
+        f"WITH {', '.join(ctes)}, told AS (SELECT vec_id, CAST(m % {k} AS INTEGER) AS cluster, CAST(m // {k} AS BIGINT) AS distance FROM a{rounds}) "
+        "SELECT vec_id, cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, "
+        f"sha256(array_to_string(c.v, ',')) AS centroid_sha256 FROM told JOIN c{rounds} c ON told.cluster = c.c"
+    )
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    hit = decontam.words_hit(F.col("spans"))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated")
+    )
+
+
+OP12_SQL = r"""
+WITH lower_docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), item_words AS (
+  SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), starts AS (
+  SELECT item, w, unnest(range(greatest(len(w) - 10, 0) + 1)) AS i FROM item_words WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item, list_aggregate(w[i + 1 : i + 10], 'string_agg', ' ') AS k, least(len(w), 10) AS n FROM starts
+), places AS (
+  SELECT r, w, n, unnest(range(len(w) - n + 1)) AS i FROM lower_docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n
+), found AS (
+  SELECT p.r, p.i, p.n, item FROM (SELECT r, n, i, list_aggregate(w[i + 1 : i + n], 'string_agg', ' ') AS k FROM places) p JOIN windows USING (k, n)
+), hit AS (
+  SELECT r, count(DISTINCT spot) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS spot FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r
+), named AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM lower_docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = wand.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return rows.select(F.col("query_id").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), stats AS (
+  SELECT count(*) FILTER (WHERE len(t) > 0) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM docs
+), tf AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weight AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM tf, stats GROUP BY term, n_docs
+), part AS (
+  SELECT r, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(t) * n_docs) // n_terms))) AS s
+  FROM tf JOIN weight USING (term) JOIN docs USING (r), stats
+), scored AS (
+  SELECT item_id, r, CAST(sum(s) AS BIGINT) AS score FROM asked JOIN part USING (term) GROUP BY ALL HAVING sum(s) > 0
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored JOIN docs USING (r)
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = (op1_sentencepiece, op2_language_id, op3_fingerprints, op4_packing, op5_line_dedup, op6_license_scan, op7_secret_scan, op8_embedding_near_dedup, op9_url_filter, op10_simhash)
+    made = (op1_sentencepiece, op2_language_id, op3_fingerprints, op4_packing, op5_line_dedup, op6_license_scan, op7_secret_scan, op8_embedding_near_dedup, op9_url_filter, op10_simhash, op11_ball_kmeans, op12_decontamination, op13_ranked_search)
     return {f.__name__: f for f in made}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL}
+    return {"op5_line_dedup": OP5_SQL, "op9_url_filter": OP9_SQL, "op11_ball_kmeans": _kmeans_sql(), "op12_decontamination": OP12_SQL, "op13_ranked_search": OP13_SQL}
