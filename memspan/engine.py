@@ -2,7 +2,9 @@
 
 Tables are DataFrames by name (``sources.schemas``). Reads return DataFrames; writes return
 the tables that change, by name, which the caller stores. ``now_s`` is the time of asking
-in seconds. Text indexes are built when a search first needs them, or given.
+in seconds. Text indexes are built when a search first needs them, or given; an index of
+vectors is built when it is asked for. Indexes go on with the store: what a step adds to a
+table, or changes in it, is one more segment of its indexes.
 """
 
 from __future__ import annotations
@@ -17,15 +19,40 @@ from memspan.functions import scores
 from memspan.operators import context, graph, lifecycle, maintain, models, pipelines, plans, provenance
 from memspan.operators import retrieval as R
 from memspan.operators.textindex import TextIndex
+from memspan.operators.vectorindex import RECALL, VectorIndex
 from memspan.sources import parsers, schemas
 
 INDEXED = {"observation": ["title", "narrative"], "memory": ["title", "content"], "run": ["prompt", "lesson"]}
 
 
+class Changes(dict):
+    """Tables in their next version, by name, and of those that are indexed what is gone and what is new.
+
+    A table without an entry in ``deltas`` is compared with its last version; ``None``
+    says that nothing that is indexed has changed.
+    """
+
+    def __init__(self, tables: Mapping[str, DataFrame], deltas: Mapping[str, tuple[DataFrame | None, DataFrame | None] | None] | None = None):
+        super().__init__(tables)
+        self.deltas = dict(deltas or {})
+
+    def with_tables(self, more: Mapping[str, DataFrame]) -> Changes:
+        return Changes({**self, **more}, self.deltas)
+
+
+def differing(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows by ``id`` that are gone and rows that are new, of two versions of a table; a changed row is both."""
+    a, b = (df.select("id", *columns) for df in (before, after))
+    told = b.select(*(F.col(c).alias(f"_{c}") for c in ("id", *columns)))
+    same = lambda x, y: reduce(lambda p, q: p & q, (x[c].eqNullSafe(y[f"_{c}"]) for c in columns), x["id"] == y["_id"])
+    back = a.select(*(F.col(c).alias(f"_{c}") for c in ("id", *columns)))
+    return a.join(told, same(a, told), "left_anti"), b.join(back, same(b, back), "left_anti")
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int, indexes: Mapping[str, TextIndex] | None = None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int, indexes: Mapping[str, TextIndex] | None = None, vectors: Mapping[str, VectorIndex] | None = None):
         self.spark, self.tables, self.now_s = spark, dict(tables), now_s
-        self._indexes = dict(indexes or {})
+        self._indexes, self._vectors = dict(indexes or {}), dict(vectors or {})
 
     @classmethod
     def empty(cls, spark: SparkSession, now_s: int) -> Engine:
@@ -41,17 +68,28 @@ class Engine:
         return self.tables[name]
 
     def after(self, changes: Mapping[str, DataFrame]) -> Engine:
-        """An engine over the tables, some of them in their next version."""
-        return Engine(self.spark, {**self.tables, **changes}, self.now_s)
-
-    def _grown(self, changes: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
-        """Changes with the next version of tables that only grow, of which a step gives the new rows."""
-        out = dict(changes)
-        for name in ("observation", "commits", "summary", "edge"):
+        """An engine over the tables, some of them in their next version, and their indexes."""
+        next_ = Engine(self.spark, {**self.tables, **changes}, self.now_s, self._indexes, self._vectors)
+        deltas = changes.deltas if isinstance(changes, Changes) else {}
+        for held, columns in ((next_._indexes, INDEXED), (next_._vectors, {name: ["embedding", "project"] for name in self._vectors})):
+            for name, index in list(held.items()):
+                if name in changes and deltas.get(name, ()) is not None:
+                    gone, new = deltas[name] if name in deltas else differing(self[name], changes[name], columns[name])
+                    held[name] = index.changed(gone, new)
+        return next_
+
+    def _grown(self, changes: Mapping[str, DataFrame]) -> Changes:
+        """Changes with the next version of tables that only grow, of which a step gives the new rows; a row that is there already is not added."""
+        out = Changes(changes, changes.deltas if isinstance(changes, Changes) else {})
+        for name, key in (("observation", "id"), ("commits", "sha"), ("summary", "id"), ("seen", "id")):
             if name in changes:
-                out[name] = self[name].unionByName(changes[name], allowMissingColumns=True)
-        if "edge" in out:
-            out["edge"] = graph.upsert(out["edge"])
+                known = self.tables.get(name, schemas.empty(self.spark, name))
+                new = changes[name].join(known.select(key), key, "left_anti").select(*changes[name].columns)
+                out[name] = known.unionByName(new, allowMissingColumns=True)
+                if name in INDEXED:
+                    out.deltas.setdefault(name, (None, new))
+        if "edge" in changes:
+            out["edge"] = graph.upsert(self["edge"].unionByName(changes["edge"], allowMissingColumns=True))
         return out
 
     # Reads
@@ -61,6 +99,15 @@ class Engine:
             self._indexes[name] = TextIndex.build(self[name], "id", INDEXED[name])
         return self._indexes[name]
 
+    def vectors(self, name: str, recall: float = RECALL) -> VectorIndex:
+        """The index of a table's embeddings, built and tuned to a recall if there is none; from then on searches and ``remember`` use it."""
+        if name not in self._vectors:
+            self._vectors[name] = VectorIndex.build(self[name], keep=["project"]).tuned(recall)
+        return self._vectors[name]
+
+    def _near(self, name: str, vector: Sequence[float], limit: int) -> DataFrame:
+        return self._vectors[name].search(vector, limit) if name in self._vectors else R.nearest(self[name], vector, limit, "id", "embedding")
+
     def health(self) -> DataFrame:
         counts = [df.agg(F.lit(name).alias("t"), F.count(F.lit(1)).alias("n")) for name, df in sorted(self.tables.items())]
         return reduce(DataFrame.unionByName, counts)
@@ -87,14 +134,14 @@ class Engine:
             return R.search_text(self["observation"], self["memory"], indexes(), query, limit, self.now_s)
         vector = [float(x) for x in embed([query])[0]]
         if mode == "semantic":
-            near = R.nearest(self["observation"], vector, limit, "id", "embedding")
+            near = self._near("observation", vector, limit)
             return self["observation"].select("id", "title").join(F.broadcast(near), "id")
         if mode not in ("hybrid", "agentic"):
             raise ValueError(f"unsupported mode {mode}")
         vectors = {}
-        for name, df in (("memory_vectors", self["memory"]), ("obs_vectors", self["observation"])):
-            if "embedding" in df.columns:
-                vectors[name] = R.nearest(df, vector, limit, "id", "embedding")
+        for kind, name in (("memory_vectors", "memory"), ("obs_vectors", "observation")):
+            if "embedding" in self[name].columns:
+                vectors[kind] = self._near(name, vector, limit)
         edges = self.memory_edges() if mode == "agentic" else None
         return R.search_hybrid(self["observation"], self["memory"], self["run"], indexes(), query, limit, self.now_s, edges=edges, project=project, config=config, **vectors)
 
@@ -113,7 +160,7 @@ class Engine:
         more = mine.select("id").join(F.broadcast(ids)).select("id", "_more")
         runs = self["run"].join(F.broadcast(more), "id", "left")
         runs = runs.withColumn("recalled", F.when(F.col("_more").isNotNull(), lifecycle.recalled(F.col("recalled"), F.col("_more"))).otherwise(F.col("recalled"))).drop("_more")
-        return self._grown({"run": runs, "edge": schemas.conformed(edges.withColumn("created_s", F.lit(self.now_s).cast("bigint")), "edge")})
+        return self._grown(Changes({"run": runs, "edge": schemas.conformed(edges.withColumn("created_s", F.lit(self.now_s).cast("bigint")), "edge")}, {"run": None}))
 
     def memories(self, query: str | None = None, project: str | None = None, category: str | None = None, limit: int = 50) -> DataFrame:
         return R.listed_memories(self["memory"], self.index("memory"), query, limit, project, category)
@@ -184,7 +231,7 @@ class Engine:
         parts = [context.core_lines(self.core(project)), context.memory_lines(told, [F.desc("score"), "id"]), context.fact_lines(self["fact"]), context.procedure_lines(self["procedure"]), context.observation_lines(self["observation"], project)]
         if asked:
             closed = self["run"].where((F.col("project") == project) & F.expr("ended_s is not null and lesson <> ''"))
-            fused = R.fuse([R.top(R.scoped(self.index("run").bm25(field, asked), closed), 8) for field in INDEXED["run"]], 60, 8)
+            fused = R.fuse([self.index("run").top(field, asked, 8, closed) for field in INDEXED["run"]], 60, 8)
             parts.append(context.run_lines(self["run"].join(fused, "id"), project, [F.desc("score"), "id"]))
         else:
             parts.append(context.run_lines(self["run"], project))
@@ -201,19 +248,22 @@ class Engine:
 
     # Writes
 
-    def observe(self, events: DataFrame, ttl_us: int = lifecycle.TTL_US) -> dict[str, DataFrame]:
+    def observe(self, events: DataFrame, ttl_us: int = lifecycle.TTL_US, model: models.Model | None = None) -> Changes:
         """After hook events; the commits that they tell are recorded too."""
-        changes = pipelines.observe(self.tables, events, self.now_s, ttl_us)
+        changes = pipelines.observe(self.tables, events, self.now_s, ttl_us, model)
         told = changes.pop("commits")
-        first = self._grown(changes)
-        then = self.after(first)
-        return {**first, **then._grown(pipelines.record_commits(then.tables, told, self.now_s))}
+        first = self._grown(Changes(changes, {"memory": None}))
+        then = Engine(self.spark, {**self.tables, **first}, self.now_s)
+        more = then._grown(pipelines.record_commits(then.tables, told, self.now_s))
+        return Changes({**first, **more}, {**first.deltas, "memory": None})
 
-    def remember(self, rows: DataFrame, model: models.Embedder = models.hashed_trigrams) -> dict[str, DataFrame]:
-        return self._grown(pipelines.remember(self.tables, rows, self.now_s, model))
+    def remember(self, rows: DataFrame, model: models.Embedder = models.hashed_trigrams) -> Changes:
+        """After new memories, which are linked to their nearest ones, by the index of vectors if there is one."""
+        changes, new = pipelines.remembered(self.tables, rows, self.now_s, model, vectors=self._vectors.get("memory"))
+        return self._grown(Changes(changes, {"memory": (None, new)}))
 
-    def record_commits(self, rows: DataFrame) -> dict[str, DataFrame]:
-        return self._grown(pipelines.record_commits(self.tables, rows, self.now_s))
+    def record_commits(self, rows: DataFrame) -> Changes:
+        return self._grown(Changes(pipelines.record_commits(self.tables, rows, self.now_s), {"memory": None}))
 
     def start_session(self, rows: DataFrame) -> dict[str, DataFrame]:
         """Sessions ``id, project, cwd`` begin, if they are not known."""
@@ -245,11 +295,13 @@ class Engine:
         at = F.when((F.col("status") == "completed") & F.col("completed_s").isNull(), F.lit(self.now_s)).otherwise(F.col("completed_s")).cast("bigint")
         return {"plan": plans.status_set(self["plan"], changed, status).withColumn("completed_s", at), "core": plans.core_synced(self["core"], changed, "add" if status == "active" else "remove")}
 
-    def delete(self, ids: DataFrame) -> dict[str, DataFrame]:
-        return {"memory": self["memory"].join(ids, "id", "left_anti")}
+    def delete(self, ids: DataFrame) -> Changes:
+        """Without the memories of some ids."""
+        gone = self["memory"].join(ids.select("id").distinct(), "id", "left_semi")
+        return Changes({"memory": self["memory"].join(ids, "id", "left_anti")}, {"memory": (gone, None)})
 
-    def bump(self, hits: DataFrame) -> dict[str, DataFrame]:
-        return {"memory": R.bump(self["memory"], hits, self.now_s)}
+    def bump(self, hits: DataFrame) -> Changes:
+        return Changes({"memory": R.bump(self["memory"], hits, self.now_s)}, {"memory": None})
 
     def forget(self) -> DataFrame:
         """What garbage collection would do: ``action, id``."""
@@ -258,24 +310,30 @@ class Engine:
     def purge(self) -> dict[str, DataFrame]:
         return pipelines.purge(self.tables, self.now_s)
 
-    def decay_uncommitted(self) -> dict[str, DataFrame]:
-        """Memories of files that uncommitted runs wrote are to be forgotten in 60 days, unless a commit covers them."""
+    def decay_uncommitted(self) -> Changes:
+        """``observe`` does this for runs when they close; here it is done for all runs. Memories of files that uncommitted runs wrote are to be forgotten in 60 days, unless a commit covers them."""
         bad = self["run"].where("outcome = 'uncommitted'").select("project", F.explode("observation_ids").alias("id"))
         wrote = self["observation"].where(F.col("obs_type").isin("file_write", "file_edit")).select("id", F.explode("files").alias("file"))
         found = lifecycle.uncommitted_decay(self["memory"], bad.join(wrote, "id"), self["commits"].select("project", F.explode("files").alias("file")), self.now_s)
         joined = self["memory"].join(found.withColumnRenamed("forget_s", "_forget"), "id", "left")
-        return {"memory": joined.withColumn("forget_s", F.coalesce("_forget", "forget_s")).drop("_forget")}
+        return Changes({"memory": joined.withColumn("forget_s", F.coalesce("_forget", "forget_s")).drop("_forget")}, {"memory": None})
+
+    def consolidate(self, model: pipelines.Model | None = None) -> Changes:
+        return self._grown(Changes(pipelines.consolidate(self.tables, self.now_s, model), {"memory": None}))
 
-    def consolidate(self, model: pipelines.Model | None = None) -> dict[str, DataFrame]:
-        return self._grown(pipelines.consolidate(self.tables, self.now_s, model))
+    def evolve(self, new: DataFrame, model: pipelines.Model, system: str = "Refine the notes. Answer in JSON.", version: str = "1") -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Memories, their new edges and the table of replies, after a language model saw each new memory beside its neighbours.
 
-    def evolve(self, new: DataFrame, model: pipelines.Model, system: str = "Refine the notes. Answer in JSON.") -> tuple[DataFrame, DataFrame]:
-        """Memories and their new edges after a language model saw each new memory beside its neighbours; one call for each new memory that has any."""
+        It is asked in tasks, once for each new memory that has neighbours and was not asked
+        about in these words before; a memory whose call failed is asked again the next time.
+        """
         asked = pipelines.neighbours_asked(self["edge"], self["memory"], new)
-        told = [(row["new_id"], row["allowed"], model(system, row["prompt"])) for row in asked.toLocalIterator()]
-        replies = self.spark.createDataFrame(told, "new_id bigint, allowed array<string>, reply string")
-        updates = models.evolution(replies).withColumn("id", F.col("id").cast("bigint"))
-        return models.evolve(self["memory"], updates)
+        known = self.tables.get("reply", schemas.empty(self.spark, "reply"))
+        answered = models.all_replies(known, models.replies(asked, model, system, known, version))
+        good = answered.where("not failed").select("hash", "reply")
+        told = asked.withColumn("hash", models.prompt_hash(F.col("prompt"), system, version)).join(good, "hash")
+        updates = models.evolution(told.select("new_id", "allowed", "reply")).withColumn("id", F.col("id").cast("bigint"))
+        return *models.evolve(self["memory"], updates), answered
 
     def reindex(self) -> dict[str, DataFrame]:
         texts = self["memory"].withColumn("_text", models.embed_text(F.col("title"), F.col("content"), F.col("keywords"), F.col("files")))

@@ -18,8 +18,9 @@ def recency_access(base: Column, age: Column, retrievals: Column) -> Column:
     return base * F.exp(-age / 30.0) * (1.0 + 0.1 * F.least(F.greatest(retrievals, F.lit(0)), F.lit(20)))
 
 
-def strengthened(strength: Column) -> Column:
-    return F.least(strength * 1.15, F.lit(1.0))
+def strengthened(strength: Column, times: Column | None = None) -> Column:
+    """15 % stronger, as often as told, 1 at most."""
+    return F.least(strength * (F.lit(1.15) if times is None else F.pow(F.lit(1.15), times)), F.lit(1.0))
 
 
 def decayed(strength: Column, age: Column, period: int) -> Column:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,40 +13,111 @@ from pyspark.sql import functions as F
 TTL_US = 300_000_000
 
 
-def _first_of_windows(ttl_us: int, key: int, time: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Passes rows that come sorted by key and time: the first of a key, and those that are late enough after the last one passed."""
+#: Events meant for a chunk of a key.
+CHUNK_ROWS = 100_000
+
+
+def _first_of_windows(ttl_us: int, key: int, time: int, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Passes rows that come sorted by key and time: the first of a key from ``least`` on, and those that are late enough after the last one passed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, last = None, 0
+        of, bound = None, 0
         for batch in batches:
             keep = []
-            for row, (k, t) in enumerate(zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), strict=True)):
-                if k != of or t - last >= ttl_us:
-                    of, last = k, t
+            for row, (k, t, x) in enumerate(zip(batch.column(key).to_pylist(), batch.column(time).to_pylist(), batch.column(least).to_pylist(), strict=True)):
+                if k != of:
+                    of, bound = k, x
+                if bound is None or t >= bound:
+                    bound = t + ttl_us
                     keep.append(row)
             yield batch.take(pa.array(keep, pa.int64()))
 
     return run
 
 
-def ttl_dedup(events: DataFrame, key: str, time_us: str, event_id: str, ttl_us: int = TTL_US) -> DataFrame:
+def _ways_through(ttl_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Of a chunk's times: for each that may be the first one kept, the last one that is kept then."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        times = np.unique(rows["_t"].to_numpy())
+        following = np.searchsorted(times, times + ttl_us)
+        last = np.arange(len(times))
+        for i in range(len(times) - 1, -1, -1):  # what follows is known already
+            if following[i] < len(times):
+                last[i] = last[following[i]]
+        # What was kept before the chunk hides nothing beyond its first stretch.
+        entries = min(len(times), int(np.searchsorted(times, (times[0] // ttl_us + 1) * ttl_us)) + 1)
+        first = rows.iloc[[0] * entries][["_key", "_part", "_chunk"]].reset_index(drop=True)
+        return first.assign(_from=times[:entries], _last=times[last[:entries]])
+
+    return run
+
+
+def _entries(ttl_us: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Follows a part from chunk to chunk: for each the time from which an event is kept (``_least``, null for the first)."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out, bound = [], None
+        for chunk, some in rows.sort_values(["_chunk", "_from"]).groupby("_chunk"):
+            out.append((rows["_key"].iloc[0], rows["_part"].iloc[0], chunk, bound))
+            at = 0 if bound is None else int(np.searchsorted(some["_from"].to_numpy(), bound))
+            if at < len(some):
+                bound = int(some["_last"].iloc[at]) + ttl_us
+        return pd.DataFrame(out, columns=["_key", "_part", "_chunk", "_least"]).astype({"_least": "Int64"})
+
+    return run
+
+
+def ttl_dedup(events: DataFrame, key: str, time_us: str, event_id: str, ttl_us: int = TTL_US, last: DataFrame | None = None, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Events that are kept when each kept one hides its key's repeats for the next ``ttl_us``.
 
-    A repeat does not renew the window, so which events stay depends on those kept before
-    and a key's events are passed in time order. Where a stretch of time as long as the
-    window, from a multiple of it to the next, holds no event of a key, what follows does
-    not depend on what was before: a key is cut there, so a hot key is as many groups as it
-    has such gaps. Groups are sorted on disk if need be and passed one row at a time.
+    A repeat does not renew the window, so which events stay depends on those kept before.
+    Time is cut into stretches as long as the window, of which each keeps one event at most.
+    Where a stretch holds no event of a key, what follows does not depend on what was
+    before: a key is cut there into parts. A part of more than ``chunk_rows`` events is cut
+    into chunks of whole stretches. For each chunk it is found where a way through it ends,
+    for every event of its first stretch with which it may begin; ways are joined from
+    chunk to chunk, and then every chunk is passed on its own, one row at a time. So no task
+    holds a key, whatever its gaps; it holds a stretch.
+
+    ``last`` has ``key, last_us`` of what was kept before. An event earlier than that is a
+    repeat if it is so by less than the window, and else counts among such late ones.
+
+    Events without time cannot be compared: all are kept and hide nothing. A null key is a
+    key of its own, other than an empty one. Of equal times the smallest id is kept.
     """
-    bucket = F.floor(F.col(time_us) / ttl_us)
-    keyed = events.select("*", bucket.alias("_bucket"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"))
+    name = F.col(key).cast("string")
+    row = F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("_row")
+    keyed = events.select(row, F.when(name.isNull(), "0").otherwise(F.concat(F.lit("1"), name)).alias("_key"), F.col(time_us).alias("_t"))
+    timed = keyed.where("_t is not null")
+    if last is not None:
+        known = last.select(F.when(F.col("key").isNull(), "0").otherwise(F.concat(F.lit("1"), F.col("key").cast("string"))).alias("_key"), F.col("last_us").alias("_since"))
+        timed = timed.join(known, "_key", "left").where(F.coalesce(F.abs(F.col("_t") - F.col("_since")) >= ttl_us, F.lit(True)))
+        timed = timed.withColumn("_key", F.when(F.col("_t") < F.col("_since"), F.concat(F.lit("-"), "_key")).otherwise(F.col("_key"))).drop("_since")
+    timed = timed.withColumn("_bucket", F.floor(F.col("_t") / ttl_us))
     window = Window.partitionBy("_key").orderBy("_bucket")
     new = F.when(F.col("_bucket") - F.lag("_bucket").over(window) <= 1, 0).otherwise(1)
-    parts = keyed.select("_key", "_bucket").distinct().select("_key", "_bucket", F.sum(new).over(window).alias("_part"))
-    placed = keyed.join(parts, ["_key", "_bucket"]).select(F.struct("_key", "_part").alias("_group"), *events.columns)
-    ordered = placed.repartition("_group").sortWithinPartitions("_group", time_us, event_id)
-    at = ordered.columns.index(time_us)
-    return ordered.mapInArrow(_first_of_windows(ttl_us, 0, at), ordered.schema).drop("_group")
+    stretches = timed.groupBy("_key", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    parts = stretches.withColumn("_part", F.sum(new).over(window))
+    inner = Window.partitionBy("_key", "_part").orderBy("_bucket")
+    parts = parts.withColumn("_chunk", F.floor((F.sum("_n").over(inner) - F.col("_n")) / chunk_rows)).drop("_n")
+    long = parts.where("_chunk > 0").select("_key", "_part").distinct()
+    places = parts.join(long, ["_key", "_part"], "left_semi")
+    # Only parts of several chunks are followed; their times alone are moved.
+    ways = timed.select("_key", "_bucket", "_t").join(places.select("_key", "_bucket", "_part", "_chunk"), ["_key", "_bucket"]).groupBy("_key", "_part", "_chunk")
+    ways = ways.applyInPandas(_ways_through(ttl_us), "_key string, _part bigint, _chunk bigint, _from bigint, _last bigint")
+    entries = ways.groupBy("_key", "_part").applyInPandas(_entries(ttl_us), "_key string, _part bigint, _chunk bigint, _least bigint")
+    placed = timed.join(parts.select("_key", "_bucket", "_part", "_chunk"), ["_key", "_bucket"]).join(entries, ["_key", "_part", "_chunk"], "left")
+    placed = placed.select(F.struct("_key", "_part", "_chunk").alias("_group"), "_least", "_t", "_row")
+    ordered = placed.repartition("_group").sortWithinPartitions("_group", "_t", f"_row.{event_id}")
+    kept = ordered.mapInArrow(_first_of_windows(ttl_us, 0, 2, 1), ordered.schema)
+    return kept.select("_row.*").unionByName(keyed.where("_t is null").select("_row.*"))
+
+
+def last_kept(kept: DataFrame, key: str, time_us: str, last: DataFrame) -> DataFrame:
+    """``key, last_us`` after more was kept: what ``ttl_dedup`` takes with the next events."""
+    fresh = kept.where(F.col(time_us).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(time_us).alias("last_us"))
+    return last.select("key", "last_us").unionByName(fresh).groupBy("key").agg(F.max("last_us").alias("last_us"))
 
 
 def run_numbers(events: DataFrame, session: str, order: list[str], opens: Column, closes: Column) -> DataFrame:
@@ -114,21 +187,26 @@ def session_names(sessions: DataFrame, runs: DataFrame, obs: DataFrame, now_s: i
 def uncommitted_decay(memory: DataFrame, touched: DataFrame, commits: DataFrame, now_s: int, days: int = 60) -> DataFrame:
     """``id, forget_s`` of memories with files that uncommitted runs wrote and no commit of their project changed.
 
-    ``touched`` and ``commits`` have ``project, file``; memories have ``files``.
+    ``touched`` and ``commits`` have ``project, file``; memories have ``files``. Days count from
+    ``now_s``, or from the last ``at_s`` of what touched a memory's files if there is one.
     """
+    touched = touched if "at_s" in touched.columns else touched.withColumn("at_s", F.lit(now_s))
     files = memory.select("id", "project", F.explode(F.array_distinct("files")).alias("file"))
     safe = files.join(commits.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id").distinct()
-    hit = files.join(touched.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id").distinct()
-    return hit.join(safe, "id", "left_anti").select("id", F.lit(now_s + days * 86_400).cast("long").alias("forget_s"))
+    last = touched.groupBy("project", "file").agg(F.max("at_s").alias("at_s"))
+    hit = files.join(last, ["project", "file"]).groupBy("id").agg(F.max("at_s").alias("at_s"))
+    return hit.join(safe, "id", "left_anti").select("id", (F.col("at_s") + days * 86_400).cast("long").alias("forget_s"))
 
 
 def strengthened_by(memory: DataFrame, commits: DataFrame) -> DataFrame:
-    """Memories after commits ``project, files``: those of the project that share a file grow stronger, once."""
+    """Memories after commits ``project, files``: those of the project that share a file grow stronger, once, or once for each commit that has an ``id``."""
     from memspan.functions import scores
 
-    changed = commits.select("project", F.explode("files").alias("file")).distinct()
-    hit = memory.select("id", "project", F.explode("files").alias("file")).join(changed, ["project", "file"], "left_semi").select("id").distinct().withColumn("_hit", F.lit(True))
-    return memory.join(hit, "id", "left").withColumn("strength", F.when(F.col("_hit"), scores.strengthened(F.col("strength"))).otherwise(F.col("strength"))).drop("_hit")
+    each = "id" in commits.columns
+    changed = commits.select("project", (F.col("id") if each else F.lit(0)).alias("_commit"), F.explode("files").alias("file")).distinct()
+    met = memory.select("id", "project", F.explode("files").alias("file")).join(changed, ["project", "file"])
+    hit = met.select("id", "_commit").distinct().groupBy("id").agg(F.count(F.lit(1)).alias("_hits"))
+    return memory.join(hit, "id", "left").withColumn("strength", F.when(F.col("_hits") > 0, scores.strengthened(F.col("strength"), F.col("_hits"))).otherwise(F.col("strength"))).drop("_hits")
 
 
 def joined_top(df: DataFrame, group: list[str], value: str, order: list[Column], limit: int, separator: str, name: str) -> DataFrame:

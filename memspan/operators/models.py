@@ -15,14 +15,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspan.functions import text
+from memspan.sources.tables import checkpoint
 
 DIMENSION = 64
+#: Texts that an embedder is given at once.
+BATCH = 64
 REPLY = (
     "new_note struct<keywords:array<string>,tags:array<string>,context:string>, "
     "neighbour_updates array<struct<id:string,keywords_add:array<string>,keywords_remove:array<string>,tags_add:array<string>,tags_remove:array<string>,context_rewrite:string,"
     "link_to_new:struct<`create`:boolean,relation:string,score:double>,supersedes_new:boolean,superseded_by_new:boolean>>"
 )
 Embedder = Callable[[Sequence[str]], np.ndarray]
+#: A language model: a system prompt and what it is told, to its reply.
+Model = Callable[[str, str], str]
+#: What a model is asked to make of a hook event; the tags are those that ``compression`` reads.
+COMPRESS_ASKED = (
+    "An event of a coding session follows as JSON. Describe it in XML tags: type, title, subtitle, narrative, one fact, keyword or file tag for each "
+    "fact, keyword and file, and importance from 1 to 10."
+)
 
 
 def hashed_trigrams(texts: Sequence[str], dimension: int = DIMENSION) -> np.ndarray:
@@ -38,11 +48,16 @@ def hashed_trigrams(texts: Sequence[str], dimension: int = DIMENSION) -> np.ndar
 
 
 def embedded(df: DataFrame, text_col: str, out_col: str = "embedding", model: Embedder = hashed_trigrams) -> DataFrame:
-    """Rows with vectors of their text; rows that have one keep it, so this is also the reindexing of what lacks one."""
+    """Rows with vectors of their text; rows that have one keep it, so this is also the reindexing of what lacks one.
+
+    Equal texts of a batch are embedded once; a model gets ``BATCH`` texts at a time.
+    """
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(list(model([t or "" for t in batch])))
+            codes, texts = pd.factorize(batch.fillna(""))
+            made = [v for i in range(0, len(texts), BATCH) for v in model(list(texts[i : i + BATCH]))]
+            yield pd.Series([made[c] for c in codes])
 
     vectors = F.pandas_udf(run, "array<float>")  # type: ignore[call-overload]
     made = vectors(F.col(text_col))
@@ -52,6 +67,53 @@ def embedded(df: DataFrame, text_col: str, out_col: str = "embedding", model: Em
     return have.unionByName(df.where(F.col(out_col).isNull()).withColumn(out_col, made))
 
 
+def prompt_hash(prompt: Column, system: str, version: str) -> Column:
+    """What an answer is known by: the model's version, the system prompt and the prompt."""
+    return F.sha2(F.concat_ws("\x1f", F.lit(version), F.lit(system), prompt), 256)
+
+
+def replies(asked: DataFrame, model: Model, system: str, known: DataFrame, version: str = "1", prompt_col: str = "prompt") -> DataFrame:
+    """``hash, reply, failed`` of prompts that are not answered yet: each distinct one is asked once, in tasks.
+
+    A model that raises, or gives no text, leaves a row that has failed, which is asked
+    again the next time; the others are not. Prompts that are null are not asked.
+    """
+    hashed = asked.select(F.col(prompt_col).alias("prompt")).where("prompt is not null").distinct().withColumn("hash", prompt_hash(F.col("prompt"), system, version))
+    todo = hashed.join(known.where("not failed").select("hash"), "hash", "left_anti").select("hash", "prompt")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            told = []
+            for prompt in batch["prompt"]:
+                try:
+                    reply = model(system, prompt)
+                except Exception:  # whatever a model raises, the other rows have their answers
+                    reply = None
+                told.append(reply if isinstance(reply, str) else None)
+            yield pd.DataFrame({"hash": batch["hash"], "reply": pd.Series(told, dtype=object), "failed": [r is None for r in told]})
+
+    return checkpoint(todo.mapInPandas(run, "hash string, reply string, failed boolean"))
+
+
+def all_replies(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The table of replies after more were given: one row for each hash, an answer before a failure."""
+    both = known.select("hash", "reply", "failed").unionByName(fresh)
+    return both.groupBy("hash").agg(F.min_by("reply", F.struct("failed", "reply")).alias("reply"), F.bool_and("failed").alias("failed"))
+
+
+def compressed(seen: DataFrame, answered: DataFrame, version: str = "1") -> DataFrame:
+    """Observations by a model's reply ``hash, reply``, and by rules where it has failed or tells no type and title.
+
+    ``seen`` has the columns that rules make and the ``prompt``.
+    """
+    told = answered.where("not failed").select(F.col("hash").alias("_hash"), compression(F.col("reply")).alias("_told"))
+    both = seen.join(told, prompt_hash(F.col("prompt"), COMPRESS_ASKED, version) == F.col("_hash"), "left")
+    good = (F.col("_told.obs_type") != "") & (F.col("_told.title") != "")
+    names = ("obs_type", "title", "subtitle", "narrative", "facts", "keywords", "files", "importance", "confidence")
+    made = {c: F.when(good, F.col(f"_told.{c}")).otherwise(F.col(c) if c in seen.columns else F.lit(None)) for c in names}
+    return both.withColumns(made).drop("_hash", "_told", "prompt")
+
+
 def embed_text(title: Column, body: Column, keywords: Column, files: Column) -> Column:
     """What of a record is embedded: title, body, and its keywords and files if there are any."""
     listed = lambda name, values: F.when(F.size(values) > 0, F.concat(F.lit(f"{name}: "), F.array_join(values, ", ")))

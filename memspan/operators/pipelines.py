@@ -6,22 +6,22 @@ in its next version, or the new rows of tables that only grow (``observation``,
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memspan.functions import hooks, scores, text
 from memspan.operators import graph, lifecycle, maintain, models, plans, provenance
-from memspan.sources.schemas import SCHEMAS, conformed
+from memspan.operators.vectorindex import VectorIndex
+from memspan.sources.schemas import SCHEMAS, conformed, empty
 from memspan.sources.tables import checkpoint
 
 Tables = Mapping[str, DataFrame]
-#: A language model: a system prompt and what it is told, to its reply.
-Model = Callable[[str, str], str]
-#: What language models are asked for.
-FACTS_ASKED = 'Merge the session summaries into reusable facts. Output only XML: <facts><fact confidence="0.9">A fact about the project</fact></facts>'
-PROCEDURES_ASKED = 'Extract recurring workflows from the patterns. Output only XML: <procedures><procedure name="a name" trigger="when it applies"><step>One step</step></procedure></procedures>'
+Model = models.Model
+#: What language models are asked for; the tags are those that ``facts_told`` and ``procedures_told`` read.
+FACTS_ASKED = 'Session summaries follow as JSON. List what holds for the project beyond one session, each as <fact confidence="C">TEXT</fact> with C between 0 and 1, and write nothing else.'
+PROCEDURES_ASKED = 'Patterns follow as JSON. For each routine that several of them show write <procedure name="NAME" trigger="WHEN"><step>TEXT</step>...</procedure>, and nothing else.'
 
 
 def _ends(df: DataFrame) -> DataFrame:
@@ -29,41 +29,74 @@ def _ends(df: DataFrame) -> DataFrame:
     return df.withColumn("event", hooks.event_name(F.col("hook")))
 
 
-def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecycle.TTL_US) -> dict[str, DataFrame]:
+def _table(tables: Tables, name: str, like: DataFrame) -> DataFrame:
+    return tables[name] if name in tables else empty(like.sparkSession, name)
+
+
+def unseen(events: DataFrame, seen: DataFrame) -> DataFrame:
+    """Events that were not taken in before, each id once. An event without id has one made of all that it tells."""
+    made = F.abs(F.xxhash64("session_id", "project", "ts_us", "hook", "data"))
+    return events.withColumn("id", F.coalesce("id", made)).join(seen.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*events.columns)
+
+
+def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecycle.TTL_US, model: Model | None = None, version: str = "1") -> dict[str, DataFrame]:
     """What hook events ``id, session_id, project, ts_us, hook, data`` make of the store.
 
+    Events count once: ids that were taken in before (``seen``) are left out, and what the
+    last kept event of a key hides is told by ``dedup``. So a batch that comes twice changes
+    nothing, and batches that split a stretch of time give what one batch gives.
+
     Runs are opened by prompts and closed by stops and completed tasks before repeats are
-    dropped; an open run of the store goes on. What is kept becomes observations, which
-    belong to the run that was open then and count for their session. Closed runs get an
-    outcome and the titles of their five most important observations. Commits that a
-    shell made are told as rows for ``record_commits``.
+    dropped; an open run of the store goes on. What is kept becomes observations, by a
+    language model if one is given and by rules where it fails; they belong to the run that
+    was open then and count for their session. Closed runs get an outcome and the titles
+    of their five most important observations; where they wrote without a commit, memories
+    of the files are to be forgotten. Commits that a shell made are told as rows for
+    ``record_commits``. Events without time are kept, belong to no run and begin no session.
     """
     runs = tables["run"]
+    events = checkpoint(unseen(events, _table(tables, "seen", runs)))
     prompt = F.coalesce(F.get_json_object("data", "$.prompt"), F.lit(""))
-    rows = _ends(events).select("id", "session_id", "project", "ts_us", "event", prompt.alias("prompt"), F.lit(None).cast("bigint").alias("run_id"))
+    timed = events.where("ts_us is not null")
+    rows = _ends(timed).select("id", "session_id", "project", "ts_us", "event", prompt.alias("prompt"), F.lit(None).cast("bigint").alias("run_id"))
     window = lifecycle.Window.partitionBy("session_id").orderBy(F.desc("started_s"), F.desc("id"))
     live = runs.where("ended_s is null").withColumn("_nth", F.row_number().over(window)).where("_nth = 1")
-    live = live.join(events.select("session_id").distinct(), "session_id", "left_semi")
+    live = live.join(timed.select("session_id").distinct(), "session_id", "left_semi")
     going = live.select(F.lit(None).cast("bigint").alias("id"), "session_id", "project", (F.col("started_s") * 1_000_000).alias("ts_us"), F.lit("prompt_submit").alias("event"), F.lit(None).cast("string").alias("prompt"), F.col("id").alias("run_id"))
     closes = F.col("event").isin("session_stop", "task_completed")
     numbered = lifecycle.run_numbers(rows.unionByName(going), "session_id", ["ts_us", "id"], F.col("event") == "prompt_submit", closes).withColumn("closes", closes)
     numbered = checkpoint(numbered)  # several tables come of these few columns
 
     given = F.coalesce(hooks.tool_input(F.col("data")), F.lit(""))
+    last = _table(tables, "dedup", runs)
     keyed = events.withColumn("_dedup", hooks.dedup_key(F.col("session_id"), hooks.tool_name(F.col("data")), given))
-    kept = checkpoint(lifecycle.ttl_dedup(keyed, "_dedup", "ts_us", "id", ttl_us).drop("_dedup"))
+    kept = checkpoint(lifecycle.ttl_dedup(keyed, "_dedup", "ts_us", "id", ttl_us, last=last))
+    next_last = lifecycle.last_kept(kept, "_dedup", "ts_us", last)
+    kept = kept.drop("_dedup")
     seen = hooks.observed(kept).withColumn("at_s", F.floor(F.col("ts_us") / 1_000_000))
+    answered = None
+    if model is not None:
+        seen = seen.withColumn("prompt", F.to_json(F.struct("hook", "project", "data")))
+        known = _table(tables, "reply", runs)
+        answered = models.all_replies(known, models.replies(seen, model, models.COMPRESS_ASKED, known, version))
+        seen = models.compressed(seen, answered, version)
     observations = conformed(seen.select(*(c for c in seen.columns if c in SCHEMAS["observation"].replace(",", " ").split())), "observation")
+    if model is not None:
+        observations = checkpoint(observations)
 
     inside = numbered.where("run_no is not null")
     prompts = F.transform(F.array_sort(F.collect_list(F.when((F.col("event") == "prompt_submit") & F.col("id").isNotNull(), F.struct("ts_us", "id", "prompt")))), lambda x: x["prompt"])
     opened = inside.groupBy("session_id", "run_no").agg(F.first("project").alias("project"), F.floor(F.min("ts_us") / 1_000_000).alias("started_s"), F.min(F.struct("ts_us", "id"))["ts_us"].alias("ts_us"), F.max("run_id").alias("run_id"), prompts.alias("more"))
     before = lifecycle.Window.partitionBy("session_id").orderBy("ts_us", "id").rowsBetween(lifecycle.Window.unboundedPreceding, -1)
     ended = numbered.withColumn("of", F.last("run_no", ignorenulls=True).over(before)).where("closes and of is not null").groupBy("session_id", F.col("of").alias("run_no")).agg(F.floor(F.min("ts_us") / 1_000_000).alias("ended_s"))
-    member = inside.where("id is not null").select("id", "session_id", "run_no").join(observations.select("id", "obs_type", "title", "importance", "ts_us"), "id")
+    shown = ("id", "obs_type", "title", "importance", "ts_us", "files")
+    member = inside.where("id is not null").select("id", "session_id", "run_no").join(observations.select(*shown), "id")
     committed = hooks.commits_of(kept)
-    told = member.join(committed.select("id", F.lit(True).alias("c")), "id", "left").groupBy("session_id", "run_no").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.coalesce(F.bool_or("c"), F.lit(False)).alias("c"), F.bool_or(F.col("obs_type").isin("file_write", "file_edit")).alias("w"))
-    lessons = lifecycle.joined_top(member, ["session_id", "run_no"], "title", [F.desc("importance"), F.col("ts_us"), F.col("id")], 5, " · ", "told")
+    # What a run that goes on observed before counts for its outcome and lesson.
+    earlier = inside.where("run_id is not null").select("session_id", "run_no", "run_id").join(live.select(F.col("id").alias("run_id"), F.explode("observation_ids").alias("id")), "run_id").drop("run_id").join(tables["observation"].select(*shown), "id")
+    every = member.select("session_id", "run_no", *shown).unionByName(earlier.select("session_id", "run_no", *shown))
+    told = every.join(committed.select("id", F.lit(True).alias("c")), "id", "left").groupBy("session_id", "run_no").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.coalesce(F.bool_or("c"), F.lit(False)).alias("c"), F.bool_or(F.col("obs_type").isin("file_write", "file_edit")).alias("w"))
+    lessons = lifecycle.joined_top(every, ["session_id", "run_no"], "title", [F.desc("importance"), F.col("ts_us"), F.col("id")], 5, " · ", "told")
     made = opened.join(ended, ["session_id", "run_no"], "left").join(told, ["session_id", "run_no"], "left").join(lessons, ["session_id", "run_no"], "left")
     made = made.withColumn("id", F.coalesce("run_id", F.abs(F.xxhash64("session_id", "ts_us"))))
     old = runs.select(F.col("id").alias("run_id"), *(F.col(c).alias(f"_{c}") for c in ("prompt", "prompts", "observation_ids", "lesson", "recalled", "commit_id", "plan_id", "outcome")))
@@ -82,26 +115,39 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
         F.coalesce("_prompt", F.get(prompts_now, F.lit(0))).alias("prompt"),
         prompts_now.alias("prompts"),
         F.when(found, F.coalesce(outcome, F.lit("success"))).otherwise(F.coalesce("_outcome", F.lit("unknown"))).alias("outcome"),
-        F.array_distinct(F.concat(F.coalesce("_observation_ids", none("bigint")), F.coalesce("ids", none("bigint")))).alias("observation_ids"),
+        F.array_sort(F.array_distinct(F.concat(F.coalesce("_observation_ids", none("bigint")), F.coalesce("ids", none("bigint"))))).alias("observation_ids"),
         F.when(found, F.nullif("told", F.lit(""))).otherwise(F.col("_lesson")).alias("lesson"),
         F.coalesce("_recalled", none("bigint")).alias("recalled"),
         F.col("_commit_id").alias("commit_id"),
         F.coalesce("_plan_id", "active").alias("plan_id"),
+        "run_no",
     )
-    fresh = checkpoint(conformed(fresh, "run"))
+    fresh = checkpoint(fresh)
+    numbers, fresh = fresh.select("id", "session_id", "run_no"), conformed(fresh, "run")
     next_runs = conformed(runs.join(fresh.select("id"), "id", "left_anti"), "run").unionByName(fresh)
 
     counted = observations.groupBy(F.col("session_id").alias("id")).agg(F.count(F.lit(1)).alias("_n"))
-    first = events.groupBy(F.col("session_id").alias("id")).agg(F.min_by("project", F.struct("ts_us", "id")).alias("project"), F.floor(F.min("ts_us") / 1_000_000).alias("started_s"))
+    first = timed.groupBy(F.col("session_id").alias("id")).agg(F.min_by("project", F.struct("ts_us", "id")).alias("project"), F.floor(F.min("ts_us") / 1_000_000).alias("started_s"))
     known = tables["session"]
     new = first.join(known.select("id"), "id", "left_anti").select("id", "project", "started_s", F.lit("active").alias("status"), F.lit(0).cast("bigint").alias("observation_count"))
     sessions = conformed(known, "session").unionByName(conformed(new, "session")).join(counted, "id", "left")
     sessions = sessions.withColumn("observation_count", F.col("observation_count") + F.coalesce("_n", F.lit(0))).drop("_n")
 
-    runs_of = member.join(fresh.select(F.col("id").alias("run_id"), F.explode("observation_ids").alias("id")), "id").select("id", "run_id")
+    runs_of = member.join(numbers.withColumnRenamed("id", "run_id"), ["session_id", "run_no"]).select("id", "run_id")
     commits = committed.join(runs_of, "id", "left").select("sha", "branch", "message", "project", "session_id", "run_id", F.floor(F.col("ts_us") / 1_000_000).alias("at_s"))
     edges = provenance.run_edges(next_runs).join(fresh.select(provenance.named("run", F.col("id")).alias("src")), "src", "left_semi").withColumn("created_s", F.lit(now_s).cast("bigint"))
-    return {"observation": observations, "run": next_runs, "session": sessions, "commits": conformed(commits, "commits"), "edge": conformed(edges, "edge")}
+    out = {"observation": observations, "run": next_runs, "session": sessions, "commits": conformed(commits, "commits"), "edge": conformed(edges, "edge"), "seen": events.select("id"), "dedup": next_last}
+    if answered is not None:
+        out["reply"] = answered
+    # A run that is closed without a commit makes memories of what it wrote fade.
+    bad = fresh.where("ended_s is not null and outcome = 'uncommitted'").select(F.col("id").alias("run_id"), F.col("project").alias("of"), "ended_s")
+    if not bad.isEmpty():
+        wrote = every.where(F.col("obs_type").isin("file_write", "file_edit")).join(numbers.withColumnRenamed("id", "run_id"), ["session_id", "run_no"])
+        touched = wrote.join(bad, "run_id").select(F.col("of").alias("project"), F.explode("files").alias("file"), F.col("ended_s").alias("at_s"))
+        covered = tables["commits"].select("project", F.explode("files").alias("file"))
+        fading = lifecycle.uncommitted_decay(tables["memory"], touched, covered, now_s).withColumnRenamed("forget_s", "_forget")
+        out["memory"] = tables["memory"].join(fading, "id", "left").withColumn("forget_s", F.coalesce("_forget", "forget_s")).drop("_forget")
+    return out
 
 
 def _named_edges(pairs: DataFrame, relation: str, via: str | None = None) -> DataFrame:
@@ -111,11 +157,17 @@ def _named_edges(pairs: DataFrame, relation: str, via: str | None = None) -> Dat
 
 
 def remember(tables: Tables, rows: DataFrame, now_s: int, model: models.Embedder = models.hashed_trigrams, nearest: int = 10) -> dict[str, DataFrame]:
-    """What new memories ``id, project, category, title, content, keywords, files, session_id`` make of the store.
+    """What new memories make of the store: the tables of ``remembered``."""
+    return remembered(tables, rows, now_s, model, nearest)[0]
+
+
+def remembered(tables: Tables, rows: DataFrame, now_s: int, model: models.Embedder = models.hashed_trigrams, nearest: int = 10, vectors: VectorIndex | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """What new memories ``id, project, category, title, content, keywords, files, session_id`` make of the store, and the new rows as they are stored.
 
     They are embedded and linked: to their ten nearest memories of the project where vectors,
     keywords or files are alike, to those that share a keyword or file, and to the run that
-    was open in their session and what it had recalled. Their entities are counted.
+    was open in their session and what it had recalled. Their entities are counted. With an
+    index of the stored vectors only the cells that new memories probe are read.
     """
     made = rows.select(
         *rows.columns,
@@ -128,13 +180,18 @@ def remember(tables: Tables, rows: DataFrame, now_s: int, model: models.Embedder
         models.embed_text(F.col("title"), F.col("content"), F.col("keywords"), F.col("files")).alias("_text"),
     )
     new = checkpoint(models.embedded(made, "_text", model=model).drop("_text"))
-    memory = conformed(tables["memory"], "memory").unionByName(conformed(new.drop("session_id"), "memory"))
+    stored_new = conformed(new.drop("session_id"), "memory")
+    memory = conformed(tables["memory"], "memory").unionByName(stored_new)
     # A memory is looked for in its own project and among those of all projects.
     places = F.array_distinct(F.array("project", F.lit("global")))
     asking = new.select("id", "embedding", F.explode(places).alias("place"))
-    stored = memory.where("is_latest").select("id", "embedding", F.col("project").alias("place"))
+    shown = lambda df: df.where("is_latest").select("id", "embedding", F.col("project").alias("place"))
+    if vectors is None or vectors.model is None:
+        found = graph.nearest_of(asking, shown(memory), nearest, "place")
+    else:
+        found = graph.nearest_of(asking, shown(stored_new), nearest, "place").unionByName(indexed_nearest(asking, vectors, tables["memory"].where("is_latest"), nearest))
     window = lifecycle.Window.partitionBy("id").orderBy(F.desc("sim"), "nbr")
-    pairs = graph.nearest_of(asking, stored, nearest, "place").withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= nearest).drop("_nth")
+    pairs = found.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= nearest).drop("_nth")
     alike = graph.similarity_edges(pairs, memory)
     items = lambda df: df.select("id", "project", F.concat("keywords", "files").alias("entities"))
     shared = graph.tokens_shared_with(items(new), items(tables["memory"]), "entities", "project").withColumnRenamed("jaccard", "edge_score")
@@ -142,7 +199,17 @@ def remember(tables: Tables, rows: DataFrame, now_s: int, model: models.Embedder
     saved = new.where("session_id is not null").select("id", "session_id", F.lit(now_s).cast("bigint").alias("at_s"))
     edges = edges.unionByName(provenance.memory_edges(saved, tables["run"].select("id", "session_id", "started_s", "ended_s", "recalled")))
     told = lifecycle.entities(new.select("project", F.lit(now_s).cast("bigint").alias("at_s"), "files", "keywords", F.concat_ws("\n", "title", "content").alias("text")))
-    return {"memory": memory, "edge": conformed(edges.withColumn("created_s", F.lit(now_s).cast("bigint")), "edge"), "entity": lifecycle.entities_merged(tables["entity"], told)}
+    out = {"memory": memory, "edge": conformed(edges.withColumn("created_s", F.lit(now_s).cast("bigint")), "edge"), "entity": lifecycle.entities_merged(tables["entity"], told)}
+    return out, stored_new
+
+
+def indexed_nearest(asking: DataFrame, vectors: VectorIndex, scope: DataFrame, k: int) -> DataFrame:
+    """``id, nbr, sim`` of rows ``id, embedding, place`` among indexed ones of their place (the kept column ``project``), within the cells that they probe."""
+    probing = checkpoint(vectors.probed(asking).select("id", "embedding", "place", "cell"))
+    cells = [r["cell"] for r in probing.select("cell").distinct().collect()]  # as many as the index has, at most
+    at = lambda df: df.withColumn("_at", F.concat_ws(":", F.col("cell").cast("string"), "place"))
+    stored = vectors.live(["v", "project"], cells, scope=scope).select("id", F.col("v").alias("embedding"), F.col("project").alias("place"), "cell")
+    return graph.nearest_of(at(probing), at(stored), k, "_at")
 
 
 def record_commits(tables: Tables, rows: DataFrame, now_s: int, least: float = 0.8) -> dict[str, DataFrame]:
@@ -150,7 +217,7 @@ def record_commits(tables: Tables, rows: DataFrame, now_s: int, least: float = 0
 
     A sha counts once, and not if it is known. A commit belongs to its ``run_id``, or to the
     run that was open in its session; it marks that run, strengthens memories of its
-    project that share a file (if it has a session), and is linked to the project's
+    project that share a file (if it has a session, each commit once), and is linked to the project's
     active plan if they share a file, which it completes if it covers ``least`` of its
     files; the plan then leaves core memory. Runs with observations give a summary.
     """
@@ -169,13 +236,15 @@ def record_commits(tables: Tables, rows: DataFrame, now_s: int, least: float = 0
     next_plans = next_plans.withColumn("status", F.when(ended, "completed").otherwise(F.col("status"))).withColumn("commit_id", F.coalesce("_by", "commit_id")).withColumn("completed_s", F.coalesce("_at", "completed_s")).drop("_by", "_at")
     core = plans.core_synced(tables["core"], tables["plan"].join(done.select("id"), "id", "left_semi"), "remove")
 
-    last = lifecycle.latest(commits.where("run_id is not null"), ["run_id"], [F.desc("at_s"), F.col("id")]).select(F.col("run_id").alias("id"), F.col("id").alias("_commit"), lifecycle.committed_lesson(F.col("sha"), F.col("message")).alias("_told"))
+    last = lifecycle.latest(commits.where("run_id is not null"), ["run_id"], [F.desc("at_s"), F.col("id")]).select(F.col("run_id").alias("id"), F.col("id").alias("_commit"), lifecycle.committed_lesson(F.col("sha"), F.col("message")).alias("_told"), F.col("at_s").alias("_at"))
     marked = tables["run"].join(last, "id", "left")
     hit = F.col("_commit").isNotNull()
-    marked = marked.withColumn("outcome", F.when(hit, "committed").otherwise(F.col("outcome"))).withColumn("lesson", F.coalesce("_told", "lesson")).withColumn("commit_id", F.coalesce("_commit", "commit_id")).drop("_commit", "_told")
+    lesson = F.when(hit & (F.col("ended_s").isNull() | (F.col("ended_s") < F.col("_at"))), F.col("_told")).otherwise(F.col("lesson"))  # a run that was closed later tells its own
+    marked = marked.withColumn("outcome", F.when(hit, "committed").otherwise(F.col("outcome"))).withColumn("lesson", lesson).withColumn("commit_id", F.coalesce("_commit", "commit_id")).drop("_commit", "_told", "_at")
 
-    inside = commits.where("run_id is not null and session_id is not null").select(F.col("id").alias("cid"), "session_id", "project", "message", "run_id")
+    inside = commits.where("run_id is not null and session_id is not null").select(F.col("id").alias("cid"), "session_id", "project", "message", "run_id", F.col("at_s").alias("_at"))
     seen = inside.join(tables["run"].select(F.col("id").alias("run_id"), F.explode("observation_ids").alias("id")), "run_id").join(tables["observation"].select("id", "title", "narrative", "files", "keywords", "importance", "ts_us"), "id")
+    seen = seen.where(F.coalesce(F.floor(F.col("ts_us") / 1_000_000) <= F.col("_at"), F.lit(True)))  # what was observed up to the commit
     window = lifecycle.Window.partitionBy("cid").orderBy(F.desc("importance"), "ts_us", "id")
     ten = seen.withColumn("nth", F.row_number().over(window)).where("nth <= 10")
     listed = lambda c, most: F.transform(F.array_sort(F.collect_list(F.when(F.col("nth") <= most, F.struct("nth", c)))), lambda x: x[c])
@@ -188,7 +257,7 @@ def record_commits(tables: Tables, rows: DataFrame, now_s: int, least: float = 0
         "commits": conformed(commits, "commits"),
         "edge": conformed(edges, "edge"),
         "run": marked,
-        "memory": lifecycle.strengthened_by(tables["memory"], commits.where("session_id is not null").select("project", "files")),
+        "memory": lifecycle.strengthened_by(tables["memory"], commits.where("session_id is not null").select("id", "project", "files")),
         "plan": next_plans,
         "core": core,
         "summary": conformed(summary, "summary"),
@@ -210,8 +279,10 @@ def patterns_asked(memory: DataFrame, most: int = 20, least: int = 2) -> DataFra
     return listed.select(text.pretty_json(F.transform("l", lambda x: F.struct(x["title"].alias("title"), x["content"].alias("content"), (-x["s"]).alias("strength")))).alias("prompt"))
 
 
-def _replies(asked: DataFrame, model: Model, system: str) -> DataFrame:
-    return asked.sparkSession.createDataFrame([(model(system, row["prompt"]),) for row in asked.collect()], "reply string")  # a row at most
+def _replies(asked: DataFrame, model: Model, system: str, known: DataFrame) -> DataFrame:
+    """Replies to a prompt or none; those that were given before are not asked again."""
+    fresh = models.replies(asked, model, system, known)
+    return models.all_replies(known, fresh).join(asked.select(models.prompt_hash(F.col("prompt"), system, "1").alias("hash")), "hash", "left_semi").where("not failed")
 
 
 def facts_told(replies: DataFrame, now_s: int) -> DataFrame:
@@ -243,8 +314,9 @@ def consolidate(tables: Tables, now_s: int, model: Model | None = None) -> dict[
     pairs = members.withColumnRenamed("id", "src").join(members.withColumnRenamed("id", "dst"), "cluster").where("src < dst").withColumn("edge_score", F.lit(0.5))
     out["edge"] = conformed(_named_edges(pairs, "similar_to", "cluster").withColumn("created_s", F.lit(now_s).cast("bigint")), "edge")
     if model is not None:
-        out["fact"] = out["fact"].unionByName(facts_told(_replies(summaries_asked(tables["summary"]), model, FACTS_ASKED), now_s), allowMissingColumns=True)
-        out["procedure"] = tables["procedure"].unionByName(procedures_told(_replies(patterns_asked(tables["memory"]), model, PROCEDURES_ASKED), now_s), allowMissingColumns=True)
+        known = empty(tables["memory"].sparkSession, "reply")  # each consolidation asks anew
+        out["fact"] = out["fact"].unionByName(facts_told(_replies(summaries_asked(tables["summary"]), model, FACTS_ASKED, known), now_s), allowMissingColumns=True)
+        out["procedure"] = tables["procedure"].unionByName(procedures_told(_replies(patterns_asked(tables["memory"]), model, PROCEDURES_ASKED, known), now_s), allowMissingColumns=True)
     return out
 
 

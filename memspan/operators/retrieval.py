@@ -93,7 +93,7 @@ def search_memories(memory: DataFrame, index: TextIndex, query: str, limit: int,
     scope = memory.where("is_latest")
     if project is not None:
         scope = scope.where(F.col("project") == project)
-    branches = [top(scoped(index.bm25(field, query), scope), limit) for field in ("title", "content")]
+    branches = [index.top(field, query, limit, scope) for field in ("title", "content")]
     if vectors is not None and config.vector:
         branches.append(scoped(vectors, scope))
     wide = scope.select("id", "project", "category", "title", "strength", "retrieval_count", "created_s")
@@ -128,22 +128,21 @@ def listed_runs(runs: DataFrame, index: TextIndex, query: str | None, limit: int
     scope = runs if project is None else runs.where(F.col("project") == project)
     if plain(query):
         return scope.orderBy(F.desc("started_s"), "id").limit(limit).withColumn("score", F.lit(0.0))
-    fused = fuse([top(scoped(index.bm25(field, query), scope), limit) for field in ("prompt", "lesson")], 60, limit)
+    fused = fuse([index.top(field, query, limit, scope) for field in ("prompt", "lesson")], 60, limit)
     return scope.join(fused, "id").orderBy(F.desc("score"), "id")
 
 
 def search_runs(runs: DataFrame, index: TextIndex, query: str, limit: int, k: int = 60, weight: float = 0.7) -> DataFrame:
     """Closed runs with a lesson, by fused ranks of prompt and lesson."""
     closed = runs.where("ended_s is not null and lesson <> ''")
-    fused = fuse([top(scoped(index.bm25(field, query), closed), limit) for field in ("prompt", "lesson")], k, limit)
+    fused = fuse([index.top(field, query, limit, closed) for field in ("prompt", "lesson")], k, limit)
     found = closed.select("id", "session_id", "prompt", "outcome").join(fused, "id")
     return found.select("id", F.col("session_id").cast("string").alias("session_id"), text.cut(F.col("prompt"), 80).alias("title"), F.concat(F.lit("run:task:"), F.col("outcome")).alias("obs_type"), F.lit(5).alias("importance"), (F.col("score") * weight).alias("score"))
 
 
 def search_observations(obs: DataFrame, index: TextIndex, query: str, limit: int, k: int, vectors: DataFrame | None = None, project: str | None = None) -> DataFrame:
     scope = obs if project is None else obs.where(F.col("project") == project)
-    hits = [index.bm25(field, query) for field in ("title", "narrative")]
-    branches = [top(b if project is None else scoped(b, scope), limit) for b in hits]
+    branches = [index.top(field, query, limit, None if project is None else scope) for field in ("title", "narrative")]
     if vectors is not None:
         branches.append(vectors)
     found = scope.select("id", "session_id", "title", "obs_type", "importance").join(fuse(branches, k, limit), "id")
@@ -223,9 +222,11 @@ def bump(memory: DataFrame, hits: DataFrame, now_s: int) -> DataFrame:
 
 
 def rerank(results: DataFrame, score: Column, top_n: int = 20) -> DataFrame:
-    """The first ``top_n`` memory rows get a scorer's score instead of their own."""
-    window = Window.orderBy(F.col("obs_type").startswith("memory:").desc(), F.col("score").desc(), "id")
-    return results.withColumn("_nth", F.row_number().over(window)).withColumn("score", F.when(F.col("obs_type").startswith("memory:") & (F.col("_nth") <= top_n), score).otherwise(F.col("score"))).drop("_nth")
+    """The first ``top_n`` memory rows get a scorer's score instead of their own; the others are not ranked."""
+    memories = results.where(F.col("obs_type").startswith("memory:"))
+    few = top(memories.select("id", "score"), top_n).select("id", F.lit(True).alias("_few"))
+    told = results.join(F.broadcast(few), "id", "left")  # ``top_n`` rows
+    return told.withColumn("score", F.when(F.col("_few") & F.col("obs_type").startswith("memory:"), score).otherwise(F.col("score"))).drop("_few")
 
 
 def overlap_score(query: str, document: Column) -> Column:

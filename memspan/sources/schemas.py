@@ -16,10 +16,14 @@ SCHEMAS = {
     "run": "id bigint, session_id bigint, project string, started_s bigint, ended_s bigint, prompt string, prompts array<string>, outcome string, observation_ids array<bigint>, lesson string, recalled array<bigint>, commit_id bigint, plan_id bigint",
     "edge": "src string, dst string, relation string, via string, edge_score double, created_s bigint",
     "commits": "id bigint, sha string, message string, author string, branch string, project string, files array<string>, insertions bigint, deletions bigint, is_amend boolean, session_id bigint, run_id bigint, plan_id bigint, at_s bigint, created_s bigint",
+    "seen": "id bigint",
+    "dedup": "key string, last_us bigint",
+    "reply": "hash string, reply string, failed boolean",
     "plan": "id bigint, file_path string, title string, content string, status string, project string, keywords array<string>, files array<string>, session_id bigint, run_id bigint, commit_id bigint, created_s bigint, completed_s bigint",
 }
+#: ``seen`` has the ids of events that were taken in, ``dedup`` the last time kept of each key, ``reply`` what language models answered.
 #: Columns that name a row of a table besides its id.
-KEYS = {"commits": ("sha",), "plan": ("file_path",), "core": ("project",), "entity": ("kind", "name", "project"), "edge": ("src", "dst", "relation", "via")}
+KEYS = {"commits": ("sha",), "plan": ("file_path",), "core": ("project",), "entity": ("kind", "name", "project"), "dedup": ("key",), "reply": ("hash",), "edge": ("src", "dst", "relation", "via")}
 
 
 def empty(spark: SparkSession, name: str) -> DataFrame:

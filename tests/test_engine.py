@@ -131,8 +131,8 @@ def test_observe(spark, store):
     ]
     assert rows_of(after["session"], "id", "status", "observation_count") == [(1, "active", 3), (2, "active", 4), (3, "active", 1)]
     runs = {r.session_id: r for r in after["run"].collect()}
-    # The run that was open goes on, is closed, and then is told what was committed in it.
-    assert (runs[1].id, runs[1].prompt, runs[1].observation_ids, runs[1].ended_s, runs[1].outcome, runs[1].lesson) == (50, "fix the parser", [1, 3], NOW + 30, "committed", "Committed abcdef1: Fix the parser")
+    # The run that was open goes on; the commit told in it is followed by its close, which sets the lesson.
+    assert (runs[1].id, runs[1].prompt, runs[1].observation_ids, runs[1].ended_s, runs[1].outcome, runs[1].lesson) == (50, "fix the parser", [1, 3], NOW + 30, "committed", "Edit: a.rs · Bash: git add . && git commit -m x")
     assert (runs[2].prompt, runs[2].prompts, runs[2].observation_ids, runs[2].ended_s, runs[2].outcome, runs[2].lesson) == ("hello there", ["hello there"], [5, 6], NOW + 400, "uncommitted", "Edit: a.rs · Prompt: hello there")
     assert (runs[3].ended_s, runs[3].outcome, runs[3].lesson, runs[3].plan_id) == (None, "unknown", None, 30)
     assert rows_of(after["commits"], "sha", "message", "branch", "run_id") == [("abcdef12", "Fix the parser", "main", 50)]
@@ -204,17 +204,27 @@ def test_consolidate(spark, store):
 
 def test_evolve_asks_about_neighbours(spark, store):
     edges = spark.createDataFrame([("memory:7", f"memory:{i}", "similar_to", "keyword", 0.5, NOW) for i in (8, 9)] + [("memory:7", "run:50", "generated_by", "system", 1.0, NOW)], schemas.SCHEMAS["edge"])
-    told = []
 
     def model(system, prompt):
-        told.append(json.loads(prompt))
+        told = json.loads(prompt)
+        assert told["new_note"]["title"] == "Parser keeps spans" and [n["id"] for n in told["neighbours"]] == ["8", "9"]
         return 'Sure {"neighbour_updates": [{"id": "8", "keywords_add": ["extra"], "superseded_by_new": true}, {"id": "77", "keywords_add": ["no"]}]}'
 
     engine = store.after({"edge": edges})
-    after, made = engine.evolve(store.get("memory", 7), model)
-    assert told[0]["new_note"]["title"] == "Parser keeps spans" and [n["id"] for n in told[0]["neighbours"]] == ["8", "9"]
+    after, made, answered = engine.evolve(store.get("memory", 7), model)
+    assert rows_of(answered, "failed") == [(False,)]
     assert rows_of(after, "id", "is_latest", F.array_join("keywords", ",").alias("k")) == [(7, True, "parser,span"), (8, False, "tests,extra"), (9, True, "parser")]
     assert made.count() == 0
+
+    def broken(system, prompt):
+        raise OSError("no model")
+
+    # What is answered is not asked again; what failed is.
+    again = engine.after({"reply": answered.persist()})
+    assert rows_of(again.evolve(store.get("memory", 7), broken)[0].where("id = 8"), "is_latest") == [(False,)]
+    failed = engine.evolve(store.get("memory", 7), broken)
+    assert rows_of(failed[2], "failed") == [(True,)] and rows_of(failed[0].where("id = 8"), "is_latest") == [(True,)]
+    assert rows_of(engine.after({"reply": failed[2].persist()}).evolve(store.get("memory", 7), model)[2], "failed") == [(False,)]
     assert pipelines.neighbours_asked(edges, store["memory"], store.get("memory", 7), most=1).head().allowed == ["8"]
 
 
