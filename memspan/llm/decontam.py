@@ -70,7 +70,7 @@ def _met(rows: DataFrame, few: DataFrame, fits: bool) -> DataFrame:
     if fits:
         return rows.join(F.broadcast(few), "h")
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "row", "pos"), F.lit(SALTS)))
-    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+    copies = few.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
     return salted.join(copies, ["h", "_salt"]).drop("_salt")
 
 

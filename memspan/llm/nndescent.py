@@ -9,7 +9,7 @@ are chunks of linked groups; two chunks are left out only if their centres are f
 apart than their radii and the threshold's angle, so no link is between them.
 A bounded sample of queries against all rows audits the recall: the mean share of its
 links that a query finds, apart for queries with at most as many links as a list holds
-and for those with more. While either is below the target, cells of further hyperplanes
+and for those with more. More are asked, of a small table all, where few have links. While either is below the target, cells of further hyperplanes
 are added and lists are refined again; where that does not reach it, all classes of a
 label are compared in blocks, which is exact. ``report`` tells what was measured.
 
@@ -42,8 +42,10 @@ from memspan.sources.tables import checkpoint
 THRESHOLD = 0.93
 #: Neighbours in a list, rows of a cell, rows of a block, hyperplane tables of a pass.
 LIST, CELL, BLOCK, TABLES = 10, 256, 1024, 4
-#: Queries of the audit at most (its sample's bound), the recall to reach, and passes and refinements at most.
+#: Queries that the audit asks first, the recall to reach, and passes and refinements at most.
 AUDIT, RECALL, PASSES, ROUNDS = 512, 0.98, 3, 3
+#: Queries with links that the audit is meant to have, queries that it asks at most to find them (its sample's bound), and how near a listed neighbour makes a link likely.
+LINKED_ASKED, MOST_ASKED, LIKELY = 64, 16_384, 0.8
 CODE_BITS = 30
 #: List entries of a bucket of hubs that one call refines; members of a hub that are compared at once.
 BUCKET_ROWS, HUB = 8192, 64
@@ -192,13 +194,16 @@ def _meeting(threshold: float) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def _reached(true: dict[int, int], got: dict[int, int], keep: int) -> float:
-    """The mean share of its links that a query finds, of queries with few links or with many, whichever is less."""
+def _reached(true: dict[int, int], got: dict[int, int], keep: int, every: bool = False) -> float | None:
+    """The mean share of its links that a query finds, of queries with few links or with many, whichever is less.
+
+    If no query has a link, it is 1 where every class was asked and so none has any, and else unknown.
+    """
     shares: dict[bool, list[float]] = {}
     for i, n in true.items():
         if n:
             shares.setdefault(n > keep, []).append(min(got.get(i, 0), n) / n)
-    return min((sum(x) / len(x) for x in shares.values()), default=1.0)
+    return min((sum(x) / len(x) for x in shares.values()), default=1.0 if every else None)
 
 
 def _compared(classes: DataFrame, parts: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -224,9 +229,10 @@ def _audit(queries: list[tuple[int, int, bytes]], threshold: float) -> Callable[
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in frames:
             for (group, size), some in rows.groupby([rows["grp"], rows["u"].map(len)]):
-                if asked := by.get((group, size)):
-                    ids = np.array([i for i, _ in asked])
-                    near = _matrix(pd.Series([u for _, u in asked])) @ _matrix(some["u"]).T >= threshold
+                asked = by.get((group, size), [])
+                for few in (asked[k : k + AUDIT] for k in range(0, len(asked), AUDIT)):
+                    ids = np.array([i for i, _ in few])
+                    near = _matrix(pd.Series([u for _, u in few])) @ _matrix(some["u"]).T >= threshold
                     near &= ids[:, None] != some["id"].to_numpy()[None, :]
                     yield pd.DataFrame({"id": ids, "n": near @ some["n"].to_numpy()})
 
@@ -293,8 +299,12 @@ def near_duplicates(
     """``id``, ``n_links`` (rows linked directly) and ``component_id`` (the smallest id reachable).
 
     ``report`` is given the audited recall of each pass and whether all was compared in the end.
+    At most ``MOST_ASKED`` classes are asked at random, so of smaller tables all are, until
+    ``LINKED_ASKED`` of them have links; else as many again whose lists hold a near one. If
+    none of all these has a link, recall is unknown (None) and all passes are made.
     """
-    small_batches(df.sparkSession, 2048)
+    spark = df.sparkSession
+    small_batches(spark, 2048)
     vector = F.col("v")
     sound = F.col("label").isNotNull() & (F.size("v") > 0) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(vector, lambda x: x != 0)
     rows = columns(df, id=id_col, v=vector_col, label=label_col).select("id", F.col("v").cast("array<double>").alias("v"), "label")
@@ -307,11 +317,21 @@ def near_duplicates(
     heads = named.select("k1", "k2", "id", "least", "n")
     classes = checkpoint(named.select("id", "grp", "n", "v").mapInArrow(_units, "id long, grp long, n long, u binary"))
 
-    asked = classes.orderBy(F.xxhash64("id"), "id").limit(AUDIT).select("id", "grp", "u").collect()
-    ids, true = [q["id"] for q in asked], {}
-    if asked:
-        found = classes.mapInPandas(_audit([(q["id"], q["grp"], bytes(q["u"])) for q in asked], threshold), "id long, n long")
-        true = {r["id"]: r["n"] for r in found.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    true, total = {}, classes.count()
+
+    def ask(wanted: DataFrame, most: int) -> None:
+        """Counts the links of up to ``most`` classes, by a hash of their id, that were not asked yet."""
+        rows = wanted.orderBy(F.xxhash64("id"), "id").limit(most).select("id", "grp", "u").collect()
+        fresh = [(q["id"], q["grp"], bytes(q["u"])) for q in rows if q["id"] not in true]
+        true.update(dict.fromkeys((i for i, _, _ in fresh), 0))
+        if fresh:
+            found = classes.mapInPandas(_audit(fresh, threshold), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+            true.update({r["id"]: r["n"] for r in found.collect()})
+
+    linked_asked = lambda: sum(n > 0 for n in true.values())
+    for most in (AUDIT, MOST_ASKED):
+        if linked_asked() < LINKED_ASKED:
+            ask(classes, most)
 
     told = {"recall": [], "exact": False} if report is None else report
     told |= {"recall": [], "exact": False}
@@ -327,9 +347,15 @@ def near_duplicates(
                 break
         edges, counts = _links(classes, lists, threshold, keep, block)
         counts = checkpoint(counts)
-        got = {r["id"]: r["n"] for r in counts.where(F.col("id").isin(ids)).collect()} if ids else {}
-        told["recall"].append(_reached(true, got, keep))
-        if told["recall"][-1] >= recall:
+        if turn == 0 and len(true) < total and linked_asked() < LINKED_ASKED:
+            # Links are rare: classes with a near neighbour in their list are asked too.
+            likely = lists.groupBy("id").agg(F.max("sim").alias("sim")).where(F.col("sim") >= LIKELY).select("id")
+            ask(classes.join(likely, "id", "left_semi"), MOST_ASKED)
+        found = counts.join(F.broadcast(spark.createDataFrame([(i,) for i in true], "id long")), "id").collect() if true else []  # as many as were asked
+        told["recall"].append(_reached(true, {r["id"]: r["n"] for r in found}, keep, len(true) == total))
+        if told["recall"][-1] is not None and told["recall"][-1] >= recall:
+            break
+        if told["recall"][-1] is None and turn == PASSES - 1:  # no link was seen by anyone asked
             break
     else:
         told["exact"] = True

@@ -55,7 +55,7 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = sketch.with_next(docs, tie=F.xxhash64("text"), carry=("text",), made=sketched, carry_made=("sketch",))
     mine, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
-    # Of a text so short that no hash is kept nothing is known; the columns of counts tell, and the likeness is 0.
+    # Of texts so short that no hash is kept nothing is known unless they have the same words; the columns of counts tell, and the likeness is 0.
     return rows.select(
         "doc_id",
         "n_chars",
@@ -120,8 +120,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"))
-    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", nndescent.kept(F.col("component_id"), F.col("id")).alias("kept"))
+    report: dict = {}
+    rows = nndescent.near_duplicates(read_table(spark, sf_dir, "embeddings"), report=report)
+    recall = F.lit(report["recall"][-1]).cast("double").alias("audited_recall")
+    return rows.select(F.col("id").alias("vec_id"), "n_links", "component_id", nndescent.kept(F.col("component_id"), F.col("id")).alias("kept"), recall)
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

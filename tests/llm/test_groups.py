@@ -188,11 +188,42 @@ def test_audit_sees_small_groups_beside_a_large_one(spark):
     links, heads = brute_vectors(rows)
     got = {r.id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, cell=2, tables=1, rounds=0, block=32).collect()}
     assert got == {i: (links[i], heads[i]) for i in links}
+    assert nndescent._reached({1: 0}, {}, 10) is None and nndescent._reached({1: 0}, {}, 10, every=True) == 1.0
     few, many = {i: 1 for i in range(99)}, {1000: 9000}
     assert nndescent._reached(few | many, many, 10) == 0
     assert nndescent._reached(few | many, few | {1000: 4500}, 10) == 0.5
 
 
+def test_rare_links_are_measured(spark):
+    """Few linked pairs, and parameters that lose some: all classes are asked, so the loss is seen."""
+    rng = np.random.default_rng(9)
+    vectors = list(rng.standard_normal((1500, 16)))
+    vectors += [v + 0.05 * rng.standard_normal(16) for v in vectors[:20]]
+    rows = [(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    links, heads = brute_vectors(rows)
+    report = {}
+    got = {r.id: (r.n_links, r.component_id) for r in nndescent.near_duplicates(df, tables=1, rounds=0, keep=1, cell=4, report=report).collect()}
+    assert report["recall"][-1] is not None
+    assert got == {i: (links[i], heads[i]) for i in links} or (report["recall"][-1] >= 0.98 and not report["exact"])
+    assert sum(n for n, _ in got.values()) >= 0.98 * sum(links.values())
+
+
+def test_likely_classes_are_asked_where_links_are_rare(spark, monkeypatch):
+    monkeypatch.setattr(nndescent, "AUDIT", 8)
+    monkeypatch.setattr(nndescent, "MOST_ASKED", 40)
+    rng = np.random.default_rng(10)
+    vectors = list(rng.standard_normal((3000, 16)))
+    vectors += [v + 0.02 * rng.standard_normal(16) for v in vectors[:5]]
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    report = {}
+    got = {r.id: r.n_links for r in nndescent.near_duplicates(df, report=report).collect()}
+    assert report["recall"] == [1.0] and sum(got.values()) == 10
+    report = {}
+    assert nndescent.near_duplicates(df.limit(3000), report=report).agg(F.sum("n_links")).head()[0] == 0
+    assert set(report["recall"]) == {None} and not report["exact"]
+
+
 def test_pipeline(spark, sf, documents, odd, tmp_path):
     stages = dict(corpus_pipeline.STAGES)
     assert list(stages) == ["language_id", "line_dedup", "simhash_near_dedup", "secret_scan", "packing"]
@@ -257,6 +288,20 @@ def test_near_dedup_stage_tells_null_and_repeated_ids_apart(spark, sf, documents
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted((str(i), t) for i, t in want)
 
 
+def test_stages_keep_columns_of_any_name(spark, sf, documents):
+    names = ["n_lines", "n_dropped", "_doc", "_key", "others", "_lang_pred", "kept", "id"]
+    told = documents.select("doc_id", "text", "lang").limit(60)
+    docs = told.select("doc_id", "text", "lang", *(F.lit(-7).alias(c) for c in names))
+    shared = spark.createDataFrame([(900 + i, f"one shared line of the text\nand the own line number {i} of it", "en", *([-7] * len(names))) for i in range(12)], docs.schema)
+    docs = docs.unionByName(shared)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == ["doc_id", "text", "lang", *names], name
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.where(" or ".join(f"`{c}` <> -7" for c in names)).count() == 0, name
+    assert docs.where("text like '%shared line%'").count() == 0 and docs.count() > 0
+
+
 def test_pipeline_of_an_empty_table(spark, sf, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:

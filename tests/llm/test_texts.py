@@ -281,13 +281,15 @@ def brute_sketch(text):
         seed = 42
         for v in values:
             seed = xxhash.xxh64_intdigest(struct.pack("<Q", v), seed)
-        return seed >> 16
+        return seed
 
-    shingles = {chain(hashed[i : i + 5]) for i in range(max(1, len(hashed) - 4))} if hashed else set()
-    return bool(shingles), sorted(h for h in shingles if h < (1 << 48) // 4)
+    shingles = {chain(hashed[i : i + 5]) >> 16 for i in range(max(1, len(hashed) - 4))} if hashed else set()
+    return bool(shingles), sorted(h for h in shingles if h < (1 << 48) // 4), chain(hashed)
 
 
 def brute_likeness(a, b):
+    if a[2] == b[2]:
+        return 1.0
     if a[0] and b[0]:
         x, y = set(a[1]), set(b[1])
         return len(x & y) / len(x | y) if x | y else 0.0
@@ -305,8 +307,8 @@ def test_fingerprints(spark, sf, odd, documents, tmp_path):
             edited = text[: len(text) - size] + after[:size]
             assert rows[i].n_chars == len(text)
             assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-            some, hashes = brute_sketch(text)
-            assert rows[i].fingerprint == f"{some:d}:" + ".".join(f"{h:x}" for h in hashes)
+            some, hashes, whole_hash = brute_sketch(text)
+            assert rows[i].fingerprint == f"{some:d}:{whole_hash:x}:" + ".".join(f"{h:x}" for h in hashes)
             assert rows[i].compared_next == len({*hashes} | {*brute_sketch(after)[1]})
             assert rows[i].near_edited == pytest.approx(brute_likeness(brute_sketch(text), brute_sketch(edited)))
             assert rows[i].near_next == pytest.approx(brute_likeness(brute_sketch(text), brute_sketch(after)))
@@ -318,7 +320,7 @@ def test_fingerprints(spark, sf, odd, documents, tmp_path):
     parts = [" ".join(words[24 * i : 24 * i + 24]) for i in range(100)]
     pairs = spark.createDataFrame([(p, " ".join(words)) for p in parts], "a string, b string")
     told = sketch.sketches(sketch.sketches(pairs, "a", "x"), "b", "y").select(sketch.containment(F.col("x"), F.col("y")).alias("c"), sketch.likeness(F.col("x"), F.col("x")).alias("j"), F.size("x.hashes").alias("n")).collect()
-    assert all((r.c, r.j) == ((1.0, 1.0) if r.n else (None, None)) for r in told) and sum(r.n > 0 for r in told) > 90
+    assert all((r.c, r.j) == (1.0 if r.n else None, 1.0) for r in told) and sum(r.n > 0 for r in told) > 90
     odd.limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     assert queries.op3_fingerprints(spark, f"{tmp_path}/e").count() == 0
 
@@ -345,6 +347,37 @@ def test_next_row_by_string_ids(spark, monkeypatch):
         sketch.with_next(rows.select(F.lit(1.5).alias("doc_id")))
 
 
+def test_equal_texts_are_alike_however_short(spark, tmp_path):
+    texts = [" ".join(f"w{k}" for k in range(n)) for n in range(1, 11)]
+    docs = [(2 * i + j, t) for i, t in enumerate(texts) for j in range(2)] + [(100, "q"), (101, "Q  "), (102, None), (103, ""), (104, "other words")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in queries.op3_fingerprints(spark, str(tmp_path)).collect()}
+    for (i, text), (_, after) in zip(docs, docs[1:] + docs[:1], strict=True):
+        a, b = (text or "").lower().split(), (after or "").lower().split()
+        if a == b:
+            assert rows[i].near_next == 1.0 and (text != after or rows[i].fingerprint == rows[(i + 1) % 105 if i != 104 else 0].fingerprint)
+        size = len(text or "") // 4
+        if not size:
+            assert rows[i].near_edited == 1.0
+        assert 0 <= rows[i].near_next <= 1 and 0 <= rows[i].near_edited <= 1
+
+
+@pytest.mark.parametrize("ids", ["odd one", "nulls", "one id"])
+def test_ranges_split_any_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(sketch, "RANGE_ROWS", 7)
+    made = {"odd one": lambda i: "a" if i == 0 else f"doc_{i * 37 % 1009:010d}", "nulls": lambda i: None if i % 3 else f"x{i:04d}", "one id": lambda i: 5}[ids]
+    rows = [(made(i), f"t{i * 7919 % 100_003}") for i in range(300)]
+    df = spark.createDataFrame(rows, f"doc_id {'long' if ids == 'one id' else 'string'}, text string")
+    made_next = sketch.with_next(df, tie=F.xxhash64("text"), carry=("text",))
+    order = [r.text for r in df.withColumn("t", F.xxhash64("text")).orderBy(F.asc_nulls_first("doc_id"), "t").collect()]
+    assert {r.text: r.next_text for r in made_next.collect()} == dict(zip(order, order[1:] + order[:1], strict=True))
+    # A range is a task: no range has many times the rows that are meant.
+    placed = made_next.withColumn("p", F.spark_partition_id())
+    assert placed.count() == 300
+    plan = made_next._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in plan
+
+
 def test_fingerprints_exchange_texts_once(spark, sf):
     plan = queries.op3_fingerprints(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1 and "Python" not in plan and "InArrow" not in plan
