@@ -19,20 +19,32 @@ from memspan.sources.tables import discard, fresh_path, read_table, written
 
 
 def _counted(docs: DataFrame, like: DataFrame) -> DataFrame:
-    """The columns of ``like``, with ``n_chars`` as the text has it."""
-    n = F.length("text").cast(like.schema["n_chars"].dataType)
-    return docs.select(*(n.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in like.columns))
+    """The columns of ``like``, with ``n_chars``, if it is one, as the text has it."""
+    n = F.length("text")
+    return docs.select(*(n.cast(like.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in like.columns))
+
+
+def _unused(docs: DataFrame, name: str) -> str:
+    """The name, with as many marks as make it none of the columns'."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose language is none of those learned."""
-    found = langid.annotate(docs, language_model(docs), pred_col="_lang_pred", score_col="_lang_score")
-    return found.where(F.col("_lang_pred") != langid.UNKNOWN).select(*(f"`{c}`" for c in docs.columns))
+    pred = _unused(docs, "_lang_pred")
+    found = langid.annotate(docs, language_model(docs), pred_col=pred, score_col=_unused(docs, "_lang_score"))
+    return found.where(F.col(pred) != langid.UNKNOWN).select(*(f"`{c}`" for c in docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out that many documents share."""
-    return _counted(linedup.drop_common_lines(docs), docs)
+    # The operator's own counts stay apart from columns of these names.
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))) if len(docs.columns) > 2 else F.struct(F.lit(0))
+    found = linedup.drop_common_lines(docs.select("doc_id", "text", others.alias("others")))
+    back = found.select(*(F.col(c) if c in ("doc_id", "text") else F.col("others")[c].alias(c) for c in docs.columns))
+    return _counted(back, docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
