@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -239,8 +240,8 @@ class VectorIndex:
                 books[r["a"]].append(r["x"])
         model = Model(centers, tuple(np.array(books[s]) for s in sorted(books)))
         index = cls(spark, path, model, kinds, tuple(keep), hides=True, probes=probes)
-        top = index.spark.read.schema("id string, gen int").parquet(f"{path}/rows", f"{path}/hidden").agg(F.max("gen").alias("g")).head()["g"]
-        return replace(index, generation=(top or 0), far=index._radii())
+        told = [df.agg(F.max("gen")).head()[0] for df in (index.stored(), spark.read.schema("gen int").parquet(f"{path}/hidden"))]
+        return replace(index, generation=max((g or 0 for g in told), default=0), far=index._radii())
 
     @staticmethod
     def _sound(rows: DataFrame, dims: int) -> DataFrame:
@@ -359,10 +360,10 @@ class VectorIndex:
             return asking.withColumn("cell", F.lit(0)).limit(0)
         model, p = self.model, min(probes or self.probes, len(self.model.centers))
 
-        def run(batches: Iterator) -> Iterator:
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for batch in batches:
                 x = np.array(batch.tolist(), np.float64).reshape(len(batch), -1)
-                yield type(batch)(np.argsort(-(_unit(x) @ model.centers.T), axis=1, kind="stable")[:, :p].tolist())
+                yield pd.Series(np.argsort(-(_unit(x) @ model.centers.T), axis=1, kind="stable")[:, :p].tolist())
 
         near = F.pandas_udf(run, "array<int>")  # type: ignore[call-overload]
         rows = asking.withColumn("v", F.col(f"`{vector_col}`").cast("array<float>")) if vector_col != "v" else asking
