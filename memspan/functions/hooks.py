@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,41 +92,86 @@ def importance(hook: Column, tool: Column) -> Column:
     return look_up(hook, HOOK_IMPORTANCE, look_up(tool, TOOL_IMPORTANCE, F.lit(3)))
 
 
-def prompt_title(data: Column) -> Column:
-    prompt = F.coalesce(F.get_json_object(data, "$.prompt"), F.lit(""))
-    return F.when(prompt == "", F.lit("Prompt")).otherwise(F.concat(F.lit("Prompt: "), text.cut(prompt, 60)))
+@dataclass(frozen=True)
+class Payload:
+    """What of a payload the rules look at."""
+
+    tool: Column
+    given: Column
+    output: Column
+    prompt: Column
+    command: Column
+    path: Column
+    files: Column
+
+
+def told(tool: Column, data: Column) -> Payload:
+    """A payload's parts as expressions of the payload, each of which parses it."""
+    text_at = lambda path, of: F.coalesce(F.get_json_object(of, path), F.lit(""))
+    return Payload(tool, tool_input(data), tool_output(data), text_at("$.prompt", data), text_at("$.command", tool_input(data)), file_path(data), files(data))
+
+
+def parsed(events: DataFrame, data: str = "data") -> tuple[DataFrame, Payload]:
+    """Events, and their payloads' parts as columns: the payload is parsed once, and what a tool was given once."""
+    outer = ("tool_name", "toolName", "tool_input", "toolInput", "tool_output", "toolOutput", "prompt")
+    inner = ("command", "file_path", "filePath", "path", "file")
+    either_of = lambda *names: F.coalesce(*(F.col(f"_o_{n}") for n in names))
+    rows = events.select(F.struct(*(F.col(f"`{c}`") for c in events.columns)).alias("_event"), F.col(f"`{data}`").alias("_data"))
+    rows = rows.select("_event", F.json_tuple("_data", *outer).alias(*(f"_o_{n}" for n in outer)))
+    rows = rows.withColumn("_given", either_of("tool_input", "toolInput")).select("*", F.json_tuple("_given", *inner).alias(*(f"_i_{n}" for n in inner)))
+    found = F.array_compact(F.array(*(F.col(f"_i_{n}") for n in inner[1:])))
+    empty = lambda value: F.coalesce(value, F.lit(""))
+    rows = rows.select(
+        "_event.*",
+        F.coalesce(either_of("tool_name", "toolName"), F.lit("unknown")).alias("_tool"),
+        "_given",
+        empty(either_of("tool_output", "toolOutput")).alias("_output"),
+        empty(F.col("_o_prompt")).alias("_prompt"),
+        empty(F.col("_i_command")).alias("_command"),
+        empty(F.coalesce("_i_file_path", "_i_filePath")).alias("_path"),
+        found.alias("_files"),
+    )
+    return rows, Payload(*(F.col(f"_{n}") for n in ("tool", "given", "output", "prompt", "command", "path", "files")))
 
 
 def title(tool: Column, hook: Column, data: Column) -> Column:
-    command = F.coalesce(F.get_json_object(tool_input(data), "$.command"), F.lit(""))
-    path = file_path(data)
-    by_file = F.when(path != "", F.concat(tool, F.lit(": "), text.basename(path))).otherwise(F.concat(tool, F.lit(" call")))
-    by_tool = F.when(shell(tool) & (command != ""), F.concat(tool, F.lit(": "), text.first_command(command))).otherwise(by_file)
-    return F.when(hook == "prompt_submit", prompt_title(data)).otherwise(by_tool)
+    return title_of(hook, told(tool, data))
+
+
+def title_of(hook: Column, p: Payload) -> Column:
+    by_file = F.when(p.path != "", F.concat(p.tool, F.lit(": "), text.basename(p.path))).otherwise(F.concat(p.tool, F.lit(" call")))
+    by_tool = F.when(shell(p.tool) & (p.command != ""), F.concat(p.tool, F.lit(": "), text.first_command(p.command))).otherwise(by_file)
+    asked = F.when(p.prompt == "", F.lit("Prompt")).otherwise(F.concat(F.lit("Prompt: "), text.cut(p.prompt, 60)))
+    return F.when(hook == "prompt_submit", asked).otherwise(by_tool)
 
 
 def narrative(tool: Column, hook: Column, data: Column) -> Column:
-    output, path = tool_output(data), file_path(data)
-    prompt = F.coalesce(F.get_json_object(data, "$.prompt"), F.lit(""))
-    used = F.when(shell(tool), F.when(output == "", F.lit("(no output)")).otherwise(text.last_lines(output)))
-    used = used.when(path == "", F.concat(F.lit("Used "), tool, F.lit(" tool."))).otherwise(F.concat(F.lit("Used "), tool, F.lit(" on "), path, F.lit(".")))
-    said = F.when(prompt == "", F.lit("User submitted a prompt.")).otherwise(text.cut(prompt, 120))
+    return narrative_of(hook, told(tool, data))
+
+
+def narrative_of(hook: Column, p: Payload) -> Column:
+    used = F.when(shell(p.tool), F.when(p.output == "", F.lit("(no output)")).otherwise(text.last_lines(p.output)))
+    used = used.when(p.path == "", F.concat(F.lit("Used "), p.tool, F.lit(" tool."))).otherwise(F.concat(F.lit("Used "), p.tool, F.lit(" on "), p.path, F.lit(".")))
+    said = F.when(p.prompt == "", F.lit("User submitted a prompt.")).otherwise(text.cut(p.prompt, 120))
     return (
         F.when(hook == "post_tool_use", used)
-        .when(hook == "post_tool_failure", F.concat(tool, F.lit(" failed.")))
+        .when(hook == "post_tool_failure", F.concat(p.tool, F.lit(" failed.")))
         .when(hook == "session_start", F.lit("Session started."))
         .when(hook == "session_end", F.lit("Session ended."))
         .when(hook == "prompt_submit", said)
-        .otherwise(F.concat(F.lit("Hook "), hook, F.lit(" fired for "), tool, F.lit(".")))
+        .otherwise(F.concat(F.lit("Hook "), hook, F.lit(" fired for "), p.tool, F.lit(".")))
     )
 
 
 def facts(tool: Column, data: Column) -> Column:
+    return facts_of(told(tool, data))
+
+
+def facts_of(p: Payload) -> Column:
     """``key: value`` of the input's entries, and of shells the output."""
-    entries = F.map_entries(F.from_json(tool_input(data), "map<string,string>"))
+    entries = F.map_entries(F.from_json(p.given, "map<string,string>"))
     listed = F.coalesce(F.transform(entries, lambda e: F.concat(e["key"], F.lit(": "), text.cut(e["value"], 200, "..."))), F.array().cast("array<string>"))
-    output = tool_output(data)
-    shown = F.when(shell(tool) & (output != ""), F.array(F.concat(F.lit("output: "), text.cut(output, 300, "...")))).otherwise(F.array().cast("array<string>"))
+    shown = F.when(shell(p.tool) & (p.output != ""), F.array(F.concat(F.lit("output: "), text.cut(p.output, 300, "...")))).otherwise(F.array().cast("array<string>"))
     return F.concat(listed, shown)
 
 
@@ -170,24 +217,24 @@ def shell_output(output: Column) -> Column:
 
 def commits_of(events: DataFrame, data: str = "data") -> DataFrame:
     """Events that tell a commit, with ``sha``, ``branch`` and ``message``: a shell ran a commit and its output names it."""
-    tool, command = tool_name(F.col(data)), F.get_json_object(tool_input(F.col(data)), "$.command")
-    branch, sha, message = commit_parts(shell_output(tool_output(F.col(data))))
-    told = events.where(shell(tool) & is_commit_command(command))
-    return told.select("*", sha.alias("sha"), branch.alias("branch"), message.alias("message")).where("sha is not null")
+    rows, p = parsed(events, data)
+    branch, sha, message = commit_parts(shell_output(p.output))
+    named = rows.where(shell(p.tool) & is_commit_command(p.command))
+    return named.select(*events.columns, sha.alias("sha"), branch.alias("branch"), message.alias("message")).where("sha is not null")
 
 
 def observed(events: DataFrame, hook: str = "hook", data: str = "data") -> DataFrame:
     """Events compressed by rules to observations: type, title, facts, narrative, keywords, files, importance."""
-    tool = tool_name(F.col(data))
-    return events.select(
-        "*",
-        tool.alias("tool"),
-        obs_type(tool, F.col(hook)).alias("obs_type"),
-        title(tool, F.col(hook), F.col(data)).alias("title"),
-        narrative(tool, F.col(hook), F.col(data)).alias("narrative"),
-        facts(tool, F.col(data)).alias("facts"),
-        keywords(tool, F.col(data)).alias("keywords"),
-        files(F.col(data)).alias("files"),
-        importance(F.col(hook), tool).alias("importance"),
+    rows, p = parsed(events, data)
+    return rows.select(
+        *(F.col(f"`{c}`") for c in events.columns),
+        p.tool.alias("tool"),
+        obs_type(p.tool, F.col(hook)).alias("obs_type"),
+        title_of(F.col(hook), p).alias("title"),
+        narrative_of(F.col(hook), p).alias("narrative"),
+        facts_of(p).alias("facts"),
+        text.path_keywords(p.files, p.tool).alias("keywords"),
+        p.files.alias("files"),
+        importance(F.col(hook), p.tool).alias("importance"),
         F.lit(0.5).alias("confidence"),
     )

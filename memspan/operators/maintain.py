@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from memspan.functions import scores
 from memspan.operators.graph import shared_tokens
+from memspan.sources.tables import checkpoint
 
 
 def stop_keywords(items: DataFrame, keywords: str = "keywords") -> DataFrame:
@@ -20,7 +21,8 @@ def stop_keywords(items: DataFrame, keywords: str = "keywords") -> DataFrame:
 def contradictions(memory: DataFrame, least: float = 0.9, newest: int = 100) -> DataFrame:
     """``newer, older`` among the newest memories that share a keyword and nearly all words."""
     recent = memory.orderBy(F.col("created_s").desc(), "id").limit(newest)
-    words = recent.select("id", "created_s", F.transform("keywords", lambda k: F.lower(k)).alias("keywords"), scores.long_words(F.col("content")).alias("words"))
+    # The few rows are used four times; they are found once.
+    words = checkpoint(recent.select("id", "created_s", F.transform("keywords", lambda k: F.lower(k)).alias("keywords"), scores.long_words(F.col("content")).alias("words")))
     pairs = shared_tokens(words, "keywords", 0.0).select("src", "dst")
     a = words.select(F.col("id").alias("src"), F.col("created_s").alias("ta"), F.col("words").alias("wa"))
     b = words.select(F.col("id").alias("dst"), F.col("created_s").alias("tb"), F.col("words").alias("wb"))

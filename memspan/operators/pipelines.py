@@ -136,7 +136,7 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
     runs_of = member.join(numbers.withColumnRenamed("id", "run_id"), ["session_id", "run_no"]).select("id", "run_id")
     commits = committed.join(runs_of, "id", "left").select("sha", "branch", "message", "project", "session_id", "run_id", F.floor(F.col("ts_us") / 1_000_000).alias("at_s"))
     edges = provenance.run_edges(next_runs).join(fresh.select(provenance.named("run", F.col("id")).alias("src")), "src", "left_semi").withColumn("created_s", F.lit(now_s).cast("bigint"))
-    out = {"observation": observations, "run": next_runs, "session": sessions, "commits": conformed(commits, "commits"), "edge": conformed(edges, "edge"), "seen": events.select("id"), "dedup": next_last}
+    out = {"observation": observations, "run": next_runs, "session": sessions, "commits": conformed(commits, "commits"), "edge": conformed(edges, "edge"), "seen": events.select("id").distinct(), "dedup": next_last}
     if answered is not None:
         out["reply"] = answered
     # A run that is closed without a commit makes memories of what it wrote fade.

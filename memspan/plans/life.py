@@ -219,11 +219,11 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "commit_strengthen",
-    "WITH hit AS (SELECT DISTINCT m.id FROM (SELECT id, 'src/p' || CAST(id % 300 AS VARCHAR) AS file FROM memory) m JOIN commit_files c ON m.file = c.file AND c.commit_id % 100 = 1) SELECT m.id, round(CASE WHEN h.id IS NULL THEN strength ELSE least(strength * 1.15::DOUBLE, 1.0::DOUBLE) END, 6) AS strength FROM memory m LEFT JOIN hit h ON m.id = h.id",
+    "WITH hit AS (SELECT DISTINCT m.id FROM (SELECT id, 'src/p' || CAST(id % 300 AS VARCHAR) AS file FROM memory) m JOIN commit_files c ON m.file = c.file) SELECT m.id, round(CASE WHEN h.id IS NULL THEN strength ELSE least(strength * 1.15::DOUBLE, 1.0::DOUBLE) END, 6) AS strength FROM memory m LEFT JOIN hit h ON m.id = h.id",
 )
 def _(t: Lens) -> DataFrame:
     memory = t.memory.select("id", F.lit("p").alias("project"), "strength", F.array(F.concat(F.lit("src/p"), (F.col("id") % 300).cast("string"))).alias("files"))
-    commits = t.commit_files.where("commit_id % 100 = 1").groupBy("commit_id").agg(F.collect_list("file").alias("files")).withColumn("project", F.lit("p"))
+    commits = t.commit_files.groupBy("commit_id").agg(F.collect_list("file").alias("files")).withColumn("project", F.lit("p"))
     return L.strengthened_by(memory, commits).select("id", r6(F.col("strength")).alias("strength"))
 
 
