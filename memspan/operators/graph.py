@@ -20,33 +20,72 @@ def upsert(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*KEY).agg(F.max("edge_score").alias("edge_score"), F.min("created_s").alias("created_s"))
 
 
-def shared_tokens(items: DataFrame, tokens: str, least: float, scope: str | None = None, most_df: int | None = None) -> DataFrame:
+#: Rows of a token that meet in one group: those of a token that more rows hold are cut into a grid of sub-blocks.
+GRID_ROWS = 1000
+
+
+def _token_rows(items: DataFrame, tokens: str, scope: str | None) -> DataFrame:
+    """``id, scope, size, token`` of each distinct token that is not null."""
+    sets = items.select("id", (F.col(scope) if scope else F.lit(0)).alias("scope"), F.array_compact(F.array_distinct(tokens)).alias("_set"))
+    return sets.select("id", "scope", F.size("_set").alias("size"), F.explode("_set").alias("token"))
+
+
+def meetings(rows: DataFrame, grid_rows: int = GRID_ROWS) -> DataFrame:
+    """``src < dst``, ``sa, sb`` and ``pa, pb`` of rows ``id, scope, token, size, pos`` for each token that two of them share.
+
+    A token of many rows has as many parts as its rows need, and each pair of parts is a
+    group of its own, so two rows meet once for each token and no task holds a token.
+    """
+    held = rows.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("scope", "token", F.ceil(F.col("_n") / grid_rows).cast("int").alias("_parts"))
+    placed = rows.join(held, ["scope", "token"]).withColumn("_part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    left = placed.select(F.col("id").alias("x"), "scope", "token", F.col("size").alias("sx"), F.col("pos").alias("px"), F.col("_part").alias("_i"), F.explode(F.sequence(F.col("_part"), F.col("_parts") - 1)).alias("_j"))
+    right = placed.select(F.col("id").alias("y"), "scope", "token", F.col("size").alias("sy"), F.col("pos").alias("py"), F.explode(F.sequence(F.lit(0), F.col("_part"))).alias("_i"), F.col("_part").alias("_j"))
+    pairs = left.join(right, ["scope", "token", "_i", "_j"]).where("x <> y and (_i < _j or x < y)")
+    first = F.col("x") < F.col("y")
+    turned = lambda a, b: (F.when(first, F.col(a)).otherwise(F.col(b)), F.when(first, F.col(b)).otherwise(F.col(a)))
+    (src, dst), (sa, sb), (pa, pb) = turned("x", "y"), turned("sx", "sy"), turned("px", "py")
+    return pairs.select(src.alias("src"), dst.alias("dst"), sa.alias("sa"), sb.alias("sb"), pa.alias("pa"), pb.alias("pb"))
+
+
+def shared_tokens(items: DataFrame, tokens: str, least: float, scope: str | None = None, most_df: int | None = None, grid_rows: int = GRID_ROWS) -> DataFrame:
     """``src < dst`` and ``jaccard`` of items, of one ``scope`` if given, that share tokens.
 
-    Sets that are alike by ``least`` share one of the rarest tokens of each, as many as may
-    be missing and one more, so only these are joined and the most frequent tokens pair
-    nothing. With ``least`` 0 a token pairs all its items, which is the result; tokens that
-    over ``most_df`` items hold are left out then, if it is given.
+    With ``least`` 0 a pair's meetings are counted, which is the size of what they share.
+    Above it sets that are alike share one of the rarest tokens of each, as many as may be
+    missing and one more, so only these are joined. A pair that meets first at some place of
+    both sets can share no more than what follows there (positional filter), and unlike
+    sizes rule it out (length filter); ids and sizes travel, and sets join the pairs that are
+    left. Tokens that over ``most_df`` items hold are left out with ``least`` 0, if it is given.
     """
-    scoped = items.select("id", (F.col(scope) if scope else F.lit(0)).alias("scope"), F.array_compact(F.array_distinct(tokens)).alias("set")).withColumn("size", F.size("set"))
-    exploded = scoped.select("id", "scope", "set", "size", F.explode("set").alias("token"))
-    if least > 0:
-        held = exploded.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
-        ranked = exploded.join(held, ["scope", "token"]).groupBy("id", "scope").agg(F.first("set").alias("set"), F.first("size").alias("size"), F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by"))
-        spare = F.size("by") - F.ceil(least * F.col("size") - F.lit(1e-9)).cast("int") + 1
-        exploded = ranked.select("id", "scope", "set", "size", F.explode(F.slice("by", F.lit(1), F.greatest(spare, F.lit(0)))).alias("t")).select("id", "scope", "set", "size", "t.token")
-    elif most_df is not None:
-        frequent = exploded.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_df)
-        exploded = exploded.join(frequent, ["scope", "token"], "left_anti")
-    return met(exploded, exploded).where("src < dst").where(F.col("jaccard") >= least).distinct()
-
-
-def met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``src, dst, jaccard`` of rows ``id, scope, set, size, token`` that meet on a token of their scope."""
-    other = right.select(F.col("id").alias("dst"), "scope", "token", F.col("set").alias("other"), F.col("size").alias("nb"))
-    pairs = left.withColumnRenamed("id", "src").join(other, ["scope", "token"]).where("src <> dst")
-    both = F.size(F.array_intersect("set", "other"))
-    return pairs.select("src", "dst", (both / (F.col("size") + F.col("nb") - both)).alias("jaccard"))
+    rows = _token_rows(items, tokens, scope)
+    if least <= 0:
+        if most_df is not None:
+            frequent = rows.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > most_df)
+            rows = rows.join(frequent, ["scope", "token"], "left_anti")
+            # What is left out of the meetings counts for the sets' likeness.
+            pairs = meetings(rows.withColumn("pos", F.lit(0)), grid_rows).select("src", "dst").distinct()
+            return _alike(pairs, items, tokens)
+        met = meetings(rows.withColumn("pos", F.lit(0)), grid_rows).groupBy("src", "dst", "sa", "sb").agg(F.count(F.lit(1)).alias("_both"))
+        return met.select("src", "dst", (F.col("_both") / (F.col("sa") + F.col("sb") - F.col("_both"))).alias("jaccard"))
+    held = rows.groupBy("scope", "token").agg(F.count(F.lit(1)).alias("df"))
+    ranked = rows.join(held, ["scope", "token"]).groupBy("id", "scope", "size").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("_by"))
+    needed = lambda size: F.ceil(least * size - F.lit(1e-9)).cast("int")
+    spare = F.size("_by") - needed(F.col("size")) + 1
+    prefixes = ranked.select("id", "scope", "size", F.posexplode(F.slice("_by", F.lit(1), F.greatest(spare, F.lit(0)))).alias("pos", "t")).select("id", "scope", "size", "pos", "t.token")
+    # Of a pair's meetings the first is at the least place of both.
+    met = meetings(prefixes, grid_rows).groupBy("src", "dst", "sa", "sb").agg(F.min("pa").alias("pa"), F.min("pb").alias("pb"))
+    most = F.least(F.col("sa") - F.col("pa"), F.col("sb") - F.col("pb"))
+    wanted = F.ceil(least / (1 + least) * (F.col("sa") + F.col("sb")) - F.lit(1e-9))
+    few = met.where((F.least("sa", "sb") >= needed(F.greatest("sa", "sb"))) & (most >= wanted)).select("src", "dst")
+    return _alike(few, items, tokens).where(F.col("jaccard") >= least)
+
+
+def _alike(pairs: DataFrame, items: DataFrame, tokens: str) -> DataFrame:
+    """Pairs ``src, dst`` with the ``jaccard`` of their sets, which join them."""
+    sets = items.select("id", F.array_compact(F.array_distinct(tokens)).alias("_set"))
+    both = pairs.join(sets.select(F.col("id").alias("src"), F.col("_set").alias("_a")), "src").join(sets.select(F.col("id").alias("dst"), F.col("_set").alias("_b")), "dst")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return both.select("src", "dst", (shared / (F.size("_a") + F.size("_b") - shared)).alias("jaccard")).distinct()
 
 
 def tokens_shared_with(new: DataFrame, stored: DataFrame, tokens: str, scope: str) -> DataFrame:
@@ -54,10 +93,12 @@ def tokens_shared_with(new: DataFrame, stored: DataFrame, tokens: str, scope: st
 
     Only the new rows' tokens are looked for.
     """
-    parts = lambda df: df.select("id", F.col(scope).alias("scope"), F.array_compact(F.array_distinct(tokens)).alias("set")).select("id", "scope", "set", F.size("set").alias("size"), F.explode("set").alias("token"))
-    fresh = parts(new)
-    among = met(fresh, fresh).where("src < dst")
-    return met(fresh, parts(stored)).unionByName(among).distinct()
+    fresh = _token_rows(new, tokens, scope)
+    other = _token_rows(stored, tokens, scope).select(F.col("id").alias("dst"), "scope", "token", F.col("size").alias("sb"))
+    met = fresh.select(F.col("id").alias("src"), "scope", "token", F.col("size").alias("sa")).join(other, ["scope", "token"]).where("src <> dst")
+    counted = met.groupBy("src", "dst", "sa", "sb").agg(F.count(F.lit(1)).alias("_both"))
+    across = counted.select("src", "dst", (F.col("_both") / (F.col("sa") + F.col("sb") - F.col("_both"))).alias("jaccard"))
+    return across.unionByName(shared_tokens(new, tokens, 0.0, scope)).distinct()
 
 
 #: Vectors of a block: two blocks are compared by one matrix product.

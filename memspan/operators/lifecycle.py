@@ -188,14 +188,14 @@ def uncommitted_decay(memory: DataFrame, touched: DataFrame, commits: DataFrame,
     """``id, forget_s`` of memories with files that uncommitted runs wrote and no commit of their project changed.
 
     ``touched`` and ``commits`` have ``project, file``; memories have ``files``. Days count from
-    ``now_s``, or from the last ``at_s`` of what touched a memory's files if there is one.
+    ``now_s``, or from the last ``ended_s`` of what touched a memory's files if there is one.
     """
-    touched = touched if "at_s" in touched.columns else touched.withColumn("at_s", F.lit(now_s))
+    touched = touched if "ended_s" in touched.columns else touched.withColumn("ended_s", F.lit(now_s))
     files = memory.select("id", "project", F.explode(F.array_distinct("files")).alias("file"))
     safe = files.join(commits.select("project", "file").distinct(), ["project", "file"], "left_semi").select("id").distinct()
-    last = touched.groupBy("project", "file").agg(F.max("at_s").alias("at_s"))
-    hit = files.join(last, ["project", "file"]).groupBy("id").agg(F.max("at_s").alias("at_s"))
-    return hit.join(safe, "id", "left_anti").select("id", (F.col("at_s") + days * 86_400).cast("long").alias("forget_s"))
+    last = touched.groupBy("project", "file").agg(F.max("ended_s").alias("ended_s"))
+    hit = files.join(last, ["project", "file"]).groupBy("id").agg(F.max("ended_s").alias("ended_s"))
+    return hit.join(safe, "id", "left_anti").select("id", (F.col("ended_s") + days * 86_400).cast("long").alias("forget_s"))
 
 
 def strengthened_by(memory: DataFrame, commits: DataFrame) -> DataFrame:

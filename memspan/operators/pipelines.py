@@ -143,7 +143,7 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
     bad = fresh.where("ended_s is not null and outcome = 'uncommitted'").select(F.col("id").alias("run_id"), F.col("project").alias("of"), "ended_s")
     if not bad.isEmpty():
         wrote = every.where(F.col("obs_type").isin("file_write", "file_edit")).join(numbers.withColumnRenamed("id", "run_id"), ["session_id", "run_no"])
-        touched = wrote.join(bad, "run_id").select(F.col("of").alias("project"), F.explode("files").alias("file"), F.col("ended_s").alias("at_s"))
+        touched = wrote.join(bad, "run_id").select(F.col("of").alias("project"), F.explode("files").alias("file"), "ended_s")
         covered = tables["commits"].select("project", F.explode("files").alias("file"))
         fading = lifecycle.uncommitted_decay(tables["memory"], touched, covered, now_s).withColumnRenamed("forget_s", "_forget")
         out["memory"] = tables["memory"].join(fading, "id", "left").withColumn("forget_s", F.coalesce("_forget", "forget_s")).drop("_forget")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from memspan.plans import base, graphs, life, more, searches
+from memspan.plans import base, graphs, life, more, searches, steps
 from memspan.plans.lens import Lens, with_views
 
-BOOKS = (base.BOOK, searches.BOOK, graphs.BOOK, life.BOOK, more.BOOK)
+BOOKS = (base.BOOK, searches.BOOK, graphs.BOOK, life.BOOK, more.BOOK, steps.BOOK)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

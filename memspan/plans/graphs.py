@@ -140,7 +140,7 @@ def _(t: Lens) -> DataFrame:
 
 @BOOK.add(
     "trace_labels",
-    """WITH e AS (SELECT 'memory:' || CAST(id AS VARCHAR) AS src, 'run:' || CAST(id % 50 AS VARCHAR) AS dst, 'generated_by' AS relation, CAST(id % 10 + 1 AS DOUBLE) / 10 AS edge_score FROM memory WHERE id < 150
+    """WITH e AS (SELECT 'memory:' || CAST(id AS VARCHAR) AS src, 'run:' || CAST(id % 997 AS VARCHAR) AS dst, 'generated_by' AS relation, CAST(id % 10 + 1 AS DOUBLE) / 10 AS edge_score FROM memory
          UNION ALL SELECT 'run:' || CAST(id AS VARCHAR), 'session:' || CAST(session_id AS VARCHAR), 'part_of', 1.0::DOUBLE FROM run UNION ALL SELECT 'run:' || CAST(id AS VARCHAR), 'gone:' || CAST(id AS VARCHAR), 'follows', 0.5::DOUBLE FROM run),
        s AS (SELECT src, dst, relation, edge_score FROM e UNION ALL SELECT dst, src, relation, edge_score FROM e),
        h1 AS (SELECT * FROM (SELECT dst AS node, src, relation, edge_score, row_number() OVER (PARTITION BY dst ORDER BY edge_score DESC, src, relation) AS nth FROM s WHERE src = 'memory:3' AND dst <> 'memory:3') WHERE nth = 1),
@@ -151,7 +151,7 @@ def _(t: Lens) -> DataFrame:
 )
 def _(t: Lens) -> DataFrame:
     key = provenance.named
-    made = t.memory.where("id < 150").select(key("memory", F.col("id")).alias("src"), key("run", F.col("id") % 50).alias("dst"), F.lit("generated_by").alias("relation"), ((F.col("id") % 10 + 1).cast("double") / 10).alias("edge_score"))
+    made = t.memory.select(key("memory", F.col("id")).alias("src"), key("run", F.col("id") % 997).alias("dst"), F.lit("generated_by").alias("relation"), ((F.col("id") % 10 + 1).cast("double") / 10).alias("edge_score"))
     part = t.run.select(key("run", F.col("id")).alias("src"), key("session", F.col("session_id")).alias("dst"), F.lit("part_of").alias("relation"), F.lit(1.0).alias("edge_score"))
     gone = t.run.select(key("run", F.col("id")).alias("src"), key("gone", F.col("id")).alias("dst"), F.lit("follows").alias("relation"), F.lit(0.5).alias("edge_score"))
     tables = {"memory": t.memory, "run": t.run, "session": t.session.select("id")}
