@@ -8,9 +8,13 @@ prime, so a secret that stands twice is found twice. Candidates that cost nearly
 random string of their alphabet and length costs are reported as ``novel``.
 
 The context of a candidate holds for those that follow it with nothing but separators
-between (parts of a token, lines of a key), and for all of a private key's block. A
-candidate has digits and letters, or digits alone, or letters of both cases in random
-order; letters of one case alone are taken for words.
+between (parts of a token, lines of a key), and for all of a private key's block.
+
+Twenty letters are too few for a compressor to tell words from noise, so names, paths and
+camel case are told by their parts: a candidate is made of words if most of it is runs of
+three letters or more of one case whose pairs of letters are likelier in words (of the
+text itself, of the identifiers and of common English) than in random strings. Random
+strings of letters of one case are not, and are reported by their cost like others.
 
 Defined cases: a null or empty text has no spans. Repeated rows give repeated results; an
 empty table gives none. Texts are scanned whole; offsets are code points.
@@ -18,7 +22,9 @@ empty table gives none. Texts are scanned whole; offsets are code points.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from random import Random
@@ -42,12 +48,26 @@ CONTEXT, SURROUNDING = 48, 512
 #: Share of a random string's cost that a candidate must cost to be reported.
 NOVELTY = 0.8
 _DIGITS, _LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+#: How much likelier than by chance a pair of letters of words is meant to be (a mean logarithm), and the share of a candidate that its words are to have.
+LIKELY, WORDED = 0.1, 0.5
+#: Letters that a pair is taken to have followed before any was seen.
+PRIOR = 13
 #: Alphabets of keys, smallest first; others are of base64.
-ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER + "234567", _LOWER.upper() + "234567", _DIGITS + _LOWER, _DIGITS + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper() + "+/")
+ALPHABETS = (_DIGITS, _DIGITS + "abcdef", _DIGITS + "ABCDEF", _LOWER, _LOWER.upper(), _LOWER + "234567", _LOWER.upper() + "234567", _DIGITS + _LOWER, _DIGITS + _LOWER.upper(), _DIGITS + _LOWER + _LOWER.upper() + "+/")
 #: What may stand between a candidate and one that shares its context, and a private key's block.
 _BETWEEN = re.compile(r"(?:[\s.,:;\"'\\]|\\[nr]){1,8}")
 _KEY_BLOCK = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(.*?)(?:-----END|\Z)", re.DOTALL)
 _TAIL = re.compile(r"(?:\s|\\[nr])([A-Za-z0-9+/]{1,19}={0,2})(?:\s|\\[nr])*\Z")
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+_WORD = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,15}(?![A-Za-z0-9+/_=-])")
+#: Common English words, which tell what pairs of letters words have.
+ENGLISH = (
+    "the of and to in is you that it he was for on are as with his they at be this have from or one had by word but not what all were we when your can said there use an each which she do how their "
+    "if will up other about out many then them these so some her would make like him into time has look two more write go see number no way could people my than first water been call who oil its "
+    "now find long down day did get come made may part over new sound take only little work know place year live me back give most very after thing our just name good sentence man think say great "
+    "where help through much before line right too mean old any same tell boy follow came want show also around form three small set put end does another well large must big even such because turn "
+    "user account primary email address resource backup path server client request response service manager handler update delete create select message content title value key index store table"
+)
 #: Identifiers that prime the compressor besides the surrounding text.
 IDENTIFIERS = (
     b"abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 return function class import export const static public private "
@@ -104,14 +124,31 @@ def novelty_of(candidate: str, surrounding: str) -> float:
     return marginal_bytes(candidate, surrounding) / random_bytes(alphabet, len(candidate))
 
 
-def mixed(candidate: str) -> bool:
-    """Digits, or letters whose case changes as often as that of random ones; not words."""
-    if re.search("[0-9]", candidate):
-        return True
-    letters = re.findall("[A-Za-z]", candidate)
-    upper = sum(x.isupper() for x in letters)
-    changes = sum(x.isupper() != y.isupper() for x, y in zip(letters, letters[1:], strict=False))
-    return 0.3 * len(letters) <= upper <= 0.7 * len(letters) and changes >= 0.3 * len(letters) > 0
+class Words:
+    """Pairs of letters of words: how often each was seen, in common words and in a text."""
+
+    def __init__(self, text: str):
+        self.pairs: Counter[str] = Counter()
+        told = [*_WORD.findall(IDENTIFIERS.decode().replace("_", " ")), *ENGLISH.split(), *_WORD.findall(text)]
+        for word, n in Counter(w.lower() for w in told).items():
+            for i in range(len(word) - 1):
+                self.pairs[word[i : i + 2]] += min(n, 50)  # a word that a text repeats does not stand for all
+        self.firsts: Counter[str] = Counter()
+        for pair, n in self.pairs.items():
+            self.firsts[pair[0]] += n
+
+    def likelihood(self, parts: list[str]) -> float:
+        """The mean logarithm of how much likelier than by chance each letter follows the one before."""
+        told = [math.log(26 * (self.pairs[p[i : i + 2]] + PRIOR / 26) / (self.firsts[p[i]] + PRIOR)) for p in parts for i in range(len(p) - 1)]
+        return sum(told) / len(told) if told else -1.0
+
+    def make(self, candidate: str) -> bool:
+        """Whether a candidate, or the longest of its parts between equals signs, is made of words."""
+        candidate = max(candidate.split("="), key=len)
+        parts = [p.lower() for p in _PART.findall(candidate)]
+        long = [p for p in parts if len(p) >= 3]
+        size = sum(map(len, long))
+        return size >= WORDED * len(candidate) and size >= 0.6 * sum(map(len, parts)) and self.likelihood(long) > LIKELY
 
 
 def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = NOVELTY) -> list[tuple[str, int, int]]:
@@ -119,7 +156,7 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = N
     if b"1" * 20 not in text.encode().translate(_CANDIDATE_BYTES):
         return []
     blocks = [m.span(1) for m in _KEY_BLOCK.finditer(text)] if "PRIVATE KEY" in text else []
-    spans, last = [], None
+    spans, last, words = [], None, None
     for m in _CANDIDATE.finditer(text):
         start, end = m.span()
         touched = [kind for kind, s, e in known if s < end and start < e]
@@ -130,7 +167,8 @@ def novel_spans(text: str, known: list[tuple[str, int, int]], novelty: float = N
         if not (follows or any(s <= start < e for s, e in blocks) or _SENSITIVE.search(text[max(0, start - CONTEXT) : start])):
             continue
         last = end
-        if mixed(m[0]) and novelty_of(m[0], surroundings(text, start, end)) >= novelty:
+        words = words or Words(text)
+        if not words.make(m[0]) and novelty_of(m[0], surroundings(text, start, end)) >= novelty:
             spans.append(("novel", start, end))
     for low, high in blocks:
         tail = _TAIL.search(text, low, high)

@@ -481,6 +481,32 @@ def test_random_keys_of_any_alphabet(alphabet, size):
         assert secrets.novel_spans(f"private key: {key} and so on", []) == [("novel", 13, 13 + size)]
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+@pytest.mark.parametrize("size", [20, 24, 32, 64, 256, 2048])
+def test_random_letters_of_one_case(alphabet, size):
+    rng = np.random.default_rng(size)
+    found = sum(secrets.novel_spans(f"private signing data: {''.join(rng.choice(list(alphabet), size))} and so on", []) == [("novel", 22, 22 + size)] for _ in range(60))
+    assert found >= 57
+
+
+def test_names_are_no_secrets():
+    names = [
+        "getUserAccountByPrimaryEmail2Address",
+        "com/path/to/some/resource_name_2021_backup",
+        "thequickbrownfoxjumpsoverthelazydog",
+        "MAXIMUM_NUMBER_OF_OPEN_CONNECTIONS",
+        "application/json/content/type/header",
+        "src/components/authentication/LoginForm",
+        "session_identifier_expires_after_seconds",
+        "AbstractSingletonProxyFactoryBean",
+        "really-long-name-of-a-kubernetes-deployment",
+        "internationalizationOfErrorMessages",
+        "users/dashboard/settings/notifications",
+        "refresh_access_token_for_service_account",
+    ]
+    assert [n for n in names if secrets.novel_spans(f"the private credential {n} is read", [])] == []
+
+
 def test_context_of_keys_and_tokens():
     rng = np.random.default_rng(9)
     lines = ["".join(rng.choice(list(B64), 64)) for _ in range(24)] + ["Qz7x=="]
@@ -576,6 +602,41 @@ def brute_base(text):
     return [(secrets.KINDS[k], s, e) for s, k, e in sorted(found)]
 
 
+def brute_worded(key, text):
+    """Runs of a case, letter by letter, and how much likelier their pairs are than by chance."""
+    parts, run, key = [], "", max(key.split("="), key=len)
+    for i, c in enumerate(key + "-"):
+        if run and (not c.isalpha() or (run[-1].islower() and c.isupper())):
+            parts.append(run)
+            run = ""
+        elif run and c.islower() and run[-1].isupper() and len(run) > 1:
+            parts.append(run[:-1])
+            run = run[-1]
+        if c.isalpha():
+            run += c
+    seen = secrets.ENGLISH.split()
+    for source in (secrets.IDENTIFIERS.decode().replace("_", " "), text):
+        word = ""
+        for i, c in enumerate(source + " "):
+            if c.isascii() and (c.isalnum() or c in "+/_=-"):
+                word += c
+            else:
+                if 2 <= len(word) <= 15 and word.isalpha():
+                    seen.append(word)
+                word = ""
+    times, pairs, firsts = {}, {}, {}
+    for w in seen:
+        times[w.lower()] = times.get(w.lower(), 0) + 1
+    for w, n in times.items():
+        for a, b in zip(w, w[1:], strict=False):
+            pairs[a, b] = pairs.get((a, b), 0) + min(n, 50)
+            firsts[a] = firsts.get(a, 0) + min(n, 50)
+    long = [p.lower() for p in parts if len(p) >= 3]
+    size = sum(map(len, long))
+    told = [np.log(26 * (pairs.get((a, b), 0) + 0.5) / (firsts.get(a, 0) + 13)) for p in long for a, b in zip(p, p[1:], strict=False)]
+    return bool(told) and size >= 0.5 * len(key) and size >= 0.6 * sum(map(len, parts)) and sum(told) / len(told) > 0.1
+
+
 def brute_novel(text, known):
     """Novel spans of texts without private keys' blocks: every run of key characters, judged one by one."""
     import zstandard
@@ -602,10 +663,7 @@ def brute_novel(text, known):
         if not (follows or told):
             continue
         last, key = e, text[s:e]
-        letters = [c for c in key if c.isalpha()]
-        turns = sum(a.isupper() != b.isupper() for a, b in zip(letters, letters[1:], strict=False))
-        upper = sum(c.isupper() for c in letters)
-        if not any(c.isdigit() for c in key) and not (letters and 0.3 * len(letters) <= upper <= 0.7 * len(letters) and turns >= 0.3 * len(letters)):
+        if brute_worded(key, text):
             continue
         sides = [text[max(0, s - 512 - len(key)) : s], text[e : e + 512 + len(key)]]
         for part in sorted({key, *(x for x in key.split("=") if len(x) >= 8)}, key=len, reverse=True):
