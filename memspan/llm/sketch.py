@@ -112,13 +112,14 @@ def with_next(df: DataFrame, *, id_col: str = "doc_id", tie: Column | None = Non
     told = isinstance(df.select(tied.alias("t")).schema["t"].dataType, T.StringType)
     tied, least_tie = (F.coalesce(tied, F.lit("")), "") if told else (F.coalesce(tied.cast("long"), F.lit(LEAST)), LEAST)
     pairs = df.select(key.alias("k"), tied.alias("t"))
-    ranges = min(MAX_RANGES, -(-pairs.count() // RANGE_ROWS))
+    total = pairs.count()
+    ranges = min(MAX_RANGES, -(-total // RANGE_ROWS))
     firsts: list[tuple] = []
     if ranges:
-        # Bounds are chosen by a bounded sample, the rows with the smallest hash; they hold all rows apart, those of one id too.
+        # Bounds are chosen by a sample of about ``CUT_ROWS`` rows for each range; they hold all rows apart, those of one id too.
         coded, plain = (lambda x: x.encode() if isinstance(x, str) else x), (lambda x: x.decode() if isinstance(x, bytes) else x)
-        sample = sorted((coded(r["k"]), coded(r["t"])) for r in pairs.orderBy(F.xxhash64(F.lit(3), "k", "t")).limit(CUT_ROWS * ranges).collect())
-        cuts = sorted({sample[i * len(sample) // ranges] for i in range(ranges)})
+        sample = sorted((coded(r["k"]), coded(r["t"])) for r in pairs.sample(fraction=min(1.0, CUT_ROWS * ranges / total), seed=3).collect())
+        cuts = sorted({sample[i * len(sample) // ranges] for i in range(ranges)}) if sample else [(coded(least), coded(least_tie))]
         rough = [(plain(k), plain(t)) for k, t in cuts]
         found = pairs.groupBy(_range_of(F.col("k"), F.col("t"), rough).alias("r")).agg(F.min(F.struct("k", "t")).alias("first")).orderBy("r").collect()  # a row for each range
         firsts = [(r["first"]["k"], r["first"]["t"]) for r in found]
