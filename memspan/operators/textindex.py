@@ -201,10 +201,15 @@ class TextIndex:
         placed = rows.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
         placed.repartitionByRange("bucket", *ranges).sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.path}/{table}/part={name}")
 
+    def _dealt(self, table: str, name: str, rows: DataFrame, order: Sequence[str]) -> None:
+        """Tables of a row or a few for each term are even enough to be dealt by bucket, which takes no look at their ranges."""
+        placed = rows.withColumn("bucket", (F.crc32("term") % BUCKETS).cast("int"))
+        placed.repartition("bucket").sortWithinPartitions("bucket", *order).write.partitionBy("bucket").parquet(f"{self.path}/{table}/part={name}")
+
     def _counted(self, name: str, counts: DataFrame, docs: DataFrame) -> None:
         """What a segment adds to each term, and to the number and length of texts."""
         summed = counts.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
-        self._laid("terms", name, summed, ("term",), ("field", "term"))
+        self._dealt("terms", name, summed, ("field", "term"))
         lengths = self._read("terms", [name]).groupBy("field").agg(F.sum("tf").alias("tokens"))
         told = self.spark.createDataFrame([(f,) for f in self.fields], "field string")
         total = docs.agg(F.sum("docs").alias("docs"))
@@ -218,7 +223,7 @@ class TextIndex:
         if (counted["most"] or 0) >= FREQUENT:
             frequent = held.where(F.col("df") >= FREQUENT).select("field", "term")
             shown = stored.join(frequent, ["field", "term"], "left_semi").groupBy("field", "term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("tf"), F.min("dl").alias("dl"))
-            self._laid("maxima", name, shown, ("term",), ("field", "term", "block"))
+            self._dealt("maxima", name, shown, ("field", "term", "block"))
         else:
             self.spark.createDataFrame([], "field string, term string, block int, n bigint, tf bigint, dl bigint, bucket int").write.partitionBy("bucket").parquet(f"{self.path}/maxima/part={name}")
         return counted["n"] or 0

@@ -206,7 +206,7 @@ class VectorIndex:
 
     @classmethod
     def build(cls, df: DataFrame, id_col: str = "id", vector_col: str = "embedding", keep: Sequence[str] = (), path: str | None = None, cells: int | None = None, sample: int = SAMPLE) -> VectorIndex:
-        """Fits a model on ``sample`` rows, those with the smallest hash of their id, and indexes all.
+        """Fits a model on ``sample`` rows at most, and indexes all.
 
         ``keep`` names columns that are stored beside the vectors, for searches within a scope.
         """
@@ -220,7 +220,9 @@ class VectorIndex:
         if not sizes:
             return self
         sound = self._sound(rows, sizes[0]["n"])
-        few = np.array([r["v"] for r in sound.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float64)
+        # Half as many again are drawn as are taken, so tasks do not each send as many as that.
+        drawn = sound.sample(fraction=min(1.0, 1.5 * sample / sizes[0]["rows"]), seed=5) if sizes[0]["rows"] > sample else sound
+        few = np.array([r["v"] for r in drawn.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], np.float64)
         if not len(few):
             return self
         meant = cells or min(MAX_CELLS, max(1, round(sizes[0]["rows"] / CELL_ROWS)), max(1, len(few) // 4))

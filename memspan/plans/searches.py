@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from itertools import product
 
@@ -33,7 +34,12 @@ def index_of(t: Lens, table: str) -> TextIndex:
 
 
 def indexes(t: Lens) -> R.Indexes:
-    return R.Indexes(**{table: index_of(t, table) for table in ("observation", "memory", "run")})
+    """Indexes of three tables; those that are not built yet are built at the same time."""
+    names = ("observation", "memory", "run")
+    for name in names:
+        getattr(t, name)
+    with ThreadPoolExecutor(len(names)) as pool:
+        return R.Indexes(**dict(zip(names, pool.map(lambda name: index_of(t, name), names), strict=True)))
 
 
 def words_of(term: str) -> list[str]:
