@@ -332,8 +332,8 @@ def near_duplicates(
     for most in (AUDIT, MOST_ASKED):
         if linked_asked() < LINKED_ASKED:
             # Twice as many as are asked have a hash below this, so tasks do not each send that many.
-            share = min(1.0, 2 * most / max(1, total))
-            ask(classes.where(F.xxhash64("id") <= F.lit(int(share * ((1 << 64) - 1)) - (1 << 63))), most)
+            bound = min((1 << 63) - 1, (2 * most << 64) // max(1, total) - (1 << 63))
+            ask(classes.where(F.xxhash64("id") <= bound), most)
 
     told = {"recall": [], "exact": False} if report is None else report
     told |= {"recall": [], "exact": False}
