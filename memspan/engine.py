@@ -3,8 +3,8 @@
 Tables are DataFrames by name (``sources.schemas``). Reads return DataFrames; writes return
 the tables that change, by name, which the caller stores. ``now_s`` is the time of asking
 in seconds. Text indexes are built when a search first needs them, or given; an index of
-vectors is built when it is asked for. Indexes go on with the store: what a step adds to a
-table, or changes in it, is one more segment of its indexes.
+vectors, and an adjacency store of edges, are built when they are asked for. Indexes go on with the store:
+what a step adds to a table, or changes in it, is one more segment of its indexes.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from memspan.functions import scores
 from memspan.operators import context, graph, lifecycle, maintain, models, pipelines, plans, provenance
 from memspan.operators import retrieval as R
+from memspan.operators.adjacency import Adjacency
 from memspan.operators.textindex import TextIndex
 from memspan.operators.vectorindex import RECALL, VectorIndex
 from memspan.sources import parsers, schemas
@@ -50,9 +51,9 @@ def differing(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> tu
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int, indexes: Mapping[str, TextIndex] | None = None, vectors: Mapping[str, VectorIndex] | None = None):
+    def __init__(self, spark: SparkSession, tables: Mapping[str, DataFrame], now_s: int, indexes: Mapping[str, TextIndex] | None = None, vectors: Mapping[str, VectorIndex] | None = None, adjacency: Adjacency | None = None):
         self.spark, self.tables, self.now_s = spark, dict(tables), now_s
-        self._indexes, self._vectors = dict(indexes or {}), dict(vectors or {})
+        self._indexes, self._vectors, self._adjacency = dict(indexes or {}), dict(vectors or {}), adjacency
 
     @classmethod
     def empty(cls, spark: SparkSession, now_s: int) -> Engine:
@@ -69,8 +70,10 @@ class Engine:
 
     def after(self, changes: Mapping[str, DataFrame]) -> Engine:
         """An engine over the tables, some of them in their next version, and their indexes."""
-        next_ = Engine(self.spark, {**self.tables, **changes}, self.now_s, self._indexes, self._vectors)
+        next_ = Engine(self.spark, {**self.tables, **changes}, self.now_s, self._indexes, self._vectors, self._adjacency)
         deltas = changes.deltas if isinstance(changes, Changes) else {}
+        if self._adjacency and "edge" in changes:  # edges that did not just grow are laid out anew when they are asked for
+            next_._adjacency = self._adjacency.grown(deltas["edge"][1]) if "edge" in deltas else None
         for held, columns in ((next_._indexes, INDEXED), (next_._vectors, {name: ["embedding", "project"] for name in self._vectors})):
             for name, index in list(held.items()):
                 if name in changes and deltas.get(name, ()) is not None:
@@ -90,6 +93,7 @@ class Engine:
                     out.deltas.setdefault(name, (None, new))
         if "edge" in changes:
             out["edge"] = graph.upsert(self["edge"].unionByName(changes["edge"], allowMissingColumns=True))
+            out.deltas["edge"] = (None, changes["edge"])
         return out
 
     # Reads
@@ -193,8 +197,16 @@ class Engine:
     def trace(self, start: str, hops: int = 2, direction: str = "both", relations: Sequence[str] | None = None) -> DataFrame:
         """Nodes around a node ``table:id`` with labels and times."""
         named = {name: df for name, df in self.tables.items() if "id" in df.columns}
+        if self._adjacency:
+            return self._adjacency.trace(start, named, hops, direction, relations)
         return graph.trace(self["edge"], start, named, hops, direction, relations)
 
+    def adjacency(self) -> Adjacency:
+        """The adjacency store of the edges, built if there is none; from then on ``trace`` uses it."""
+        if not self._adjacency:
+            self._adjacency = Adjacency.build(self["edge"])
+        return self._adjacency
+
     def links(self, memory: int) -> DataFrame:
         mine = self.memory_edges().where(F.col("src") == memory)
         return mine.join(self["memory"].select(F.col("id").alias("dst"), "title", "category"), "dst", "left")
@@ -255,7 +267,8 @@ class Engine:
         first = self._grown(Changes(changes, {"memory": None}))
         then = Engine(self.spark, {**self.tables, **first}, self.now_s)
         more = then._grown(pipelines.record_commits(then.tables, told, self.now_s))
-        return Changes({**first, **more}, {**first.deltas, "memory": None})
+        edges = first.deltas["edge"][1].unionByName(more.deltas["edge"][1])
+        return Changes({**first, **more}, {**first.deltas, "memory": None, "edge": (None, edges)})
 
     def remember(self, rows: DataFrame, model: models.Embedder = models.hashed_trigrams) -> Changes:
         """After new memories, which are linked to their nearest ones, by the index of vectors if there is one."""

@@ -175,18 +175,37 @@ def expand(edges: DataFrame, seeds: DataFrame, max_hops: int = 2, relations: Seq
     forward = usable.select("src", "dst", "relation", "edge_score")
     backward = usable.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "relation", "edge_score")
     steps = {"out": forward, "in": backward}.get(direction, forward.unionByName(backward))
+
+    def reach(frontier: DataFrame, visited: DataFrame, hop: int, wanted: int | None) -> DataFrame:
+        return layer_of(frontier.join(steps, F.col("node") == F.col("src")).drop("node"), visited, hop)
+
+    return layered(seeds, reach, max_hops, max_results)
+
+
+def layer_of(met: DataFrame, visited: DataFrame, hop: int) -> DataFrame:
+    """The nodes that edges ``src, dst, relation, edge_score`` reach and that were not visited, each by its best edge."""
+    reached = met.join(visited.withColumnRenamed("node", "dst"), "dst", "left_anti")
+    window = Window.partitionBy("dst").orderBy(F.col("edge_score").desc(), "src", "relation")
+    first = reached.withColumn("nth", F.row_number().over(window)).where("nth = 1")
+    return checkpoint(first.select(F.col("dst").alias("node"), F.lit(hop).alias("hop"), F.col("src").alias("via_src"), "relation", "edge_score"))
+
+
+def layered(seeds: DataFrame, reach: Callable[[DataFrame, DataFrame, int, int | None], DataFrame], max_hops: int, max_results: int | None) -> DataFrame:
+    """The layers that ``reach(frontier, visited, hop, wanted)`` gives, up to the hop that reaches ``max_results``.
+
+    Of a layer with more nodes than are ``wanted`` it may give only as many as are the best
+    ones, or more, and all that come before them.
+    """
     visited = seeds.select(F.col("id").alias("node")).distinct()
-    frontier, out = visited, None
+    frontier, out, found = visited, None, 0
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(steps, F.col("node") == F.col("src")).drop("node").join(visited.withColumnRenamed("node", "dst"), "dst", "left_anti")
-        window = Window.partitionBy("dst").orderBy(F.col("edge_score").desc(), "src", "relation")
-        first = reached.withColumn("nth", F.row_number().over(window)).where("nth = 1")
-        layer = checkpoint(first.select(F.col("dst").alias("node"), F.lit(hop).alias("hop"), F.col("src").alias("via_src"), "relation", "edge_score"))
+        layer = reach(frontier, visited, hop, None if max_results is None else max_results - found)
         if max_results is not None:
-            reached_so_far = 0 if out is None else out.count()
-            if reached_so_far + layer.count() >= max_results:
-                last = layer.orderBy(F.desc("edge_score"), "node").limit(max_results - reached_so_far)
+            held = layer.count()
+            if found + held >= max_results:
+                last = layer.orderBy(F.desc("edge_score"), "node").limit(max_results - found)
                 return last if out is None else out.unionByName(last)
+            found += held
         out = layer if out is None else out.unionByName(layer)
         frontier = layer.select("node")
         visited = visited.unionByName(frontier)
@@ -228,8 +247,16 @@ def nodes(tables: Mapping[str, DataFrame]) -> DataFrame:
 def trace(edges: DataFrame, start: str, tables: Mapping[str, DataFrame], hops: int = 2, direction: str = "both", relations: Sequence[str] | None = None, max_results: int = 100) -> DataFrame:
     """Nodes around a node ``table:id`` with the edge by which each was reached, their labels and times; unknown nodes are their own label."""
     seeds = edges.sparkSession.createDataFrame([(start,)], "id string")
-    way = {"forward": "out", "backward": "in"}.get(direction, direction)
-    found = expand(edges, seeds, hops, relations, direction=way, max_results=max_results)
+    return labelled(seeds, expand(edges, seeds, hops, relations, direction=way_of(direction), max_results=max_results), tables)
+
+
+def way_of(direction: str) -> str:
+    """The direction of a search, which may be called ``forward`` or ``backward``."""
+    return {"forward": "out", "backward": "in"}.get(direction, direction)
+
+
+def labelled(seeds: DataFrame, found: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Seeds and the nodes found around them with labels and times."""
     first = seeds.select(F.col("id").alias("node"), F.lit(0).alias("hop"), F.lit(None).cast("string").alias("via_src"), F.lit(None).cast("string").alias("relation"), F.lit(None).cast("double").alias("edge_score"))
     named = first.unionByName(found).join(nodes(tables), "node", "left")
     return named.select("node", "hop", "via_src", "relation", "edge_score", F.coalesce("table", F.substring_index("node", ":", 1)).alias("table"), F.coalesce("label", "node").alias("label"), "at_s")
