@@ -1,4 +1,4 @@
-"""Whole steps and indexes over whole tables: ingest, searches that skip, changes of an index, nearest vectors by cells."""
+"""Whole steps and indexes over whole tables: ingest, searches that skip, changes of an index, nearest vectors by cells, edges by node."""
 
 from __future__ import annotations
 
@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from memspan.functions import registered
 from memspan.operators import pipelines
 from memspan.operators import retrieval as R
+from memspan.operators.adjacency import Adjacency
 from memspan.operators.textindex import TextIndex
 from memspan.operators.vectorindex import VectorIndex
 from memspan.plans.base import _COMMAND, _OUTPUT, _TOOL
+from memspan.plans import graphs, more
 from memspan.plans.book import Book, r6
 from memspan.plans.lens import NOW, Lens
 from memspan.plans.searches import _COS, LIMIT, QUERY, bm25_sql, index_of, shown
@@ -19,6 +21,7 @@ from memspan.sources import schemas
 BOOK = Book()
 FIVE_DAYS_US = 432_000_000_000
 _VECTORS: dict[tuple[str, str], VectorIndex] = {}
+_EDGES: dict[tuple[str, str], Adjacency] = {}
 
 
 def vectors_of(t: Lens) -> VectorIndex:
@@ -29,6 +32,14 @@ def vectors_of(t: Lens) -> VectorIndex:
     return _VECTORS[key]
 
 
+def edges_of(t: Lens) -> Adjacency:
+    """The adjacency store of the edges, built once for a session and folder."""
+    key = (t._spark.sparkContext.applicationId, t._dir)
+    if key not in _EDGES:
+        _EDGES[key] = Adjacency.build(t.edge)
+    return _EDGES[key]
+
+
 #: A run's events, those of them that dedup keeps (each hides its key's repeats for five days), and the run's end and outcome.
 OBSERVE_SQL = rf"""WITH RECURSIVE h AS (SELECT id, session_id, ts_us, hook, {_TOOL} AS tool, {_COMMAND} AS c, {_OUTPUT} AS o,
          CAST(session_id AS VARCHAR) || ':' || {_TOOL} || ':' || substring(CAST(json_extract(data, '$.tool_input') AS VARCHAR), 1, 500) AS key FROM hook),
@@ -107,3 +118,20 @@ def _(t: Lens) -> DataFrame:
     registered.register(t._spark)
     told = ["id", "round(strengthened(strength), 6) AS stronger", "token_estimate(content) AS tokens", "round(recency_boost(strength, CAST(id % 90 AS DOUBLE), retrieval_count), 6) AS boosted", "jaccard(array_distinct(array(category)), array_distinct(array(kw2, kw3))) AS alike"]
     return t.memory.selectExpr(*told).withColumn("alike", r6(F.col("alike")))
+
+
+@BOOK.add("adjacency_limited", graphs.BOOK["graph_expand_limited"][1])
+def _(t: Lens) -> DataFrame:
+    return edges_of(t).expand(t.memory.where("id between 1 and 200").select("id"), 1, max_results=20)
+
+
+@BOOK.add("adjacency_fetch", more.BOOK["fetch_edges"][1])
+def _(t: Lens) -> DataFrame:
+    return edges_of(t).fetched(t.memory.where("id in (3, 5, 8)").select("id"), "both", ["similar_to", "mentions"], 0.3).select("src", "dst", "relation", "edge_score")
+
+
+@BOOK.add("adjacency_grown", graphs.BOOK["edge_upsert_max"][1])
+def _(t: Lens) -> DataFrame:
+    """All edges after half of them came again with another score."""
+    again = t.edge.where("src % 2 = 0").withColumns({"edge_score": F.col("edge_score") / 2 + 0.2, "created_s": F.col("created_s") + 5})
+    return edges_of(t).grown(again).edges()
