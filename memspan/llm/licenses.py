@@ -9,13 +9,16 @@ template's shingles that the window holds.
 A stride of a quarter of the template keeps the likeness of a window that holds 0.8 of
 the template's shingles at 0.5 or more, so that 16 bands of one row miss it with a
 probability under 0.00002. As a band agrees only where the window holds the template's
-smallest shingle, windows without any of those shingles are passed over; that changes
+smallest shingle, only windows around places of those shingles are made; that changes
 no result.
 
-Templates are notices, made of names and the phrases that introduce them, and public license
-texts, whole and by paragraph, so that a body is found without its opening. They are a fixed
+Templates are notices, made of names and the phrases that introduce them, public license
+texts, whole and by paragraph, so that a body is found without its opening, and the whole
+terms of seven long licenses, read from files beside this module. They are a fixed
 list, so the tables made of them are small whatever the input; those of a caller are
-broadcast only up to a stated size.
+broadcast only up to a stated size. Licenses that share most of their words are told
+together: the terms of one of which only a sister is known are found under the sister's
+name, with a share below 1.
 
 Defined cases: a null or empty text, or one of fewer than five words, has no license.
 Rows that repeat an id are scanned each; an empty table gives no rows.
@@ -24,8 +27,9 @@ Rows that repeat an id are scanned each; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from importlib import resources
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from memspan.llm.common import let
@@ -109,8 +113,19 @@ TEXTS = {
 }
 
 
+#: Licenses whose terms lie in ``license_texts``, verbatim; what follows the terms tells how to apply them.
+BODIES = ["apache-2.0", "gpl-2.0", "gpl-3.0", "lgpl-2.1", "lgpl-3.0", "mpl-2.0", "cc0-1.0"]
+END_OF_TERMS = "END OF TERMS AND CONDITIONS"
+
+
+def body(license_: str) -> str:
+    """The terms of one of ``BODIES``."""
+    text = resources.files("memspan.llm").joinpath("license_texts", f"{license_}.txt").read_text(encoding="utf-8")
+    return text.partition(END_OF_TERMS)[0]
+
+
 def default_templates() -> dict[str, list[str]]:
-    """Notices, paragraphs of over eight words, and whole texts, by license."""
+    """Notices, paragraphs of over eight words, whole texts, and whole terms, by license."""
     out: dict[str, list[str]] = {}
     for license_, names in NAMES.items():
         out[license_] = [f"{phrase} {name}" for phrase in PHRASES for name in names]
@@ -118,6 +133,8 @@ def default_templates() -> dict[str, list[str]]:
         known = out.setdefault(license_, [])
         known += [p for p in parts if len(template_words(p)) > 8]
         known += ["\n\n".join(parts)] * (len(parts) > 1)
+    for license_ in BODIES:
+        out.setdefault(license_, []).append(body(license_))
     return out
 
 
@@ -133,7 +150,7 @@ def _shingled(df: DataFrame, words: str, out: str, keep: list[str]) -> DataFrame
 
 def _banded(df: DataFrame, hashes: str, keep: list[str], bands: int) -> DataFrame:
     """``keep``, ``band`` and ``least``: the smallest of the hashes as the band hashes them anew."""
-    rows = df.select(*keep, F.explode(F.lit(list(range(bands))).cast("array<int>")).alias("band"))
+    rows = df.select(*keep, hashes, F.explode(F.lit(list(range(bands))).cast("array<int>")).alias("band"))
     smallest = F.array_min(F.transform(hashes, lambda h: F.struct(F.xxhash64("band", h).alias("v"), h.alias("h"))))
     return rows.select(*keep, "band", smallest.alias("least"))
 
@@ -147,26 +164,35 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     spark = df.sparkSession
     given = default_templates() if templates is None else templates
     texts = [(name, len(words), words) for name, listed in given.items() for text in listed if len(words := template_words(text)) >= WORDS or _refuse(name)]
-    listed = spark.createDataFrame(texts, "license string, n int, words array<string>")
-    known = _shingled(listed, "words", "t", ["license", "n"]).select("license", "n", F.array_distinct("t").alias("t"))
-    table = _banded(known, "t", ["license", "n", "t"], bands).collect()  # a row for each template and band
-    minima = sorted({row["least"]["h"] for row in table})
-    shapes = [(n, max(1, n // 4), n - (WORDS - 1) + max(1, n // 4) - 1) for n in sorted({n for _, n, _ in texts})]
+    texts = [(k, *x) for k, x in enumerate(texts)]
+    listed = spark.createDataFrame(texts, "k int, license string, n int, words array<string>")
+    known = _shingled(listed, "words", "t", ["k", "license", "n"]).select("k", "license", "n", F.array_distinct("t").alias("t")).collect()  # the templates, which the caller holds
+    least_of = _banded(spark.createDataFrame([(r["k"], r["n"], r["t"]) for r in known], "k int, n int, t array<bigint>"), "t", ["k", "n"], bands).collect()  # a row for each template and band
+    minima = sorted({r["least"]["h"] for r in least_of})
+    small = sum(len(text.encode()) for listed in given.values() for text in listed) <= BROADCAST_BYTES
+    by_size = lambda table: F.broadcast(table) if small else table
+    bands_of = spark.createDataFrame([(r["least"]["h"], r["least"]["v"], r["band"], r["k"], r["n"]) for r in least_of], "h bigint, v bigint, band int, k int, n int")
+    of = spark.createDataFrame([(r["k"], r["license"], r["t"]) for r in known], "k int, license string, t array<bigint>")
 
     row = F.xxhash64(F.col(f"`{text_col}`"))
     ids = df.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"))
     words = F.split(F.lower(F.col(f"`{text_col}`")), r"[^\p{L}\p{N}]+")
     docs = df.select(F.col(f"`{id_col}`").alias("id"), row.alias("row"), F.array_remove(words, "").alias("words"))
-    docs = _shingled(docs, "words", "s", ["id", "row"]).where(F.arrays_overlap("s", F.lit(minima)))
-    shape = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(stride).alias("stride"), F.lit(size).alias("size")) for n, stride, size in shapes)))
-    shaped = docs.select("id", "row", "s", shape.alias("x")).select("id", "row", "s", "x.n", "x.stride", "x.size")
+    docs = _shingled(docs, "words", "s", ["id", "row"])
+    # The places of shingles that are a template's smallest. Written as SQL, a long list is one constant.
+    places = F.expr(f"filter(transform(s, (h, p) -> struct(h, p)), x -> x.h IN ({', '.join(f'{h}L' for h in minima)}))")
+    # The outer form keeps the optimizer from computing the shingles once more to rule empty lists out.
+    found = docs.select("id", "row", "s", F.explode_outer(places).alias("x")).where("x is not null").select("id", "row", "s", "x.h", "x.p")
+    near = found.join(by_size(bands_of), "h").withColumns({"stride": _stride("n"), "size": _size("n")})
     last = F.greatest(F.size("s") - F.col("size"), F.lit(0))
-    starts = F.array_union(F.sequence(F.lit(0), last, F.col("stride")), F.array(last))
-    windows = shaped.select("id", "row", "n", "s", "size", F.explode(starts).alias("word")).select("id", "row", "n", "word", F.slice("s", F.col("word") + 1, F.col("size")).alias("w"))
-    keyed = _banded(windows.where(F.arrays_overlap("w", F.lit(minima))), "w", ["id", "row", "n", "word", "w"], bands)
-    of = spark.createDataFrame([(r["license"], r["n"], r["t"], r["band"], r["least"]["v"]) for r in table], "license string, n int, t array<bigint>, band int, v bigint")
-    small = sum(len(text.encode()) for listed in given.values() for text in listed) <= BROADCAST_BYTES
-    met = keyed.select("id", "row", "n", "word", "w", "band", F.col("least.v").alias("v")).join(F.broadcast(of) if small else of, ["n", "band", "v"])
+    low = F.greatest(F.ceil((F.col("p") - F.col("size") + 1) / F.col("stride")).cast("int"), F.lit(0))
+    high = F.floor(F.least(F.col("p"), last) / F.col("stride")).cast("int")
+    grid = F.when(low <= high, F.transform(F.sequence(low, high), lambda i: i * F.col("stride"))).otherwise(F.array().cast("array<int>"))
+    starts = F.filter(F.array_union(grid, F.array(last)), lambda at: (at <= F.col("p")) & (F.col("p") < at + F.col("size")))
+    windows = near.select("id", "row", "s", "size", "band", "v", "k", F.explode(starts).alias("word"))
+    windows = windows.select("id", "row", "k", "word", "band", "v", F.slice("s", F.col("word") + 1, F.col("size")).alias("w"))
+    # A window agrees with a template in a band if it holds the template's smallest shingle and none that is smaller.
+    met = windows.where(~F.exists("w", lambda h: F.xxhash64("band", h) < F.col("v"))).join(by_size(of), "k")
     share = F.size(F.array_intersect("w", "t")) / F.size("t")
     hits = met.select("id", "row", "license", "word", share.alias("share")).where(F.col("share") >= least)
     best = hits.groupBy("id", "row", "license").agg(F.max(F.struct(F.col("share"), (-F.col("word")).alias("word"))).alias("b"))
@@ -176,5 +202,15 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", templ
     return ids.join(listed, F.col("id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")), "left").select("id", "row", F.coalesce("licenses", none).alias("licenses"))
 
 
+def _stride(n: str) -> Column:
+    """A quarter of a template of ``n`` words."""
+    return F.greatest(F.floor(F.col(n) / 4), F.lit(1)).cast("int")
+
+
+def _size(n: str) -> Column:
+    """Shingles of a window: those of ``n`` words and, but for one, a stride."""
+    return (F.col(n) - (WORDS - 1) + _stride(n) - 1).cast("int")
+
+
 def _refuse(name: str) -> bool:
     raise ValueError(f"template {name} has fewer than {WORDS} words")

@@ -435,6 +435,7 @@ def test_license_scan(spark, odd, documents):
     assert all(len(licenses.template_words(t)) >= 5 for listed in made.values() for t in listed) and len(made) >= 20
     mit = licenses.TEXTS["mit"]
     planted = [f"{words} {t} {words}" for listed in made.values() for t in (listed[0], listed[-1])]
+    assert all(listed[-1] == licenses.body(name) for name, listed in made.items() if name in licenses.BODIES)
     planted += [mit[0].replace("Software", "Program", 1), " ".join(mit[0].split()[:12]), words + "\n" + mit[2].upper(), f"{words} {licenses._BSD_WARRANTY} {words}", "It is released under the MIT license, we think."]
     rows = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
     for df in (rows, odd.where("doc_id is not null"), documents):
@@ -453,6 +454,14 @@ def test_license_scan(spark, odd, documents):
     assert all(name in found[10_000 + i] for i, name in enumerate(first))
     tail = [found[10_000 + len(first) + i] for i in range(5)]
     assert tail[0] == tail[2] == {"mit"} and not tail[1] and tail[3] == {"bsd-2-clause", "bsd-3-clause"} and tail[4] == {"mit"}
+    # Terms in the midst of a long text, with every thirtieth word another and words put between.
+    for k, name in enumerate(licenses.BODIES):
+        said = licenses.body(name).split()
+        said = [x for i, w in enumerate(said) for x in ([f"other{i}"] if i % 30 == 7 else [w] + ["aside"] * (i % 400 == 0))]
+        changed = " ".join([words] * (3 * k) + said + [words] * 50)
+        got = licenses.scan(spark.createDataFrame([(1, changed)], "doc_id long, text string")).collect()[0].licenses
+        assert name in {x.license for x in got}
+        assert next(x.share for x in got if x.license == name) < 0.9
     assert licenses.scan(odd.limit(0)).count() == 0
     with pytest.raises(ValueError, match="fewer"):
         licenses.scan(odd, templates={"short": ["All rights reserved."]})
