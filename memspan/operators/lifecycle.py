@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memspan.sources.tables import written
+
 TTL_US = 300_000_000
 
 
@@ -254,14 +256,52 @@ def edit_core(core: DataFrame, project: str, field: str, op: str, value: str) ->
     return core.withColumn(field, F.when(mine, edited(F.col(field), op, F.lit(value))).otherwise(F.col(field)))
 
 
+#: Plans of one set of files that meet a commit together, about.
+LIST_PLANS = 1000
+
+
+def _file_sets(plans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``files, plans``: each distinct set of plans' files with its number of plans, and ``plan_id, files``.
+
+    Stored, so that the planner knows the size of the sets, which are few if plans repeat them.
+    """
+    sets = plans.where("file is not null").groupBy("plan_id").agg(F.sort_array(F.collect_set("file")).alias("files"))
+    return written(sets.groupBy("files").agg(F.count(F.lit(1)).alias("plans"))), sets
+
+
+def _first_met(sets: DataFrame, commits: DataFrame, some: Column) -> DataFrame:
+    """``files, commit_id, both``: sets and commits that share one of ``some`` of a set's files, once each, at the first such file.
+
+    A commit carries its files, so what a pair shares is told where it meets, and pairs are not grouped.
+    """
+    changed = commits.where("file is not null").groupBy("commit_id").agg(F.collect_set("file").alias("changed"))
+    asked = sets.select("files", some.alias("some")).select("files", "some", F.explode("some").alias("file"))
+    met = changed.select("commit_id", "changed", F.explode("changed").alias("file")).join(asked, "file")
+    first = met.where(F.get(F.array_intersect("some", "changed"), F.lit(0)) == F.col("file"))
+    return first.select("files", "commit_id", F.size(F.array_intersect("files", "changed")).alias("both"))
+
+
 def covered(plans: DataFrame, commits: DataFrame, least: float = 0.8) -> DataFrame:
     """``plan_id, commit_id, coverage``: the share of a plan's files that a commit changed.
 
-    Both are exploded to files and joined on them; only pairs that share a file meet.
+    Plans of one set of files meet commits together. A commit that has enough of a set has
+    one of any files of it that are one more than it may miss, so only these are looked for.
     """
-    sizes = plans.groupBy("plan_id").agg(F.countDistinct("file").alias("size"))
-    both = plans.distinct().join(commits.distinct(), "file").groupBy("plan_id", "commit_id").agg(F.count(F.lit(1)).alias("both"))
-    return both.join(sizes, "plan_id").select("plan_id", "commit_id", (F.col("both") / F.col("size")).alias("coverage")).where(F.col("coverage") >= least)
+    sets, of = _file_sets(plans)
+    needed = F.greatest(F.ceil(least * F.size("files") - F.lit(1e-9)).cast("int"), F.lit(1))
+    met = _first_met(sets, commits, F.slice("files", F.lit(1), F.size("files") - needed + 1))
+    enough = met.select("files", "commit_id", (F.col("both") / F.size("files")).alias("coverage")).where(F.col("coverage") >= least)
+    # Plans of a set come in lists, so a pair is made where its list meets the commit.
+    part = F.pmod(F.xxhash64("plan_id"), F.ceil(F.col("plans") / LIST_PLANS)).alias("_part")
+    listed = of.join(sets, "files").groupBy("files", part).agg(F.collect_list("plan_id").alias("_plans"))
+    return enough.join(written(listed.drop("_part")), "files").select(F.explode("_plans").alias("plan_id"), "commit_id", "coverage")
+
+
+def overlapping(plans: DataFrame, commits: DataFrame) -> DataFrame:
+    """``plan_id, commits``: how many commits changed any of a plan's files; plans without one are left out."""
+    sets, of = _file_sets(plans)
+    counted = _first_met(sets, commits, F.col("files")).groupBy("files").agg(F.count(F.lit(1)).alias("commits"))
+    return of.join(counted, "files").select("plan_id", "commits")
 
 
 def entities(records: DataFrame) -> DataFrame:

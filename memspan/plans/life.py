@@ -118,7 +118,7 @@ def _(t: Lens) -> DataFrame:
     "SELECT p.plan_id, count(DISTINCT c.commit_id) AS commits FROM plan_files p JOIN commit_files c ON p.file = c.file GROUP BY p.plan_id",
 )
 def _(t: Lens) -> DataFrame:
-    return t.plan_files.distinct().join(t.commit_files, "file").groupBy("plan_id").agg(F.countDistinct("commit_id").alias("commits"))
+    return L.overlapping(t.plan_files, t.commit_files)
 
 
 @BOOK.add(
