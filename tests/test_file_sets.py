@@ -30,3 +30,12 @@ def test_commit_file_overlap(spark, monkeypatch):
     counts = {p: sum(1 for y in sets(COMMITS).values() if x & y) for p, x in sets(PLANS).items()}
     assert {tuple(r) for r in made.collect()} == {(p, n) for p, n in counts.items() if n}
     assert not grouped_pairs(made)
+
+
+def test_plan_coverage(spark, monkeypatch):
+    for least in (0.3, 0.8, 1.0):
+        made = lifecycle.covered(*frames(spark, monkeypatch), least)
+        rows = [(r[0], r[1], round(r[2], 6)) for r in made.collect()]
+        want = {(p, c, round(len(x & y) / len(x), 6)) for p, x in sets(PLANS).items() for c, y in sets(COMMITS).items() if x & y and len(x & y) >= least * len(x)}
+        assert len(rows) == len(set(rows)) and set(rows) == want
+        assert not grouped_pairs(made)
