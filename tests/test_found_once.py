@@ -25,3 +25,10 @@ def test_graph_expand_search_finds_its_seeds_once(spark):
     made = retrieval.expand(results, edges, memory, 1000)
     assert searched(results) and not searched(made)
     assert sorted(r.id for r in made.collect()) == ["memory:1", "memory:2", "memory:3", "memory:7"]
+
+
+def test_listwise_rerank_finds_its_rows_once(spark):
+    results, memory = frames(spark)
+    made = retrieval.listwise(results, memory, "q", lambda prompt: '{"order": [2, 1, 0]}')
+    assert searched(results) and not searched(made)
+    assert [r.id for r in made.orderBy(F.desc("score")).collect()] == ["memory:1", "memory:2", "memory:3"]
