@@ -97,6 +97,24 @@ def test_segments_of_one_size_are_merged(spark, monkeypatch):
     assert T.TextIndex.open(spark, index.path).segments == index.segments
 
 
+@pytest.mark.parametrize("slices", [1, 3])
+def test_listwise_rerank_index_deals_postings_once(spark, docs, monkeypatch, slices):
+    """Postings are not stored beside the index, nor looked at before they are dealt: what is counted is read from what was laid out."""
+    stored, kept = [], T.written
+    monkeypatch.setattr(T, "written", lambda df, path=None: stored.append(set(df.columns)) or kept(df, path))
+    monkeypatch.setattr(type(docs), "repartitionByRange", lambda *a: 1 / 0)
+    monkeypatch.setattr(T, "FREQUENT", 64)
+    monkeypatch.setattr(T, "SLICE_BLOCKS", -(-40 // slices), raising=False)
+    monkeypatch.setattr(T, "BATCH_POSTINGS", 50, raising=False)
+    made = T.TextIndex.build(docs, "id", ["t", "u"], blocks=40)
+    assert stored == [{"field", "term", "df", "tf"}]
+    got = {(r.field, r.term, r.id): (r.tf, r.dl) for r in made.postings.collect()}
+    want = {(f, t, r.id): (T.terms(r[f]).count(t), len(T.terms(r[f]))) for r in docs.collect() for f in ("t", "u") if r[f] for t in T.terms(r[f])}
+    assert got == want
+    assert made.terms.where("field = 't' and term = 'common'").head()["df"] == sum(1 for f, t, _ in want if (f, t) == ("t", "common"))
+    assert {(r.field, r.term) for r in made._read("maxima").collect()} == {(f, t) for f, t in {(f, t) for f, t, _ in want} if sum(1 for a, b, _ in want if (a, b) == (f, t)) >= 64}
+
+
 def test_engine_goes_on_with_its_indexes(spark):
     row = "id long, project string, title string, content string, category string, strength double, is_latest boolean, retrieval_count long, created_s long"
     memory = schemas.conformed(spark.createDataFrame([(i, "p", f"title {i}", f"text of number {i}", "fact", 1.0, True, 0, 5) for i in range(4)], row), "memory").persist()

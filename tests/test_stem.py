@@ -52,3 +52,10 @@ def test_forms_of_sql_cover_the_vocabulary(spark, sf):
             for r in words:
                 if stem.stem(r.w) in asked:
                     assert r.w in searches.words_of(stem.stem(r.w))
+
+
+def test_a_word_without_a_rules_end_takes_no_rule(monkeypatch):
+    from memspan.functions import stem as S
+
+    monkeypatch.setattr(S, "_regions", lambda word: 1 / 0)
+    assert [S.stem(w) for w in ("prophet", "method", "québéco", "window", "2024")] == ["prophet", "method", "québéco", "window", "2024"]
