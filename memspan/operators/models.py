@@ -6,7 +6,6 @@ files. Replies are parsed and applied by column expressions.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -20,6 +19,8 @@ from memspan.sources.tables import checkpoint
 DIMENSION = 64
 #: Texts that an embedder is given at once.
 BATCH = 64
+#: Trigrams that are hashed together.
+TRIGRAMS = 1 << 18
 REPLY = (
     "new_note struct<keywords:array<string>,tags:array<string>,context:string>, "
     "neighbour_updates array<struct<id:string,keywords_add:array<string>,keywords_remove:array<string>,tags_add:array<string>,tags_remove:array<string>,context_rewrite:string,"
@@ -35,14 +36,38 @@ COMPRESS_ASKED = (
 )
 
 
+def _crc_steps() -> np.ndarray:
+    """What CRC-32 makes of each byte."""
+    step = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        step = np.where(step & 1, (step >> 1) ^ np.uint32(0xEDB88320), step >> 1)
+    return step
+
+
+_CRC = _crc_steps()
+
+
+def _trigram_hashes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """CRC-32 of every three neighbouring characters of UTF-8 bytes; ``starts`` has the place of each character, and the end."""
+    first, size = starts[:-3], starts[3:] - starts[:-3]
+    crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+    for k in range(int(size.max(initial=0))):
+        some = slice(None) if k < 3 else np.flatnonzero(size > k)  # a character has a byte at least
+        crc[some] = _CRC[(crc[some] ^ data[first[some] + k]) & 0xFF] ^ (crc[some] >> 8)
+    return ~crc
+
+
 def hashed_trigrams(texts: Sequence[str], dimension: int = DIMENSION) -> np.ndarray:
-    """The default embedder: unit vectors of signed hashes of character trigrams."""
+    """The default embedder: unit vectors of signed hashes of character trigrams, hashed together."""
     out = np.zeros((len(texts), dimension), np.float32)
     for row, value in zip(out, texts, strict=True):
-        padded = f"  {value.lower()}  "
-        for i in range(len(padded) - 2):
-            h = zlib.crc32(padded[i : i + 3].encode())
-            row[h % dimension] += 1.0 if h & 0x10000 else -1.0
+        data = np.frombuffer(f"  {value.lower()}  ".encode(), np.uint8)
+        starts = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+        held = np.zeros(2 * dimension, np.int64)
+        for i in range(0, len(starts) - 3, TRIGRAMS):
+            h = _trigram_hashes(data, starts[i : i + TRIGRAMS + 3])
+            held += np.bincount(h % dimension * 2 + ((h >> 16) & 1), minlength=2 * dimension)
+        row[:] = held[1::2] - held[::2]
     norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
     return out / np.maximum(norm, 1e-12)
 

@@ -115,7 +115,8 @@ def _(t: Lens) -> DataFrame:
 @BOOK.add("embed_reindex", "SELECT m.id, 64 AS size, v.embedding IS NOT NULL AS kept, 1.0::DOUBLE AS norm FROM memory m LEFT JOIN (SELECT vec_id AS id, embedding FROM embeddings WHERE vec_id % 2 = 0) v ON v.id = m.id")
 def _(t: Lens) -> DataFrame:
     old = t.embeddings.where("vec_id % 2 = 0").select(F.col("vec_id").alias("id"), "embedding", F.col("embedding").alias("old"))
-    rows = tagged(t).join(t.memory.select("id", "title"), "id").withColumn("body", models.embed_text(F.col("title"), F.col("content"), F.col("keywords"), F.col("files"))).select("id", "body").join(old, "id", "left")
+    body = models.embed_text(F.col("title"), F.col("content"), F.array("kw1", "kw2", "kw3"), F.array("f1", "f2"))
+    rows = t.memory.select("id", body.alias("body")).join(old, "id", "left")
     made = models.embedded(rows, "body")
     unit = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     kept = F.col("old").isNotNull() & (F.col("embedding") == F.col("old"))
