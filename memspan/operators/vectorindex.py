@@ -42,6 +42,8 @@ PARTS, CODES, FITS = 16, 256, 8
 RERANK, AUDIT, RECALL = 10, 64, 0.95
 #: Queries of one pass.
 BLOCK = 256
+#: Rows of a cell that one group of a join holds.
+GROUP_ROWS = 20_000
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -182,6 +184,69 @@ def _all_nearest(queries: np.ndarray, k: int) -> Callable[[Iterator[pa.RecordBat
     return run
 
 
+def _places(model: Model, far: Sequence[float], parts: Sequence[int], p: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows ``query, asked, least``, once for each part of the cells they go to: the ``p`` nearest ones, or those that can reach ``least``."""
+    held = np.array(parts, np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(i, BLOCK) for i in range(0, whole.num_rows, BLOCK)):
+                products = _unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1)) @ model.centers.T
+                if batch.column(2).null_count:
+                    row, cell = np.repeat(np.arange(len(products)), p), np.argsort(-products, axis=1, kind="stable")[:, :p].ravel()
+                else:
+                    row, cell = np.nonzero(products + np.array(far) >= batch.column(2).to_numpy()[:, None] - 1e-7)
+                n = held[cell]
+                part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                some = batch.take(pa.array(np.repeat(row, n)))
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(np.repeat(cell, n).astype(np.int32)), pa.array(part.astype(np.int32))], names=[*some.schema.names, "cell", "part"])
+
+    return run
+
+
+def _met(k: int, bounds: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """Queries with a part of a cell: their ``k`` highest cosines there, or the rows that may be among the ``k`` nearest."""
+
+    def matrix(column: pa.ChunkedArray) -> np.ndarray:
+        return _unit(column.combine_chunks().flatten().to_numpy().reshape(len(column), -1).astype(np.float64))
+
+    def few(rows: np.ndarray, ids: list, x: np.ndarray) -> np.ndarray:
+        """Of equal vectors those of the ``k`` smallest ids: their cosines are equal."""
+        held: dict[bytes, int] = {}
+        out = []
+        for r in sorted(rows.tolist(), key=lambda r: ids[r]):
+            key = x[r].tobytes()
+            held[key] = held.get(key, 0) + 1
+            if held[key] <= k:
+                out.append(r)
+        return np.array(out, np.int64)
+
+    def run(asking: pa.Table, stored: pa.Table) -> pa.Table:
+        at, found, score = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        if asking.num_rows and stored.num_rows:
+            x, ids, least = matrix(stored["v"]), stored["id"].to_pylist(), asking["least"].to_numpy()
+            some = min(k, len(x))
+            for start in range(0, asking.num_rows, BLOCK):
+                near = matrix(asking["asked"].slice(start, BLOCK)) @ x.T
+                best = -np.partition(-near, some - 1, axis=1)[:, :some]
+                if bounds:
+                    at.append(np.repeat(np.arange(start, start + len(near)), some))
+                    score.append(best.ravel())
+                    continue
+                for q, scores_of in enumerate(near):
+                    bound = max(least[start + q], best[q].min() if some == k else -2.0) - 1e-9
+                    rows = np.flatnonzero(scores_of >= bound)
+                    found.append(few(rows, ids, x) if len(rows) > k else rows)
+                    at.append(np.full(len(found[-1]), start + q))
+        rows = pa.array(np.concatenate(at))
+        if bounds:
+            return pa.table({"query": asking["query"].take(rows), "score": np.concatenate(score)})
+        chosen = pa.array(np.concatenate(found))
+        return pa.table({"query": asking["query"].take(rows), "asked": asking["asked"].take(rows), "id": stored["id"].take(chosen), "v": stored["v"].take(chosen)})
+
+    return run
+
+
 def _ranked(df: DataFrame, k: int, by: str) -> DataFrame:
     window = Window.partitionBy("query").orderBy(F.desc(by), "id")
     return df.withColumn("_nth", F.row_number().over(window)).where(F.col("_nth") <= k).drop("_nth")
@@ -356,6 +421,36 @@ class VectorIndex:
         """``id, score``: the rows of highest cosine to one query."""
         return self.search_block([query], k, **more).select("id", "score")
 
+    def nearest_join(self, asking: DataFrame, k: int, id_col: str = "id", vector_col: str = "embedding", probes: int | None = None, where: Column | None = None, scope: DataFrame | None = None) -> DataFrame:
+        """``query, id, score``: the ``k`` rows of highest cosine, exactly, for each id of a table of queries, however long.
+
+        Queries meet the rows of a cell in tasks: first in the cells that they probe, which tells
+        what a row must reach, then in all cells that can reach it. Crowded cells are cut into
+        parts. The driver sees a number for each cell, and no query and no row. Queries without
+        a direction, or of another length, find nothing.
+        """
+        kind = self.kinds.split("` ")[1].split(",")[0]
+        asked = asking.select(F.col(f"`{id_col}`").alias("query"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
+        of = asked.schema["query"].dataType.simpleString()
+        if self.model is None:
+            return self.spark.createDataFrame([], f"query {of}, id {kind}, score double")
+        asked = self._sound(asked, self.model.centers.shape[1]).select("query", F.col("v").alias("asked"))
+        rows = self.live(["v"], None, where, scope)
+        held = {r["cell"]: r["n"] for r in self.stored().groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many as the index has cells, at most
+        parts = [max(1, -(-held.get(i, 0) // GROUP_ROWS)) for i in range(len(self.model.centers))]
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.element_at(F.lit(parts), F.col("cell") + 1)).cast("int"))
+        p = min(probes or self.probes, len(parts))
+
+        def met(queries: DataFrame, bounds: bool, schema: str) -> DataFrame:
+            placed = queries.mapInArrow(_places(self.model, self.far, parts, p), f"query {of}, asked array<double>, least double, cell int, part int")
+            return placed.groupBy("cell", "part").cogroup(rows.groupBy("cell", "part")).applyInArrow(_met(k, bounds), schema)
+
+        near = met(asked.withColumn("least", F.lit(None).cast("double")), True, f"query {of}, score double")
+        best = near.groupBy("query").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).select("query", F.coalesce(F.get("s", F.lit(k - 1)), F.lit(-2.0)).alias("least"))
+        bound = asked.join(best, "query", "left").select("query", "asked", F.coalesce("least", F.lit(-2.0)).alias("least"))
+        found = met(bound, False, f"query {of}, asked array<double>, id {kind}, v array<float>")
+        return _ranked(found.select("query", "id", scores.cosine(F.col("v"), F.col("asked")).alias("score")), k, "score")
+
     def probed(self, asking: DataFrame, id_col: str = "id", vector_col: str = "embedding", probes: int | None = None) -> DataFrame:
         """Asking rows, once for each ``cell`` that they probe; rows without a direction probe none."""
         if self.model is None:

@@ -91,23 +91,11 @@ def _(t: Lens) -> DataFrame:
         FROM (SELECT q.vec_id AS query_id, e.vec_id AS id, {_COS} AS score FROM (SELECT vec_id, embedding AS a FROM embeddings WHERE embedding IS NOT NULL) e, (SELECT vec_id, embedding AS b FROM embeddings WHERE vec_id % 100 = 0 AND embedding IS NOT NULL) q)) WHERE rank <= 10""",
 )
 def _(t: Lens) -> DataFrame:
-    """The ten nearest rows of every vector whose id is divisible by 100, by the index, exactly; queries in blocks."""
-    asked = t.embeddings.where("vec_id % 100 = 0 and embedding is not null").select("vec_id", "embedding").orderBy("vec_id")
-    found, block, index = None, [], vectors_of(t)
-
-    def answered(rows: list) -> DataFrame:
-        ids = t._spark.createDataFrame([(i, r["vec_id"]) for i, r in enumerate(rows)], "query int, query_id bigint")
-        return index.search_block([r["embedding"] for r in rows], 10, exact=True).join(F.broadcast(ids), "query").select("query_id", "id", "score")  # a block of queries
-
-    for row in asked.toLocalIterator():
-        block.append(row)
-        if len(block) == 256:
-            found = answered(block) if found is None else found.unionByName(answered(block))
-            block = []
-    if block or found is None:
-        found = answered(block) if found is None else found.unionByName(answered(block))
-    window = R.Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.select("query_id", "id", F.row_number().over(window).cast("long").alias("rank"))
+    """The ten nearest rows of every vector whose id is divisible by 100, by the index, exactly."""
+    asked = t.embeddings.where("vec_id % 100 = 0 and embedding is not null").select("vec_id", "embedding")
+    window = R.Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    found = vectors_of(t).nearest_join(asked, 10, "vec_id")
+    return found.select(F.col("query").alias("query_id"), "id", F.row_number().over(window).cast("long").alias("rank"))
 
 
 @BOOK.add(
