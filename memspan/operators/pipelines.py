@@ -15,7 +15,7 @@ from memspan.functions import hooks, scores, text
 from memspan.operators import graph, lifecycle, maintain, models, plans, provenance
 from memspan.operators.vectorindex import VectorIndex
 from memspan.sources.schemas import SCHEMAS, conformed, empty
-from memspan.sources.tables import checkpoint
+from memspan.sources.tables import checkpoint, written
 
 Tables = Mapping[str, DataFrame]
 Model = models.Model
@@ -55,7 +55,7 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
     ``record_commits``. Events without time are kept, belong to no run and begin no session.
     """
     runs = tables["run"]
-    events = checkpoint(unseen(events, _table(tables, "seen", runs)))
+    events = written(unseen(events, _table(tables, "seen", runs)))
     prompt = F.coalesce(F.get_json_object("data", "$.prompt"), F.lit(""))
     timed = events.where("ts_us is not null")
     rows = _ends(timed).select("id", "session_id", "project", "ts_us", "event", prompt.alias("prompt"), F.lit(None).cast("bigint").alias("run_id"))
@@ -65,12 +65,14 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
     going = live.select(F.lit(None).cast("bigint").alias("id"), "session_id", "project", (F.col("started_s") * 1_000_000).alias("ts_us"), F.lit("prompt_submit").alias("event"), F.lit(None).cast("string").alias("prompt"), F.col("id").alias("run_id"))
     closes = F.col("event").isin("session_stop", "task_completed")
     numbered = lifecycle.run_numbers(rows.unionByName(going), "session_id", ["ts_us", "id"], F.col("event") == "prompt_submit", closes).withColumn("closes", closes)
-    numbered = checkpoint(numbered)  # several tables come of these few columns
+    numbered = written(numbered)  # several tables come of these few columns
 
     given = F.coalesce(hooks.tool_input(F.col("data")), F.lit(""))
     last = _table(tables, "dedup", runs)
-    keyed = events.withColumn("_dedup", hooks.dedup_key(F.col("session_id"), hooks.tool_name(F.col("data")), given))
-    kept = checkpoint(lifecycle.ttl_dedup(keyed, "_dedup", "ts_us", "id", ttl_us, last=last))
+    key = hooks.dedup_key(F.col("session_id"), hooks.tool_name(F.col("data")), given).alias("_dedup")
+    # Repeats are told by key and time alone; payloads are moved once, to those that stay.
+    first = lifecycle.ttl_dedup(events.select("id", "ts_us", key), "_dedup", "ts_us", "id", ttl_us, last=last).select("id")
+    kept = written(events.join(first, "id", "left_semi").select("*", key))
     next_last = lifecycle.last_kept(kept, "_dedup", "ts_us", last)
     kept = kept.drop("_dedup")
     seen = hooks.observed(kept).withColumn("at_s", F.floor(F.col("ts_us") / 1_000_000))
@@ -122,7 +124,7 @@ def observe(tables: Tables, events: DataFrame, now_s: int, ttl_us: int = lifecyc
         F.coalesce("_plan_id", "active").alias("plan_id"),
         "run_no",
     )
-    fresh = checkpoint(fresh)
+    fresh = written(fresh)
     numbers, fresh = fresh.select("id", "session_id", "run_no"), conformed(fresh, "run")
     next_runs = conformed(runs.join(fresh.select("id"), "id", "left_anti"), "run").unionByName(fresh)
 
