@@ -51,7 +51,7 @@ def _(t: Lens) -> DataFrame:
     "WITH k AS (SELECT id, unnest([kw1, kw2, kw3]) AS w FROM memory) SELECT a.id AS src, b.id AS dst, round(count(*) / (6.0::DOUBLE - count(*)), 6) AS jaccard FROM k a JOIN k b ON a.w = b.w AND a.id < b.id GROUP BY a.id, b.id HAVING count(*) / (6.0::DOUBLE - count(*)) >= 0.4",
 )
 def _(t: Lens) -> DataFrame:
-    return graph.shared_tokens(tagged(t), "keywords", 0.4).withColumn("jaccard", r6(F.col("jaccard")))
+    return graph.shared_tokens(tagged(t), "keywords", 0.4, digits=6)
 
 
 @BOOK.add(
@@ -60,7 +60,7 @@ def _(t: Lens) -> DataFrame:
 )
 def _(t: Lens) -> DataFrame:
     items = t.memory.select("id", "project", F.array("kw1", "f1").alias("entities"))
-    return graph.shared_tokens(items, "entities", 0.0, scope="project").withColumn("jaccard", r6(F.col("jaccard")))
+    return graph.shared_tokens(items, "entities", 0.0, scope="project", digits=6)
 
 
 @BOOK.add("run_follows", "SELECT src, dst FROM (SELECT id AS src, lag(id) OVER (PARTITION BY session_id ORDER BY ended_s, id) AS dst FROM run WHERE ended_s IS NOT NULL) WHERE dst IS NOT NULL")

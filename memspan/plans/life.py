@@ -200,7 +200,7 @@ def _(t: Lens) -> DataFrame:
     from memspan.operators.graph import shared_tokens
 
     recent = tagged(t).orderBy(F.desc("created_s"), "id").limit(100)
-    return shared_tokens(recent, "keywords", 0.4).withColumn("jaccard", r6(F.col("jaccard")))
+    return shared_tokens(recent, "keywords", 0.4, digits=6)
 
 
 @BOOK.add(

@@ -127,4 +127,4 @@ def _(t: Lens) -> DataFrame:
 def _(t: Lens) -> DataFrame:
     items = tagged(t).select("id", "project", F.concat("keywords", "files").alias("entities"))
     new, old = items.where("id % 50 = 0"), items.where("id % 50 <> 0")
-    return graph.tokens_shared_with(new, old, "entities", "project").select("src", "dst", r6(F.col("jaccard")).alias("edge_score"))
+    return graph.tokens_shared_with(new, old, "entities", "project", digits=6).withColumnRenamed("jaccard", "edge_score")
